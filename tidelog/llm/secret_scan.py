@@ -1,0 +1,203 @@
+"""Secret scans with structural confirmation.
+
+Pattern spans: ``assign`` (a credential name with a value), ``access`` (access
+key ids) and ``hex`` (long hexadecimal runs).  Beside these, every base64 or hex
+candidate run is decoded and reported only when its structure proves a key:
+
+* ``token``: a signed token; its first part decodes to a JSON object that names
+  an algorithm, its second to a JSON object, and it has a signature part;
+* ``der``: DER bytes, a SEQUENCE whose nested lengths fill exactly and which
+  opens with a version INTEGER or an algorithm identifier, as keys do;
+* ``ssh``: an SSH key blob, length-prefixed fields that fill exactly and open
+  with a key type name, or the new private key header;
+* ``pem``: a private key block between BEGIN and END lines whose body decodes.
+
+Positions are code points, end exclusive.  Null text: no span.  Spans of one
+kind never overlap; spans of different kinds may.  Whole texts are scanned;
+prefilters look for bytes that every match must hold.
+"""
+
+from __future__ import annotations
+
+import base64
+import binascii
+import bisect
+import json
+import re
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidelog.llm.text_arrays import Texts, char_starts, slices
+
+KINDS = ("assign", "access", "hex", "token", "der", "ssh", "pem")
+BASE_KINDS = KINDS[:3]
+_ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:\\n|[\x20\x09-\x0D]|[A-Za-z0-9+/=])*-----END \1-----")
+_NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+_HEX = np.zeros(256, bool)
+_HEX[list(b"0123456789abcdef")] = True
+_CODED = np.zeros(256, bool)
+_CODED[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-")] = True
+#: Shortest run that can hold a key: an elliptic curve key in DER has 48 bytes.
+LEAST_CODED = 48
+
+
+def _decode64(run: bytes) -> bytes | None:
+    body = run.rstrip(b"=").translate(bytes.maketrans(b"-_", b"+/"))
+    if len(body) % 4 == 1:
+        return None
+    try:
+        return base64.b64decode(body + b"=" * (-len(body) % 4), validate=True)
+    except binascii.Error:
+        return None
+
+
+def _der_items(data: bytes) -> list[tuple[int, bytes]] | None:
+    """Tags and contents of DER values that fill ``data`` exactly."""
+    out, i = [], 0
+    while i < len(data):
+        if i + 2 > len(data):
+            return None
+        tag, n, i = data[i], data[i + 1], i + 2
+        if n >= 0x80:
+            k = n & 0x7F
+            if not 1 <= k <= 4 or i + k > len(data):
+                return None
+            n, i = int.from_bytes(data[i : i + k], "big"), i + k
+        if i + n > len(data):
+            return None
+        out.append((tag, data[i : i + n]))
+        i += n
+    return out
+
+
+def is_der_key(data: bytes) -> bool:
+    """A SEQUENCE of key parts: version and integers, version and octets, or
+    an algorithm identifier and a bit string."""
+    if len(data) < 40 or data[0] != 0x30:
+        return False
+    top = _der_items(data)
+    if not top or len(top) != 1:
+        return False
+    parts = _der_items(top[0][1])
+    if not parts or len(parts) < 2:
+        return False
+    tags = [t for t, _ in parts]
+    if tags[0] == 0x02 and len(parts[0][1]) == 1:
+        return tags[1] in (0x02, 0x04) or (tags[1] == 0x30 and len(tags) > 2 and tags[2] == 0x04)
+    if tags[:2] == [0x30, 0x03]:
+        inner = _der_items(parts[0][1])
+        return bool(inner) and inner[0][0] == 0x06
+    return False
+
+
+def is_ssh_key(data: bytes) -> bool:
+    if data.startswith(b"openssh-key-v1\x00"):
+        return True
+    fields, i = [], 0
+    while i < len(data):
+        n = int.from_bytes(data[i : i + 4], "big")
+        if i + 4 > len(data) or i + 4 + n > len(data):
+            return False
+        fields.append(data[i + 4 : i + 4 + n])
+        i += 4 + n
+    return len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
+
+
+def is_signed_token(run: bytes) -> bool:
+    parts = run.split(b".")
+    if len(parts) != 3 or len(parts[2]) < 16:
+        return False
+    try:
+        head, body = (json.loads(_decode64(p) or b"x") for p in parts[:2])
+    except ValueError:
+        return False
+    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+
+
+def _structures(run: bytes, at: int) -> list[tuple[str, int, int]]:
+    """Confirmed spans within one run of coded characters that starts at ``at``."""
+    head = run.find(b"eyJ")
+    if head >= 0 and run.count(b".") >= 2 and is_signed_token(run[head:].rstrip(b".=-")):
+        return [("token", at + head, at + head + len(run[head:].rstrip(b".=-")))]
+    out = []
+    for m in re.finditer(rb"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_CODED, run):
+        text = m[0]
+        readings = [_decode64(text)]
+        if len(text) % 2 == 0 and re.fullmatch(rb"[0-9A-Fa-f]+", text):
+            readings.append(bytes.fromhex(text.decode()))
+        for data in readings:
+            kind = "der" if data and is_der_key(data) else "ssh" if data and is_ssh_key(data) else None
+            if kind:
+                out.append((kind, at + m.start(), at + m.end()))
+                break
+    return out
+
+
+def spans_of(texts: Texts) -> list[list[tuple[str, int, int]]]:
+    """For each row its spans (kind, start, end) in code points, by start, then kind."""
+    data, raw = texts.data, texts.data.tobytes()
+    found: list[list[tuple[str, int, int]]] = [[] for _ in range(len(texts))]
+    bounds = texts.offsets.tolist()
+
+    def row(at: int) -> int:
+        return bisect.bisect_right(bounds, at) - 1
+
+    starts, ends = texts.runs(_HEX[data])
+    for k in np.flatnonzero(ends - starts >= 24).tolist():
+        found[row(int(starts[k]))].append(("hex", int(starts[k]), int(ends[k])))
+    starts, ends = texts.runs(_CODED[data])
+    for k in np.flatnonzero(ends - starts >= LEAST_CODED).tolist():
+        a, b = int(starts[k]), int(ends[k])
+        found[row(a)] += _structures(raw[a:b], a)
+    lower = texts.lowered().tobytes()
+    for names, low, pattern, kind in ((_NAMES, lower, _ASSIGN, "assign"), ((b"AKIA",), raw, _ACCESS, "access"), ((b"-----BEGIN ",), raw, _PEM, "pem")):
+        rows = set()
+        for name in names:
+            at = low.find(name)
+            while at >= 0:
+                r = row(at)
+                rows.add(r)
+                at = low.find(name, bounds[r + 1])
+        for r in rows:
+            for m in pattern.finditer(raw[bounds[r] : bounds[r + 1]]):
+                if kind == "assign" and len(m[1]) < 6 or kind == "access" and len(m[0]) < 20:
+                    continue
+                found[r].append((kind, bounds[r] + m.start(), bounds[r] + m.end()))
+    for r, spans in enumerate(found):
+        if spans:
+            place = np.concatenate([[0], np.cumsum(char_starts(data[bounds[r] : bounds[r + 1]]))])
+            spans[:] = sorted(((k, int(place[a - bounds[r]]), int(place[b - bounds[r]])) for k, a, b in spans), key=lambda s: (s[1], KINDS.index(s[0])))
+    return found
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, spans array<struct<kind, start, end>>) for every document."""
+
+    def run(batches):
+        for batch in batches:
+            spans = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for t in slices(batch.column(1)) for s in spans_of(t)]
+            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
+
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+
+
+def joined(spans):
+    """kind:start:end, comma-joined; ``spans`` is a column of span arrays."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def digest(scanned: DataFrame) -> DataFrame:
+    """Counts and digests per document of :func:`scan`'s output."""
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    return scanned.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
