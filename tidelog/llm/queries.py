@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat_format, jaccard_join, knn_search, language_id, mixing, packing, quality, secret_scan
+from tidelog.llm import chat_format, jaccard_join, knn_search, language_id, mixing, packing, pii, quality, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.scan(_table(spark, sf_dir, "documents")))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_join.join(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_shingles", "component_id", "class_id")
@@ -65,6 +69,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
     "op7_language_id": op7_language_id,
