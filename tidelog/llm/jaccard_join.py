@@ -39,6 +39,9 @@ from tidelog.llm.text_arrays import mix, shingles, slices
 BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 16
 ROUNDS = 3
 CHUNK = 256
+#: Cost of one list entry (it is read in each round) and, in the same unit, of
+#: comparing it with one other entry's bitmap.
+ENTRY_COST, COMPARE_COST = ROUNDS + 2, 0.02
 BITMAP_BITS = 1024
 
 
@@ -156,7 +159,7 @@ def _shared_elements(table):
     return pa.table({"block": pa.array(columns[0], pa.int64()), "keys": pa.array(columns[1], pa.binary()), "idx": pa.array(columns[2], pa.binary()), "count": pa.array(columns[3], pa.binary())})
 
 
-_CANDIDATES = "rid long, tokens array<long>, scan_cost long, subset_cost long"
+_CANDIDATES = "rid long, tokens array<long>, scan_cost double, subset_cost double"
 
 
 def _candidates(table):
@@ -185,9 +188,10 @@ def _candidates(table):
         if b - a >= q:
             keep = b - a - q + 1
             two = min(keep + 1, b - a)
-            out.append(((block << 16) + r, token[a : a + two], int(df[a : a + keep].sum()), two * (two - 1) // 2))
+            scan = keep * ENTRY_COST + COMPARE_COST * int(df[a : a + keep].sum())
+            out.append(((block << 16) + r, token[a : a + two], scan, two * (two - 1) // 2 * ENTRY_COST))
     columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-    return pa.table({"rid": pa.array(columns[0], pa.int64()), "tokens": pa.array(list(columns[1]), pa.list_(pa.int64())), "scan_cost": pa.array(columns[2], pa.int64()), "subset_cost": pa.array(columns[3], pa.int64())})
+    return pa.table({"rid": pa.array(columns[0], pa.int64()), "tokens": pa.array(list(columns[1]), pa.list_(pa.int64())), "scan_cost": pa.array(columns[2], pa.float64()), "subset_cost": pa.array(columns[3], pa.float64())})
 
 
 #: Sizes whose q is one have no two shared elements for certain.
@@ -339,7 +343,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     maybe = materialize(maybe.join(rows, "rid").select("n", "c1", "c2", "tokens", "scan_cost", "subset_cost"), "maybe")
     once = maybe.dropDuplicates(["n", "c1", "c2"]).join(classes, ["n", "c1", "c2"])
     once = materialize(once.select(F.col("rep").alias("rid"), "n", "c1", "c2", "class_id", "tokens", "scan_cost", "subset_cost"), "survivors")
-    lists = inverted_lists(once, size_boundary(once))
+    lists = materialize(inverted_lists(once, size_boundary(once)), "entries")
     several = lists.groupBy("token").agg(F.count("*").alias("entries")).filter("entries > 1").select("token")
     lists = materialize(lists.join(several, "token"), "lists")
     met = once.join(lists.select("rid").distinct(), "rid", "left_semi")
