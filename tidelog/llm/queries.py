@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat_format, jaccard_join, knn_search, language_id, mixing, packing, pii, quality, secret_scan
+from tidelog.llm import chat_format, jaccard_join, knn_search, language_id, license_scan, mixing, packing, pii, quality, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,16 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(_table(spark, sf_dir, "documents")))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` has no paths: a row stands at ``source/hundreds/doc_id``,
+    and a text that opens with its licence counts as that folder's licence file."""
+    docs = _table(spark, sf_dir, "documents")
+    opens = F.substring_index("text", "\n", 1).rlike("(?i)^[^a-z]*(licensed|released|this work is licensed) under")
+    name = F.when(opens, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 100).cast("string"), name)
+    return license_scan.scan(docs, path)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_join.join(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_shingles", "component_id", "class_id")
@@ -70,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
+    "op4_license_scan": op4_license_scan,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
     "op7_language_id": op7_language_id,
