@@ -59,11 +59,12 @@ def _terms(text: Column) -> Column:
 
 
 def match_templates(texts: DataFrame, least: float = 0.55) -> DataFrame:
-    """(text, license, cosine) for distinct ``texts`` (text) near a template."""
+    """(tid, license, cosine) for those of ``texts`` (tid, text; distinct) that
+    are near a template."""
     spark = texts.sparkSession
     known = spark.createDataFrame([(f"{i}", name, phrase) for i, (name, phrase) in enumerate(TEMPLATES)], "template string, license string, phrase string")
     template = known.select("template", "license", F.explode(_terms(F.col("phrase"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
-    seen = texts.select(F.col("text"), F.explode(_terms(F.col("text"))).alias("term")).groupBy("text", "term").agg(F.count("*").alias("tf"))
+    seen = texts.select("tid", F.explode(_terms(F.col("text"))).alias("term")).groupBy("tid", "term").agg(F.count("*").alias("tf"))
     seen = materialize(seen, "terms")
     total = texts.count() + len(TEMPLATES)
     spread = seen.select("term").unionByName(template.select("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -76,11 +77,11 @@ def match_templates(texts: DataFrame, least: float = 0.55) -> DataFrame:
     t = t.join(t.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length")), "template")
     t = t.select("template", "license", "term", (F.col("weight") / F.col("length")).alias("part"))  # a row for each template term
     h = weighed(seen)
-    lengths = h.groupBy("text").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length"))
-    cosine = h.join(F.broadcast(t), "term").groupBy("text", "template", "license").agg(F.sum(F.col("weight") * F.col("part")).alias("dot"))
-    cosine = cosine.join(lengths, "text").withColumn("cosine", F.round(F.col("dot") / F.col("length"), 9)).filter(F.col("cosine") >= least)
+    lengths = h.groupBy("tid").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length"))
+    cosine = h.join(F.broadcast(t), "term").groupBy("tid", "template", "license").agg(F.sum(F.col("weight") * F.col("part")).alias("dot"))
+    cosine = cosine.join(lengths, "tid").withColumn("cosine", F.round(F.col("dot") / F.col("length"), 9)).filter(F.col("cosine") >= least)
     best = F.min(F.struct((-F.col("cosine")).alias("c"), "license"))
-    return cosine.groupBy("text").agg(best.alias("best")).select("text", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"))
+    return cosine.groupBy("tid").agg(best.alias("best")).select("tid", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"))
 
 
 def ancestors(directory: Column) -> Column:
@@ -106,9 +107,9 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     spoken = F.when(is_file, F.array(text)).when(_has_cue(text), F.array_distinct(sentences))
     rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), is_file.alias("is_file"), F.coalesce(spoken, F.expr("cast(array() as array<string>)")).alias("spoken"), F.monotonically_increasing_id().alias("rid"))
     rows = materialize(rows.withColumn("directory", F.regexp_replace("path", r"/?[^/]*$", "")), "headers")
-    said = rows.select("rid", "doc_id", "directory", "is_file", F.explode("spoken").alias("text")).filter(F.col("text").isNotNull())
-    matched = materialize(match_templates(said.select("text").distinct(), least), "matched")
-    own = said.join(matched, "text").groupBy("rid").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
+    said = rows.select("rid", "doc_id", "directory", "is_file", F.explode("spoken").alias("text")).filter(F.col("text").isNotNull()).withColumn("tid", F.md5("text"))
+    matched = materialize(match_templates(said.select("tid", "text").dropDuplicates(["tid"]), least), "matched")
+    own = said.select("rid", "tid").join(matched, "tid").groupBy("rid").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
     own = materialize(rows.drop("spoken").join(own, "rid", "left").select("doc_id", "path", "directory", "is_file", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine")), "own")
     files = own.filter(F.col("is_file") & F.col("license").isNotNull() & F.col("directory").isNotNull())
     files = files.groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best")).select("directory", F.col("best.license").alias("license"))
