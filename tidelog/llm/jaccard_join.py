@@ -13,11 +13,12 @@ documents link at Jaccard similarity of at least 3/4.  All steps are exact:
    kept).  Light sets, up to a size boundary, enumerate subsets of two elements;
    heavy sets are posted to inverted lists of single elements.  The boundary is
    where the estimated cost (subsets made, list entries scanned) is least.
-4. Links are needed only between components.  In a few rounds every class is
-   compared with the hub that shares most of its lists; then all pairs of
+4. Links are needed only between components.  First every class is compared
+   with the hub that shares most of its lists; in a few rounds more, with the
+   class of another component that is nearest in its lists; then all pairs of
    different components that still meet in a list are compared, long lists in
-   blocks.  A bitmap bound on the symmetric difference precedes the exact
-   comparison of sets.
+   blocks.  Bitmaps bound the symmetric difference before the exact comparison
+   of sets.
 
 Null or empty texts, or texts without words, have an empty set and link with
 nothing.  Repeated rows fall in one class.  An empty table gives an empty result.
@@ -37,12 +38,13 @@ from tidelog.llm.text_arrays import mix, shingles, slices
 
 #: A block: the rows whose elements a task sends out together.
 BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 16
-ROUNDS = 3
+ROUNDS = 2
 CHUNK = 256
 #: Cost of one list entry (it is read in each round) and, in the same unit, of
 #: comparing it with one other entry's bitmap.
-ENTRY_COST, COMPARE_COST = ROUNDS + 2, 0.02
-BITMAP_BITS = 1024
+ENTRY_COST, COMPARE_COST = ROUNDS + 3, 0.02
+#: Bitmap sizes, for all sets and for those of over LARGE elements.
+SHORT_BITS, LONG_BITS, LARGE = 1024, 4096, 700
 
 
 def least_shared(n: np.ndarray) -> np.ndarray:
@@ -225,7 +227,16 @@ def inverted_lists(classes: DataFrame, boundary: int) -> DataFrame:
     return elements.unionByName(subsets)
 
 
-def _set_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _bitmap(elements: np.ndarray) -> bytes:
+    """Parity of the elements by their low bits: SHORT_BITS, for large sets
+    followed by LONG_BITS, of which the short ones are the fold."""
+    size = LONG_BITS if len(elements) > LARGE else SHORT_BITS
+    bits = np.bincount((elements & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    folded = bits.reshape(-1, SHORT_BITS).sum(0) & 1
+    return np.packbits(folded).tobytes() + (np.packbits(bits).tobytes() if size > SHORT_BITS else b"")
+
+
+def _set_rows(docs: DataFrame, text_col: str) -> DataFrame:
     """(c1, c2, elements, bitmap): sets of the given documents."""
 
     def run(batches):
@@ -233,27 +244,31 @@ def _set_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for texts in slices(batch.column(0)):
                 sets = shingles(texts)
                 n, c1, c2 = _class_hashes(sets)
-                bits = [np.packbits(np.bincount((s & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bits, pa.binary())], names=["c1", "c2", "elements", "bitmap"])
+                yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(map(_bitmap, sets), pa.binary())], names=["c1", "c2", "elements", "bitmap"])
 
     return docs.select(text_col).mapInArrow(run, "c1 long, c2 long, elements binary, bitmap binary")
 
 
-def _far(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Whether bitmaps show that no link is possible: linked sets differ in at
-    most a seventh of their elements, and bitmaps in no more than the sets."""
-    return 7 * np.bitwise_count(a ^ b).sum(axis=-1).astype(np.int64) > na + nb
+class _Bitmaps:
+    def __init__(self, raw: list[bytes]):
+        short = SHORT_BITS // 8
+        self.short = np.frombuffer(b"".join(r[:short] for r in raw), np.uint64).reshape(len(raw), -1)
+        self.place = np.cumsum([len(r) > short for r in raw]) - 1
+        self.large = np.array([len(r) > short for r in raw], bool)
+        self.long = np.frombuffer(b"".join(r[short:] for r in raw), np.uint64).reshape(-1, LONG_BITS // 64)
+
+    def apart(self, x: np.ndarray, other: _Bitmaps, y: np.ndarray) -> np.ndarray:
+        """A lower bound of the symmetric difference of sets x and y."""
+        out = np.bitwise_count(self.short[x] ^ other.short[y]).sum(1).astype(np.int64)
+        both = np.flatnonzero(self.large[x] & other.large[y])
+        if len(both):
+            out[both] = np.bitwise_count(self.long[self.place[x[both]]] ^ other.long[other.place[y[both]]]).sum(1)
+        return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose sets link."""
 
-    def near(batches):
-        for t in batches:
-            a, b = (np.array([np.frombuffer(x, np.uint64) for x in t.column(c).to_pylist()]).reshape(t.num_rows, -1) for c in ("bitmap_a", "bitmap_b"))
-            far = _far(a, b, t.column("n_a").to_numpy(), t.column("n_b").to_numpy())
-            yield t.select(["a", "b"]).filter(pa.array(~far))
-
     def linked(batches):
         for t in batches:
             keep = []
@@ -269,59 +284,84 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             pairs = pairs.join(side, end)
         return pairs
 
-    checked = ends(["n", "bitmap"], pairs).mapInArrow(near, "a long, b long")
-    return materialize(ends(["elements"], checked).select("a", "b", "elements_a", "elements_b").mapInArrow(linked, "a long, b long"), "verified")
+    return materialize(ends(["elements"], pairs).select("a", "b", "elements_a", "elements_b").mapInArrow(linked, "a long, b long"), "verified")
 
 
-def _near_pairs(table):
+def _pairs_in_lists(nearest: bool):
     """Pairs of different components that meet in a list (or in two chunks of
-    it) and that sizes and bitmaps do not rule out."""
-    table = table.sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending")])
-    token, i, j, rid, n, label, side = (table.column(c).to_numpy() for c in ("token", "i", "j", "rid", "n", "label", "side"))
-    bitmap = np.array([np.frombuffer(x, np.uint64) for x in table.column("bitmap").to_pylist()])
-    border = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a, b in zip([0, *border.tolist()], [*border.tolist(), len(token)], strict=True):
-        left = np.arange(a, b) if i[a] == j[a] else a + np.flatnonzero(side[a:b] == 0)
-        right = left if i[a] == j[a] else a + np.flatnonzero(side[a:b] == 1)
-        for x in left.tolist():
-            y = right[(label[right] != label[x]) & (4 * np.minimum(n[right], n[x]) >= 3 * np.maximum(n[right], n[x]))]
-            y = y[y > x] if i[a] == j[a] else y
-            if len(y):
-                y = y[~_far(bitmap[y], bitmap[x], n[y], n[x])]
-                out_a.append(np.minimum(rid[x], rid[y]))
-                out_b.append(np.maximum(rid[x], rid[y]))
-    pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-
-def _join_lists(lists: DataFrame, sets: DataFrame, rounds: int) -> DataFrame:
-    """(node, label): components of the classes that link with another one."""
-    labels = sets.select(F.col("rid").alias("node"), F.col("rid").alias("label"))
-    links = None
-    own = lists.join(labels.withColumnRenamed("node", "rid"), "rid")
-    for turn in range(rounds):
-        hub = F.min_by(F.struct("rid", "n", "label"), F.xxhash64(F.lit(turn), "rid") if turn else F.col("rid"))
-        open_ = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), hub.alias("hub")).filter("low <> high")
-        met = own.join(open_, "token").filter((F.col("label") != F.col("hub.label")) & (F.least("n", "hub.n") * 4 >= F.greatest("n", "hub.n") * 3))
-        best = met.groupBy("rid", F.col("hub.rid").alias("hub")).count().groupBy("rid").agg(F.max_by("hub", F.struct("count", "hub")).alias("b"))
-        found = _verified(materialize(best.select(F.col("rid").alias("a"), "b"), "pairs"), sets)
-        links = found if links is None else links.unionByName(found)
-        grouped = components(links)
-        labels = materialize(labels.select("node").join(grouped, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "labels")
-        own = lists.join(labels.withColumnRenamed("node", "rid"), "rid")
-    # What is left: lists that still hold different components, compared in full.
+    it) and that sizes and bitmaps do not rule out: all of them, or for each
+    row the nearest one."""
+
+    def pairs(table):
+        table = table.sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        token, i, j, rid, n, label, side = (table.column(c).to_numpy() for c in ("token", "i", "j", "rid", "n", "label", "side"))
+        bitmaps = _Bitmaps(table.column("bitmap").to_pylist())
+        border = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        found = [np.zeros((0, 3), np.int64)]
+        for a, b in zip([0, *border.tolist()], [*border.tolist(), len(token)], strict=True):
+            one = i[a] == j[a]
+            rows = np.arange(a, b)
+            left, right = (rows, rows) if one else (rows[side[a:b] == 0], rows[side[a:b] == 1])
+            for k in range(0, len(left), 128):
+                x = left[k : k + 128]
+                meet = (label[x][:, None] != label[right]) & (4 * np.minimum(n[x][:, None], n[right]) >= 3 * np.maximum(n[x][:, None], n[right]))
+                p, q = np.nonzero(meet)
+                p, q = x[p], right[q]
+                if one and not nearest:
+                    p, q = p[p < q], q[p < q]
+                apart = bitmaps.apart(p, bitmaps, q)
+                may = 7 * apart <= n[p] + n[q]
+                found.append(np.stack([rid[p[may]], rid[q[may]], apart[may]], 1))
+        out = np.concatenate(found)
+        if nearest:
+            out = out[np.lexsort((out[:, 1], out[:, 2], out[:, 0]))]
+            out = out[np.unique(out[:, 0], return_index=True)[1]]
+        else:
+            out = np.unique(np.stack([out[:, :2].min(1), out[:, :2].max(1), out[:, 2]], 1), axis=0) if len(out) else out
+        return pa.table({c: pa.array(out[:, k], pa.int64()) for k, c in enumerate(("a", "b", "apart"))})
+
+    return pairs
+
+
+def _met_in_lists(own: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b, apart) over lists that hold different components; rows of long
+    lists meet chunk by chunk."""
     held = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("length")).filter("low <> high")
-    rows = own.join(held.select("token", "length"), "token")
-    chunks = F.ceil(F.col("length") / CHUNK).cast("int")
-    rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
+    rows = own.join(held.select("token", "length"), "token").withColumn("chunks", F.ceil(F.col("length") / CHUNK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rid", "n", "label")
     rows = materialize(rows, "open")
     groups = max(1, rows.count() // 20_000)
     rows = rows.join(sets.select("rid", "bitmap"), "rid").withColumn("group", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
-    pairs = materialize(rows.groupBy("group").applyInArrow(_near_pairs, "a long, b long").distinct(), "pairs")
-    return components(links.unionByName(_verified(pairs, sets)))
+    return rows.groupBy("group").applyInArrow(_pairs_in_lists(nearest), "a long, b long, apart long")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after new links: components are found among labels alone."""
+    for end in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end)
+    moved = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+    moved = moved.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return materialize(labels.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+
+
+def _join_lists(lists: DataFrame, sets: DataFrame, rounds: int) -> DataFrame:
+    """(node, label): the component of every class."""
+    hub = F.min_by(F.struct("rid", "n"), "rid")
+    hubs = lists.groupBy("token").agg(hub.alias("hub"))
+    met = lists.join(hubs, "token").filter((F.col("rid") != F.col("hub.rid")) & (F.least("n", "hub.n") * 4 >= F.greatest("n", "hub.n") * 3))
+    best = met.groupBy("rid", F.col("hub.rid").alias("hub")).count().groupBy("rid").agg(F.max_by("hub", F.struct("count", "hub")).alias("b"))
+    found = _verified(materialize(best.select(F.col("rid").alias("a"), "b"), "pairs"), sets)
+    labels = _relabelled(sets.select(F.col("rid").alias("node"), F.col("rid").alias("label")), found)
+    for turn in range(rounds + 1):
+        own = lists.join(labels.withColumnRenamed("node", "rid"), "rid")
+        pairs = _met_in_lists(own, sets, nearest=turn < rounds)
+        if turn < rounds:
+            pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        labels = _relabelled(labels, _verified(materialize(pairs, "pairs"), sets))
+    return labels
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -351,7 +391,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     wanted = chosen.select("class_id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = texts.join(wanted.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(wanted["class_id"]), "left_semi")
-    sets = materialize(_set_rows(texts, "doc_id", "text").dropDuplicates(["c1", "c2"]).join(chosen.drop("class_id"), ["c1", "c2"]), "sets")
+    sets = materialize(_set_rows(texts, "text").dropDuplicates(["c1", "c2"]).join(chosen.drop("class_id"), ["c1", "c2"]), "sets")
     labels = _join_lists(lists, sets, rounds)
     placed = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     lowest = placed.groupBy("label").agg(F.min("class_id").alias("component_id"))
