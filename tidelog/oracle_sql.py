@@ -28,11 +28,12 @@ def _typed() -> str:
       CAST(json_extract_string(props, '$.k') AS bigint) AS k, user_id AS u, event_type, value FROM events),
     keyed1 AS (SELECT *, k % 4 AS r, k // 4 AS q FROM keyed0),
     keyed AS (SELECT *, {E.DATA_TYPE} AS data_type FROM keyed1),
-    obs AS (SELECT {columns} FROM keyed)"""
+    typed AS (SELECT {columns} FROM keyed)"""
 
 
-def _base(step: int = STEP) -> str:
+def _base(step: int = STEP, chosen: str = "SELECT * FROM typed") -> str:
     return f"""{_typed()},
+    obs AS ({chosen}),
     span AS (SELECT subject_id, min(ts) AS min_ts, max(ts) AS max_ts FROM obs GROUP BY 1),
     b AS ({_bounds("span", step)}),
     ends AS ({_ends("b", step)}),
@@ -124,7 +125,7 @@ def _slots(expected: int, *names: str) -> str:
     return f"least(1.0e0, {n} / {expected}.0e0 * coalesce({c} / nullif({n}, 0), 0))"
 
 
-def feature_ctes(step: int = STEP) -> str:
+def feature_ctes(step: int = STEP, chosen: str = "SELECT * FROM typed") -> str:
     """All features as named tables on top of the base tables."""
     focus = _Parts(
         ("typing", "0.25e0", "CASE WHEN rate <= 0 THEN 50.0e0 WHEN rate IS NOT NULL THEN 50 + 50 * least(rate / 80, 1.0e0) END"),
@@ -153,7 +154,7 @@ def feature_ctes(step: int = STEP) -> str:
     away_conf = f"least(1.0e0, {away.present} / 3.0e0 * coalesce(({' + '.join(used('c', '0'))}) / nullif({' + '.join(used('n', '0'))}, 0), 0))"
     sustained = _Parts(("stress", "0.4e0", "sm"), ("fatigue", "0.4e0", "fm"), ("meetings", "0.2e0", "mm * 100"))
     key = "subject_id, w_end"
-    return f"""{_base(step)},
+    return f"""{_base(step, chosen)},
     context_switch_rate AS ({_feature("w WHERE n_ctx > 0", "csr", _conf(1, "1", "ctx"), _ids("i_ctx"))}),
     focus_score AS ({_feature(f"w WHERE {focus.present} > 0", focus.value, _conf(3, focus.present, "key", "hrv", "ctx"), _ids("i_key", "i_hrv", "i_ctx"), focus.factors)}),
     stress_index AS ({_feature(f"w WHERE {stress.present} > 0", stress.value, _conf(1, "1", "hrv"), _ids("i_hrv"))}),
@@ -222,3 +223,184 @@ DIGEST = "subject_id, w_end, round(value + 1e-9, 6) AS value, round(confidence +
 
 def feature(name: str, step: int = STEP) -> str:
     return f"WITH {feature_ctes(step)}\nSELECT {DIGEST} FROM {name}"
+
+
+def observations() -> str:
+    """The typed observations as the table ``obs``."""
+    return f"WITH {_typed()},\n    obs AS (SELECT * FROM typed)"
+
+
+def high_stress_ctes() -> str:
+    return """hot AS (SELECT subject_id, w_end, w_end - 60 * row_number() OVER (PARTITION BY subject_id ORDER BY w_end) AS run FROM stress_index WHERE value > 75),
+    high AS (SELECT subject_id, min(w_end) AS start_ts, max(w_end) AS end_ts, count(*) AS samples FROM hot GROUP BY subject_id, run HAVING max(w_end) - min(w_end) > 300)"""
+
+
+_QUALITY = "CASE WHEN src_kind = 'apple_watch' THEN 1.0e0 WHEN src_kind = 'manual' THEN 0.3e0 ELSE 0.6e0 END"
+_DAY = "({} // 86400) * 86400"
+_ROUND = "round({0} + 1e-9, 6) AS {0}"
+
+
+def _evidence(ts: str = "ts") -> str:
+    return f"avg(confidence) * avg({_QUALITY}) AS confidence, mode(src_kind ORDER BY src_kind) AS source, md5(array_to_string(list_sort(list(id)), ',')) AS evidence_md5, max({ts}) AS last_ts"
+
+
+def _baseline(daily: str, value: str, days: int, also: str = "") -> str:
+    same = f" AND p.{also} = d.{also}" if also else ""
+    return f"""SELECT d.*, CASE WHEN count(p.day) >= 5 THEN median(p.{value}) END AS baseline, CASE WHEN count(p.day) >= 5 THEN count(p.day) END AS baseline_days,
+      d.{value} - CASE WHEN count(p.day) >= 5 THEN median(p.{value}) END AS delta
+      FROM {daily} d LEFT JOIN {daily} p ON p.subject_id = d.subject_id{same} AND p.day >= d.day - {days} * 86400 AND p.day < d.day GROUP BY ALL"""
+
+
+def _rounded(*columns: str) -> str:
+    return ", ".join(_ROUND.format(c) for c in columns)
+
+
+_VITAL = "baseline_days, source, evidence_md5, " + _rounded("baseline", "delta", "confidence")
+
+
+def resting_hr_daily() -> str:
+    return f"""{observations()},
+    daily AS (SELECT subject_id, {_DAY.format("ts")} AS day, max_by(bpm, ts || '|' || id) AS bpm, {_evidence()} FROM obs WHERE data_type = '{S.RESTING_HR}' GROUP BY 1, 2),
+    based AS ({_baseline("daily", "bpm", 14)})
+    SELECT subject_id, day, greatest(day, last_ts) AS w_end, bpm, {_VITAL} FROM based"""
+
+
+def hrv_vs_baseline() -> str:
+    return f"""{observations()},
+    ms AS (SELECT *, CASE WHEN rmssd_ms IS NOT NULL THEN 'rmssd' ELSE 'sdnn' END AS method, coalesce(rmssd_ms, sdnn_ms) AS ms FROM obs WHERE data_type = '{S.HRV}'),
+    daily AS (SELECT subject_id, method, {_DAY.format("ts")} AS day, avg(ms) AS ms, {_evidence()} FROM ms GROUP BY 1, 2, 3),
+    based AS ({_baseline("daily", "ms", 28, "method")})
+    SELECT subject_id, day, greatest(day, last_ts) AS w_end, method, {_rounded("ms")}, {_VITAL} FROM based WHERE baseline IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY subject_id, day ORDER BY last_ts DESC, method) = 1"""
+
+
+def sleep_stages_daily() -> str:
+    return f"""{observations()},
+    sleep AS (SELECT *, {_DAY.format("end_s")} AS day, CASE WHEN stage IS NULL OR stage = 'asleep' THEN 'plain' WHEN stage IN ('asleep_core', 'asleep_deep', 'asleep_rem') THEN substr(stage, 8) END AS part FROM obs WHERE data_type = '{S.SLEEP}'),
+    edge AS (SELECT *, CASE WHEN start_s > max(end_s) OVER (PARTITION BY subject_id, day, part ORDER BY start_s, end_s, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM sleep WHERE part IS NOT NULL),
+    island AS (SELECT *, sum(opens) OVER (PARTITION BY subject_id, day, part ORDER BY start_s, end_s, id) AS island FROM edge),
+    len AS (SELECT subject_id, day, part, island, max(end_s) - min(start_s) AS secs FROM island GROUP BY 1, 2, 3, 4),
+    sums AS (SELECT subject_id, day, coalesce(sum(secs) FILTER (part = 'plain'), 0) AS plain, coalesce(sum(secs) FILTER (part = 'core'), 0) AS core, coalesce(sum(secs) FILTER (part = 'deep'), 0) AS deep, coalesce(sum(secs) FILTER (part = 'rem'), 0) AS rem FROM len GROUP BY 1, 2),
+    night AS (SELECT subject_id, day, (min(start_s) % 86400) / 3600.0e0 AS hour, max(end_s) AS last_end, {_evidence()} FROM sleep GROUP BY 1, 2),
+    regular AS (SELECT d.*, CASE WHEN count(p.day) >= 3 THEN {_clamp("100 * (1 - stddev_pop(p.hour) / 3)")} END AS bedtime_regularity
+      FROM night d LEFT JOIN night p ON p.subject_id = d.subject_id AND p.day >= d.day - 14 * 86400 AND p.day < d.day GROUP BY ALL),
+    both_ AS (SELECT *, core + deep + rem AS staged FROM regular JOIN sums USING (subject_id, day)),
+    shares AS (SELECT *, CASE WHEN staged > 0 THEN deep / staged END AS deep_share, CASE WHEN staged > 0 THEN rem / staged END AS rem_share, CASE WHEN staged > 0 THEN core / staged END AS core_share, (staged + plain) / 60.0e0 AS total_min FROM both_ WHERE staged + plain > 0)
+    SELECT subject_id, day, greatest(day, last_end) AS w_end, staged > 0 AS stages, source, evidence_md5, {_rounded("total_min", "deep_share", "rem_share", "core_share", "bedtime_regularity", "confidence")} FROM shares"""
+
+
+def night_spo2() -> str:
+    return f"""{observations()},
+    night AS (SELECT subject_id, {_DAY.format("end_s")} AS day, min(start_s) AS a, max(end_s) AS b FROM obs WHERE data_type = '{S.SLEEP}' GROUP BY 1, 2),
+    s AS (SELECT * FROM obs WHERE data_type = '{S.SPO2}'),
+    inside AS (SELECT s.*, n.day FROM s JOIN night n ON s.subject_id = n.subject_id AND s.ts BETWEEN n.a AND n.b),
+    rest AS (SELECT s.*, {_DAY.format("ts")} AS day FROM s WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.subject_id = s.subject_id AND i.id = s.id)),
+    every AS (SELECT * FROM inside UNION ALL SELECT * FROM rest r WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.subject_id = r.subject_id AND i.day = r.day)),
+    daily AS (SELECT subject_id, day, avg(spo2_percent) AS mean, min(spo2_percent) AS low, {_evidence()} FROM every GROUP BY 1, 2),
+    based AS ({_baseline("daily", "mean", 14)})
+    SELECT subject_id, day, greatest(day, last_ts) AS w_end, low, {_rounded("mean")}, {_VITAL} FROM based"""
+
+
+AFTERNOON_STEP = 300
+
+
+def focus_afternoon_baseline() -> str:
+    chosen = f"""SELECT t.* REPLACE (t.subject_id || '|' || CAST({_DAY.format("t.ts")} AS varchar) AS subject_id) FROM typed t
+      JOIN (SELECT subject_id, {_DAY.format("max(ts)")} AS today FROM typed GROUP BY 1) l ON l.subject_id = t.subject_id
+      WHERE {_DAY.format("t.ts")} < today AND {_DAY.format("t.ts")} >= today - 7 * 86400 AND t.ts % 86400 BETWEEN 46800 AND 61200"""
+    return f"""WITH {feature_ctes(AFTERNOON_STEP, chosen)},
+    good AS (SELECT subject_id, avg(value) AS focus, avg(confidence) AS confidence, md5(array_to_string(list_sort(list_distinct(flatten(list(evidence)))), ',')) AS evidence_md5 FROM focus_score WHERE confidence >= 0.3 GROUP BY 1)
+    SELECT split_part(subject_id, '|', 1) AS subject_id, CAST(split_part(subject_id, '|', 2) AS bigint) AS day, evidence_md5, {_rounded("focus", "confidence")} FROM good"""
+
+
+def alert_level() -> str:
+    return f"""WITH {feature_ctes(60)}, {high_stress_ctes()},
+    recent AS (SELECT subject_id, arg_max(value, w_end) AS v FROM stress_index GROUP BY 1 UNION ALL SELECT subject_id, arg_max(value, w_end) FROM fatigue_index GROUP BY 1)
+    SELECT subject_id, CASE WHEN subject_id IN (SELECT subject_id FROM high) THEN 'red' WHEN subject_id IN (SELECT subject_id FROM recent WHERE v > 60) THEN 'yellow' ELSE 'green' END AS level FROM span"""
+
+
+def _all(names: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS feature_id, * FROM {n}" for n in names)
+
+
+LATEST = ("focus_score", "stress_index", "fatigue_index", "sleep_debt", "cognitive_load", "energy_score")
+CHART = ("focus_score", "context_switch_rate", "sleep_debt", "energy_score")
+REPORTED = ("focus_score", "energy_score", "notification_pressure")
+
+
+def latest_features() -> str:
+    composites = "('focus_score', 'fatigue_index', 'recovery_score', 'energy_score', 'cognitive_load', 'deep_work_score', 'sustained_load')"
+    return f"""WITH {feature_ctes()}, every AS ({_all(LATEST)})
+    SELECT subject_id, feature_id, w_end, {_rounded("value", "confidence")},
+      CASE WHEN confidence < 0.5 THEN 'low' WHEN feature_id IN {composites} AND factors <> '' AND factors NOT LIKE '%,%' THEN 'single_input' ELSE 'ok' END AS reliability
+    FROM every QUALIFY row_number() OVER (PARTITION BY subject_id, feature_id ORDER BY w_end DESC) = 1"""
+
+
+def chart_pivot() -> str:
+    columns = ", ".join(f"round(max(value) FILTER (feature_id = '{n}') + 1e-9, 6) AS {n}" for n in CHART)
+    return f"WITH {feature_ctes()}, every AS ({_all(CHART)}) SELECT subject_id, w_end, {columns} FROM every GROUP BY 1, 2"
+
+
+def report_runs() -> str:
+    return f"""WITH {feature_ctes()}, every AS ({_all(REPORTED)}),
+    rows_ AS (SELECT subject_id, feature_id, w_end, w_end - 900 AS start, value, lag(w_end) OVER (PARTITION BY subject_id, feature_id ORDER BY w_end) AS prev FROM every),
+    runs AS (SELECT *, sum(CASE WHEN prev IS NULL OR start > prev + 120 THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id, feature_id ORDER BY w_end) AS run FROM rows_),
+    agg AS (SELECT subject_id, feature_id, run, min(start) AS run_start, max(w_end) AS run_end, arg_min(value, w_end) AS first, arg_max(value, w_end) AS last, min(value) AS low, max(value) AS high, count(*) AS samples FROM runs GROUP BY 1, 2, 3)
+    SELECT subject_id, feature_id, run_start, run_end, samples, round(low + 1e-9, 4) AS low, round(high + 1e-9, 4) AS high, {_rounded("first", "last")},
+      CASE WHEN last - first >= 5 THEN 'higher' WHEN last - first <= -5 THEN 'lower' ELSE 'flat' END AS trend FROM agg"""
+
+
+EFFECT_STEP = 300
+
+
+def life_event_effect() -> str:
+    return f"""WITH {feature_ctes(EFFECT_STEP)},
+    e AS (SELECT subject_id, id, ts AS at, life_kind AS kind FROM obs WHERE data_type = '{S.LIFE_EVENT}' AND life_kind IN ('coffee', 'walk')),
+    s AS ({_all(("focus_score", "cognitive_load"))}),
+    near AS (SELECT e.*, s.feature_id, s.value, s.confidence, s.w_end > at - 2700 AND s.w_end <= at AS b, s.w_end BETWEEN at + 900 AND at + 3600 AS a FROM e JOIN s ON s.subject_id = e.subject_id AND s.confidence >= 0.4 AND s.w_end > at - 2700 AND s.w_end <= at + 3600),
+    each AS (SELECT subject_id, kind, feature_id, id, avg(value) FILTER (a) - avg(value) FILTER (b) AS change, avg(confidence) FILTER (a OR b) AS confidence FROM near GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (b) >= 2 AND count(*) FILTER (a) >= 2),
+    total AS (SELECT subject_id, kind, feature_id, count(*) AS events, avg(change) AS change, avg(confidence) AS confidence FROM each GROUP BY 1, 2, 3)
+    SELECT subject_id, kind, feature_id, events, {_rounded("change", "confidence")} FROM total"""
+
+
+def source_selected() -> str:
+    ranks = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(S.SOURCE_PRIORITY))
+    from tidelog.operators.quality import CUMULATIVE, DISCRETE
+
+    return f"""{observations()},
+    ranked AS (SELECT *, CASE src_kind {ranks} ELSE 6 END AS rank, CASE WHEN data_type IN {CUMULATIVE} THEN ts // 86400 WHEN data_type IN {DISCRETE} THEN ts // 900 WHEN data_type = '{S.SLEEP}' THEN (start_s - 21600) // 86400 END AS bucket FROM obs)
+    SELECT r.id, r.subject_id, r.data_type, r.src_kind FROM ranked r WHERE bucket IS NULL OR NOT EXISTS (SELECT 1 FROM ranked o WHERE o.subject_id = r.subject_id AND o.data_type = r.data_type AND o.bucket = r.bucket AND o.rank < r.rank)"""
+
+
+def visible_observations() -> str:
+    return f"""{observations()}
+    SELECT id, subject_id, ts, provider_id, data_type FROM obs o WHERE NOT (data_type = '{S.LIFE_EVENT}' AND ts % 3 = 0) AND NOT (ts % 11 = 0 AND ts % 2 = 0)"""
+
+
+def source_report() -> str:
+    ranks = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(S.SOURCE_PRIORITY))
+    return f"""{observations()},
+    lim AS (SELECT max(ts) AS now FROM obs),
+    r AS (SELECT *, CASE src_kind {ranks} ELSE 6 END AS rank, CAST(timezone('Europe/Belgrade', to_timestamp(ts)) AS date) AS day FROM obs, lim WHERE ts BETWEEN now - 30 * 86400 AND now),
+    l AS (SELECT *, min(rank) OVER (PARTITION BY data_type) AS lead_rank FROM r)
+    SELECT src_kind, provider_id, max(ts) AS last_ts, max(created_at) AS last_received, count(*) FILTER (ts >= now - 86400) AS rows_24h, count(*) FILTER (ts >= now - 7 * 86400) AS rows_7d, count(*) AS rows_30d,
+      round(least(1.0e0, count(DISTINCT day) / 30.0e0), 6) AS coverage, min(rank) AS rank, bool_or(rank = lead_rank) AS active FROM l GROUP BY 1, 2"""
+
+
+def dedupe_exact() -> str:
+    columns = ", ".join(("subject_id", "provider_id", "data_type", "ts", "src_kind", *S.PAYLOAD))
+    return f"""{observations()},
+    copies AS (SELECT * FROM obs UNION ALL SELECT * REPLACE ('x' || id AS id, created_at + 7 AS created_at) FROM obs WHERE ts % 5 = 0 UNION ALL SELECT * REPLACE (created_at + 9 AS created_at) FROM obs WHERE ts % 7 = 0)
+    SELECT id, data_type, ts, created_at FROM copies QUALIFY row_number() OVER (PARTITION BY {columns} ORDER BY created_at, id) = 1"""
+
+
+NORMALIZED = ("key_count", "rate_per_min", "event_count", "notif_count", "rmssd_ms", "sdnn_ms", "steps", "kcal", "spo2_percent", "bpm", "start_s", "end_s")
+
+
+def normalize_by_type() -> str:
+    sums = ", ".join(f"round(CAST(sum({c}) AS double), 3) AS {c}" for c in NORMALIZED)
+    return f"{observations()} SELECT data_type, count(*) AS rows, count(DISTINCT bundle_id) AS bundles, count(stage) AS stages, {sums} FROM obs GROUP BY 1"
+
+
+def plain(sql: str) -> str:
+    return f"{observations()} {sql}"

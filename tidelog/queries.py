@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog import oracle_sql as O
-from tidelog.plans.features import FEATURES, Catalog
-from tidelog.sources.events import typed_observations
+from tidelog import schema as S
+from tidelog.operators import quality, scans
+from tidelog.plans import rules, series, vitals
+from tidelog.plans.features import FEATURES, Catalog, high_stress
+from tidelog.sources import polls
+from tidelog.sources.events import raw_observations, typed_observations
 
 STEP = O.STEP
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +44,171 @@ for _query, _name in FEATURE_QUERIES.items():
     assert _name in FEATURES
     QUERIES[_query] = _feature_query(_name)
     ORACLES[_query] = O.feature(_name)
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Callable[[DataFrame], DataFrame]], Query]:
+    """Registers a function of the typed observations under a name."""
+
+    def put(build: Callable[[DataFrame], DataFrame]) -> Query:
+        QUERIES[name] = lambda spark, sf_dir: build(typed_observations(spark, sf_dir))
+        if oracle:
+            ORACLES[name] = oracle
+        return QUERIES[name]
+
+    return put
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, places) for c in columns})
+
+
+def _vital(df: DataFrame, *columns: str) -> DataFrame:
+    out = df.withColumn("evidence_md5", F.md5(F.array_join("evidence", ","))).drop("evidence")
+    return rounded(out, *columns, "confidence")
+
+
+@query("grid_cap", O.feature("context_switch_rate", 60))
+def _grid_cap(obs: DataFrame) -> DataFrame:
+    return digest(Catalog(obs, 60)["context_switch_rate"])
+
+
+@query("high_stress_runs", f"WITH {O.feature_ctes(60)}, {O.high_stress_ctes()} SELECT subject_id, start_ts, end_ts, samples FROM high")
+def _high_stress(obs: DataFrame) -> DataFrame:
+    return high_stress(Catalog(obs, 60)).select("subject_id", "start_ts", "end_ts", "samples")
+
+
+@query("alert_level", O.alert_level())
+def _alert(obs: DataFrame) -> DataFrame:
+    cat = Catalog(obs, 60)
+    return series.alert_level(cat, high_stress(cat))
+
+
+@query("resting_hr_daily", O.resting_hr_daily())
+def _resting(obs: DataFrame) -> DataFrame:
+    return _vital(vitals.resting_heart_rate(obs), "baseline", "delta")
+
+
+@query("hrv_vs_baseline", O.hrv_vs_baseline())
+def _hrv(obs: DataFrame) -> DataFrame:
+    return _vital(vitals.hrv_vs_baseline(obs), "ms", "baseline", "delta")
+
+
+@query("sleep_stages_daily", O.sleep_stages_daily())
+def _stages(obs: DataFrame) -> DataFrame:
+    return _vital(vitals.sleep_stages(obs), "total_min", "deep_share", "rem_share", "core_share", "bedtime_regularity")
+
+
+@query("night_spo2", O.night_spo2())
+def _spo2(obs: DataFrame) -> DataFrame:
+    return _vital(vitals.night_spo2(obs), "mean", "baseline", "delta")
+
+
+@query("focus_afternoon_baseline", O.focus_afternoon_baseline())
+def _afternoon(obs: DataFrame) -> DataFrame:
+    return _vital(series.afternoon_baseline(obs, O.AFTERNOON_STEP), "focus")
+
+
+@query("latest_features", O.latest_features())
+def _latest(obs: DataFrame) -> DataFrame:
+    rows = series.latest(Catalog(obs, STEP).all(*O.LATEST)).withColumn("reliability", series.reliability())
+    return rounded(rows, "value", "confidence").select("subject_id", "feature_id", "w_end", "value", "confidence", "reliability")
+
+
+@query("chart_pivot", O.chart_pivot())
+def _chart(obs: DataFrame) -> DataFrame:
+    return rounded(series.chart(Catalog(obs, STEP).all(*O.CHART), list(O.CHART)), *O.CHART)
+
+
+@query("report_runs", O.report_runs())
+def _runs(obs: DataFrame) -> DataFrame:
+    features = Catalog(obs, STEP).all(*O.REPORTED).withColumn("value", F.col("value") + 1e-9)
+    return rounded(series.runs(features).withColumns({c: F.col(c) - 1e-9 for c in ("first", "last")}), "first", "last").drop("run")
+
+
+@query("life_event_effect", O.life_event_effect())
+def _effect(obs: DataFrame) -> DataFrame:
+    features = Catalog(obs, O.EFFECT_STEP).all("focus_score", "cognitive_load")
+    facts = rules.Facts(features, features, obs, features, features)
+    return rounded(rules.life_event_effect(facts).drop("event_ids"), "change", "confidence")
+
+
+@query("insights")
+def _insights(obs: DataFrame) -> DataFrame:
+    cat = Catalog(obs, STEP)
+    facts = rules.Facts(cat.all("focus_score", "stress_index", "context_switch_rate", "cognitive_load", "sustained_load"), high_stress(Catalog(obs, 60)), obs, series.afternoon_baseline(obs, O.AFTERNOON_STEP), vitals.hrv_vs_baseline(obs))
+    found = rules.insights(facts)
+    hints = rules.recommendations(facts, found).select("subject_id", "rule_id", "title", F.col("suggestion").alias("text"))
+    return found.select("subject_id", "rule_id", "title", "text").unionByName(hints)
+
+
+@query("type_summary", O.plain("SELECT data_type, count(*) AS rows, max(ts) AS last_ts FROM obs WHERE ts >= 1705000000 GROUP BY 1"))
+def _summary(obs: DataFrame) -> DataFrame:
+    return scans.type_summary(obs, 1705000000)
+
+
+@query("range_scan", O.plain("SELECT id, ts, data_type FROM obs WHERE ts BETWEEN 1704500000 AND 1705000000"))
+def _range(obs: DataFrame) -> DataFrame:
+    return scans.between(obs, 1704500000, 1705000000).select("id", "ts", "data_type")
+
+
+@query("cursor_page", O.plain("SELECT id, created_at FROM obs WHERE created_at > 1704500000 OR (created_at = 1704500000 AND id > '000000000100') ORDER BY created_at, id LIMIT 256"))
+def _page(obs: DataFrame) -> DataFrame:
+    return scans.after_cursor(obs, 1704500000, "000000000100", 256).select("id", "created_at")
+
+
+@query("last_cursor", O.plain("SELECT created_at, id FROM obs ORDER BY created_at DESC, id DESC LIMIT 1"))
+def _cursor(obs: DataFrame) -> DataFrame:
+    return scans.last_cursor(obs)
+
+
+def with_markers(obs: DataFrame) -> DataFrame:
+    """Observations with retractions of some life events and of other rows
+    (which stay), and deletions, half of them by another provider (no effect)."""
+
+    def mark(rows: DataFrame, kind: str, prefix: str) -> DataFrame:
+        return rows.withColumns({"target_id": F.col("id"), "id": F.concat(F.lit(prefix), "id"), "data_type": F.lit(kind)})
+
+    retract = mark(obs.filter(F.col("ts") % 3 == 0), S.RETRACTION, "r")
+    delete = mark(obs.filter(F.col("ts") % 11 == 0), S.DELETION, "d").withColumn("provider_id", F.when(F.col("ts") % 2 == 0, F.col("provider_id")).otherwise("elsewhere"))
+    return obs.unionByName(retract).unionByName(delete)
+
+
+@query("visible_observations", O.visible_observations())
+def _visible(obs: DataFrame) -> DataFrame:
+    return scans.visible(with_markers(obs)).select("id", "subject_id", "ts", "provider_id", "data_type")
+
+
+@query("source_selected", O.source_selected())
+def _selected(obs: DataFrame) -> DataFrame:
+    return quality.select_sources(obs).select("id", "subject_id", "data_type", "src_kind")
+
+
+@query("source_report", O.source_report())
+def _report(obs: DataFrame) -> DataFrame:
+    now = obs.agg(F.max("ts")).first()[0]
+    return rounded(series.source_report(obs, now), "coverage")
+
+
+@query("dedupe_exact", O.dedupe_exact())
+def _dedupe(obs: DataFrame) -> DataFrame:
+    raw = raw_observations(obs)
+    again = raw.filter(F.col("ts") % 5 == 0).withColumns({"id": F.concat(F.lit("x"), "id"), "created_at": F.col("created_at") + 7})
+    same = raw.filter(F.col("ts") % 7 == 0).withColumn("created_at", F.col("created_at") + 9)
+    return quality.dedupe(raw.unionByName(again).unionByName(same)).select("id", "data_type", "ts", "created_at")
+
+
+@query("normalize_by_type", O.normalize_by_type())
+def _normalize(obs: DataFrame) -> DataFrame:
+    rows = quality.normalize(raw_observations(obs)).filter("valid")
+    sums = [F.round(F.sum(c).cast("double"), 3).alias(c) for c in O.NORMALIZED]
+    return rows.groupBy("data_type").agg(F.count("*").alias("rows"), F.count_distinct("bundle_id").alias("bundles"), F.count("stage").alias("stages"), *sums)
+
+
+@query("context_changes", O.plain(f"SELECT id, bundle_id FROM (SELECT *, lag(bundle_id) OVER (PARTITION BY subject_id ORDER BY ts, id) AS p FROM obs WHERE data_type = '{S.CONTEXT}') WHERE p IS NULL OR p <> bundle_id"))
+def _changes(obs: DataFrame) -> DataFrame:
+    return polls.changes(obs.filter(F.col("data_type") == S.CONTEXT), ["bundle_id"], ["subject_id"], ["ts", "id"]).select("id", "bundle_id")
+
+
+@query("minute_counts", O.plain(f"SELECT subject_id, (ts // 60) * 60 AS window_start, count(*) AS count FROM obs WHERE data_type = '{S.KEYSTROKES}' GROUP BY 1, 2"))
+def _minutes(obs: DataFrame) -> DataFrame:
+    return polls.counts_by_minute(obs.filter(F.col("data_type") == S.KEYSTROKES), ["subject_id"])

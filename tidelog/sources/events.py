@@ -82,3 +82,33 @@ def keyed(events: DataFrame) -> DataFrame:
 def typed_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return keyed(events).select(*[F.expr(sql).alias(name) for name, sql in projection()])
+
+
+#: JSON keys of typed columns by data type, several under their accepted aliases.
+JSON_KEYS = {
+    S.CONTEXT: {"bundleId": "bundle_id"},
+    S.KEYSTROKES: {"count": "key_count", "window_seconds": "window_secs"},
+    S.BROWSER: {"category": "category"},
+    S.MEDIA: {"media_kind": "media_kind", "is_playing": "is_playing"},
+    S.GIT: {"activity_kind": "activity_kind", "event_count": "event_count"},
+    S.LIGHT: {"light_kind": "light_kind"},
+    S.NOTIFICATION: {"count": "notif_count", "category": "notif_category"},
+    S.HRV: {"rmssd": "rmssd_ms", "sdnn_ms": "sdnn_ms", "method": "hrv_method"},
+    S.STEPS: {"steps": "steps"},
+    S.ENERGY: {"calories": "kcal"},
+    S.SLEEP: {"start": "start_s", "end": "end_s", "sleep_stage": "stage"},
+    S.SPO2: {"spo2": "spo2_percent"},
+    S.HEART_RATE: {"hr": "bpm"},
+    S.RESTING_HR: {"bpm": "bpm"},
+    S.CALENDAR: {"uid": "uid", "start": "start_s", "end": "end_s", "all_day": "all_day", "busy": "busy"},
+    S.LIFE_EVENT: {"kind": "life_kind"},
+}
+
+
+def raw_observations(typed: DataFrame) -> DataFrame:
+    """The stored form of typed rows: the payload as JSON text."""
+    payload = F.lit("{}")
+    for data_type, keys in JSON_KEYS.items():
+        fields = [F.col(c).alias(k) for k, c in keys.items()] + [F.struct(F.col("src_kind").alias("kind")).alias("src")]
+        payload = F.when(F.col("data_type") == data_type, F.to_json(F.struct(*fields))).otherwise(payload)
+    return typed.select(*[payload.alias("payload") if c == "payload" else F.col(c) for c in S.RAW])
