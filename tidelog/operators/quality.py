@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog import schema as S
+from tidelog.operators.stored import stored
 from tidelog.plans.windows import DAY
 
 #: Types whose rows are chosen by source, by length of bucket.
@@ -31,8 +32,7 @@ def dedupe(raw: DataFrame) -> DataFrame:
     (created_at, id, arrival).
 
     Where no id has two contents, the first of each content is exact and runs
-    as one window.  Rows of contents and ids that conflict are few; each
-    connected group of them is replayed in order.
+    as one window.  Rows of contents and ids that conflict go through rounds.
     """
     content = F.sha2(F.concat_ws("\x1f", "subject_id", "provider_id", "data_type", F.col("ts").cast("string"), F.coalesce(fingerprint(), F.col("payload"))), 256)
     rows = raw.withColumn("content", content)
@@ -47,28 +47,21 @@ def dedupe(raw: DataFrame) -> DataFrame:
 
 
 def _replay(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Sequential first-wins within each group of rows that share ids or contents."""
-    labels = rows.select("id", "content").distinct().withColumn("group", F.least("id", "content"))
-    for _ in range(8):  # conflicts chain over a few rows; labels sink along id and content in turn
-        for key in ("id", "content"):
-            low = labels.groupBy(key).agg(F.min("group").alias("low"))
-            labels = labels.join(low, key).select("id", "content", F.least("group", "low").alias("group"))
-    grouped = rows.join(labels, ["id", "content"])
-
-    def walk(table):
-        import pyarrow as pa
-
-        table = table.sort_by([("created_at", "ascending"), ("id", "ascending"), ("content", "ascending")])
-        seen, keep = set(), []
-        for i, c in zip(table.column("id").to_pylist(), table.column("content").to_pylist(), strict=True):
-            new = (0, i) not in seen and (1, c) not in seen
-            keep.append(new)
-            if new:
-                seen |= {(0, i), (1, c)}
-        return table.filter(pa.array(keep, pa.bool_())).select(columns)
-
-    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*columns).schema)
-    return grouped.groupBy("group").applyInArrow(walk, ddl)
+    """First-wins among rows that share ids or contents: in each round the rows
+    that come first both for their id and for their content are kept, and all
+    rows that share either with a kept one go.  As many rounds as the longest
+    chain of conflicts needs."""
+    place = F.struct("created_at", "id", "content", "arrival")
+    left = stored(rows.withColumn("arrival", F.monotonically_increasing_id()).withColumn("place", place))
+    kept = left.limit(0)
+    while not left.isEmpty():
+        by_id = left.groupBy("id").agg(F.min("place").alias("first_id"))
+        by_content = left.groupBy("content").agg(F.min("place").alias("first_content"))
+        now = left.join(by_id, "id").join(by_content, "content").filter("place = first_id AND place = first_content")
+        now = stored(now.select(*left.columns))
+        kept = kept.unionByName(now)
+        left = stored(left.join(now.select("id"), "id", "left_anti").join(now.select("content"), "content", "left_anti"))
+    return kept.select(*columns)
 
 
 def _text(path: str) -> Column:
@@ -161,7 +154,10 @@ def normalize(raw: DataFrame) -> DataFrame:
     has_src = F.get_json_object("payload", "$.src").isNotNull()
     bad_src = has_src & (kind.isNull() | ~kind.isin(*S.SOURCE_KINDS) | F.coalesce(*names).isNotNull())
     wearable = t.isin(*CUMULATIVE, *DISCRETE, S.SLEEP)
-    out = raw.select(*[n for n in S.ENVELOPE if n != "src_kind"], F.when(wearable, kind).alias("src_kind"), *typed, (wearable & bad_src).alias("bad_src"))
+    envelope = [n for n in S.ENVELOPE if n != "src_kind"]
+    row = F.struct(F.when(wearable, kind).alias("src_kind"), *typed, (wearable & bad_src).alias("bad_src"))
+    # a one-row generator: filters above use the columns, not their expressions
+    out = raw.select(*envelope, F.inline(F.array(row)))
     return out.withColumn("valid", ~F.col("bad_src") & _needed()).drop("bad_src").select(*S.COLUMNS, "valid")
 
 

@@ -246,9 +246,9 @@ def _evidence(ts: str = "ts") -> str:
 
 def _baseline(daily: str, value: str, days: int, also: str = "") -> str:
     same = f" AND p.{also} = d.{also}" if also else ""
-    return f"""SELECT d.*, CASE WHEN count(p.day) >= 5 THEN median(p.{value}) END AS baseline, CASE WHEN count(p.day) >= 5 THEN count(p.day) END AS baseline_days,
-      d.{value} - CASE WHEN count(p.day) >= 5 THEN median(p.{value}) END AS delta
-      FROM {daily} d LEFT JOIN {daily} p ON p.subject_id = d.subject_id{same} AND p.day >= d.day - {days} * 86400 AND p.day < d.day GROUP BY ALL"""
+    return f"""SELECT * EXCLUDE (near, middle), CASE WHEN near >= 5 THEN middle END AS baseline, CASE WHEN near >= 5 THEN near END AS baseline_days, CASE WHEN near >= 5 THEN {value} - middle END AS delta
+      FROM (SELECT d.*, count(p.day) AS near, median(p.{value}) AS middle
+        FROM {daily} d LEFT JOIN {daily} p ON p.subject_id = d.subject_id{same} AND p.day >= d.day - {days} * 86400 AND p.day < d.day GROUP BY ALL)"""
 
 
 def _rounded(*columns: str) -> str:
@@ -355,10 +355,10 @@ EFFECT_STEP = 300
 
 def life_event_effect() -> str:
     return f"""WITH {feature_ctes(EFFECT_STEP)},
-    e AS (SELECT subject_id, id, ts AS at, life_kind AS kind FROM obs WHERE data_type = '{S.LIFE_EVENT}' AND life_kind IN ('coffee', 'walk')),
+    e AS (SELECT subject_id, id, ts AS event_ts, life_kind AS kind FROM obs WHERE data_type = '{S.LIFE_EVENT}' AND life_kind IN ('coffee', 'walk')),
     s AS ({_all(("focus_score", "cognitive_load"))}),
-    near AS (SELECT e.*, s.feature_id, s.value, s.confidence, s.w_end > at - 2700 AND s.w_end <= at AS b, s.w_end BETWEEN at + 900 AND at + 3600 AS a FROM e JOIN s ON s.subject_id = e.subject_id AND s.confidence >= 0.4 AND s.w_end > at - 2700 AND s.w_end <= at + 3600),
-    each AS (SELECT subject_id, kind, feature_id, id, avg(value) FILTER (a) - avg(value) FILTER (b) AS change, avg(confidence) FILTER (a OR b) AS confidence FROM near GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (b) >= 2 AND count(*) FILTER (a) >= 2),
+    around_event AS (SELECT e.*, s.feature_id, s.value, s.confidence, (s.w_end > event_ts - 2700 AND s.w_end <= event_ts) AS b, (s.w_end BETWEEN event_ts + 900 AND event_ts + 3600) AS a FROM e JOIN s ON s.subject_id = e.subject_id AND s.confidence >= 0.4 AND s.w_end > event_ts - 2700 AND s.w_end <= event_ts + 3600),
+    each AS (SELECT subject_id, kind, feature_id, id, avg(value) FILTER (a) - avg(value) FILTER (b) AS change, avg(confidence) FILTER (a OR b) AS confidence FROM around_event GROUP BY 1, 2, 3, 4 HAVING count(*) FILTER (b) >= 2 AND count(*) FILTER (a) >= 2),
     total AS (SELECT subject_id, kind, feature_id, count(*) AS events, avg(change) AS change, avg(confidence) AS confidence FROM each GROUP BY 1, 2, 3)
     SELECT subject_id, kind, feature_id, events, {_rounded("change", "confidence")} FROM total"""
 

@@ -111,4 +111,5 @@ def raw_observations(typed: DataFrame) -> DataFrame:
     for data_type, keys in JSON_KEYS.items():
         fields = [F.col(c).alias(k) for k, c in keys.items()] + [F.struct(F.col("src_kind").alias("kind")).alias("src")]
         payload = F.when(F.col("data_type") == data_type, F.to_json(F.struct(*fields))).otherwise(payload)
-    return typed.select(*[payload.alias("payload") if c == "payload" else F.col(c) for c in S.RAW])
+    # a one-row generator: the expression is evaluated once, not in every use
+    return typed.select(*[F.explode(F.array(payload)).alias("payload") if c == "payload" else F.col(c) for c in S.RAW])
