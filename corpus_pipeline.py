@@ -17,7 +17,8 @@ from tidelog.llm.shared import materialize
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality.judge(docs, docs.columns).filter("kept").select(*docs.columns)
+    rows = docs.select("text", "lang", F.struct(*map(F.col, docs.columns)).alias("_row"))
+    return quality.judge(rows, ["_row"]).filter("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,12 +28,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     joined = materialize(jaccard_join.join(docs), "components")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     by_id = joined.groupBy("doc_id").agg(F.count_if(stays).alias("n"))
-    gone = materialize(by_id.filter("n = 0").select(F.col("doc_id").alias("gone")), "gone")
-    left = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    several = materialize(by_id.filter("n > 1").select(F.col("doc_id").alias("several")), "several")
+    gone = materialize(by_id.filter("n = 0").select(F.col("doc_id").alias("_gone")), "gone")
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    several = materialize(by_id.filter("n > 1").select(F.col("doc_id").alias("_several")), "several")
     if several.isEmpty():
         return left
-    same = F.col("doc_id").eqNullSafe(F.col("several"))
+    same = F.col("doc_id").eqNullSafe(F.col("_several"))
     return left.join(several, same, "left_anti").unionByName(left.join(several, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
@@ -44,10 +45,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often as the mix takes it."""
     taken = mixing.mix_single(docs, whole_documents=True).filter("taken > 0")
-    times = taken.groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    times = materialize(times.withColumnRenamed("doc_id", "id"), "times")
-    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("id")))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    times = taken.groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    times = materialize(times.withColumnRenamed("doc_id", "_id"), "times")
+    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

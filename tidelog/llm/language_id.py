@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm.text_arrays import Texts, slices
 
@@ -182,5 +183,5 @@ def predict(docs: DataFrame, sample: dict[str, bytes], keep: list[str], text_col
                 score.append(np.where(lettered, np.clip(sure, 0, 1), 0.0))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs[np.concatenate(best)].tolist(), pa.string()), pa.array(np.concatenate(score), pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:])
-    return chosen.mapInArrow(run, f"{kept}, lang_pred string, score double")
+    fields = [*chosen.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    return chosen.mapInArrow(run, T.StructType(fields))

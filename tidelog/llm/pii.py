@@ -167,16 +167,18 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **scoring) -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in brackets."""
-    others = [c for c in docs.columns if c not in (id_col, text_col)]
-    scanned = scan(docs, id_col, text_col, keep=(*others, text_col), **scoring)
+    # the row travels as one struct, so that no column's name can clash
+    rows = docs.select(F.col(id_col), F.col(text_col), F.struct(*map(F.col, docs.columns)).alias("_row"))
+    scanned = scan(rows, id_col, text_col, keep=("_row",), **scoring)
+    scanned = scanned.withColumn("_text", F.col("_row").getField(text_col))
 
     def cut(spans: Column) -> Column:
         """Added spans from the last to the first, so that places stay valid."""
         back = F.reverse(spans)
-        return F.aggregate(back, F.col(text_col), lambda t, s: F.concat(F.substr(t, F.lit(1), s["start"].cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"), F.substr(t, (s["end"] + 1).cast("int"))))
+        return F.aggregate(back, F.col("_text"), lambda t, s: F.concat(F.substr(t, F.lit(1), s["start"].cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"), F.substr(t, (s["end"] + 1).cast("int"))))
 
-    scanned = scanned.withColumn(text_col, F.when(F.size("added") > 0, cut(F.col("added"))).otherwise(F.col(text_col)))
-    text = F.col(text_col)
+    scanned = scanned.withColumn("_text", F.when(F.size("added") > 0, cut(F.col("added"))).otherwise(F.col("_text")))
+    text = F.col("_text")
     for kind in KINDS:
         needed, form, passes = _FORMS[kind]
         mark = F.lit(f"[{kind.upper()}]")
@@ -191,6 +193,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sc
 
             return F.array_join(F.transform(parts["gaps"], lambda g, i: F.concat(g, after(i))), "")
 
-        scanned = scanned.withColumn(text_col, F.when(needed(text), let(parts, marked)).otherwise(text))
-    out = {c: F.col(c) for c in (*others, text_col)} | {id_col: F.col("doc_id").alias(id_col)}
-    return scanned.select(*[out[c] for c in docs.columns])
+        scanned = scanned.withColumn("_text", F.when(needed(text), let(parts, marked)).otherwise(text))
+    return scanned.select(*[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
