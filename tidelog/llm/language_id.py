@@ -79,7 +79,8 @@ class Automaton:
         used = np.unique(symbols)
         self.codes[used] = np.arange(1, len(used) + 1)
         self.width = len(used) + 1
-        table = np.full((len(next_), self.width), -1, np.int32)
+        table = np.full((len(next_) + 1, self.width), -1, np.int32)  # the last row: no phrase is open
+        self.closed = len(next_) * self.width
         for state, arcs in enumerate(next_):
             for c, to in arcs.items():
                 table[state, self.codes[c]] = to
@@ -91,8 +92,8 @@ class Automaton:
 def phrases(automaton: Automaton, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Phrases of each block; ``lengths`` must not rise."""
     codes, table = automaton.codes[symbols], automaton.table
-    state = np.zeros(len(starts), np.int32)
-    count = np.ones(len(starts), np.int64)
+    state = np.full(len(starts), automaton.closed, np.int32)
+    count = np.zeros(len(starts), np.int64)
     active = len(starts)
     for step in range(int(lengths[0]) if len(lengths) else 0):
         while active and lengths[active - 1] <= step:
@@ -102,7 +103,8 @@ def phrases(automaton: Automaton, symbols: np.ndarray, starts: np.ndarray, lengt
         ended = np.flatnonzero(to < 0)
         if len(ended):
             count[ended] += 1
-            to[ended] = np.maximum(table[code[ended]], 0)  # a symbol that was never seen is a phrase by itself
+            fresh = table[code[ended]]
+            to[ended] = np.where(fresh < 0, automaton.closed, fresh)  # a symbol that was never seen is a phrase by itself
         state[:active] = to
     return count
 
