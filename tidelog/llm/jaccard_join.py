@@ -184,7 +184,8 @@ def _candidates(table):
     token, row, df = token[order].view(np.int64), row[order], df[order]
     rows, starts = np.unique(row, return_index=True)
     out = []
-    for r, a, b in zip(rows.tolist(), starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True):
+    ends = np.append(starts[1:], len(row))[: len(starts)]  # none, if the block shares nothing
+    for r, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist(), strict=True):
         n = int(size[r])
         q = int(least_shared(np.int64(n)))
         if b - a >= q:
