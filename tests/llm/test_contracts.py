@@ -1,0 +1,460 @@
+"""The registered queries against plain versions of their contracts."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tests.llm.conftest import awkward_rows
+from tidelog.llm import queries as Q
+from tidelog.llm import chat_format, jaccard_join, knn_search, language_id, mixing, packing, pii, quality, secret_scan
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def texts_of(local) -> list[tuple]:
+    return [(r["doc_id"], r["text"] or "") for r in local] + [(i, t or "") for i, t, *_ in awkward_rows()]
+
+
+@pytest.fixture(scope="module")
+def both(docs, awkward):
+    return docs.unionByName(awkward.select("doc_id", "text", "lang", "source", awkward["n_chars"].cast("long")), allowMissingColumns=True)
+
+
+# packing
+
+
+def check_packing(rows, texts, capacity=4096):
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want, got = Counter(), Counter()
+    for i, t in texts:
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 2]
+        want[i, len(ids)] += 1
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"], r["doc_tokens"]].append(r)
+        by_seq[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(by_doc) == set(want)
+    known = {(i, len(ids)): ids for i, t in texts for ids in [[*tok.encode(t, add_special_tokens=False).ids, 2]]}
+    for key, pieces in by_doc.items():
+        assert sum(r["length"] for r in pieces) == key[1] * want[key]
+        for r in pieces:
+            part = np.array(known[key][r["start"] : r["start"] + r["length"]], "<u4")
+            assert zlib.crc32(part.tobytes()) == r["ids_crc32"]
+    total, padded = 0, 0
+    for pieces in by_seq.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= capacity
+        total += at
+        padded += packing.padded_length(at, capacity)
+    assert padded <= 1.05 * total + 2 * capacity
+    return got
+
+
+def test_packing(spark, sf_dir, local):
+    check_packing(Q.op1_packing(spark, sf_dir).collect(), [(r["doc_id"], r["text"] or "") for r in local])
+
+
+def test_packing_awkward(awkward):
+    rows = packing.pack(awkward, public_tokenizers.path("word_bpe_49k.json")).collect()
+    check_packing(rows, [(i, t or "") for i, t, *_ in awkward_rows()])
+
+
+def test_differencing_balances():
+    sizes = [(i * 37) % 900 + 1 for i in range(300)]
+    sums = sorted(sum(sizes[i] for i in w) for w in packing.difference(sizes, 40))
+    assert sums[-1] - sums[0] <= 0.02 * sums[0]
+    assert sorted(packing.near_equal_windows([4000, 4000, 4000], 4096)) == [[0], [1], [2]]
+    assert sorted(x for w in packing.near_equal_windows([3000, 3000, 1096, 1096], 4096) for x in w) == [0, 1, 2, 3]
+
+
+# mixing
+
+
+def plain_targets(sizes: dict) -> dict:
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
+    out, rest, open_ = {}, float(sum(sizes.values())), set(names)
+    while open_:
+        share = rest / sum(weight[s] for s in open_)
+        full = [s for s in open_ if share * weight[s] >= 3 * sizes[s]]
+        if not full:
+            return out | {s: share * weight[s] for s in open_}
+        for s in full:
+            out[s] = 3.0 * sizes[s]
+            rest -= out[s]
+            open_.remove(s)
+    return out
+
+
+def check_mixing(rows, inputs):
+    sizes = Counter()
+    for _, t, s in inputs:
+        sizes[s] += len(WORD.findall(t))
+    targets, taken = plain_targets(sizes), Counter()
+    assert len(rows) == len(inputs)
+    for r in rows:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+        assert r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(targets[r["source"]], rel=1e-9)
+    for s, t in targets.items():
+        assert abs(taken[s] - t) <= 1
+
+
+def test_mixing(spark, sf_dir, docs, local):
+    rows = mixing.mix_single(docs).collect()
+    check_mixing(rows, [(r["doc_id"], r["text"] or "", r["source"]) for r in local])
+    again = Q.op2_mixing(spark, sf_dir).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in rows) == sorted((r["doc_id"], r["taken"]) for r in again)
+
+
+def test_mixing_awkward(awkward):
+    check_mixing(mixing.mix_single(awkward).collect(), [(i, t or "", s) for i, t, _, s in awkward_rows()])
+
+
+def test_mixing_overlap(spark):
+    docs = spark.createDataFrame([(1, ["a"], 10), (2, ["a", "b"], 10), (3, ["b"], 10)], "doc_id long, sources array<string>, size long")
+    rows, sources = mixing.mix(docs, weights=(1, 3))
+    target = {r["source_key"]: r["target"] for r in sources.collect()}
+    assert sum(target.values()) == pytest.approx(40)
+    taken = {r["doc_id"]: r["taken"] for r in rows.collect()}
+    assert sum(taken.values()) == pytest.approx(40, abs=2)
+    assert max(taken.values()) <= 30
+
+
+def test_min_cost_flow_prefers_first_passes():
+    takes = mixing.min_cost_flow([10, 10], [[0], [0, 1]], [20, 10])
+    assert sum(takes) == pytest.approx(30)
+    assert max(takes) <= 20 + 1e-6
+
+
+# personal data
+
+
+def matches(kind: str, text: str):
+    form = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}[kind]
+    for m in re.finditer(form, text):
+        digits = re.sub("[^0-9]", "", m[0])
+        if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+            continue
+        if kind == "card":
+            total = sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits))))
+            if not 12 <= len(digits) <= 19 or total % 10:
+                continue
+        if kind == "phone" and not 9 <= len(digits) <= 15:
+            continue
+        yield m.start(), pii.KINDS.index(kind), m.end(), kind
+
+
+def base_of(text: str, kinds, find) -> list[tuple]:
+    return sorted(x for k in kinds for x in find(k, text))
+
+
+def told(spans) -> str:
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+
+
+PLANTED = [
+    (2000001, "mail bob.x@host.example.org now 10.0.0.1 and 300.1.1.1 card 4111 1111 1111 1111 tel +49 (30) 1234-567 \U0001f600 a@b.c"),
+    (2000002, "1.2.3.4.5.6.7.8 é x@y.z@q.w.e 4111-1111-1111-1112 +1 2 3 +123456789012345678"),
+    (2000003, None), (2000004, "a@" * 5000 + "b.c"), (2000005, "1." * 20000 + " 1" * 20000),
+]
+
+
+def check_pii(rows, texts):
+    assert len(rows) == len(texts)
+    got = {(r["doc_id"], r["base_sha256"], tuple(r[f"n_{k}"] for k in pii.KINDS)): r["spans"] for r in rows}
+    for i, t in texts:
+        base = base_of(t, pii.KINDS, matches)
+        key = (i, hashlib.sha256(told(base).encode()).hexdigest(), tuple(sum(x[3] == k for x in base) for k in pii.KINDS))
+        assert key in got, i
+        spans = [s.split(":") for s in got[key].split(",") if s]
+        assert {f"{k}:{a}:{b}" for a, _, b, k in base} <= {":".join(s) for s in spans}
+        places = [(int(a), pii.KINDS.index(k)) for k, a, _ in spans]
+        assert places == sorted(places)
+        assert all(0 <= int(a) < int(b) <= len(t) for _, a, b in spans)
+
+
+def test_pii(both, spark, local):
+    planted = spark.createDataFrame(PLANTED, "doc_id long, text string")
+    rows = pii.digest(pii.scan(both.select("doc_id", "text").unionByName(planted))).collect()
+    check_pii(rows, texts_of(local) + [(i, t or "") for i, t in PLANTED])
+
+
+def test_pii_learns_patterns(spark):
+    seeds = [(i, f"please write to user{i}@host.example soon") for i in range(8)]
+    df = spark.createDataFrame([*seeds, (99, "please write to user99(at)host.example soon"), (100, "in the year 1999 it rained")], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in pii.digest(pii.scan(df)).collect()}
+    assert rows[99]["n_email"] == 0 and rows[99]["spans"].startswith("email:16:")
+    assert rows[100]["spans"] == ""
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert red[0] == "please write to [EMAIL] soon" and red[99] == "please write to [EMAIL] soon"
+
+
+# Jaccard join
+
+
+def shingle_set(text: str) -> frozenset:
+    words = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), text))
+    if len(words) < 5:
+        return frozenset([tuple(words)] if words else [])
+    return frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4))
+
+
+def check_jaccard(rows, texts):
+    sets = {}
+    parent = {}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, t in texts:
+        sets.setdefault(i, shingle_set(t))
+        parent.setdefault(i, i)
+    ids = [i for i in sets if i is not None]
+    index = defaultdict(set)
+    for i in ids:
+        for s in sets[i]:
+            index[s].add(i)
+    for i in ids:
+        met = Counter(j for s in sets[i] for j in index[s] if j > i)
+        for j, n in met.items():
+            if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    assert len(rows) == len(texts)
+    for r in rows:
+        if r["doc_id"] is not None:
+            assert r["n_shingles"] == len(sets[r["doc_id"]]), r
+            assert r["component_id"] == find(r["doc_id"]), r
+
+
+def test_jaccard(both, local):
+    check_jaccard(jaccard_join.join(both).collect(), texts_of(local))
+
+
+def test_jaccard_families(spark):
+    """Families of near copies of every size, around the threshold."""
+    texts, rng, at = [], np.random.default_rng(3), 0
+    for n in (3, 6, 8, 12, 20, 33, 60, 120, 400, 1500):
+        base = [f"w{n}x{k}" for k in range(n)]
+        for _ in range(12):
+            words = list(base)
+            for _ in range(int(rng.integers(0, max(2, n // 18)))):
+                words[int(rng.integers(0, n))] = f"y{rng.integers(0, 10**9)}"
+            texts.append((at, " ".join(words[: n - int(rng.integers(0, max(1, n // 8)))])))
+            at += 1
+    check_jaccard(jaccard_join.join(spark.createDataFrame(texts, "doc_id long, text string")).collect(), texts)
+
+
+# quality
+
+
+def plain_quality(t: str) -> tuple:
+    words = WORD.findall(t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    windows = Counter(zip(words, words[1:], words[2:]))
+    marked = {k + j for k, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for j in range(3)}
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(marked), n < 50 or 100 * len(marked) > 50 * n
+
+
+def test_quality_counts(both, local):
+    rows = quality.judge(both, ["doc_id"]).collect()
+    got = Counter((r["doc_id"], *(r[c] for c in quality.COUNTS), r["base_failed"]) for r in rows)
+    assert got == Counter((i, *plain_quality(t)) for i, t in texts_of(local))
+    assert all(not (r["base_failed"] and r["kept"]) for r in rows)
+    good = [r for r in rows if not r["base_failed"]]
+    assert sum(r["kept"] for r in good) > 0.8 * len(good)
+
+
+def test_quality_rejects_noise(spark):
+    from tests.llm.conftest import prose
+
+    rng = np.random.default_rng(1)
+    noise = " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(200))
+    same = [(i, prose(i, 200), "en") for i in range(60)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame([*same, (999, noise, "en")], "doc_id long, text string, lang string"), ["doc_id"]).collect()}
+    assert not kept[999] and all(kept[i] for i in range(60))
+
+
+def test_kneser_ney_sums_to_one():
+    from tidelog.llm.text_arrays import Texts
+
+    raw = np.frombuffer(b"the cat sat on the mat and the dog sat on the log", np.uint8)
+    keys = quality.ngram_keys(Texts(raw, np.array([0, len(raw)]), 0))[0]
+    unique, counts = np.unique(keys, return_counts=True)
+    bits = quality.KneserNey(unique, counts).bits()
+    probability = (2.0**-bits.astype(float)).reshape(-1, quality.SYMBOLS).sum(1)
+    assert np.allclose(probability, 1, atol=1e-4)
+
+
+# languages
+
+
+def plain_phrases(symbols: bytes, sample: bytes) -> int:
+    count, at = 0, 0
+    while at < len(symbols):
+        end = at + 1
+        while end < len(symbols) and symbols[at : end + 1] in sample:
+            end += 1
+        count, at = count + 1, end
+    return count
+
+
+def test_cross_parsing_matches_plain(local):
+    from tidelog.llm.text_arrays import Texts
+
+    data = [(r["text"] or "").encode()[:900] for r in local[:12]]
+    texts = Texts(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]), 0)
+    sample = {"x": b"".join(d + b" " for d in data[:3]), "y": b" ".join(data[6:9])}
+    automata = language_id.automata_of(sample)
+    entropy, _ = language_id.cross_entropy(automata, texts)
+    symbols, borders = language_id.fold(texts)
+    for k, (name, text) in enumerate(sample.items()):
+        own = language_id.fold(Texts(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 0))[0].tobytes()
+        for i in range(len(data)):
+            part = symbols[borders[i] : borders[i + 1]].tobytes()
+            want = plain_phrases(part, own) * np.log2(automata[name].size + 2) / max(1, len(part))
+            assert entropy[i, k] == pytest.approx(want)
+
+
+def test_language_accuracy(spark, sf_dir, local):
+    rows = {r["doc_id"]: r for r in Q.op7_language_id(spark, sf_dir).collect()}
+    assert len(rows) == len(local)
+    right = total = 0
+    for r in local:
+        p = rows[r["doc_id"]]
+        assert p["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert 0 <= p["score"] <= 1
+        if p["held_out"] and r["lang"] and len(WORD.findall(r["text"] or "")) >= 20:
+            total += 1
+            right += p["lang_pred"] == r["lang"]
+    assert right >= 0.9 * total
+
+
+def test_language_awkward(spark, awkward, docs):
+    rows = {r["doc_id"]: r for r in language_id.predict(awkward, language_id.sample_texts(docs), ["doc_id", "rid"]).collect()}
+    for i in (1000001, 1000002, 1000003, 1000010):
+        assert (rows[i]["lang_pred"], rows[i]["score"]) == ("und", 0.0)
+    assert rows[1000009]["lang_pred"] != "und"
+    empty = language_id.predict(awkward, {}, ["doc_id"]).collect()
+    assert {r["lang_pred"] for r in empty} == {"und"}
+
+
+# chats
+
+
+def test_chat_round_trip(spark, sf_dir):
+    rows = defaultdict(list)
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
+        rows[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
+    said = "\\### Assistant: </turn> ok"
+    rows[-7] = [(0, "user", said), (1, "assistant", said)]
+    got = {r["conv_id"]: r for r in Q.op8_chat_format(spark, sf_dir).collect()}
+    assert set(got) == set(rows)
+    for i, turns in rows.items():
+        turns.sort()
+        whole = "".join(f"{role}\n{text}\n" for _, role, text in turns)
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        assert got[i]["n_turns"] == len(turns)
+        assert got[i]["turns_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
+        assert (got[i]["loss_chars"], got[i]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_chat_awkward(spark):
+    rows = [(1, 0, "user", "\\\\h#<\\l</turn>\n### x: y"), (1, 1, "assistant", None), (2, 0, None, ":"), (3, 0, "a:b#", "\\"), (None, 0, "user", ""), (4, 0, "user", "x"), (4, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").selectExpr("*", "1 AS segments", "2 AS turns")
+    made = chat_format.format_conversations(df)
+    back = made.select("conv_id", "valid", chat_format.read_turns(made["formatted"]).alias("back")).collect()
+    found = {r["conv_id"]: [(t["role"], t["text"]) for t in r["back"]] for r in back}
+    assert found[1] == [("user", rows[0][3]), ("assistant", "")]
+    assert found[2] == [("", ":")] and found[3] == [("a:b#", "\\")] and found[4] == [("user", "x")] * 2
+    assert {r["conv_id"]: r["valid"] for r in back} == {1: True, 2: False, 3: False, 4: False, None: False}
+
+
+# search
+
+
+def plain_search(rows, k=20, every=20):
+    rows = [(i, np.floor(64 * np.array(v, float))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = set()
+    for q, x in rows:
+        if q % every == 0:
+            best = sorted(((-int(x @ y), i) for i, y in rows if i != q))[:k]
+            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    return out
+
+
+def test_search(spark, sf_dir):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in Q.op9_knn_search(spark, sf_dir).collect()}
+    assert got == plain_search(rows)
+
+
+def test_search_awkward(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(5000)]
+    rows += [(6000, None), (6020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (6040, [float("nan")] * 6), (6060, [float("inf")] * 6), (6080, [0.0] * 6), (6100, [1.0] * 6), (6101, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS cell", "2 AS asks")
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in knn_search.search(df, df["vec_id"] % 20 == 0).collect()}
+    assert got == plain_search(rows)
+    few = df.filter("vec_id < 3")
+    assert {r["query_id"] for r in knn_search.search(few, few["vec_id"] % 20 == 0).collect()} == {0}
+
+
+# secrets
+
+
+def secret_matches(kind: str, text: str):
+    if kind == "assign":
+        found = [(m, len(m[2]) >= 6) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A)]
+    elif kind == "access":
+        found = [(m, len(m[0]) >= 20) for m in re.finditer(r"AKIA[A-Z0-9]+", text)]
+    else:
+        found = [(m, len(m[0]) >= 24) for m in re.finditer(r"[0-9a-f]+", text)]
+    return [(m.start(), secret_scan.KINDS.index(kind), m.end(), kind) for m, good in found if good]
+
+
+def test_secrets(both, spark, local):
+    import base64
+    import json
+
+    def part(x: bytes) -> str:
+        return base64.urlsafe_b64encode(x).rstrip(b"=").decode()
+
+    token = ".".join((part(json.dumps({"alg": "HS256"}).encode()), part(b'{"sub": 1}'), part(b"s" * 32)))
+    inner = b"\x02\x01\x00" + b"\x02\x20" + b"k" * 32 + b"\x02\x03abc"
+    der = base64.b64encode(b"\x30" + bytes([len(inner)]) + inner).decode()
+    ssh = base64.b64encode(b"\x00\x00\x00\x0bssh-ed25519\x00\x00\x00\x20" + b"p" * 32).decode()
+    planted = [(3000001, f"é {token} end"), (3000002, f"key {der}"), (3000003, f"pub {ssh} x"), (3000004, "x" * 64 + " " + part(b"not a key at all " * 4)), (3000005, "Password = 'abcdefgh' API_KEY:zzzzzz token=abc AKIA" + "A" * 20 + " " + "0f" * 20), (3000006, "a1" * 40000 + "secret:" * 5000)]
+    texts = texts_of(local) + planted
+    rows = secret_scan.digest(secret_scan.scan(both.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string")))).collect()
+    assert len(rows) == len(texts)
+    got = {(r["doc_id"], r["base_sha256"], r["n_assign"], r["n_access"], r["n_hex"]): r["spans"] for r in rows}
+    for i, t in texts:
+        base = base_of(t, secret_scan.BASE_KINDS, secret_matches)
+        key = (i, hashlib.sha256(told(base).encode()).hexdigest(), *(sum(x[3] == k for x in base) for k in secret_scan.BASE_KINDS))
+        assert key in got, i
+        assert {f"{k}:{a}:{b}" for a, _, b, k in base} <= set(got[key].split(",")) | {""}
+    spans = {k[0]: v for k, v in got.items()}
+    assert f"token:2:{2 + len(token)}" in spans[3000001]
+    assert "der:4:" in spans[3000002] and "ssh:4:" in spans[3000003]
+    assert spans[3000004] == ""

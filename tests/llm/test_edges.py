@@ -1,0 +1,147 @@
+"""Empty tables, tables of nulls, license scans and the pipeline."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tests.llm.conftest import awkward_rows, prose
+from tidelog.llm import chat_format, jaccard_join, knn_search, language_id, license_scan, mixing, packing, pii, quality, secret_scan
+from tidelog.llm.queries import ORACLE_SQL, QUERIES
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+ON_DOCS = {
+    "packing": lambda d: packing.pack(d, TOKENIZER),
+    "mixing": mixing.mix_single,
+    "pii": lambda d: pii.digest(pii.scan(d)),
+    "redact": pii.redact,
+    "license": lambda d: license_scan.scan(d, F.lit("a/b")),
+    "jaccard": jaccard_join.join,
+    "quality": lambda d: quality.judge(d, ["doc_id"]),
+    "language": lambda d: language_id.predict(d, language_id.sample_texts(d), ["doc_id"]),
+    "secrets": lambda d: secret_scan.digest(secret_scan.scan(d)),
+}
+
+
+@pytest.mark.parametrize("name", ON_DOCS)
+def test_empty_and_null(name, spark, awkward):
+    assert ON_DOCS[name](awkward.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(1, None, None, None), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    assert {r["doc_id"] for r in ON_DOCS[name](nulls).collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("name", ON_DOCS)
+def test_awkward_rows_all_come_back(name, awkward):
+    got = Counter(r["doc_id"] for r in ON_DOCS[name](awkward).select("doc_id").distinct().collect())
+    assert set(got) == {r[0] for r in awkward_rows()}
+
+
+def test_empty_chats_and_vectors(spark):
+    chats = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
+    assert chat_format.digest(chat_format.format_conversations(chats)).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert knn_search.search(vectors, F.lit(True)).count() == 0
+
+
+# licenses
+
+
+def plain_licenses(headers: set[str], least: float = 0.55) -> dict:
+    def terms(t):
+        words = re.sub(r"[^a-z0-9.+-]+", " ", t.lower()).split(" ")
+        return Counter(w for w in (re.sub(r"^[.-]+|[.-]+$", "", w) for w in words) if w)
+
+    own = {h: terms(h) for h in headers}
+    known = [(n, terms(p)) for n, p in license_scan.TEMPLATES]
+    df = Counter(t for v in [*own.values(), *(v for _, v in known)] for t in v)
+    total = len(own) + len(known)
+    weigh = lambda v: {t: c * (math.log((1 + total) / (1 + df[t])) + 1) for t, c in v.items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    out = {}
+    for h, v in own.items():
+        w = weigh(v)
+        scores = []
+        for n, k in known:
+            y = weigh(k)
+            dot = sum(w[t] * y[t] for t in w if t in y)
+            scores.append((-round(dot / (size(w) or 1) / size(y), 9), n))
+        best = min(scores)
+        if -best[0] >= least:
+            out[h] = (best[1], -best[0])
+    return out
+
+
+def test_license_cosine(spark, docs):
+    headers = {"Licensed under the Apache License, Version 2.0", "Released under the MIT license.", "copyright of nobody in particular", "CC BY-SA 4.0 licensed under", "all rights reserved", "é licence ..."}
+    said = [s for r in docs.limit(100).collect() for s in re.split(r"\n|(?<=[.!?;])[ \t]+", r["text"] or "") if "licens" in s.lower()]
+    headers |= set(said)
+    df = spark.createDataFrame([(h, h) for h in sorted(headers)], "tid string, text string")
+    got = {r["tid"]: (r["license"], r["cosine"]) for r in license_scan.match_templates(df).collect()}
+    want = plain_licenses(headers)
+    assert set(got) == set(want)
+    for h, (name, cosine) in want.items():
+        assert got[h][0] == name and got[h][1] == pytest.approx(cosine, abs=1e-6)
+
+
+def test_license_inheritance(spark):
+    rows = [(1, "a/LICENSE", "Released under the MIT license"), (2, "a/b/c/x.txt", "plain"), (3, "a/b/LICENSE", "Licensed under the Apache License, Version 2.0"), (4, "a/y", "plain"), (5, "z/y", "plain"), (6, None, "all rights reserved"), (7, None, None), (8, "a/b/own", "Licensed under CC BY 4.0. More text")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["license"], r["license_from"]) for r in license_scan.scan(df, F.col("path")).collect()}
+    assert got == {1: ("MIT", "file"), 2: ("Apache-2.0", "a/b"), 3: ("Apache-2.0", "file"), 4: ("MIT", "a"), 5: (None, None), 6: ("Proprietary", "header"), 7: (None, None), 8: ("CC-BY-4.0", "header")}
+
+
+# the pipeline
+
+
+def test_registered():
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert set(ORACLE_SQL) <= set(QUERIES)
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "personal_data", "source_mix", "packed_sequences"]
+
+
+def test_pipeline_stages(spark, docs, awkward, sf_dir, tmp_path):
+    extra = awkward.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    current = docs.unionByName(extra)
+    sizes = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = current
+        current = corpus_pipeline.materialize(stage(spark, current, sf_dir), name)
+        sizes[name] = current.count()
+        if name != "packed_sequences":
+            assert current.columns == docs.columns
+        if name == "quality_rules":
+            verdicts = quality.judge(before, ["doc_id"]).filter("kept").count()
+            assert sizes[name] == verdicts
+        if name == "near_duplicates":
+            groups = jaccard_join.join(before).select("component_id").distinct().count()
+            assert sizes[name] == groups
+            assert jaccard_join.join(current).filter("component_id <> doc_id").isEmpty()
+        if name == "personal_data":
+            assert sizes[name] == before.count()
+            assert pii.scan(current).filter("size(base) > 0").isEmpty()
+    assert all(sizes.values())
+    got = current.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0]
+    assert got <= 4096
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_awkward_tables(stage, spark, awkward, sf_dir):
+    name, run = corpus_pipeline.STAGES[stage]
+    assert run(spark, awkward.limit(0), sf_dir).count() == 0
+    out = run(spark, awkward, sf_dir)
+    assert name == "packed_sequences" or out.columns == awkward.columns
+    out.count()
+
+
+def test_mix_keeps_whole_documents(spark, sf_dir):
+    rows = [(i, prose(i, 100), "en", "abc"[i % 3], 10) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.source_mix(spark, df, sf_dir).groupBy("source").count().collect()
+    counts = {r["source"]: r["count"] for r in out}
+    assert counts == {"a": 15, "b": 30, "c": 45}
