@@ -17,8 +17,10 @@ from tidelog.llm.shared import materialize
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    rows = docs.select("text", "lang", F.struct(*map(F.col, docs.columns)).alias("_row"))
-    return quality.judge(rows, ["_row"]).filter("kept").select("_row.*")
+    plain = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # no name can clash with a count's
+    rows = docs.toDF(*plain.values())
+    verdicts = quality.judge(rows, rows.columns, lang_col=plain["lang"], text_col=plain["text"])
+    return verdicts.filter("kept").select(*plain.values()).toDF(*plain)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

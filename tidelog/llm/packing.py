@@ -34,9 +34,9 @@ _KIND = np.full(256, 3, np.uint8)
 for _b in range(0x21, 0x7F):
     _KIND[_b] = 1 if chr(_b).isalpha() else 4 if chr(_b).isdigit() else 2
 _KIND[0x27] = 3
-_SLICE = 3 << 20
+_SLICE = 1 << 20
 #: Distinct units that a worker remembers before it starts afresh.
-CACHE_UNITS = 700_000
+CACHE_UNITS = 150_000
 
 
 class UnitEncoder:
