@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import jaccard_join, mixing, packing, pii, quality
-from tidelog.llm.shared import materialize
+from tidelog.llm.shared import kept, materialize, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each component of linked documents: the one with the
     smallest id.  Rows that repeat an id that stays, or have none, go if their
     whole text is repeated too."""
-    joined = materialize(jaccard_join.join(docs), "components")
+    with scratch(spark):
+        joined = kept(jaccard_join.join(docs), "components")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     by_id = joined.groupBy("doc_id").agg(F.count_if(stays).alias("n"))
     gone = materialize(by_id.filter("n = 0").select(F.col("doc_id").alias("_gone")), "gone")
@@ -46,11 +47,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, each as often as the mix takes it."""
-    taken = mixing.mix_single(docs, whole_documents=True).filter("taken > 0")
-    times = taken.groupBy("doc_id").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    times = materialize(times.withColumnRenamed("doc_id", "_id"), "times")
-    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    return mixing.repeat_documents(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,13 +172,17 @@ def _take_from_patterns(patterns: DataFrame, sources: DataFrame, max_repeats: in
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 17, whole_documents: bool = False) -> tuple[DataFrame, DataFrame]:
     """Mixes ``docs`` (doc_id, sources array<string>, size).
 
-    Returns the documents with ``taken`` (words, repeats counted; never over
-    ``max_repeats`` times the size) and the sources (source_key, source_size,
+    Documents are taken in the order of a column ``order`` (long), or of a seeded
+    hash of id and size.  Returns the documents with ``taken`` (words, repeats
+    counted; never over ``max_repeats`` times the size), their block and the
+    whole passes over their pattern, and the sources (source_key, source_size,
     target).  Source keys are ``1`` + name, or ``2`` for null.
     """
     key = F.transform("sources", lambda s: F.coalesce(F.concat(F.lit("1"), s), F.lit("2")))
     docs = docs.withColumn("pattern", F.array_sort(F.array_distinct(key)))
-    docs = materialize(docs.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size")), "sizes")
+    if "order" not in docs.columns:
+        docs = docs.withColumn("order", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    docs = materialize(docs, "sizes")
     sources = materialize(ranked_sources(docs.select(F.explode("pattern").alias("source_key"), "size"), weights, max_repeats), "targets")
     patterns = docs.groupBy("pattern").agg(F.sum("size").alias("pattern_words"), F.count("*").alias("pattern_docs"))
     takes = materialize(patterns.join(_take_from_patterns(patterns, sources, max_repeats), "pattern"), "takes")
@@ -199,14 +203,44 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: in
     if whole_documents:
         part = F.when(part * 2 >= F.col("size"), F.col("size")).otherwise(0)
     taken = (F.col("passes") * F.col("size") + part).cast("long").alias("taken")
-    columns = [c for c in docs.columns if c not in ("pattern", "order")]
-    return placed.select(*columns, "pattern", taken), sources
+    return placed.select(*docs.columns, "block", "blocks", "passes", taken), sources
 
 
-def mix_single(docs: DataFrame, text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def seeded_order(id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> Column:
+    """The place of a row in its source's order, from its id and text."""
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+
+
+def _mixed_single(docs: DataFrame, text_col: str, source_col: str, seed: int, **options) -> tuple[DataFrame, DataFrame]:
+    rows = docs.select("doc_id", F.col(text_col).alias("text"), F.col(source_col).alias("source"), seeded_order("doc_id", text_col, seed).alias("order"))
+    sizes = count_words(rows, keep=("source", "order"))
+    return mix(sizes.withColumn("sources", F.array("source")), seed=seed, **options)
+
+
+def mix_single(docs: DataFrame, text_col: str = "text", source_col: str = "source", seed: int = 17, **options) -> DataFrame:
     """Mixes documents that have one source each: (doc_id, size, source,
     source_size, target, taken)."""
-    sizes = count_words(docs.withColumnRenamed(source_col, "source") if source_col != "source" else docs, text_col=text_col)
-    mixed, sources = mix(sizes.withColumn("sources", F.array("source")), **options)
+    mixed, sources = _mixed_single(docs, text_col, source_col, seed, **options)
     out = mixed.withColumn("source_key", F.element_at("pattern", 1)).join(sources, "source_key")
     return out.select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+def repeat_documents(docs: DataFrame, text_col: str = "text", source_col: str = "source", seed: int = 17, **options) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, whole.
+
+    In a source's order the rows that are taken once more than the source's
+    whole passes come first, so one row for each source (its passes and the
+    last such place) tells how often each document is taken; texts stay where
+    they are.  Rows with the same id and text are taken alike.
+    """
+    mixed, _ = _mixed_single(docs, text_col, source_col, seed, whole_documents=True, **options)
+    further = F.when((F.col("taken") > F.col("passes") * F.col("size")), F.struct("block", "order"))
+    cuts = mixed.groupBy("source").agg(F.first("passes").alias("_passes"), F.first("blocks").alias("_blocks"), F.max(further).alias("_cut"))
+    cuts = materialize(cuts.withColumnRenamed("source", "_source"), "cuts")
+    order = seeded_order("doc_id", text_col, seed)
+    met = docs.join(cuts, F.col(source_col).eqNullSafe(F.col("_source")))
+    place = F.struct(F.pmod(order, F.col("_blocks")).alias("block"), order.alias("order"))
+    times = F.col("_passes") + F.coalesce(place <= F.col("_cut"), F.lit(False)).cast("int")
+    has_words = F.coalesce(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    times = F.when(has_words, times).otherwise(0).cast("int")
+    return met.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[docs[c] for c in docs.columns])
