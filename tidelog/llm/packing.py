@@ -34,9 +34,11 @@ _KIND = np.full(256, 3, np.uint8)
 for _b in range(0x21, 0x7F):
     _KIND[_b] = 1 if chr(_b).isalpha() else 4 if chr(_b).isdigit() else 2
 _KIND[0x27] = 3
-_SLICE = 1 << 20
+_SLICE = 2 << 20
+#: Units that are encoded as one text, with blanks between.
+_JOINED = 2000
 #: Distinct units that a worker remembers before it starts afresh.
-CACHE_UNITS = 150_000
+CACHE_UNITS = 300_000
 
 
 class UnitEncoder:
@@ -67,12 +69,18 @@ class UnitEncoder:
     def _learn(self, texts: Texts, hashes: list[int], starts: np.ndarray, ends: np.ndarray) -> None:
         raw = texts.data.tobytes()
         units = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        flat, lengths = [self.flat], [np.zeros(0, np.int64)]
+        for i in range(0, len(units), _JOINED):
+            part = units[i : i + _JOINED]
+            coded = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            heads = np.cumsum([0, *(len(u) + 1 for u in part[:-1])])
+            place = np.array(coded.offsets, np.int64).reshape(-1, 2)[:, 0]
+            lengths.append(np.bincount(np.searchsorted(heads, place, "right") - 1, minlength=len(part)))
+            flat.append(np.array(coded.ids, np.int32))
         base = len(self.begin) - 1
-        self.known.update(zip(hashes, range(base, base + len(ids)), strict=True))
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(lengths)])
-        self.flat = np.concatenate([self.flat, np.array([x for y in ids for x in y], np.int32)])
+        self.known.update(zip(hashes, range(base, base + len(units)), strict=True))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.concatenate(lengths))])
+        self.flat = np.concatenate(flat)
 
     def __call__(self, texts: Texts) -> list[np.ndarray]:
         data = texts.data
