@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
 from tidelog.llm.shared import materialize
-from tidelog.llm.text_arrays import mix, shingles, slices
+from tidelog.llm.text_arrays import by_batch, by_group, mix, shingles, slices
 
 #: A block: the rows whose elements a task sends out together.
 BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 16
@@ -131,7 +131,7 @@ def post(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "
         if ids:
             yield from _send(block, ids, sets, shards)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _POSTED_SQL)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(by_batch(run), _POSTED_SQL)
 
 
 def _shared_elements(table):
@@ -247,7 +247,7 @@ def _set_rows(docs: DataFrame, text_col: str) -> DataFrame:
                 n, c1, c2 = _class_hashes(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(map(_bitmap, sets), pa.binary())], names=["c1", "c2", "elements", "bitmap"])
 
-    return docs.select(text_col).mapInArrow(run, "c1 long, c2 long, elements binary, bitmap binary")
+    return docs.select(text_col).mapInArrow(by_batch(run), "c1 long, c2 long, elements binary, bitmap binary")
 
 
 class _Bitmaps:
@@ -285,7 +285,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             pairs = pairs.join(side, end)
         return pairs
 
-    return materialize(ends(["elements"], pairs).select("a", "b", "elements_a", "elements_b").mapInArrow(linked, "a long, b long"), "verified")
+    return materialize(ends(["elements"], pairs).select("a", "b", "elements_a", "elements_b").mapInArrow(by_batch(linked), "a long, b long"), "verified")
 
 
 def _pairs_in_lists(nearest: bool):
@@ -335,7 +335,7 @@ def _met_in_lists(own: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
     rows = materialize(rows, "open")
     groups = max(1, rows.count() // 20_000)
     rows = rows.join(sets.select("rid", "bitmap"), "rid").withColumn("group", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
-    return rows.groupBy("group").applyInArrow(_pairs_in_lists(nearest), "a long, b long, apart long")
+    return rows.groupBy("group").applyInArrow(by_group(_pairs_in_lists(nearest)), "a long, b long, apart long")
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -377,10 +377,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     rows = posted.filter("rid is not null").select("doc_id", "rid", "n", "c1", "c2")
     classes = materialize(rows.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("class_id")), "classes")
     elements = posted.filter("shard >= 0").select("block", "shard", "keys", "idx", "count")
-    shared = elements.groupBy("shard").applyInArrow(_shared_elements, "block long, keys binary, idx binary, count binary")
+    shared = elements.groupBy("shard").applyInArrow(by_group(_shared_elements), "block long, keys binary, idx binary, count binary")
     home = posted.filter("shard = -1").select("block", "shard", "keys", "idx", "count")
     both = home.unionByName(shared.select("block", F.lit(0).alias("shard"), "keys", "idx", "count"))
-    maybe = both.groupBy("block").applyInArrow(_candidates, _CANDIDATES)
+    maybe = both.groupBy("block").applyInArrow(by_group(_candidates), _CANDIDATES)
     maybe = materialize(maybe.join(rows, "rid").select("n", "c1", "c2", "tokens", "scan_cost", "subset_cost"), "maybe")
     once = maybe.dropDuplicates(["n", "c1", "c2"]).join(classes, ["n", "c1", "c2"])
     once = materialize(once.select(F.col("rep").alias("rid"), "n", "c1", "c2", "class_id", "tokens", "scan_cost", "subset_cost"), "survivors")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.text_arrays import Texts, slices
+from tidelog.llm.text_arrays import Texts, by_batch, slices
 
 BLOCK = 1024
 _FOLD = np.full(256, 26, np.uint8)
@@ -186,4 +186,4 @@ def predict(docs: DataFrame, sample: dict[str, bytes], keep: list[str], text_col
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs[np.concatenate(best)].tolist(), pa.string()), pa.array(np.concatenate(score), pa.float64())], names=[*keep, "lang_pred", "score"])
 
     fields = [*chosen.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return chosen.mapInArrow(run, T.StructType(fields))
+    return chosen.mapInArrow(by_batch(run), T.StructType(fields))

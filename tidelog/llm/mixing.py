@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.shared import materialize
-from tidelog.llm.text_arrays import slices
+from tidelog.llm.text_arrays import by_batch, slices
 
 #: Most overlapping patterns that the flow network may have.
 MAX_PATTERNS = 200_000
@@ -44,7 +44,7 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [batch.column(0), *[batch.column(i + 2) for i in range(len(keep))]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([*sizes, np.zeros(0, np.int64)]), pa.int64())], names=["doc_id", *keep, "size"])
 
-    return chosen.mapInArrow(run, T.StructType([*fields, T.StructField("size", T.LongType())]))
+    return chosen.mapInArrow(by_batch(run), T.StructType([*fields, T.StructField("size", T.LongType())]))
 
 
 def ranked_sources(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:

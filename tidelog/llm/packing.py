@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.shared import materialize
-from tidelog.llm.text_arrays import Texts, is_space, slices
+from tidelog.llm.text_arrays import Texts, by_batch, is_space, slices
 
 _SPECIAL = (b"<|startoftext|>", b"<|endoftext|>")
 _KIND = np.full(256, 3, np.uint8)
@@ -167,7 +167,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     sql = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, sql)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(by_batch(run), sql)
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:

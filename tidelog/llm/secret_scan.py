@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.text_arrays import Texts, char_starts, slices
+from tidelog.llm.text_arrays import Texts, by_batch, char_starts, slices
 
 KINDS = ("assign", "access", "hex", "token", "der", "ssh", "pem")
 BASE_KINDS = KINDS[:3]
@@ -185,7 +185,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return chosen.mapInArrow(by_batch(run), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def joined(spans):

@@ -7,7 +7,8 @@ so byte positions of word borders never fall inside a character.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,39 @@ SLICE_BYTES = 1 << 20
 _powers = np.ones(1, U64), np.ones(1, U64)
 
 
+def give_back() -> None:
+    """Returns what a task has freed to the machine: Spark keeps its Python
+    workers, and allocators would hold on to the memory beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def by_batch(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for ``mapInArrow`` that gives memory back after its last batch."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def by_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function for ``applyInArrow`` that gives memory back after each group."""
+
+    def whole(table):
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return whole
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the hash base and of its inverse."""
     global _powers
