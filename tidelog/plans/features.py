@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidelog import schema as S
 from tidelog.functions.scores import Parts, add, clamp, confidence, fall, shares, switch_load, switch_stability
+from tidelog.operators.stored import stored
 from tidelog.plans import windows as W
 
 COLUMNS = ("subject_id", "w_end", "value", "confidence", "evidence", "factors")
@@ -57,17 +58,23 @@ def with_previous(obs: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    """The feature frames of one set of observations at one step."""
+    """The feature frames of one set of observations at one step.
 
-    def __init__(self, obs: DataFrame, step: int = 60):
-        self.obs, self.step = obs, max(1, step)
+    With ``keep``, the windows and each feature are written once and read again:
+    for many features at a time, whose joint plan would be too large."""
+
+    def __init__(self, obs: DataFrame, step: int = 60, keep: bool = False):
+        self.obs, self.step, self.keep = obs, max(1, step), keep
         self._made: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = FEATURES[name](self)
+            self._made[name] = self._held(FEATURES[name](self))
         return self._made[name]
 
+    def _held(self, df: DataFrame) -> DataFrame:
+        return stored(df) if self.keep else df
+
     @cached_property
     def bounds(self) -> DataFrame:
         return W.bounds(W.spans(self.obs), self.step)
@@ -78,6 +85,9 @@ class Catalog:
 
     @cached_property
     def windows(self) -> DataFrame:
+        return self._held(self._windows())
+
+    def _windows(self) -> DataFrame:
         """One row for each window that holds an observation."""
         c = F.col
         kind = c("data_type")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators.quality import drop_retracted, normalize, select_sources
+from tidelog.operators.stored import stored
 from tidelog.plans.features import Catalog, high_stress
 from tidelog.plans.series import alert_level, latest
 
@@ -37,7 +38,7 @@ def retained(obs: DataFrame, seconds: int = RETENTION) -> DataFrame:
 
 def snapshot(obs: DataFrame, step: int = 60) -> tuple[DataFrame, DataFrame]:
     """Latest features and alert level of each subject's retained rows."""
-    cat = Catalog(retained(obs), step)
+    cat = Catalog(stored(retained(obs)), step, keep=True)
     return latest(cat.all()), alert_level(cat, high_stress(cat))
 
 
@@ -50,8 +51,8 @@ def live_query(stream: DataFrame, table: str, out: str, checkpoint: str) -> Stre
         spark = batch.sparkSession
         batch.write.mode("append").parquet(table)
         touched = batch.select("subject_id").distinct()
-        stored = spark.read.parquet(table).join(touched, "subject_id", "left_semi").dropDuplicates(["id"])
-        typed = normalize(stored).filter("valid").drop("valid").transform(drop_retracted).transform(select_sources)
+        rows = spark.read.parquet(table).join(touched, "subject_id", "left_semi").dropDuplicates(["id"])
+        typed = normalize(rows).filter("valid").drop("valid").transform(drop_retracted).transform(select_sources)
         features, _ = snapshot(typed)
         features.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
 
