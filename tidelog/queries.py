@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidelog import oracle_sql as O
 from tidelog import schema as S
 from tidelog.operators import quality, scans
+from tidelog.operators.stored import stored
 from tidelog.plans import rules, series, vitals
 from tidelog.plans.features import FEATURES, Catalog, high_stress
 from tidelog.sources import polls
@@ -134,9 +135,10 @@ def _effect(obs: DataFrame) -> DataFrame:
 
 @query("insights")
 def _insights(obs: DataFrame) -> DataFrame:
-    cat = Catalog(obs, STEP)
-    facts = rules.Facts(cat.all("focus_score", "stress_index", "context_switch_rate", "cognitive_load", "sustained_load"), high_stress(Catalog(obs, 60)), obs, series.afternoon_baseline(obs, O.AFTERNOON_STEP), vitals.hrv_vs_baseline(obs))
-    found = rules.insights(facts)
+    obs = stored(obs)
+    cat = Catalog(obs, STEP, keep=True)
+    facts = rules.Facts(cat.all("focus_score", "stress_index", "context_switch_rate", "cognitive_load", "sustained_load"), stored(high_stress(Catalog(obs, 60))), obs, stored(series.afternoon_baseline(obs, O.AFTERNOON_STEP)), stored(vitals.hrv_vs_baseline(obs)))
+    found = stored(rules.insights(facts))
     hints = rules.recommendations(facts, found).select("subject_id", "rule_id", "title", F.col("suggestion").alias("text"))
     return found.select("subject_id", "rule_id", "title", "text").unionByName(hints)
 
