@@ -99,6 +99,30 @@ def test_license_inheritance(spark):
 # the pipeline
 
 
+def test_license_file_in_prose(spark):
+    """A licence file is matched by its sentences too, and hands its licence on."""
+    prose = " ".join(f"word{i}" for i in range(400))
+    rows = [(1, "a/LICENSE", f"{prose}\nReleased under the MIT license.\n{prose}"), (2, "a/b/x.txt", "plain")]
+    got = {r["doc_id"]: (r["license"], r["license_from"]) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    assert got == {1: ("MIT", "file"), 2: ("MIT", "a")}
+
+
+def test_license_query_inherits(spark, sf_dir, local):
+    """The registered query finds licence files in the given table and every
+    other row of their folders inherits."""
+    got = {r["doc_id"]: r for r in QUERIES["op4_license_scan"](spark, sf_dir).collect()}
+    grants = [r["doc_id"] for r in local if re.search(r"(?im)^(this work is )?(licensed|released) under", r["text"] or "")]
+    assert grants and all(got[i]["license_from"] == "file" for i in grants)
+    folders = {got[i]["path"].rsplit("/", 1)[0] for i in grants}
+    without = [r for r in got.values() if r["license_from"] not in ("file", "header")]
+    heirs = {r["doc_id"] for r in without if r["path"].rsplit("/", 1)[0] in folders}
+    assert heirs and heirs == {r["doc_id"] for r in without if r["license"]}
+    for r in without:
+        if r["license"]:
+            of = [(-got[i]["cosine"], got[i]["license"]) for i in grants if got[i]["path"].startswith(r["license_from"] + "/LICENSE")]
+            assert r["license"] == min(of)[1]
+
+
 def test_registered():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
     assert set(ORACLE_SQL) <= set(QUERIES)

@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance by path.
 
-Header sentences (those that speak of a licence, copyright or rights) and whole
-licence files become sparse term vectors; inverse document frequencies count all
+Header sentences (those that speak of a licence, copyright or rights) become
+sparse term vectors, and licence files by such sentences as well as whole; inverse document frequencies count all
 distinct headers and templates.  A vector takes the template of the highest
 cosine, if that reaches ``least``.  A document without a licence of its own
 inherits that of the nearest directory, its own or an ancestor, that holds a
@@ -42,6 +42,8 @@ TEMPLATES = (
     ("Proprietary", "copyright all rights reserved"),
 )
 _CUES = ("licens", "licenc", "copyright", "all rights reserved", "public domain", "redistribution", "permission is")
+#: A sentence that grants a licence, at the start of a line or after another.
+_GRANT = r"(?im)(?:^|[.!?;][ \t])[^a-z\n]*+(?:(?:this work is )?(?:licensed|released) under|permission is hereby granted|redistribution and use|subject to the terms of|dedicated to the public domain)"
 _FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 
 
@@ -53,6 +55,11 @@ def _has_cue(text: Column) -> Column:
     return found
 
 
+def grants(text: Column) -> Column:
+    """Whether any line of a text grants a licence."""
+    return F.coalesce(_has_cue(text) & text.rlike(_GRANT), F.lit(False))
+
+
 def _terms(text: Column) -> Column:
     words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9.+-]+", " "), " ")
     return F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", "")), lambda w: w != "")
@@ -104,7 +111,7 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     text = F.col(text_col)
     sentences = F.filter(F.split(text, r"\n|(?<=[.!?;])[ \t]+"), lambda s: _has_cue(s))
     is_file = F.coalesce(path.rlike(_FILE), F.lit(False))
-    spoken = F.when(is_file, F.array(text)).when(_has_cue(text), F.array_distinct(sentences))
+    spoken = F.when(is_file, F.array_distinct(F.concat(F.array(text), sentences))).when(_has_cue(text), F.array_distinct(sentences))
     rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), is_file.alias("is_file"), F.coalesce(spoken, F.expr("cast(array() as array<string>)")).alias("spoken"), F.monotonically_increasing_id().alias("rid"))
     rows = materialize(rows.withColumn("directory", F.regexp_replace("path", r"/?[^/]*$", "")), "headers")
     said = rows.select("rid", "doc_id", "directory", "is_file", F.explode("spoken").alias("text")).filter(F.col("text").isNotNull()).withColumn("tid", F.md5("text"))

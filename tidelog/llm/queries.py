@@ -35,11 +35,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` has no paths: a row stands at ``source/hundreds/doc_id``,
-    and a text that opens with its licence counts as that folder's licence file."""
+    """``documents`` has no paths: a row stands at ``source/hundreds/doc_id``, and
+    a text that grants a licence in any of its lines is that folder's licence file."""
     docs = _table(spark, sf_dir, "documents")
-    opens = F.substring_index("text", "\n", 1).rlike("(?i)^[^a-z]*(licensed|released|this work is licensed) under")
-    name = F.when(opens, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    name = F.when(license_scan.grants(F.col("text")), F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(F.col("doc_id") / 100).cast("string"), name)
     return license_scan.scan(docs, path)
 
