@@ -202,6 +202,27 @@ def test_pii_learns_patterns(spark):
     assert red[0] == "please write to [EMAIL] soon" and red[99] == "please write to [EMAIL] soon"
 
 
+def test_pii_context_holds_any_words(spark):
+    """The two words before count whatever they hold and however far off."""
+    texts = ["mail a1@x.org or b(at)2x.org", "line 2 fax 555-1234", f"call me{' ' * 300}7a", "4a 5b 6c 7d", "9 x", f"{'w' * 300} y 8"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "rid long, text string")
+    for r in df.select("text", pii._candidates(df["text"]).alias("c")).collect():
+        want = [(m.start(), " ".join(r["text"][: m.start()].lower().split()[-2:])) for m in re.finditer(r"\S+", r["text"]) if re.search("[0-9@]", m[0])]
+        assert [(c["start"], c["pattern"]) for c in r["c"]] == [(a, p if " " in p else "") for a, p in want]
+    seeds = [(i, f"a {i} mail to 5 user{i}@host.example") for i in range(8)] + [(99, "a 9 mail to 5 user99(at)host.example")]
+    rows = {r["doc_id"]: r["spans"] for r in pii.digest(pii.scan(spark.createDataFrame(seeds, "doc_id long, text string"))).collect()}
+    assert rows[99].startswith("email:14:")
+
+
+def test_pii_scores_until_nothing_is_learned(spark):
+    """A chain in which each pattern becomes confident by what the last one taught."""
+    edges = [("p0", f"k{i}", "email") for i in range(40)] + [("p0", f"t0.{i}", None) for i in range(4)]
+    for n in range(1, 7):
+        edges += [(f"p{n}", f"t{n - 1}.{i}", None) for i in range(4)] + [(f"p{n}", f"k{i}", "email") for i in range(13)] + [(f"p{n}", f"t{n}.{i}", None) for i in range(4)]
+    got = pii.confident_patterns(spark.createDataFrame(edges, "pattern string, token string, kind string"))
+    assert {r["pattern"] for r in got.collect()} == {f"p{n}" for n in range(7)}
+
+
 # Jaccard join
 
 

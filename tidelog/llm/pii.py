@@ -6,7 +6,7 @@ before it are its lexical pattern.  Spark scores the graph of patterns and
 instances in rounds: a pattern's confidence is the share of its distinct
 instances that are known identifiers; an unknown instance is learned when the
 patterns it occurs with make it likely (noisy-or); learned instances then count
-for other patterns.  An unknown instance that stands in a confident pattern is
+for other patterns, until a round learns none.  An unknown instance that stands in a confident pattern is
 reported with the kind that most of the pattern's known instances have.
 
 Positions are code points, end exclusive.  Null text: no span.  Spans of a kind
@@ -33,7 +33,7 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _SPACE = r"\x20\x09-\x0D"
 _CANDIDATE = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 #: A pattern is confident with this share of known instances and at least so many.
-CONFIDENCE, SUPPORT, ROUNDS = 0.8, 3, 3
+CONFIDENCE, SUPPORT = 0.8, 3
 
 
 def _luhn(digits: Column) -> Column:
@@ -81,16 +81,21 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    """Words with a digit or @: (start, end, token, pattern, lead)."""
-    context = rf"([^{_SPACE}]+[{_SPACE}]+[^{_SPACE}]+)[{_SPACE}]+$"
+    """Words with a digit or @: (start, end, token, pattern).  A candidate's two
+    words before it lie in what stands between it and the last candidate but two."""
+    context = rf"(?<![^{_SPACE}])([^{_SPACE}]++[{_SPACE}]++[^{_SPACE}]++)[{_SPACE}]++$"
 
-    def candidate(m: Column) -> Column:
+    def context_of(m: Column, i: Column, every: Column) -> Column:
+        back = lambda k, part: F.when(i >= k, F.get(every, i - k)[part]).otherwise("")
+        return F.concat(back(2, "found"), back(1, "before"), back(1, "found"), m["before"])
+
+    def candidate(m: Column, i: Column, every: Column) -> Column:
         token = F.regexp_replace(m["found"], r"^[^A-Za-z0-9+]+|[^A-Za-z0-9]+$", "")
         lead = F.length(m["found"]) - F.length(F.regexp_replace(m["found"], r"^[^A-Za-z0-9+]+", ""))
-        pattern = F.regexp_replace(F.lower(F.regexp_extract(F.right(m["before"], F.lit(200)), context, 1)), rf"[{_SPACE}]+", " ")
+        pattern = F.regexp_replace(F.lower(F.regexp_extract(context_of(m, i, every), context, 1)), rf"[{_SPACE}]+", " ")
         return F.struct((m["start"] + lead).alias("start"), (m["start"] + lead + F.length(token)).alias("end"), token.alias("token"), pattern.alias("pattern"))
 
-    made = F.transform(located(text, _CANDIDATE), candidate)
+    made = let(located(text, _CANDIDATE), lambda every: F.transform(every, lambda m, i: candidate(m, i, every)))
     none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,token:string,pattern:string>>)")
     return F.when(text.rlike("[0-9@]"), made).otherwise(none)
 
@@ -110,21 +115,22 @@ def occurrences(scanned: DataFrame) -> DataFrame:
     return free.select("rid", "start", "end", F.when(opens, F.col("next.token")).otherwise(F.col("token")).alias("token"), "pattern", F.when(opens, F.col("next.kind")).alias("kind"))
 
 
-def confident_patterns(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence) after ``rounds`` of scoring ``edges``
-    (pattern, token, kind): distinct pairs, kind of known identifiers or null."""
+def confident_patterns(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+    """(pattern, kind, confidence) after scoring ``edges`` (pattern, token, kind):
+    distinct pairs, kind of known identifiers or null.  What is learned stays,
+    so that rounds end, at the first that learns nothing."""
     known = edges
-    for turn in range(rounds):
+    while True:
         by_kind = known.groupBy("pattern", "kind").count()
         scores = by_kind.groupBy("pattern").agg(F.sum("count").alias("all"), F.sum(F.when(F.col("kind").isNotNull(), F.col("count"))).alias("known"), F.max_by("kind", F.when(F.col("kind").isNotNull(), F.struct("count", "kind"))).alias("as_kind"))
         scores = scores.filter((F.col("known") >= support) & (F.col("known") >= confidence * F.col("all")))
         scores = materialize(scores.select("pattern", F.col("as_kind").alias("kind"), (F.col("known") / (F.col("all") + 1)).alias("confidence")), "patterns")
-        if turn + 1 < rounds:
-            unknown = known.filter("kind is null").select("pattern", "token").join(scores, "pattern")
-            learned = unknown.groupBy("token").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("likely"), F.max_by("kind", F.struct("confidence", "kind")).alias("learned"))
-            learned = learned.filter(F.col("likely") >= confidence * support / (support + 1)).select("token", "learned")
-            known = materialize(known.join(learned, "token", "left").select("pattern", "token", F.coalesce("kind", "learned").alias("kind")), "edges")
-    return scores
+        unknown = known.filter("kind is null").select("pattern", "token").join(scores, "pattern")
+        learned = unknown.groupBy("token").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("likely"), F.max_by("kind", F.struct("confidence", "kind")).alias("learned"))
+        learned = materialize(learned.filter(F.col("likely") >= confidence * support / (support + 1)).select("token", "learned"), "learned")
+        if learned.isEmpty():
+            return scores
+        known = materialize(known.join(learned, "token", "left").select("pattern", "token", F.coalesce("kind", "learned").alias("kind")), "edges")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), **scoring) -> DataFrame:
