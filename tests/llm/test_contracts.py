@@ -441,6 +441,21 @@ def test_search_awkward(spark):
     assert {r["query_id"] for r in knn_search.search(few, few["vec_id"] % 20 == 0).collect()} == {0}
 
 
+def test_search_repeated_ids(spark):
+    """Each row of a repeated id has its own k answers, none of its own id."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4).round(1)]) for i in range(400)]
+    rows += [(0, [9.0, 9.0, 9.0, 9.0])] * 30 + [(20, [1.0, 2.0, 0.0, 1.0])] * 2 + [(41, [3.0, 3.0, 3.0, 3.0])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in knn_search.search(df, df["vec_id"] % 20 == 0).collect())
+    whole = [(i, np.floor(64 * np.array(v))) for i, v in rows]
+    want = Counter()
+    for q, x in whole:
+        if q % 20 == 0:
+            want.update((q, n, i, -s) for n, (s, i) in enumerate(sorted((-int(x @ y), i) for i, y in whole if i != q)[:20], 1))
+    assert got == want
+
+
 # secrets
 
 

@@ -11,7 +11,9 @@ solved locally by one matrix product.
 Components are ``floor(scale * x)``; vectors that are null or hold null or
 non-finite components take no part; shorter vectors count as filled up with
 zeros.  Ties go to the smaller id.  A query is not its own answer: rows with its
-id are left out.  An empty table gives an empty result.
+id are left out.  Of repeated ids each row counts: each query row has its own k
+answers, and an id can be an answer by several rows.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from tidelog.llm.shared import materialize
 #: Rows that pivots are made from, and most pivots.
 PIVOT_SAMPLE, MOST_PIVOTS = 2048, 64
 DATA_BLOCK, QUERY_BLOCK = 8192, 2048
-_SOLVED = "query_id long, vec_id long, score long"
+_SOLVED = "ask long, query_id long, vec_id long, score long"
 
 
 def pivots_of(sample: np.ndarray, count: int) -> np.ndarray:
@@ -49,39 +51,44 @@ def _vectors(column, dims: int) -> np.ndarray:
     return out
 
 
-def _solve(query_ids, queries, least, vec_ids, vectors, k: int):
+def _solve(asks, query_ids, queries, least, vec_ids, vectors, k: int):
     """Best k of the block for each query, of at least its least score."""
     order = np.argsort(vec_ids, kind="stable")
     vec_ids, vectors = vec_ids[order], vectors[order]
     whole = max(1.0, np.abs(queries).max(initial=0)) * max(1.0, np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1]) < 2**53
-    out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    own_from, own_to = (np.searchsorted(vec_ids, query_ids, side) for side in ("left", "right"))
+    out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    counts = np.zeros(len(queries), np.int64)
     for a in range(0, len(queries), 256):
         part = queries[a : a + 256]
         scores = part @ vectors.T if whole else (part.astype(np.int64) @ vectors.astype(np.int64).T)
         for i, row in enumerate(scores):
-            bound = max(np.partition(row, len(row) - k - 1)[len(row) - k - 1], least[a + i]) if len(row) > k + 1 else least[a + i]
-            at = np.flatnonzero(row >= bound)
-            at = at[vec_ids[at] != query_ids[a + i]]
+            q = a + i
+            others = np.ones(len(row), bool)
+            others[own_from[q] : own_to[q]] = False
+            rest = row[others] if own_to[q] > own_from[q] else row
+            bound = max(np.partition(rest, len(rest) - k)[len(rest) - k], least[q]) if len(rest) > k else least[q]
+            at = np.flatnonzero((row >= bound) & others)
             at = at[np.argsort(-row[at], kind="stable")[:k]]
-            out_q.append(np.full(len(at), query_ids[a + i]))
+            counts[q] = len(at)
             out_v.append(vec_ids[at])
             out_s.append(row[at].astype(np.int64))
-    return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
+    return pa.table({"ask": np.repeat(asks, counts), "query_id": np.repeat(query_ids, counts), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)})
 
 
 def _solver(k: int, dims: int):
     def solve(queries, data):
         if not queries.num_rows or not data.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-        ids = queries.column("query_id").to_numpy()
-        return _solve(ids, _vectors(queries.column("vector"), dims), queries.column("least").to_numpy(), data.column("vec_id").to_numpy(), _vectors(data.column("vector"), dims), k)
+            return pa.table({c: pa.array([], pa.int64()) for c in ("ask", "query_id", "vec_id", "score")})
+        asks, ids = queries.column("ask").to_numpy(), queries.column("query_id").to_numpy()
+        return _solve(asks, ids, _vectors(queries.column("vector"), dims), queries.column("least").to_numpy(), data.column("vec_id").to_numpy(), _vectors(data.column("vector"), dims), k)
 
     return solve
 
 
 def _in_blocks(queries: DataFrame, data: DataFrame, sizes: dict[int, int], asked: dict[int, int], k: int, dims: int) -> DataFrame:
-    """Solves queries (query_id, vector, least, cell) against data (vec_id,
-    vector, cell) of the same cell, block by block."""
+    """Solves queries (ask, query_id, vector, least, cell) against data (row,
+    vec_id, vector, cell) of the same cell, block by block."""
 
     def blocks(counts: dict[int, int], most: int) -> Column:
         pairs = [F.lit(x) for cell, n in counts.items() for x in (cell, -(-n // most))]
@@ -89,14 +96,14 @@ def _in_blocks(queries: DataFrame, data: DataFrame, sizes: dict[int, int], asked
 
     db, qb = blocks(sizes, DATA_BLOCK), blocks(asked, QUERY_BLOCK)
     cell = F.col("cell").isin(*asked) if asked else F.lit(False)
-    data = data.filter(cell).withColumn("db", F.pmod(F.xxhash64("vec_id"), db)).withColumn("qb", F.explode(F.sequence(F.lit(0), qb - 1)))
-    queries = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), qb)).withColumn("db", F.explode(F.sequence(F.lit(0), db - 1)))
+    data = data.filter(cell).withColumn("db", F.pmod(F.xxhash64("row"), db)).withColumn("qb", F.explode(F.sequence(F.lit(0), qb - 1)))
+    queries = queries.withColumn("qb", F.pmod(F.xxhash64("ask"), qb)).withColumn("db", F.explode(F.sequence(F.lit(0), db - 1)))
     keys = [F.col("cell"), F.col("db").cast("int"), F.col("qb").cast("int")]
     return queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(_solver(k, dims), _SOLVED)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -107,7 +114,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     whole = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("double"))
     usable = vectors.filter(x.isNotNull() & F.col(id_col).isNotNull()).filter(finite)
-    usable = usable.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    usable = usable.select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("row"))
     facts = usable.agg(F.count("*").alias("rows"), F.max(F.size("vector")).alias("dims")).first()
     rows, dims = facts["rows"], facts["dims"] or 0
     if not rows:
@@ -121,20 +128,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
             gap = np.maximum(0, (v**2).sum(1)[:, None] - 2 * v @ pivots.T + (pivots**2).sum(1))
             cell = gap.argmin(1)
             away = np.sqrt(((v - pivots[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(cell.astype(np.int32)), pa.array(away)], names=["vec_id", "vector", "asks", "cell", "away"])
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(cell.astype(np.int32)), pa.array(away)], names=["vec_id", "vector", "asks", "row", "cell", "away"])
 
-    placed = materialize(usable.mapInArrow(assign, "vec_id long, vector array<double>, asks boolean, cell int, away double"), "cells")
+    placed = materialize(usable.mapInArrow(assign, "vec_id long, vector array<double>, asks boolean, row long, cell int, away double"), "cells")
     summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("asks").alias("asked"), F.max("away").alias("radius")).collect()  # a row for each pivot
     sizes = {r["cell"]: r["n"] for r in summary}
     radius = np.full(len(pivots), -1.0)
     for r in summary:
         radius[r["cell"]] = r["radius"]
-    data = placed.select("vec_id", "vector", "cell")
-    queries = placed.filter("asks").select(F.col("vec_id").alias("query_id"), "vector", "cell")
+    data = placed.select("row", "vec_id", "vector", "cell")
+    queries = placed.filter("asks").select(F.col("row").alias("ask"), F.col("vec_id").alias("query_id"), "vector", "cell")
     near = _in_blocks(queries.withColumn("least", F.lit(float("-inf"))), data, sizes, {r["cell"]: r["asked"] for r in summary if r["asked"]}, k, dims)
     near = materialize(_best(near, k).drop("rank"), "own_cell")
-    beat = near.groupBy("query_id").agg(F.count("*").alias("have"), F.min("score").alias("low"))
-    beat = beat.select("query_id", F.when(F.col("have") >= k, F.col("low").cast("double")).alias("low"))
+    beat = near.groupBy("ask").agg(F.count("*").alias("have"), F.min("score").alias("low"))
+    beat = beat.select("ask", F.when(F.col("have") >= k, F.col("low").cast("double")).alias("low"))
 
     def further(batches):
         for t in batches:
@@ -145,10 +152,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
             may = (reach * (1 + 1e-9 * np.sign(reach)) + 1e-6 >= least[:, None]) & (radius >= 0)
             may[np.arange(len(v)), t.column(2).to_numpy()] = False
             q, cell = np.nonzero(may)
-            yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(q)), t.column(1).take(pa.array(q)), pa.array(least[q]), pa.array(cell.astype(np.int32))], names=["query_id", "vector", "least", "cell"])
+            yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(q)), t.column(1).take(pa.array(q)), pa.array(least[q]), pa.array(cell.astype(np.int32)), t.column(4).take(pa.array(q))], names=["query_id", "vector", "least", "cell", "ask"])
 
-    asking = queries.join(beat, "query_id", "left").select("query_id", "vector", "cell", F.coalesce("low", F.lit(float("-inf"))).alias("least"))
-    sent = materialize(asking.mapInArrow(further, "query_id long, vector array<double>, least double, cell int"), "sent")
+    asking = queries.join(beat, "ask", "left").select("query_id", "vector", "cell", F.coalesce("low", F.lit(float("-inf"))).alias("least"), "ask")
+    sent = materialize(asking.mapInArrow(further, "query_id long, vector array<double>, least double, cell int, ask long"), "sent")
     asked = {r["cell"]: r["count"] for r in sent.groupBy("cell").count().collect()}
     found = near.unionByName(_in_blocks(sent, data, sizes, asked, k, dims))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
