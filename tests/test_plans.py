@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tidelog import schema as S
 from tidelog.operators import quality, scans
+from tidelog.plans import report
 from tidelog.plans.features import Catalog, high_stress
 from tidelog.sources import ics
 from tidelog.streaming import live
@@ -87,3 +88,17 @@ def test_live_query(spark, tmp_path):
     counts = live.window_counts(spark.read.parquet(str(tmp_path / "in")), 60).collect()
     assert {r["w_end"] % 60 for r in counts} == {0}
     assert max(r["rows"] for r in counts) == 7
+
+
+def test_report_is_whole(spark, tmp_path):
+    """No section is cut, and lines stand by section, subject and time."""
+    runs = spark.range(12_000).selectExpr("concat('s', id % 2) AS subject_id", "id AS at", "concat('- run ', id) AS line")
+    report.write(spark, "daily_v1", {"features": runs, "insights": runs.limit(0)}, f"{tmp_path}/report")
+    got = [r["value"] for r in spark.read.text(f"{tmp_path}/report").filter("value like '- run%'").collect()]
+    assert len(got) == 12_000
+    files = sorted((tmp_path / "report").glob("part-*"))
+    text = "".join(f.read_text() for f in files)
+    assert [int(x[6:]) for x in text.split("\n") if x.startswith("- run")] == [*range(0, 12_000, 2), *range(1, 12_000, 2)]
+    assert text.startswith("# Report daily_v1\n\n## Features\n\n- run 0\n") and text.count("No entries.") == 3
+    one = report.render(spark, "features_v1", {"features": runs}, "s1")
+    assert one.split("\n")[:5] == ["# Report features_v1", "", "## Features", "", "- run 1"] and one.count("- run") == 6_000

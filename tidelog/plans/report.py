@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKS = {"daily_v1": ("features", "insights", "life_events", "recommendations"), "features_v1": ("features",)}
@@ -16,17 +16,38 @@ def feature_lines(runs: DataFrame) -> DataFrame:
     """One line for each run of a feature."""
     number = lambda c: F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("n/a"))
     text = F.format_string("- %s [%d..%d]: first %s, last %s, low %s, high %s, %d samples, %s", "feature_id", "run_start", "run_end", number("first"), number("last"), number("low"), number("high"), "samples", "trend")
-    return runs.orderBy("subject_id", "feature_id", "run_start", "run_end").select("subject_id", text.alias("line"))
+    return runs.orderBy("subject_id", "feature_id", "run_start", "run_end").select("subject_id", F.col("run_start").alias("at"), text.alias("line"))
 
 
-def render(pack: str, sections: dict[str, DataFrame]) -> str:
-    """The sections of a pack in order; a section is a frame with ``line``."""
+def report_lines(spark: SparkSession, pack: str, sections: dict[str, DataFrame]) -> DataFrame:
+    """(position, part, subject_id, at, line): every line of the pack's sections
+    with its headings, to be ordered by these columns.  A section is a frame
+    with ``line`` and, if it has them, ``subject_id`` and the time ``at``."""
     if pack not in PACKS:
         raise UnknownPack(pack)
-    out = [f"# Report {pack}"]
-    for name in PACKS[pack]:
-        out.append(f"\n## {name.replace('_', ' ').capitalize()}\n")
-        rows = sections[name].limit(10_000).toLocalIterator() if name in sections else iter(())
-        lines = [r["line"] for r in rows]
-        out += lines or ["No entries."]
-    return "\n".join(out) + "\n"
+    names = PACKS[pack]
+    heads = [(0, 0, f"# Report {pack}"), *((i, 0, f"\n## {n.replace('_', ' ').capitalize()}\n") for i, n in enumerate(names, 1))]
+    blank = F.lit(None).cast("string").alias("subject_id"), F.lit(None).cast("long").alias("at")
+    fixed = lambda rows: spark.createDataFrame(rows, "position int, part int, line string").select("position", "part", *blank, "line")
+    lines = fixed([])
+    for i, name in enumerate(names, 1):
+        if name in sections:
+            given = sections[name]
+            subject, at = (F.col(c) if c in given.columns else F.lit(None) for c in ("subject_id", "at"))
+            lines = lines.unionByName(given.select(F.lit(i).alias("position"), F.lit(1).alias("part"), subject.cast("string").alias("subject_id"), at.cast("long").alias("at"), "line"))
+    empty = fixed([(i, 1, "No entries.") for i in range(1, len(names) + 1)])
+    empty = empty.join(lines.select("position").distinct(), "position", "left_anti")
+    return fixed(heads).unionByName(lines).unionByName(empty)
+
+
+def write(spark: SparkSession, pack: str, sections: dict[str, DataFrame], path: str) -> None:
+    """Writes the whole report as a text table, its files in order."""
+    report_lines(spark, pack, sections).orderBy("position", "part", "subject_id", "at", "line").select("line").write.text(path)
+
+
+def render(spark: SparkSession, pack: str, sections: dict[str, DataFrame], subject_id: str) -> str:
+    """The report of one subject, whose lines its grid bounds, as one text.
+    Sections without subjects are left whole."""
+    own = {n: s.filter(F.col("subject_id") == subject_id) if "subject_id" in s.columns else s for n, s in sections.items()}
+    rows = report_lines(spark, pack, own).orderBy("position", "part", "at", "line").select("line").collect()
+    return "\n".join(r["line"] for r in rows) + "\n"
