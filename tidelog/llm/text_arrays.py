@@ -8,6 +8,7 @@ so byte positions of word borders never fall inside a character.
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,9 @@ _powers = np.ones(1, U64), np.ones(1, U64)
 def give_back() -> None:
     """Returns what a task has freed to the machine: Spark keeps its Python
     workers, and allocators would hold on to the memory beside the next stage."""
+    global _powers
+    _powers = np.ones(1, U64), np.ones(1, U64)
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
