@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import materialize
+from tidelog.llm.shared import delete_table, hot_join, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,8 +18,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
         moved = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        heads = labels.select(F.col("node").alias("label"), F.col("label").alias("head"))
-        jumped = materialize(moved.join(heads, "label").select("node", "old", F.least("label", "head").alias("label")), "labels")
+        moved = materialize(moved, "moved")
+        sizes = moved.groupBy("label").agg(F.count("*").alias("nodes"))
+        heads = labels.select(F.col("node").alias("label"), F.col("label").alias("head")).join(sizes, "label")
+        jumped = materialize(hot_join(moved, heads, "label", "nodes").select("node", "old", F.least("label", "head").alias("label")), "labels")
+        delete_table(moved)
         changed = jumped.filter("old <> label").limit(1).count()
         labels = jumped.select("node", "label")
         if not changed:

@@ -14,11 +14,15 @@ documents link at Jaccard similarity of at least 3/4.  All steps are exact:
    heavy sets are posted to inverted lists of single elements.  The boundary is
    where the estimated cost (subsets made, list entries scanned) is least.
 4. Links are needed only between components.  First every class is compared
-   with the hub that shares most of its lists; in a few rounds more, with the
-   class of another component that is nearest in its lists; then all pairs of
-   different components that still meet in a list are compared, long lists in
-   blocks.  Bitmaps bound the symmetric difference before the exact comparison
-   of sets.
+   with the hub that shares most of its lists.  Then short lists give their
+   pairs of different components, each pair once however many lists it meets in.
+   Of long lists, a class is first compared with the nearest class of another
+   component; then all pairs of different components are, block by block.
+   Bitmaps bound the symmetric difference before the exact comparison of sets.
+
+The number of shards follows the size of the texts, so that a shard stays as
+small at any size.  Keys that may hold a large share of the rows (a list, a
+class of copies, a component) are joined by :func:`hot_join`.
 
 Null or empty texts, or texts without words, have an empty set and link with
 nothing.  Repeated rows fall in one class.  An empty table gives an empty result.
@@ -33,13 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.shared import materialize
+from tidelog.llm.shared import delete_table, hot_join, materialize
 from tidelog.llm.text_arrays import by_batch, by_group, mix, shingles, slices
 
 #: A block: the rows whose elements a task sends out together.
 BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 16
-ROUNDS = 2
+ROUNDS = 1
 CHUNK = 256
+#: Text bytes that a shard's elements come from, and the longest short list.
+SHARD_BYTES, SHORT_LIST = 8 << 20, 64
 #: Cost of one list entry (it is read in each round) and, in the same unit, of
 #: comparing it with one other entry's bitmap.
 ENTRY_COST, COMPARE_COST = ROUNDS + 3, 0.02
@@ -94,7 +100,7 @@ def _send(block: int, ids: list, sets: list[np.ndarray], shards: int):
             idx.append(np.full(min(p, len(own)), i, np.uint16))
     key, row = np.concatenate(keys), np.concatenate(idx)
     shard = (key & np.uint64(shards - 1)).astype(np.int64)
-    token = ((key >> np.uint64(12)) & np.uint64(0xFFFFFFFF)).astype(np.uint64) | (shard.astype(np.uint64) << np.uint64(32))
+    token = (key >> np.uint64(32)) | (shard.astype(np.uint64) << np.uint64(32))
     order = np.argsort(token, kind="stable")
     token, row = token[order], row[order]
     first = np.ones(len(token), bool)
@@ -237,17 +243,40 @@ def _bitmap(elements: np.ndarray) -> bytes:
     return np.packbits(folded).tobytes() + (np.packbits(bits).tobytes() if size > SHORT_BITS else b"")
 
 
-def _set_rows(docs: DataFrame, text_col: str) -> DataFrame:
-    """(c1, c2, elements, bitmap): sets of the given documents."""
+#: Bits of the filter that tells which texts to read again: 2 MB at any size.
+#: The more ids it holds, the more texts pass that the join on sets then drops.
+FILTER_BITS = 1 << 24
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """Bits of the ids (id) by three hashes; null counts as an id."""
+    at = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), F.coalesce(F.col("id"), F.lit(-1))), F.lit(FILTER_BITS)) for k in range(3)]))
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits"))
+    found = words.toArrow()  # at most FILTER_BITS / 32 rows
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _set_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(c1, c2, elements, bitmap): sets of the documents with the given ids and
+    perhaps of others."""
+    shared = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
+    at = [F.pmod(F.xxhash64(F.lit(k), F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(FILTER_BITS)).alias(f"h{k}") for k in range(3)]
 
     def run(batches):
+        bits = shared.value
         for batch in batches:
-            for texts in slices(batch.column(0)):
+            keep = np.ones(batch.num_rows, bool)
+            for k in range(3):
+                h = batch.column(k).to_numpy()
+                keep &= (bits[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1
+            for texts in slices(batch.column(3).filter(pa.array(keep))):
                 sets = shingles(texts)
                 n, c1, c2 = _class_hashes(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(c1), pa.array(c2), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(map(_bitmap, sets), pa.binary())], names=["c1", "c2", "elements", "bitmap"])
 
-    return docs.select(text_col).mapInArrow(by_batch(run), "c1 long, c2 long, elements binary, bitmap binary")
+    return docs.select(*at, "text").mapInArrow(by_batch(run), "c1 long, c2 long, elements binary, bitmap binary")
 
 
 class _Bitmaps:
@@ -267,6 +296,25 @@ class _Bitmaps:
         return out
 
 
+def _with_ends(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    for end in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("rid").alias(end), F.col(column).alias(f"{column}_{end}")), end)
+    return pairs
+
+
+def _near_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b, n_a, n_b), those that bitmaps don't rule out."""
+
+    def near(batches):
+        for t in batches:
+            x, y = (_Bitmaps(t.column(f"bitmap_{end}").to_pylist()) for end in "ab")
+            every = np.arange(t.num_rows)
+            keep = 7 * x.apart(every, y, every) <= t.column("n_a").to_numpy() + t.column("n_b").to_numpy()
+            yield t.select(["a", "b"]).filter(pa.array(keep))
+
+    return _with_ends(pairs, sets, "bitmap").select("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b").mapInArrow(by_batch(near), "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b), those whose sets link."""
 
@@ -279,13 +327,8 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 75 * (len(x) + len(y) - both))
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def ends(columns: list[str], pairs: DataFrame) -> DataFrame:
-        for end in ("a", "b"):
-            side = sets.select(F.col("rid").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-            pairs = pairs.join(side, end)
-        return pairs
-
-    return materialize(ends(["elements"], pairs).select("a", "b", "elements_a", "elements_b").mapInArrow(by_batch(linked), "a long, b long"), "verified")
+    pairs = materialize(pairs, "pairs")
+    return materialize(_with_ends(pairs, sets, "elements").select("a", "b", "elements_a", "elements_b").mapInArrow(by_batch(linked), "a long, b long"), "verified")
 
 
 def _pairs_in_lists(nearest: bool):
@@ -324,17 +367,38 @@ def _pairs_in_lists(nearest: bool):
     return pairs
 
 
-def _met_in_lists(own: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
-    """(a, b, apart) over lists that hold different components; rows of long
-    lists meet chunk by chunk."""
+def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, rid, n, label, length): lists that hold different components."""
+    own = lists.join(labels.withColumnRenamed("node", "rid"), "rid")
     held = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("length")).filter("low <> high")
-    rows = own.join(held.select("token", "length"), "token").withColumn("chunks", F.ceil(F.col("length") / CHUNK).cast("int"))
+    return materialize(hot_join(own, held.select("token", "length", F.col("length").alias("entries")), "token", "entries"), "open")
+
+
+def _pairs_of_short(opened: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b) of different components and sizes that may link, from
+    lists of at most SHORT_LIST entries; each pair once."""
+    rows = opened.filter(F.col("length") <= SHORT_LIST).groupBy("token").agg(F.collect_list(F.struct("rid", "n", "label")).alias("rows"))
+
+    def may(x, y):
+        return (x["label"] != y["label"]) & (F.least(x["n"], y["n"]) * 4 >= F.greatest(x["n"], y["n"]) * 3)
+
+    def pair(x, y):
+        first = x["rid"] < y["rid"]
+        return F.struct(*[F.when(first, u[c]).otherwise(v[c]).alias(name) for name, c, u, v in (("a", "rid", x, y), ("b", "rid", y, x), ("n_a", "n", x, y), ("n_b", "n", y, x))])
+
+    pairs = F.flatten(F.transform("rows", lambda x, i: F.transform(F.filter(F.slice("rows", i + 2, F.size("rows")), lambda y: may(x, y)), lambda y: pair(x, y))))
+    return rows.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+
+
+def _pairs_of_long(opened: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b, apart) of longer lists, whose rows meet chunk by chunk."""
+    rows = opened.filter(F.col("length") > SHORT_LIST).withColumn("chunks", F.ceil(F.col("length") / CHUNK).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rid", "n", "label")
-    rows = materialize(rows, "open")
-    groups = max(1, rows.count() // 20_000)
-    rows = rows.join(sets.select("rid", "bitmap"), "rid").withColumn("group", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
+    rows = rows.join(sets.select("rid", "bitmap"), "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    # group numbers fit a task each: about as many rows as the longest pair of chunks twenty times over
+    groups = max(1, opened.filter(F.col("length") > SHORT_LIST).select(F.sum(F.ceil(F.col("length") / CHUNK))).first()[0] or 0) // 10_000 + 1
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rid", "n", "label", "bitmap")
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
     return rows.groupBy("group").applyInArrow(by_group(_pairs_in_lists(nearest)), "a long, b long, apart long")
 
 
@@ -343,25 +407,31 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     for end in ("a", "b"):
         links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end)
     moved = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
-    moved = moved.select(F.col("node").alias("label"), F.col("label").alias("new"))
-    return materialize(labels.join(moved, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+    sizes = labels.groupBy("label").agg(F.count("*").alias("nodes"))
+    moved = moved.select(F.col("node").alias("label"), F.col("label").alias("new")).join(sizes, "label")
+    return materialize(hot_join(labels, moved, "label", "nodes", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
 
 
 def _join_lists(lists: DataFrame, sets: DataFrame, rounds: int) -> DataFrame:
     """(node, label): the component of every class."""
     hub = F.min_by(F.struct("rid", "n"), "rid")
-    hubs = lists.groupBy("token").agg(hub.alias("hub"))
-    met = lists.join(hubs, "token").filter((F.col("rid") != F.col("hub.rid")) & (F.least("n", "hub.n") * 4 >= F.greatest("n", "hub.n") * 3))
+    hubs = lists.groupBy("token").agg(hub.alias("hub"), F.count("*").alias("length"))
+    met = hot_join(lists, hubs, "token", "length").filter((F.col("rid") != F.col("hub.rid")) & (F.least("n", "hub.n") * 4 >= F.greatest("n", "hub.n") * 3))
     best = met.groupBy("rid", F.col("hub.rid").alias("hub")).count().groupBy("rid").agg(F.max_by("hub", F.struct("count", "hub")).alias("b"))
-    found = _verified(materialize(best.select(F.col("rid").alias("a"), "b"), "pairs"), sets)
+    found = _verified(best.select(F.col("rid").alias("a"), "b"), sets)
     labels = _relabelled(sets.select(F.col("rid").alias("node"), F.col("rid").alias("label")), found)
+    opened = _open_lists(lists, labels)
+    labels = _relabelled(labels, _verified(_near_enough(_pairs_of_short(opened), sets), sets))
+    long = materialize(opened.filter(F.col("length") > SHORT_LIST).select("token", "rid", "n"), "long")
+    delete_table(opened)
     for turn in range(rounds + 1):
-        own = lists.join(labels.withColumnRenamed("node", "rid"), "rid")
-        pairs = _met_in_lists(own, sets, nearest=turn < rounds)
+        opened = _open_lists(long, labels)
+        pairs = _pairs_of_long(opened, sets, nearest=turn < rounds)
         if turn < rounds:
             pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        labels = _relabelled(labels, _verified(materialize(pairs, "pairs"), sets))
+        labels = _relabelled(labels, _verified(pairs, sets))
+        delete_table(opened)
     return labels
 
 
@@ -371,32 +441,40 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     ``class_id`` is the smallest doc_id with the same set, ``component_id`` the
     smallest that links lead to.  Both are the own doc_id for an empty set.
     """
-    spark = docs.sparkSession
-    shards = 1 << min(12, max(5, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()))
-    posted = materialize(post(docs, shards, id_col, text_col), "posted")
-    rows = posted.filter("rid is not null").select("doc_id", "rid", "n", "c1", "c2")
-    classes = materialize(rows.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("class_id")), "classes")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = 1 << max(3, (size // SHARD_BYTES).bit_length())
+    posted = materialize(post(docs, shards), "posted")
+    rows = materialize(posted.filter("rid is not null").select("doc_id", "rid", "n", "c1", "c2"), "rows")
+    classes = materialize(rows.filter("n > 0").groupBy("n", "c1", "c2").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
     elements = posted.filter("shard >= 0").select("block", "shard", "keys", "idx", "count")
     shared = elements.groupBy("shard").applyInArrow(by_group(_shared_elements), "block long, keys binary, idx binary, count binary")
     home = posted.filter("shard = -1").select("block", "shard", "keys", "idx", "count")
     both = home.unionByName(shared.select("block", F.lit(0).alias("shard"), "keys", "idx", "count"))
     maybe = both.groupBy("block").applyInArrow(by_group(_candidates), _CANDIDATES)
     maybe = materialize(maybe.join(rows, "rid").select("n", "c1", "c2", "tokens", "scan_cost", "subset_cost"), "maybe")
-    once = maybe.dropDuplicates(["n", "c1", "c2"]).join(classes, ["n", "c1", "c2"])
+    delete_table(posted)
+    # of a class whose rows lie in several blocks, one row goes on
+    once = maybe.groupBy("n", "c1", "c2").agg(F.first("tokens").alias("tokens"), F.first("scan_cost").alias("scan_cost"), F.first("subset_cost").alias("subset_cost"))
+    once = once.join(classes, ["n", "c1", "c2"])
     once = materialize(once.select(F.col("rep").alias("rid"), "n", "c1", "c2", "class_id", "tokens", "scan_cost", "subset_cost"), "survivors")
+    delete_table(maybe)
     lists = materialize(inverted_lists(once, size_boundary(once)), "entries")
-    several = lists.groupBy("token").agg(F.count("*").alias("entries")).filter("entries > 1").select("token")
-    lists = materialize(lists.join(several, "token"), "lists")
-    met = once.join(lists.select("rid").distinct(), "rid", "left_semi")
-    chosen = materialize(met.select("rid", "n", "c1", "c2", "class_id"), "chosen")
-    wanted = chosen.select("class_id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.join(wanted.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(wanted["class_id"]), "left_semi")
-    sets = materialize(_set_rows(texts, "text").dropDuplicates(["c1", "c2"]).join(chosen.drop("class_id"), ["c1", "c2"]), "sets")
+    several = lists.groupBy("token").agg(F.count("*").alias("entries")).filter("entries > 1")
+    entries, lists = lists, materialize(hot_join(lists, several, "token", "entries").select("token", "rid", "n"), "lists")
+    delete_table(entries)
+    chosen = once.join(lists.select("rid").distinct(), "rid", "left_semi")
+    chosen = materialize(chosen.select("rid", "n", "c1", "c2", "class_id"), "chosen")
+    delete_table(once)
+    sets = _set_rows(docs, chosen.select(F.col("class_id").alias("id"))).join(chosen.drop("class_id"), ["c1", "c2"])
+    sets = materialize(sets.groupBy("rid", "n").agg(F.first("elements").alias("elements"), F.first("bitmap").alias("bitmap")), "sets")
     labels = _join_lists(lists, sets, rounds)
+    for table in (lists, sets, chosen):
+        delete_table(table)
     placed = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    lowest = placed.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    placed = materialize(placed.join(lowest, "label").select("n", "c1", "c2", "class_id", "component_id"), "placed")
-    out = rows.join(placed, ["n", "c1", "c2"], "left")
+    lowest = placed.groupBy("label").agg(F.min("class_id").alias("component_id"), F.count("*").alias("classes"))
+    placed = materialize(hot_join(placed, lowest, "label", "classes").select("n", "c1", "c2", "class_id", "component_id", "copies"), "placed")
+    keyed = placed.withColumn("key", F.struct("n", "c1", "c2")).select("key", "class_id", "component_id", "copies")
+    out = hot_join(rows.withColumn("key", F.struct("n", "c1", "c2")), keyed, "key", "copies", "left")
     own = F.col("n") == 0
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a
-    temporary one that is then set on the context."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset and the master
+    is local (tests), a temporary one that is then set on the context."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -32,7 +36,9 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     for made in _open[-1:]:
         made.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
 #: Paths of the tables made so far in each open :func:`scratch`.
@@ -51,6 +57,31 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+def delete_table(table: DataFrame) -> None:
+    """Deletes a table of :func:`materialize` that nothing needs any more."""
+    delete(table.sparkSession, table.stored_at)
+
+
+#: A key is hot from this share of all rows, so at most so many keys are.
+HOT_KEYS = 1000
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``inner`` or ``left``) with ``keyed``, which has one row
+    for each key and, as ``weight``, how many rows the key may meet; the weight
+    is dropped.  Keys of at least one HOT_KEYS-th of all weights are at most
+    HOT_KEYS many: these are broadcast, so that their rows stay spread over all
+    tasks, and only the rest is shuffled by key."""
+    keyed = materialize(keyed, "keyed")
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    hot = keyed.filter(F.col(weight) * HOT_KEYS >= max(1, total)).filter(F.col(weight) > 1).drop(weight)
+    rest = keyed.filter(~((F.col(weight) * HOT_KEYS >= max(1, total)) & (F.col(weight) > 1))).drop(weight)
+    names = list(dict.fromkeys([*rows.columns, *hot.columns]))
+    met = rows.join(F.broadcast(hot), key).select(*names)
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how).select(*names)
+    return met.unionByName(others)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -184,6 +184,7 @@ def shingles(texts: Texts, width: int = 5) -> list[np.ndarray]:
     word = texts.hasher(lower)(starts, ends)
     borders = texts.of_rows(starts)
     odd = [U64((0xD6E8FEB86659FD93 * (2 * k + 1) ** 3) % 2**64 | 1) for k in range(width)]
+    odd_array = np.array(odd, U64)
     n = max(0, len(word) - width + 1)
     total = np.zeros(n, U64)
     for k in range(width):
@@ -194,8 +195,7 @@ def shingles(texts: Texts, width: int = 5) -> list[np.ndarray]:
         if b - a >= width:
             out.append(np.unique(total[a : b - width + 1]))
         elif b > a:
-            short = sum((word[a + k] * odd[k] for k in range(b - a)), U64(b - a))
-            out.append(mix(np.array([short], U64)))
+            out.append(mix((word[a:b] * odd_array[: b - a]).sum(keepdims=True) + U64(b - a)))
         else:
             out.append(np.zeros(0, U64))
     return out
