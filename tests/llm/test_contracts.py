@@ -316,15 +316,74 @@ def test_quality_rejects_noise(spark):
     assert not kept[999] and all(kept[i] for i in range(60))
 
 
-def test_kneser_ney_sums_to_one():
-    from tidelog.llm.text_arrays import Texts
-
-    raw = np.frombuffer(b"the cat sat on the mat and the dog sat on the log", np.uint8)
-    keys = quality.ngram_keys(Texts(raw, np.array([0, len(raw)]), 0))[0]
-    unique, counts = np.unique(keys, return_counts=True)
-    bits = quality.KneserNey(unique, counts).bits()
-    probability = (2.0**-bits.astype(float)).reshape(-1, quality.SYMBOLS).sum(1)
-    assert np.allclose(probability, 1, atol=1e-4)
+def plain_bits(texts: list[str], order: int = 5) -> dict:
+    """Mean bits of each text under interpolated modified Kneser-Ney over bytes."""
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode()) for t in texts]
+    counts = {order: Counter(t[i : i + order] for t in low for i in range(len(t) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(k[1:] for k in counts[n + 1])
+    cuts, mass, spare = {}, {}, {}
+    for n, own in counts.items():
+        m = [max(1, sum(v == k for v in own.values())) for k in range(1, 5)]
+        y = m[0] / (m[0] + 2 * m[1])
+        cuts[n] = [min(k, max(0.05, k - (k + 1) * y * m[k] / m[k - 1])) for k in (1, 2, 3)]
+        mass[n], spare[n] = Counter(), Counter()
+        for k, v in own.items():
+            mass[n][k[:-1]] += v
+            spare[n][k[:-1]] += cuts[n][min(v, 3) - 1]
+
+    def p(key: bytes) -> float:
+        n = len(key)
+        if n == 0:
+            return 1 / 256
+        v, m = counts[n][key], mass[n][key[:-1]]
+        return (v - cuts[n][min(v, 3) - 1]) / m + spare[n][key[:-1]] / m * p(key[1:])
+
+    return {t: sum(-np.log2(p(x[i : i + order])) for i in range(len(x) - order + 1)) / (len(x) - order + 1) for t, x in zip(texts, low) if len(x) >= order}
+
+
+def test_perplexity_matches_plain(spark, local):
+    texts = [r["text"] for r in local[:40] if r["text"]] + ["Пример текста на русском языке", "tiny", "", "abcde", "ABCDE", "% % % | | |"]
+    df = spark.createDataFrame([(i, t, "en" if i % 2 else None) for i, t in enumerate(texts)] + [(-1, None, "en")], "doc_id long, text string, lang string")
+    rows = quality.judge(df, ["doc_id"]).collect()
+    want = plain_bits(texts)
+    got = {r["doc_id"]: r["bits"] for r in rows}
+    assert len(rows) == len(texts) + 1 and got[-1] is None
+    for i, t in enumerate(texts):
+        assert (got[i] is None) == (t not in want)
+        if t in want:
+            assert got[i] == pytest.approx(want[t], rel=1e-9)
+
+
+def test_quality_verdicts_match_plain(spark, local, docs):
+    """Bands and verdicts of the whole table from the operator's own bits."""
+    rows = quality.judge(docs, ["doc_id", "lang"]).collect()
+    good = [r for r in rows if not r["base_failed"] and r["bits"] is not None]
+    middle = {k: sorted(r["bits"] for r in good if r["lang"] == k) for k in {r["lang"] for r in good}}
+    median = lambda x: sorted(x)[(len(x) - 1) // 2]
+    middle = {k: median(v) for k, v in middle.items()}
+    off = {k: [abs(r["bits"] - m) for r in good if r["lang"] == k] for k, m in middle.items()}
+    every = median([x for v in off.values() for x in v])
+    for r in rows:
+        v = off.get(r["lang"])
+        if v is None:
+            assert r["kept"] == (not r["base_failed"])
+            continue
+        drawn = (median(v) * len(v) + every * quality.PRIOR) / (len(v) + quality.PRIOR)
+        reach = max(0.04, drawn * 1.4826) * 5
+        inside = r["bits"] is None or abs(r["bits"] - middle[r["lang"]]) <= reach
+        assert r["kept"] == (not r["base_failed"] and inside)
+    assert sum(r["kept"] for r in good) > 0.9 * len(good)
+
+
+def test_quality_sees_other_scripts(spark):
+    """Noise in a script beyond ASCII is told from prose in it."""
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(0x430 + int(c)) for c in rng.integers(0, 32, int(n))) for n in rng.integers(3, 9, 30)]
+    prose_ = [(i, " ".join(words[int(k)] for k in rng.integers(0, 30, 120)), "ru") for i in range(50)]
+    noise = " ".join("".join(chr(0x430 + int(c)) for c in rng.integers(0, 32, 7)) for _ in range(120))
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame([*prose_, (99, noise, "ru")], "doc_id long, text string, lang string"), ["doc_id"]).collect()}
+    assert not kept[99] and all(kept[i] for i in range(50))
 
 
 # languages

@@ -1,15 +1,22 @@
 """Quality rules: counts of words, symbols and repetition, and n-gram perplexity.
 
-Texts are folded to 32 symbols (letters, digit, newline, ...), and Spark counts
-the n-grams of four symbols of all texts.  From these counts a modified
-Kneser-Ney model is made and kept as sorted key arrays with probabilities; the
-key space has 2**20 places, which bounds the model at 16 MB for any corpus.  A
-document's perplexity is compared with a lower and an upper bound that are
-taken from the documents of its own language (median and median deviation).
-
-Null text: no words, so the base rules reject it.  Texts under four symbols
-have no perplexity and are left to the base rules.  A null language is a group
-of its own.  Repeated rows count as often as they occur.
+Spark counts the n-grams of five bytes (A-Z lower-cased, nothing else folded) of
+all texts.  Continuation counts, discounts and the weights of contexts of a
+modified Kneser-Ney model are aggregations over these counts, so the model grows
+with what the corpus holds and is never in one place: it is a table of packed
+keys (an n-gram of five bytes is its own 40-bit hash) with their bits.  Texts go
+in blocks of some megabytes; a block asks the table for its distinct n-grams,
+gets them back as an array sorted by key, and looks its texts up there.
+
+A document's bits (mean of -log2 p over its n-grams) are compared with a lower
+and an upper band of its language: the median, less and plus some deviations.
+The deviation of a language is drawn to that of all documents as if ``PRIOR``
+more documents had it, so rare languages get a band too.
+
+Null text: no words, so the base rules reject it.  Texts under five bytes have
+no perplexity and are left to the base rules.  A null language is a group of
+its own.  Repeated rows count as often as they occur; equal texts get equal
+bits.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,39 +24,29 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.shared import materialize
+from tidelog.llm.shared import delete_table, hot_join, materialize
 from tidelog.llm.text_arrays import Texts, by_batch, char_starts, is_space, slices
 
-ORDER, BITS = 4, 5
-SYMBOLS = 1 << BITS
-#: Letters 0-25; then white space, newline, digit, other ASCII, first and later UTF-8 bytes.
-_FOLD = np.full(256, 29, np.uint32)
-for _b in range(256):
-    if chr(_b).isascii() and chr(_b).isalpha():
-        _FOLD[_b] = ord(chr(_b).lower()) - 97
-    elif _b == 0x0A:
-        _FOLD[_b] = 27
-    elif _b in (0x20, 0x09, 0x0B, 0x0C, 0x0D):
-        _FOLD[_b] = 26
-    elif 48 <= _b < 58:
-        _FOLD[_b] = 28
-    elif _b >= 0x80:
-        _FOLD[_b] = 30 if _b >= 0xC0 else 31
+ORDER = 5
+BLOCK_BYTES = 16 << 20
+#: Documents that the deviation of all languages counts as.
+PRIOR = 30
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
 def ngram_keys(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all n-grams and, for each row, the borders between them."""
-    fold = _FOLD[texts.data]
-    n = max(0, len(fold) - ORDER + 1)
-    keys = np.zeros(n, np.uint32)
+    """Packed keys of all n-grams and, for each row, the borders between them."""
+    lower = texts.lowered().astype(np.int64)
+    n = max(0, len(lower) - ORDER + 1)
+    keys = np.zeros(n, np.int64)
     for k in range(ORDER):
-        keys = (keys << np.uint32(BITS)) | fold[k : k + n]
+        keys = (keys << 8) | lower[k : k + n]
     keep = np.ones(n, bool)
     for end in texts.offsets[1:].tolist():
         keep[max(0, end - ORDER + 1) : end] = False
@@ -57,65 +54,6 @@ def ngram_keys(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return keys[keep], total[np.minimum(texts.offsets, n)]
 
 
-def count_ngrams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, n): counts over every text; each task sends a key once."""
-
-    def run(batches):
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
-        for batch in batches:
-            for texts in slices(batch.column(0)):
-                total += np.bincount(ngram_keys(texts)[0], minlength=len(total))
-        keys = np.flatnonzero(total)
-        for i in range(0, len(keys), 65536):
-            part = keys[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], names=["key", "n"])
-
-    return docs.select(text_col).mapInArrow(by_batch(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more."""
-    n = [max(1, int((counts == k).sum())) for k in range(1, 5)]
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.array([0.0, *(min(k, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3))])
-
-
-class KneserNey:
-    """Sorted n-gram keys of each order with their discounted probabilities,
-    and the weights of contexts for backing off."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        keys, counts = keys[order].astype(np.int64), counts[order].astype(np.float64)
-        self.levels = []
-        for level in range(ORDER, 0, -1):
-            context = keys >> BITS
-            contexts, place = np.unique(context, return_inverse=True)
-            mass = np.bincount(place, counts)
-            cut = _discounts(counts)[np.minimum(counts, 3).astype(int)]
-            spare = np.bincount(place, cut) / mass if len(mass) else mass
-            self.levels.append((keys.astype(np.int32), ((counts - cut) / mass[place]).astype(np.float32), contexts.astype(np.int32), spare.astype(np.float32)))
-            if level > 1:  # lower orders count the distinct symbols before them
-                keys, counts = np.unique(keys & (SYMBOLS ** (level - 1) - 1), return_counts=True)
-                counts = counts.astype(np.float64)
-
-    def bits(self) -> np.ndarray:
-        """-log2 of the probability of every key, for look-up by key."""
-        lower = np.full(SYMBOLS, 1 / SYMBOLS)
-        for size, (keys, seen, contexts, spare) in enumerate(reversed(self.levels), 1):
-            weight = np.ones(SYMBOLS ** (size - 1))
-            weight[contexts] = spare
-            lower = np.tile(lower.reshape(-1, SYMBOLS), (max(1, SYMBOLS ** (size - 1) * SYMBOLS // lower.size), 1)) * weight[:, None]
-            lower = lower.ravel()
-            lower[keys] += seen
-        return -np.log2(lower).astype(np.float32)
-
-
-def fit(docs: DataFrame, text_col: str = "text") -> KneserNey:
-    counted = count_ngrams(docs, text_col).toPandas()  # at most 2**20 rows
-    return KneserNey(counted["key"].to_numpy(np.int64), counted["n"].to_numpy(np.int64))
-
-
 def text_counts(texts: Texts) -> dict[str, np.ndarray]:
     """The base counts of each row."""
     data = texts.data
@@ -153,73 +91,168 @@ def text_counts(texts: Texts) -> dict[str, np.ndarray]:
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_dense: dict[str, np.ndarray] = {}
+_BLOCK_FIELDS = (("block", pa.int64()), ("keys", pa.binary()), ("times", pa.binary()))
+
 
+def _merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with the sums of their times."""
+    every, n = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *times])
+    unique, place = np.unique(every, return_inverse=True)
+    return unique, np.bincount(place, n, len(unique)).astype(np.int64)
 
-def measure(docs: DataFrame, model: KneserNey, keep: list[str], text_col: str = "text") -> DataFrame:
-    """(*keep, the base counts, bits): bits is the mean of -log2 p over a text's
-    n-grams, null without any."""
-    import uuid
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    name = uuid.uuid4().hex
-    passed = text_col in keep
-    chosen = docs.select(text_col, *[c for c in keep if c != text_col])
-    names = chosen.columns[0 if passed else 1 :]
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (text, row) with base counts and a block number, and one row more
+    for each block: its distinct n-grams and how often they occur there."""
+    row_type = rows.schema["row"].dataType
+    fields = [T.StructField("text", T.StringType()), T.StructField("row", row_type), *(T.StructField(c, T.LongType()) for c in COUNTS)]
+    fields += [T.StructField("block", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("times", T.BinaryType())]
 
     def run(batches):
-        if name not in _dense:
-            _dense.clear()
-            _dense[name] = shared.value.bits()
-        table = _dense[name]
+        block, size = TaskContext.get().partitionId() << 32, 0
+        keys: list[np.ndarray] = []
+        times: list[np.ndarray] = []
+        schema = None
+
+        def closed():
+            unique, n = _merged(keys, times)
+            values = {"block": block, "keys": unique.tobytes(), "times": n.tobytes()}
+            return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
+
         for batch in batches:
-            parts: dict[str, list[np.ndarray]] = {k: [] for k in (*COUNTS, "bits")}
             for texts in slices(batch.column(0)):
-                for k, v in text_counts(texts).items():
-                    parts[k].append(v)
-                keys, borders = ngram_keys(texts)
-                total = np.concatenate([[0.0], np.cumsum(table[keys], dtype=np.float64)])
-                n = np.diff(borders)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    parts["bits"].append((total[borders[1:]] - total[borders[:-1]]) / n)
-            arrays = [pa.array(np.concatenate([*v, np.zeros(0)]), pa.float64(), from_pandas=True) if k == "bits" else pa.array(np.concatenate([*v, np.zeros(0, np.int64)]), pa.int64()) for k, v in parts.items()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[0 if passed else 1 :], *arrays], names=[*names, *parts])
+                if schema is None:
+                    schema = pa.schema([("text", batch.column(0).type), ("row", batch.column(1).type), *((c, pa.int64()) for c in COUNTS), *_BLOCK_FIELDS])
+                part = batch.slice(texts.first, len(texts))
+                counts = text_counts(texts)
+                none = pa.nulls(len(texts), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(counts[c], pa.int64()) for c in COUNTS), pa.array(np.full(len(texts), block)), none, none], schema=schema)
+                unique, n = np.unique(ngram_keys(texts)[0], return_counts=True)
+                keys.append(unique)
+                times.append(n)
+                size += len(texts.data)
+                if len(keys) == 8:
+                    keys[:], times[:] = ([x] for x in _merged(keys, times))
+                if size > BLOCK_BYTES:
+                    yield closed()
+                    block, size = block + 1, 0
+                    keys.clear()
+                    times.clear()
+        if keys:
+            yield closed()
+
+    return rows.mapInArrow(by_batch(run), T.StructType(fields))
+
+
+def asked_ngrams(blocks: DataFrame) -> DataFrame:
+    """(block, key, n) for every block's distinct n-grams."""
 
-    fields = [*chosen.schema.fields[0 if passed else 1 :], *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("bits", T.DoubleType())]
-    return chosen.mapInArrow(by_batch(run), T.StructType(fields))
+    def run(batches):
+        for batch in batches:
+            for block, keys, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                keys, times = np.frombuffer(keys, np.int64), np.frombuffer(times, np.int64)
+                for i in range(0, len(keys), 65536):
+                    part = keys[i : i + 65536]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part), pa.array(times[i : i + 65536])], names=["block", "key", "n"])
 
+    return blocks.filter("keys is not null").select("block", "keys", "times").mapInArrow(by_batch(run), "block long, key long, n long")
 
-def language_bands(measured: DataFrame, lang_col: str, width: float = 5.0, least_spread: float = 0.04, least_docs: int = 30) -> DataFrame:
-    """(lang, low, high): bounds of bits for each language: the median less and
-    plus ``width`` deviations; open for a language of few documents."""
-    middle = measured.groupBy(F.col(lang_col).alias("band")).agg(F.percentile_approx("bits", 0.5, 10000).alias("middle"), F.count("bits").alias("docs"))
-    near = measured.join(middle, F.col(lang_col).eqNullSafe(F.col("band"))).select("band", "middle", "docs", F.abs(F.col("bits") - F.col("middle")).alias("off"))
-    spread = near.groupBy("band").agg(F.first("middle").alias("middle"), F.first("docs").alias("docs"), F.percentile_approx("off", 0.5, 10000).alias("off"))
-    reach = F.greatest(F.lit(least_spread), F.col("off") * 1.4826) * width
-    return spread.select("band", F.when(F.col("docs") >= least_docs, F.col("middle") - reach).alias("low"), F.when(F.col("docs") >= least_docs, F.col("middle") + reach).alias("high"))
 
+def _discounts(counted: DataFrame) -> list[float]:
+    """Modified Kneser-Ney discounts for counts 1, 2 and 3 or more."""
+    n = counted.agg(*[F.greatest(F.lit(1), F.count_if(F.col("n") == k)) for k in range(1, 5)]).first()
+    y = n[0] / (n[0] + 2 * n[1])
+    return [min(k, max(0.05, k - (k + 1) * y * n[k] / n[k - 1])) for k in (1, 2, 3)]
 
-def fit_bands(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least_words: int = 50, most_repeated: float = 0.5, width: float = 5.0) -> tuple[KneserNey, DataFrame]:
-    """The model of all texts and the bands of all languages."""
-    model = fit(docs, text_col)
-    measured = materialize(_with_base(measure(docs, model, [lang_col], text_col), least_words, most_repeated), "measured")
-    return model, materialize(language_bands(measured.filter(~F.col("base_failed")), lang_col, width), "bands")
 
+def kneser_ney(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, p) for every n-gram of ``counted`` (key, n; keys of ``order`` bytes).
 
-def _with_base(measured: DataFrame, least_words: int, most_repeated: float) -> DataFrame:
-    return measured.withColumn("base_failed", (F.col("n_words") < least_words) | (F.col("n_repeat_words") > most_repeated * F.col("n_words")))
+    A context has at most 256 next bytes and an n-gram at most 256 bytes before
+    it, so no group or join key is larger than that, whatever the corpus.
+    """
+    levels = [counted]
+    for level in range(order - 1, 0, -1):  # lower orders count the distinct bytes before them
+        shorter = levels[-1].groupBy(F.col("key").bitwiseAND((1 << 8 * level) - 1).alias("key")).agg(F.count("*").alias("n"))
+        levels.append(materialize(shorter, "ngrams"))
+    lower = None
+    for level, table in zip(range(1, order + 1), reversed(levels), strict=True):
+        one, two, more = _discounts(table)
+        cut = F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)
+        context = Window.partitionBy(F.shiftright("key", 8))
+        mass, spare = F.sum("n").over(context), F.sum("cut").over(context)
+        own = table.withColumn("cut", cut).withColumn("mass", mass).withColumn("spare", spare / mass)
+        own = own.select("key", ((F.col("n") - F.col("cut")) / F.col("mass")).alias("seen"), "spare")
+        if lower is None:
+            lower = own.select("key", (F.col("seen") + F.col("spare") / 256).alias("p"))
+        else:
+            own = own.withColumn("suffix", F.col("key").bitwiseAND((1 << 8 * (level - 1)) - 1))
+            lower = own.join(lower.withColumnsRenamed({"key": "suffix", "p": "less"}), "suffix").select("key", (F.col("seen") + F.col("spare") * F.col("less")).alias("p"))
+        lower = materialize(lower, "model")
+    return lower
+
+
+def measure(docs: DataFrame, keep: list[str], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(text, lang, row, base counts, bits) of every document: ``row`` holds the
+    columns of ``keep`` but the text's, bits the mean of -log2 p over the text's
+    n-grams, null without any.  The text is null unless it is in ``keep``."""
+    carried = F.struct(F.col(lang_col).alias("lang"), F.struct(*[F.col(c) for c in keep if c != text_col] or [F.lit(0).alias("none")]).alias("row"))
+    blocks = materialize(in_blocks(docs.select(F.col(text_col).alias("text"), carried.alias("row"))), "blocks")
+    asked = materialize(asked_ngrams(blocks), "asked")
+    model = kneser_ney(materialize(asked.groupBy("key").agg(F.sum("n").alias("n")), "ngrams"))
+    told = asked.select("block", "key").join(model.select("key", (-F.log2("p")).alias("bits")), "key")
+    with_text = text_col in keep
+    rows = blocks.filter("keys is null").select("text", "row", *COUNTS, "block")
+    fields = [*(f for f in rows.schema.fields if f.name != "block"), T.StructField("bits", T.DoubleType())]
+
+    def score(rows, told):
+        told = told.sort_by("key")
+        keys, bits = told.column("key").to_numpy(), told.column("bits").to_numpy()
+        out = [np.zeros(0)]
+        for texts in slices(rows.column("text")):
+            own, borders = ngram_keys(texts)
+            total = np.concatenate([[0.0], np.cumsum(bits[np.searchsorted(keys, own)])])
+            with np.errstate(invalid="ignore"):
+                out.append((total[borders[1:]] - total[borders[:-1]]) / np.diff(borders))
+        rows = rows.drop_columns(["block"])
+        if not with_text:
+            rows = rows.set_column(0, "text", pa.nulls(rows.num_rows, rows.column("text").type))
+        return rows.append_column("bits", pa.array(np.concatenate(out), pa.float64(), from_pandas=True))
+
+    scored = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, T.StructType(fields))
+    scored = materialize(scored.select("text", F.col("row.lang").alias("lang"), F.col("row.row").alias("row"), *COUNTS, "bits"), "measured")
+    for table in (blocks, asked, model):
+        delete_table(table)
+    return scored
+
+
+def language_bands(measured: DataFrame, width: float = 5.0, least_spread: float = 0.04) -> DataFrame:
+    """(band, docs, low, high): bounds of bits for each language (``band``): its
+    median less and plus ``width`` deviations."""
+    whole = measured.agg(F.percentile_approx("bits", 0.5, 10000).alias("middle")).first()["middle"]
+    middle = materialize(measured.groupBy("band").agg(F.coalesce(F.percentile_approx("bits", 0.5, 10000), F.lit(whole)).alias("middle"), F.count("*").alias("docs")), "middle")
+    near = hot_join(measured.select("band", "bits"), middle.withColumn("rows", F.col("docs")), "band", "rows").select("band", "middle", "docs", F.abs(F.col("bits") - F.col("middle")).alias("off"))
+    near = materialize(near, "off")
+    every = near.agg(F.percentile_approx("off", 0.5, 10000).alias("off")).first()["off"] or 0.0
+    spread = near.groupBy("band").agg(F.first("middle").alias("middle"), F.first("docs").alias("docs"), F.coalesce(F.percentile_approx("off", 0.5, 10000), F.lit(0.0)).alias("off"))
+    drawn = (F.col("off") * F.col("docs") + every * PRIOR) / (F.col("docs") + PRIOR)
+    reach = F.greatest(F.lit(least_spread), drawn * 1.4826) * width
+    return spread.select("band", "docs", (F.col("middle") - reach).alias("low"), (F.col("middle") + reach).alias("high"))
 
 
 def judge(docs: DataFrame, keep: list[str], lang_col: str = "lang", text_col: str = "text", least_words: int = 50, most_repeated: float = 0.5, width: float = 5.0) -> DataFrame:
     """(*keep, base counts, bits, perplexity, low, high, base_failed, kept).
 
-    ``keep`` may hold any columns of ``docs``, the text too; the bands' pass and
-    the verdicts' pass both read the texts, so that no text is shuffled.
+    ``keep`` may hold any columns of ``docs``, the text too, under any names but
+    those of the other results.  Bands come from the documents that the base
+    rules pass; where there are none, nothing is rejected by perplexity.
     """
-    model, bands = fit_bands(docs, lang_col, text_col, least_words, most_repeated, width)
-    kept = list(dict.fromkeys([*keep, lang_col]))
-    measured = _with_base(measure(docs, model, kept, text_col), least_words, most_repeated)
-    out = measured.join(F.broadcast(bands), F.col(lang_col).eqNullSafe(F.col("band")), "left").drop("band")  # a row for each language
+    band: Column = F.when(F.col("lang").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("lang").cast("string")))
+    measured = measure(docs, keep, lang_col, text_col).withColumn("band", band)
+    failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") > most_repeated * F.col("n_words"))
+    measured = measured.withColumn("base_failed", failed)
+    bands = language_bands(measured.filter(~failed & F.col("bits").isNotNull()), width)
+    out = hot_join(measured, bands, "band", "docs", "left")
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(True))
-    out = out.withColumn("perplexity", F.pow(F.lit(2.0), "bits")).withColumn("kept", ~F.col("base_failed") & inside)
-    return out if lang_col in keep else out.drop(lang_col)
+    columns = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in keep]
+    return out.select(*columns, *COUNTS, "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "low", "high", "base_failed", (~F.col("base_failed") & inside).alias("kept"))
