@@ -9,18 +9,21 @@ cross-parsing entropy), is predicted.  Parsing starts anew every
 array look-ups and a long text never holds up a task.
 
 Text is folded to lower-case letters, UTF-8 bytes and one blank for each run of
-anything else.  ``und`` with score 0 where the text is null or has no letter, or
-where nothing was learned.  Null or unlabelled training rows are not used.
+anything else.  ``und`` with score 0 where the text is null or has no letter
+(Unicode categories L*), or where nothing was learned.  Of equal entropies the
+smallest language name wins.  Null or unlabelled training rows are not used.
+Repeated training rows count once for an id; repeated rows are predicted alike.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,49 +112,73 @@ def phrases(automaton: Automaton, symbols: np.ndarray, starts: np.ndarray, lengt
     return count
 
 
-def cross_entropy(automata: dict[str, Automaton], texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """(rows x languages) normalised phrases per symbol, and which rows have a letter."""
-    symbols, borders = fold(texts)
-    letters = np.concatenate([[0], np.cumsum(symbols != BLANK)])
-    lettered = letters[borders[1:]] > letters[borders[:-1]]
-    blocks = -(-np.diff(borders) // BLOCK)
-    row = np.repeat(np.arange(len(texts)), blocks)
-    first = np.cumsum(blocks) - blocks
-    starts = borders[:-1][row] + (np.arange(len(row)) - first[row]) * BLOCK
-    lengths = np.minimum(borders[1:][row] - starts, BLOCK)
-    order = np.argsort(-lengths, kind="stable")
-    out = np.zeros((len(texts), len(automata)))
-    n = np.maximum(1, np.diff(borders))
-    for k, automaton in enumerate(automata.values()):
-        count = phrases(automaton, symbols, starts[order], lengths[order])
-        out[:, k] = np.bincount(row[order], count, minlength=len(texts)) * np.log2(automaton.size + 2) / n
-    return out, lettered
-
-
-_LETTER = re.compile(r"[^\W\d_]")
-_built: dict[str, dict[str, Automaton]] = {}
-
-
-def sample_texts(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", docs_per_language: int = 64, bytes_per_language: int = 32768) -> dict[str, bytes]:
-    """At most ``docs_per_language`` texts of a language, picked by a hash of
-    the id, and ``bytes_per_language`` bytes of them (in equal shares)."""
-    usable = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    pick = F.xxhash64(F.lit("language"), id_col)
-    ranked = usable.select(F.col(lang_col).alias("lang"), pick.alias("pick")).distinct()
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("pick"))).filter(F.col("rank") <= docs_per_language)
-    share = bytes_per_language // 8
-    texts = usable.select(F.col(lang_col).alias("lang"), pick.alias("pick"), F.substring(text_col, 1, share).alias("text")).join(F.broadcast(ranked.select("lang", "pick")), ["lang", "pick"])
-    rows = texts.orderBy("lang", "pick", "text").collect()  # languages x docs_per_language rows
+class _Blocks:
+    """The folded rows of a slice, cut into blocks, longest first."""
+
+    def __init__(self, texts: Texts):
+        self.symbols, borders = fold(texts)
+        letters = np.concatenate([[0], np.cumsum(self.symbols != BLANK)])
+        self.lettered = letters[borders[1:]] > letters[borders[:-1]]
+        # bytes over 127 may be letters or not: only then ask Unicode
+        plain = texts.per_row(np.isin(texts.data, _ASCII_LETTERS))
+        for i in np.flatnonzero(self.lettered & (plain == 0)).tolist():
+            self.lettered[i] = _LETTER.search(texts.text(i)) is not None
+        blocks = -(-np.diff(borders) // BLOCK)
+        row = np.repeat(np.arange(len(texts)), blocks)
+        first = np.cumsum(blocks) - blocks
+        starts = borders[:-1][row] + (np.arange(len(row)) - first[row]) * BLOCK
+        lengths = np.minimum(borders[1:][row] - starts, BLOCK)
+        order = np.argsort(-lengths, kind="stable")
+        self.row, self.starts, self.lengths = row[order], starts[order], lengths[order]
+        self.n = np.maximum(1, np.diff(borders))
+
+    def entropy(self, automaton: Automaton) -> np.ndarray:
+        """Normalised phrases per symbol of each row."""
+        count = phrases(automaton, self.symbols, self.starts, self.lengths)
+        return np.bincount(self.row, count, minlength=len(self.n)) * np.log2(automaton.size + 2) / self.n
+
+
+_ASCII_LETTERS = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8)
+_LETTER = regex.compile(r"\p{L}")
+#: Automata that a worker holds at a time; with more languages they take turns.
+AUTOMATA_HELD = 8
+_built: dict[tuple[str, str], Automaton] = {}
+
+
+def _automaton(name: str, lang: str, text: bytes) -> Automaton:
+    for key in [k for k in _built if k[0] != name]:
+        del _built[key]
+    if (name, lang) not in _built:
+        while len(_built) >= AUTOMATA_HELD:
+            del _built[next(iter(_built))]
+        _built[name, lang] = automaton_of(text)
+    return _built[name, lang]
+
+
+def sample_texts(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", docs_per_language: int = 64, bytes_per_language: int = 49152) -> dict[str, bytes]:
+    """Whole texts of each language: of at most ``docs_per_language`` rows, in the
+    order of a hash of the id, those that fit into ``bytes_per_language`` bytes
+    one after the other; the shortest text where none fits.  The two parameters
+    bound what the automata are made from."""
+    usable = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("language"), id_col).alias("pick"))
+    usable = usable.filter("lang is not null and text is not null").withColumn("bytes", F.octet_length("text"))
+    # a language of any size is ranked part by part, then among the parts' first rows
+    parts = usable.filter(F.col("bytes") <= bytes_per_language).groupBy("lang", "pick").agg(F.min("bytes").alias("bytes")).withColumn("part", F.pmod("pick", F.lit(64)))
+    for keys in (["lang", "part"], ["lang"]):
+        parts = parts.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("pick"))).filter(F.col("rank") <= docs_per_language)
+    least = usable.groupBy("lang").agg(F.min_by(F.struct("pick", "bytes"), F.struct("bytes", "pick")).alias("least")).filter(F.col("least.bytes") > bytes_per_language)
+    chosen = parts.select("lang", "pick").unionByName(least.select("lang", "least.pick"))
+    texts = usable.join(F.broadcast(chosen), ["lang", "pick"]).groupBy("lang", "pick").agg(F.min_by("text", F.struct("bytes", "text")).alias("text"))
     out: dict[str, bytes] = {}
-    for r in rows:
-        have = out.get(r["lang"], b"")
-        if len(have) < bytes_per_language:
-            out[r["lang"]] = have + r["text"].encode()[: bytes_per_language - len(have)] + b" "
+    for r in texts.orderBy("lang", "pick").collect():  # languages x docs_per_language rows
+        have, more = out.get(r["lang"], b""), r["text"].encode() + b" "
+        if not have or len(have) + len(more) <= bytes_per_language + docs_per_language:
+            out[r["lang"]] = have + more
     return {k: v for k, v in sorted(out.items()) if v.strip()}
 
 
-def automata_of(sample: dict[str, bytes]) -> dict[str, Automaton]:
-    return {lang: Automaton(fold(Texts(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 0))[0]) for lang, text in sample.items()}
+def automaton_of(text: bytes) -> Automaton:
+    return Automaton(fold(Texts(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 0))[0])
 
 
 def predict(docs: DataFrame, sample: dict[str, bytes], keep: list[str], text_col: str = "text") -> DataFrame:
@@ -160,30 +187,24 @@ def predict(docs: DataFrame, sample: dict[str, bytes], keep: list[str], text_col
     shared = docs.sparkSession.sparkContext.broadcast(sample)
     name = uuid.uuid4().hex
     chosen = docs.select(F.col(text_col).alias("text"), *keep)
+    langs = np.array([*sample, "und"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _built:
-            _built.clear()
-            _built[name] = automata_of(shared.value)
-        automata = _built[name]
-        langs = np.array([*automata, "und"])
         for batch in batches:
-            best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
-            for texts in slices(batch.column(0), 4 << 20):
-                entropy, lettered = cross_entropy(automata, texts)
-                # bytes over 127 may be letters or not: only then ask Unicode
-                ascii_letters = np.isin(texts.data, np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
-                for i in np.flatnonzero(lettered & (texts.per_row(ascii_letters) == 0)).tolist():
-                    lettered[i] = _LETTER.search(texts.text(i)) is not None
-                if not automata:
-                    lettered[:] = False
-                    entropy = np.zeros((len(texts), 1))
-                at = entropy.argmin(axis=1)
-                ranked = np.sort(entropy, axis=1)
-                sure = 1 - ranked[:, 0] / np.maximum(ranked[:, 1], 1e-9) if ranked.shape[1] > 1 else np.ones(len(texts))
-                best.append(np.where(lettered, at, len(langs) - 1))
-                score.append(np.where(lettered, np.clip(sure, 0, 1), 0.0))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs[np.concatenate(best)].tolist(), pa.string()), pa.array(np.concatenate(score), pa.float64())], names=[*keep, "lang_pred", "score"])
+            rows = [_Blocks(texts) for texts in slices(batch.column(0), 4 << 20)]
+            lettered = np.concatenate([np.zeros(0, bool), *[r.lettered for r in rows]])
+            best, second = np.full(len(lettered), np.inf), np.full(len(lettered), np.inf)
+            at = np.full(len(lettered), len(langs) - 1)
+            for k, (lang, text) in enumerate(shared.value.items()):
+                automaton = _automaton(name, lang, text)
+                entropy = np.concatenate([np.zeros(0), *[r.entropy(automaton) for r in rows]])
+                better = entropy < best
+                second = np.where(better, best, np.minimum(second, entropy))
+                at, best = np.where(better, k, at), np.minimum(best, entropy)
+            sure = np.where(np.isfinite(second), 1 - best / np.where(np.isfinite(second), np.maximum(second, 1e-9), 1.0), 1.0)
+            found = lettered & np.isfinite(best)
+            at, score = np.where(found, at, len(langs) - 1), np.where(found, np.clip(np.nan_to_num(sure), 0, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs[at].tolist(), pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     fields = [*chosen.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     return chosen.mapInArrow(by_batch(run), T.StructType(fields))
