@@ -10,11 +10,15 @@ candidate run is decoded and reported only when its structure proves a key:
   opens with a version INTEGER or an algorithm identifier, as keys do;
 * ``ssh``: an SSH key blob, length-prefixed fields that fill exactly and open
   with a key type name, or the new private key header;
-* ``pem``: a private key block between BEGIN and END lines whose body decodes.
-
-Positions are code points, end exclusive.  Null text: no span.  Spans of one
-kind never overlap; spans of different kinds may.  Whole texts are scanned;
-prefilters look for bytes that every match must hold.
+* ``pem``: a private key block between BEGIN and END lines whose body decodes
+  to a key of one of these forms, to an encrypted one, or, where its header
+  lines say that it is encrypted, to whole cipher blocks.
+
+A key has at least ``LEAST_KEY`` bytes in one of its parts.  Positions are code
+points, end exclusive.  Null text: no span.  Spans of one kind never overlap;
+spans of different kinds may.  Whole texts are scanned; prefilters look for
+bytes that every match must hold.  Rows are scanned one by one, so repeated rows
+are harmless; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,14 +40,15 @@ KINDS = ("assign", "access", "hex", "token", "der", "ssh", "pem")
 BASE_KINDS = KINDS[:3]
 _ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(?:\\n|[\x20\x09-\x0D]|[A-Za-z0-9+/=])*-----END \1-----")
+_GAP = rb"(?:\\[nr]|[\x20\x09-\x0D])"
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(" + _GAP + rb"*+(?:[A-Za-z0-9-]++:[^\n\\]*+" + _GAP + rb"++)*+)((?:\\[nr]|[\x20\x09-\x0D]|[A-Za-z0-9+/=])*+)-----END \1-----")
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 _CODED = np.zeros(256, bool)
 _CODED[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-")] = True
-#: Shortest run that can hold a key: an elliptic curve key in DER has 48 bytes.
-LEAST_CODED = 48
+#: Bytes of a key's own material, and the shortest base64 run that can hold them.
+LEAST_KEY, LEAST_CODED = 16, 24
 
 
 def _decode64(run: bytes) -> bytes | None:
@@ -78,26 +83,36 @@ def _der_items(data: bytes) -> list[tuple[int, bytes]] | None:
 def is_der_key(data: bytes) -> bool:
     """A SEQUENCE of key parts: version and integers, version and octets, or
     an algorithm identifier and a bit string."""
-    if len(data) < 40 or data[0] != 0x30:
-        return False
-    top = _der_items(data)
-    if not top or len(top) != 1:
-        return False
-    parts = _der_items(top[0][1])
-    if not parts or len(parts) < 2:
+    parts = _der_parts(data)
+    if not parts or len(parts) < 2 or max(len(p) for _, p in parts) < LEAST_KEY:
         return False
     tags = [t for t, _ in parts]
     if tags[0] == 0x02 and len(parts[0][1]) == 1:
         return tags[1] in (0x02, 0x04) or (tags[1] == 0x30 and len(tags) > 2 and tags[2] == 0x04)
-    if tags[:2] == [0x30, 0x03]:
-        inner = _der_items(parts[0][1])
-        return bool(inner) and inner[0][0] == 0x06
-    return False
+    return tags[:2] == [0x30, 0x03] and _opens_with_name(parts[0][1])
+
+
+def is_encrypted_key(data: bytes) -> bool:
+    """A SEQUENCE of an algorithm identifier and octets."""
+    parts = _der_parts(data)
+    return bool(parts) and [t for t, _ in parts] == [0x30, 0x04] and len(parts[1][1]) >= LEAST_KEY and _opens_with_name(parts[0][1])
+
+
+def _der_parts(data: bytes) -> list[tuple[int, bytes]] | None:
+    if not data or data[0] != 0x30:
+        return None
+    top = _der_items(data)
+    return _der_items(top[0][1]) if top and len(top) == 1 else None
+
+
+def _opens_with_name(data: bytes) -> bool:
+    inner = _der_items(data)
+    return bool(inner) and inner[0][0] == 0x06
 
 
 def is_ssh_key(data: bytes) -> bool:
     if data.startswith(b"openssh-key-v1\x00"):
-        return True
+        return len(data) >= 15 + LEAST_KEY
     fields, i = [], 0
     while i < len(data):
         n = int.from_bytes(data[i : i + 4], "big")
@@ -105,28 +120,80 @@ def is_ssh_key(data: bytes) -> bool:
             return False
         fields.append(data[i + 4 : i + 4 + n])
         i += 4 + n
-    return len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
+    return len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None and max(map(len, fields[1:])) >= LEAST_KEY
 
 
-def is_signed_token(run: bytes) -> bool:
-    parts = run.split(b".")
-    if len(parts) != 3 or len(parts[2]) < 16:
+def is_private_block(header: bytes, body: bytes) -> bool:
+    """Whether what stands between BEGIN and END lines is a private key."""
+    data = _decode64(re.sub(rb"\\[nr]|[\x20\x09-\x0D]", b"", body))
+    if not data:
         return False
+    if b"ENCRYPTED" in header:
+        return len(data) >= LEAST_KEY and len(data) % 8 == 0
+    return is_der_key(data) or is_encrypted_key(data) or is_ssh_key(data)
+
+
+_JSON = json.JSONDecoder()
+_URL64 = rb"[A-Za-z0-9_-]"
+_TAIL, _PREFIX, _WHOLE = re.compile(_URL64 + rb"*$"), re.compile(_URL64 + rb"*"), re.compile(_URL64 + rb"+")
+
+
+def _object(coded: bytes) -> dict | None:
+    """The JSON object that a part of a signed token decodes to."""
     try:
-        head, body = (json.loads(_decode64(p) or b"x") for p in parts[:2])
-    except ValueError:
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+        found = json.loads(_decode64(coded) or b"x")
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def _header_at(tail: bytes) -> int | None:
+    """Where in ``tail`` a token's header begins that fills it to the end.  Each
+    of the four alignments is decoded once, however many places may open one."""
+    decoded: dict[int, str | None] = {}
+    for m in re.finditer(rb"e[wy]", tail):
+        turn = m.start() % 4
+        if turn not in decoded:
+            data = _decode64(tail[turn:])
+            decoded[turn] = data.decode("latin-1") if data else None
+        text = decoded[turn]
+        if text is None:
+            continue
+        try:
+            found, end = _JSON.raw_decode(text, (m.start() - turn) // 4 * 3)
+        except (ValueError, RecursionError):
+            continue
+        if end == len(text.rstrip()) and isinstance(found, dict) and isinstance(found.get("alg"), str):
+            return m.start()
+    return None
+
+
+def signed_tokens(run: bytes) -> list[tuple[int, int]]:
+    """All signed tokens of a run of coded characters: header, body and a
+    signature of at least 16 characters, joined by dots."""
+    parts = run.split(b".")
+    starts = np.cumsum([0, *(len(p) + 1 for p in parts)]).tolist()
+    out, free = [], 0
+    for i in range(len(parts) - 2):
+        sign = _PREFIX.match(parts[i + 2])[0]
+        if len(sign) < 16 or not _WHOLE.fullmatch(parts[i + 1]) or not parts[i]:
+            continue
+        tail = _TAIL.search(parts[i])
+        begin = max(starts[i] + tail.start(), free)
+        at = _header_at(run[begin : starts[i] + len(parts[i])])
+        if at is not None and _object(parts[i + 1]) is not None:
+            free = starts[i + 2] + len(sign.rstrip(b"-"))
+            out.append((begin + at, free))
+    return out
 
 
 def _structures(run: bytes, at: int) -> list[tuple[str, int, int]]:
     """Confirmed spans within one run of coded characters that starts at ``at``."""
-    head = run.find(b"eyJ")
-    if head >= 0 and run.count(b".") >= 2 and is_signed_token(run[head:].rstrip(b".=-")):
-        return [("token", at + head, at + head + len(run[head:].rstrip(b".=-")))]
-    out = []
+    out = [("token", at + a, at + b) for a, b in signed_tokens(run)] if run.count(b".") >= 2 else []
     for m in re.finditer(rb"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_CODED, run):
         text = m[0]
+        if any(a < at + m.end() and at + m.start() < b for _, a, b in out):
+            continue
         readings = [_decode64(text)]
         if len(text) % 2 == 0 and re.fullmatch(rb"[0-9A-Fa-f]+", text):
             readings.append(bytes.fromhex(text.decode()))
@@ -165,7 +232,7 @@ def spans_of(texts: Texts) -> list[list[tuple[str, int, int]]]:
                 at = low.find(name, bounds[r + 1])
         for r in rows:
             for m in pattern.finditer(raw[bounds[r] : bounds[r + 1]]):
-                if kind == "assign" and len(m[1]) < 6 or kind == "access" and len(m[0]) < 20:
+                if kind == "assign" and len(m[1]) < 6 or kind == "access" and len(m[0]) < 20 or kind == "pem" and not is_private_block(m[2], m[3]):
                     continue
                 found[r].append((kind, bounds[r] + m.start(), bounds[r] + m.end()))
     for r, spans in enumerate(found):
@@ -200,4 +267,4 @@ def digest(scanned: DataFrame) -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
-    return scanned.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return scanned.select("doc_id", *map(count, BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
