@@ -3,9 +3,9 @@
 Documents are aggregated by membership pattern (the sorted set of sources that
 hold them).  A pattern offers its words once for free, a second time at cost 1
 and a third time at cost 2 (convex repetition costs, ``max_repeats`` tiers); a
-source asks for its quota.  A pattern that shares no source with another one is
-solved in closed form in Spark; overlapping patterns go through
-:func:`min_cost_flow`, whose input is the aggregated table only.  Each pattern's
+source asks for its quota.  Patterns that share sources form components, which
+Spark solves apart, each by :func:`min_cost_flow`; their input is the aggregated
+table only, and a component needs memory for its own arcs.  Each pattern's
 words are then taken from its documents in a seeded order: whole passes first,
 then documents until the rest is filled, the last one in part (or, with
 ``whole_documents``, when half of it or more fits).
@@ -17,6 +17,7 @@ documents.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 from collections import deque
 
 import numpy as np
@@ -25,12 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.llm.shared import materialize
-from tidelog.llm.text_arrays import by_batch, slices
+from tidelog.llm.components import components
+from tidelog.llm.shared import hot_join, materialize
+from tidelog.llm.text_arrays import by_batch, by_group, slices
 
-#: Most overlapping patterns that the flow network may have.
-MAX_PATTERNS = 200_000
-BLOCK_DOCS = 4096
+#: Documents of a block, blocks of a stretch, and arcs that are solved in one task.
+BLOCK_DOCS, STRETCH, TASK_ARCS = 4096, 4096, 10_000
 
 
 def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("source",)) -> DataFrame:
@@ -144,29 +145,33 @@ def min_cost_flow(supply: list[float], members: list[list[int]], quotas: list[fl
 
 
 def _take_from_patterns(patterns: DataFrame, sources: DataFrame, max_repeats: int) -> DataFrame:
-    """(pattern, pattern_words, take): closed form where a source has one
-    pattern and that pattern one source, else the flow."""
-    arcs = patterns.select("pattern", "pattern_words", F.explode("pattern").alias("source_key")).join(sources, "source_key")
-    uses = arcs.withColumn("users", F.count("*").over(Window.partitionBy("source_key")))
-    solo = (F.size("pattern") == 1) & (F.col("users") == 1)
-    easy = uses.filter(solo).select("pattern", F.col("target").alias("take"))
-    rows = uses.filter(~solo).select("pattern", "pattern_words", "source_key", "target").limit(MAX_PATTERNS * 8 + 1).collect()
-    if len(rows) > MAX_PATTERNS * 8:
-        raise ValueError(f"over {MAX_PATTERNS} overlapping membership patterns; group small sources first")
-    if not rows:
-        return easy
-    names = sorted({r["source_key"] for r in rows})
-    index = {s: i for i, s in enumerate(names)}
-    supply, members, quota = {}, {}, {}
-    for r in rows:
-        key = tuple(r["pattern"])
-        supply[key] = float(r["pattern_words"])
-        members.setdefault(key, []).append(index[r["source_key"]])
-        quota[index[r["source_key"]]] = float(r["target"])
-    keys = sorted(supply)
-    takes = min_cost_flow([supply[k] for k in keys], [sorted(members[k]) for k in keys], [quota[i] for i in range(len(names))], max_repeats)
-    solved = patterns.sparkSession.createDataFrame([(list(k), t) for k, t in zip(keys, takes, strict=True)], "pattern array<string>, take double")
-    return easy.unionByName(solved)
+    """(pattern, take): the flow of every component of patterns and sources."""
+    steps = F.transform(F.slice("pattern", 2, F.size("pattern")), lambda s, i: F.struct(F.element_at("pattern", i + 1).alias("a"), s.alias("b")))
+    links = patterns.filter(F.size("pattern") > 1).select(F.explode(steps).alias("l")).select("l.a", "l.b").distinct()
+    labels = components(links).withColumnRenamed("node", "source_key")
+    quotas = sources.join(labels, "source_key", "left").select("source_key", "target", F.coalesce("label", "source_key").alias("component"))
+    arcs = materialize(patterns.select("pattern", "pattern_words", F.explode("pattern").alias("source_key")).join(quotas, "source_key"), "arcs")
+    tasks = max(1, arcs.count() // TASK_ARCS)
+    arcs = arcs.withColumn("task", F.pmod(F.xxhash64("component"), F.lit(tasks)))
+
+    def solve(table):
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("component", "pattern", "source_key", "pattern_words", "target")), strict=True))
+        kept, takes = [], []
+        for _, own in itertools.groupby(rows, key=lambda r: r[0]):
+            own = list(own)
+            quota = {r[2]: float(r[4]) for r in own}
+            place = {k: i for i, k in enumerate(sorted(quota))}
+            supply = {tuple(r[1]): float(r[3]) for r in own}
+            members: dict[tuple, list[int]] = {}
+            for r in own:
+                members.setdefault(tuple(r[1]), []).append(place[r[2]])
+            keys = sorted(supply)
+            kept += [list(k) for k in keys]
+            takes += min_cost_flow([supply[k] for k in keys], [sorted(members[k]) for k in keys], [quota[k] for k in sorted(quota)], max_repeats)
+        return pa.table({"pattern": pa.array(kept, pa.list_(pa.string())), "take": pa.array(takes, pa.float64())})
+
+    solved = arcs.groupBy("task").applyInArrow(by_group(solve), "pattern array<string>, take double")
+    return solved.select("pattern", F.round("take", 6).alias("take"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 17, whole_documents: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -192,10 +197,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_repeats: in
     pattern_id = F.xxhash64("pattern")
     rest = F.floor(F.col("take")) - F.floor(F.try_divide(F.col("take"), F.col("pattern_words"))) * F.col("pattern_words")
     info = takes.select(pattern_id.alias("pattern_id"), blocks.alias("blocks"), F.coalesce(F.floor(F.try_divide(F.col("take"), F.col("pattern_words"))), F.lit(0)).alias("passes"), F.coalesce(rest, F.lit(0)).alias("rest"))
-    spread = docs.withColumn("pattern_id", pattern_id).join(info, "pattern_id").withColumn("block", F.pmod("order", "blocks"))
+    info = info.join(takes.select(pattern_id.alias("pattern_id"), F.col("pattern_docs").alias("weight")), "pattern_id")
+    spread = hot_join(docs.withColumn("pattern_id", pattern_id), info, "pattern_id", "weight").withColumn("block", F.pmod("order", "blocks"))
     spread = materialize(spread, "blocks")
-    ahead = spread.groupBy("pattern_id", "block").agg(F.sum("size").alias("words"))
-    ahead = ahead.withColumn("before", F.sum("words").over(Window.partitionBy("pattern_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))).drop("words")
+    # words before a block: those of earlier stretches, then of earlier blocks of its own
+    ahead = spread.groupBy("pattern_id", "block").agg(F.sum("size").alias("words")).withColumn("stretch", F.floor(F.col("block") / STRETCH))
+    ahead = materialize(ahead, "ahead")
+    earlier = Window.partitionBy("pattern_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = ahead.groupBy("pattern_id", "stretch").agg(F.sum("words").alias("words")).select("pattern_id", "stretch", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("earlier"))
+    within = Window.partitionBy("pattern_id", "stretch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = ahead.withColumn("within", F.coalesce(F.sum("words").over(within), F.lit(0))).join(stretches, ["pattern_id", "stretch"])
+    ahead = ahead.select("pattern_id", "block", (F.col("earlier") + F.col("within")).alias("before"))
     run = Window.partitionBy("pattern_id", "block").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = spread.withColumn("inner", F.coalesce(F.sum("size").over(run), F.lit(0))).join(ahead, ["pattern_id", "block"])
     room = F.col("rest") - F.col("inner") - F.coalesce("before", F.lit(0))
