@@ -1,6 +1,7 @@
 """Exact top-k search by a Voronoi kNN join under the inner product.
 
-Vectors are assigned to the nearest of a bounded number of pivots.  A summary
+Vectors are assigned to the nearest of some pivots, whose number grows with the
+root of the rows (up to PIVOT_BYTES of them, which tasks hold).  A summary
 holds each cell's count and radius.  Queries are first answered within their own
 cell, which gives each a score to beat; the summary then bounds what another
 cell can offer (pivot score plus query length times radius), and a query goes on
@@ -25,9 +26,9 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.shared import materialize
 
-#: Rows that pivots are made from, and most pivots.
-PIVOT_SAMPLE, MOST_PIVOTS = 2048, 64
-DATA_BLOCK, QUERY_BLOCK = 8192, 2048
+#: Rows that a pivot is made from, and bytes of all pivots.
+ROWS_A_PIVOT, PIVOT_BYTES = 16, 8 << 20
+DATA_BLOCK, QUERY_BLOCK = 16384, 8192
 _SOLVED = "ask long, query_id long, vec_id long, score long"
 
 
@@ -119,8 +120,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
     rows, dims = facts["rows"], facts["dims"] or 0
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    sample = usable.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).toArrow()
-    pivots = pivots_of(_vectors(sample.column("vector"), dims), int(np.clip(rows // 2000, 1, MOST_PIVOTS)))
+    count = int(np.clip(np.sqrt(rows) / 8, 1, max(1, PIVOT_BYTES // (8 * max(1, dims)))))
+    sample = usable.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(count * ROWS_A_PIVOT).toArrow()
+    pivots = pivots_of(_vectors(sample.column("vector"), dims), count)
 
     def assign(batches):
         for t in batches:
