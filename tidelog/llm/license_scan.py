@@ -1,24 +1,29 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance by path.
 
 Header sentences (those that speak of a licence, copyright or rights) become
-sparse term vectors, and licence files by such sentences as well as whole; inverse document frequencies count all
-distinct headers and templates.  A vector takes the template of the highest
-cosine, if that reaches ``least``.  A document without a licence of its own
+sparse term vectors, and licence files by such sentences as well as whole;
+templates are whole licence texts and the phrases that name or grant a licence.
+Inverse document frequencies count all distinct headers and templates.  A vector takes the template of the highest
+cosine, if that reaches ``least``; reserved rights count only where no licence
+matches.  A document without a licence of its own
 inherits that of the nearest directory, its own or an ancestor, that holds a
 licence file.
 
 Distinct headers and distinct directories are matched once each, however often
 they are repeated.  Null texts have no header; null paths inherit nothing; of
 several licence files in a directory the best cosine counts, then the smallest
-name.  An empty table gives an empty result.
+name; of templates equally near a text, the smallest name.  Repeated rows are
+matched alike.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import materialize
+from tidelog.llm.shared import hot_join, materialize
 
 #: Names of licences and phrases by which texts grant them.
 TEMPLATES = (
@@ -38,9 +43,18 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "licensed under cc by-sa 4.0 creative commons attribution sharealike"),
     ("CC-BY-NC-4.0", "licensed under cc by-nc 4.0 creative commons attribution noncommercial"),
     ("CC0-1.0", "dedicated to the public domain cc0 1.0"),
+    ("GPL-3.0", "gnu general public license version 3 29 june 2007"),
+    ("GPL-2.0", "gnu general public license version 2 june 1991"),
+    ("LGPL-3.0", "gnu lesser general public license version 3 29 june 2007"),
+    ("AGPL-3.0", "gnu affero general public license version 3 19 november 2007"),
+    ("MPL-2.0", "mozilla public license version 2.0"),
+    ("Apache-2.0", "apache license version 2.0 january 2004"),
     ("Proprietary", "all rights reserved"),
     ("Proprietary", "copyright all rights reserved"),
 )
+#: Whole licence texts: files <name>.txt beside this module.
+for _file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+    TEMPLATES += ((_file.stem, _file.read_text(encoding="utf-8")),)
 _CUES = ("licens", "licenc", "copyright", "all rights reserved", "public domain", "redistribution", "permission is")
 #: A sentence that grants a licence, at the start of a line or after another.
 _GRANT = r"(?im)(?:^|[.!?;][ \t])[^a-z\n]*+(?:(?:this work is )?(?:licensed|released) under|permission is hereby granted|redistribution and use|subject to the terms of|dedicated to the public domain)"
@@ -105,6 +119,11 @@ def inherit(directories: DataFrame, licensed: DataFrame) -> DataFrame:
     return met.groupBy("directory").agg(F.max_by(F.struct("license", "license_dir"), "depth").alias("near")).select("directory", F.col("near.license").alias("license"), F.col("near.license_dir").alias("license_dir"))
 
 
+def _preference() -> Column:
+    """Licences before reserved rights, then by cosine, then by name."""
+    return F.struct((F.col("license") == "Proprietary").alias("reserved"), (-F.col("cosine")).alias("c"), "license")
+
+
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = 0.55) -> DataFrame:
     """(doc_id, path, license, cosine, license_from): ``license_from`` is
     ``header``, ``file`` or the directory that the licence is inherited from."""
@@ -116,12 +135,15 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     rows = materialize(rows.withColumn("directory", F.regexp_replace("path", r"/?[^/]*$", "")), "headers")
     said = rows.select("rid", "doc_id", "directory", "is_file", F.explode("spoken").alias("text")).filter(F.col("text").isNotNull()).withColumn("tid", F.md5("text"))
     matched = materialize(match_templates(said.select("tid", "text").dropDuplicates(["tid"]), least), "matched")
-    own = said.select("rid", "tid").join(matched, "tid").groupBy("rid").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best"))
+    # a common header is matched once and met by all its rows
+    times = said.groupBy("tid").agg(F.count("*").alias("times"))
+    said_as = hot_join(said.select("rid", "tid"), matched.join(times, "tid"), "tid", "times")
+    own = said_as.groupBy("rid").agg(F.min(_preference()).alias("best"))
     own = materialize(rows.drop("spoken").join(own, "rid", "left").select("doc_id", "path", "directory", "is_file", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine")), "own")
     files = own.filter(F.col("is_file") & F.col("license").isNotNull() & F.col("directory").isNotNull())
-    files = files.groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("best")).select("directory", F.col("best.license").alias("license"))
-    open_ = own.filter(F.col("license").isNull() & F.col("directory").isNotNull()).select("directory").distinct()
-    near = materialize(inherit(open_, files).withColumnRenamed("license", "inherited"), "inherited")
-    out = own.join(near, "directory", "left")
+    files = files.groupBy("directory").agg(F.min(_preference()).alias("best")).select("directory", F.col("best.license").alias("license"))
+    open_ = own.filter(F.col("license").isNull() & F.col("directory").isNotNull()).groupBy("directory").agg(F.count("*").alias("rows"))
+    near = inherit(open_.select("directory"), files).withColumnRenamed("license", "inherited").join(open_, "directory")
+    out = hot_join(own, near, "directory", "rows", "left")
     source = F.when(F.col("license").isNotNull(), F.when(F.col("is_file"), "file").otherwise("header")).otherwise(F.col("license_dir"))
     return out.select("doc_id", "path", F.coalesce("license", "inherited").alias("license"), "cosine", source.alias("license_from"))
