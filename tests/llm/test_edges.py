@@ -169,3 +169,39 @@ def test_mix_keeps_whole_documents(spark, sf_dir):
     out = corpus_pipeline.source_mix(spark, df, sf_dir).groupBy("source").count().collect()
     counts = {r["source"]: r["count"] for r in out}
     assert counts == {"a": 15, "b": 30, "c": 45}
+
+
+def test_whole_license_files(spark):
+    """Licence files of full length, by other owners, and what they hand down."""
+    from pathlib import Path
+
+    texts = {f.stem: f.read_text() for f in Path(license_scan.__file__).with_name("license_texts").glob("*.txt")}
+    rows = [(i, f"r/{name}/LICENSE", f"Copyright 2021 The Owners of {name}\n\n" + text, name) for i, (name, text) in enumerate(sorted(texts.items()))]
+    rows += [(100 + i, f"r/{name}/src/deep/file.py", "no licence words here", name) for i, (name, _) in enumerate(sorted(texts.items()))]
+    rows += [(200, "r/gpl/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n" + "Everyone is permitted to copy and distribute. " * 30, None), (201, "r/none/a.py", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string, want string")
+    got = {r["doc_id"]: r for r in license_scan.scan(df, F.col("path")).collect()}
+    for i, path, _, want in rows:
+        if want:
+            assert got[i]["license"] == want, (path, got[i])
+            assert got[i]["license_from"] == ("file" if i < 100 else f"r/{want}")
+    assert got[201]["license"] is None
+
+
+def test_license_query_inherits(spark, sf_dir, docs):
+    """The registered query: each row has its own licence or that of the nearest folder."""
+    rows = QUERIES["op4_license_scan"](spark, sf_dir).collect()
+    assert len(rows) == docs.count()
+    by_dir = {}
+    for r in rows:
+        if r["license_from"] == "file":
+            by_dir.setdefault(r["path"].rpartition("/")[0], []).append((r["license"] == "Proprietary", -r["cosine"], r["license"]))
+    for r in rows:
+        if r["license_from"] in ("file", "header"):
+            assert r["license"] is not None and r["cosine"] >= 0.55
+            continue
+        up = r["path"].rpartition("/")[0]
+        while up and up not in by_dir:
+            up = up.rpartition("/")[0]
+        assert (r["license"], r["license_from"]) == ((min(by_dir[up])[2], up) if up else (None, None))
+    assert any(r["license_from"] not in (None, "file", "header") for r in rows)
