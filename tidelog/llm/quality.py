@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.shared import delete_table, hot_join, materialize
-from tidelog.llm.text_arrays import Texts, by_batch, char_starts, is_space, slices
+from tidelog.llm.text_arrays import Texts, by_batch, char_starts, give_back, is_space, slices
 
 ORDER = 5
 BLOCK_BYTES = 16 << 20
@@ -91,9 +91,6 @@ def text_counts(texts: Texts) -> dict[str, np.ndarray]:
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_BLOCK_FIELDS = (("block", pa.int64()), ("keys", pa.binary()), ("times", pa.binary()))
-
-
 def _merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys with the sums of their times."""
     every, n = np.concatenate([np.zeros(0, np.int64), *keys]), np.concatenate([np.zeros(0, np.int64), *times])
@@ -102,46 +99,45 @@ def _merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def in_blocks(rows: DataFrame) -> DataFrame:
-    """``rows`` (text, row) with base counts and a block number, and one row more
-    for each block: its distinct n-grams and how often they occur there."""
-    row_type = rows.schema["row"].dataType
-    fields = [T.StructField("text", T.StringType()), T.StructField("row", row_type), *(T.StructField(c, T.LongType()) for c in COUNTS)]
-    fields += [T.StructField("block", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("times", T.BinaryType())]
+    """(block, rows, keys, times) of ``rows`` (text, row): one row for each block,
+    with its documents and their base counts as one compressed Arrow stream, its
+    distinct n-grams and how often they occur there."""
 
     def run(batches):
         block, size = TaskContext.get().partitionId() << 32, 0
+        parts: list[pa.RecordBatch] = []
         keys: list[np.ndarray] = []
         times: list[np.ndarray] = []
-        schema = None
 
         def closed():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for part in parts:
+                    stream.write_batch(part)
             unique, n = _merged(keys, times)
-            values = {"block": block, "keys": unique.tobytes(), "times": n.tobytes()}
-            return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
+            values = [[block], [sink.getvalue().to_pybytes()], [unique.tobytes()], [n.astype(np.uint32).tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["block", "rows", "keys", "times"])
 
         for batch in batches:
             for texts in slices(batch.column(0)):
-                if schema is None:
-                    schema = pa.schema([("text", batch.column(0).type), ("row", batch.column(1).type), *((c, pa.int64()) for c in COUNTS), *_BLOCK_FIELDS])
-                part = batch.slice(texts.first, len(texts))
                 counts = text_counts(texts)
-                none = pa.nulls(len(texts), pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(counts[c], pa.int64()) for c in COUNTS), pa.array(np.full(len(texts), block)), none, none], schema=schema)
+                arrays = [pa.concat_arrays([c.slice(texts.first, len(texts))]) for c in batch.columns]
+                parts.append(pa.RecordBatch.from_arrays([*arrays, *(pa.array(counts[c], pa.int64()) for c in COUNTS)], names=["text", "row", *COUNTS]))
                 unique, n = np.unique(ngram_keys(texts)[0], return_counts=True)
                 keys.append(unique)
                 times.append(n)
-                size += len(texts.data)
+                size += len(texts.data) + 64 * len(texts)
                 if len(keys) == 8:
                     keys[:], times[:] = ([x] for x in _merged(keys, times))
                 if size > BLOCK_BYTES:
                     yield closed()
                     block, size = block + 1, 0
-                    keys.clear()
-                    times.clear()
-        if keys:
+                    for held in (parts, keys, times):
+                        held.clear()
+        if parts:
             yield closed()
 
-    return rows.mapInArrow(by_batch(run), T.StructType(fields))
+    return rows.mapInArrow(by_batch(run), "block long, rows binary, keys binary, times binary")
 
 
 def asked_ngrams(blocks: DataFrame) -> DataFrame:
@@ -150,12 +146,12 @@ def asked_ngrams(blocks: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for block, keys, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys, times = np.frombuffer(keys, np.int64), np.frombuffer(times, np.int64)
+                keys, times = np.frombuffer(keys, np.int64), np.frombuffer(times, np.uint32).astype(np.int64)
                 for i in range(0, len(keys), 65536):
                     part = keys[i : i + 65536]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part), pa.array(times[i : i + 65536])], names=["block", "key", "n"])
 
-    return blocks.filter("keys is not null").select("block", "keys", "times").mapInArrow(by_batch(run), "block long, key long, n long")
+    return blocks.select("block", "keys", "times").mapInArrow(by_batch(run), "block long, key long, n long")
 
 
 def _discounts(counted: DataFrame) -> list[float]:
@@ -175,7 +171,7 @@ def kneser_ney(counted: DataFrame, order: int = ORDER) -> DataFrame:
     for level in range(order - 1, 0, -1):  # lower orders count the distinct bytes before them
         shorter = levels[-1].groupBy(F.col("key").bitwiseAND((1 << 8 * level) - 1).alias("key")).agg(F.count("*").alias("n"))
         levels.append(materialize(shorter, "ngrams"))
-    lower = None
+    lower, done = None, []
     for level, table in zip(range(1, order + 1), reversed(levels), strict=True):
         one, two, more = _discounts(table)
         cut = F.when(F.col("n") == 1, one).when(F.col("n") == 2, two).otherwise(more)
@@ -188,7 +184,10 @@ def kneser_ney(counted: DataFrame, order: int = ORDER) -> DataFrame:
         else:
             own = own.withColumn("suffix", F.col("key").bitwiseAND((1 << 8 * (level - 1)) - 1))
             lower = own.join(lower.withColumnsRenamed({"key": "suffix", "p": "less"}), "suffix").select("key", (F.col("seen") + F.col("spare") * F.col("less")).alias("p"))
-        lower = materialize(lower, "model")
+        done.append(materialize(lower, "model"))
+        lower = done[-1]
+    for table in (*levels[1:], *done[:-1]):
+        delete_table(table)
     return lower
 
 
@@ -197,31 +196,41 @@ def measure(docs: DataFrame, keep: list[str], lang_col: str = "lang", text_col:
     columns of ``keep`` but the text's, bits the mean of -log2 p over the text's
     n-grams, null without any.  The text is null unless it is in ``keep``."""
     carried = F.struct(F.col(lang_col).alias("lang"), F.struct(*[F.col(c) for c in keep if c != text_col] or [F.lit(0).alias("none")]).alias("row"))
-    blocks = materialize(in_blocks(docs.select(F.col(text_col).alias("text"), carried.alias("row"))), "blocks")
-    asked = materialize(asked_ngrams(blocks), "asked")
-    model = kneser_ney(materialize(asked.groupBy("key").agg(F.sum("n").alias("n")), "ngrams"))
+    rows = docs.select(F.col(text_col).alias("text"), carried.alias("row"))
+    blocks = materialize(in_blocks(rows), "blocks")
+    asked = asked_ngrams(blocks)
+    counted = materialize(asked.groupBy("key").agg(F.sum("n").alias("n")), "ngrams")
+    model = kneser_ney(counted)
     told = asked.select("block", "key").join(model.select("key", (-F.log2("p")).alias("bits")), "key")
     with_text = text_col in keep
-    rows = blocks.filter("keys is null").select("text", "row", *COUNTS, "block")
-    fields = [*(f for f in rows.schema.fields if f.name != "block"), T.StructField("bits", T.DoubleType())]
+    fields = [*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("bits", T.DoubleType())]
 
-    def score(rows, told):
+    def score(blocks, told):
         told = told.sort_by("key")
         keys, bits = told.column("key").to_numpy(), told.column("bits").to_numpy()
-        out = [np.zeros(0)]
-        for texts in slices(rows.column("text")):
-            own, borders = ngram_keys(texts)
-            total = np.concatenate([[0.0], np.cumsum(bits[np.searchsorted(keys, own)])])
-            with np.errstate(invalid="ignore"):
-                out.append((total[borders[1:]] - total[borders[:-1]]) / np.diff(borders))
-        rows = rows.drop_columns(["block"])
-        if not with_text:
-            rows = rows.set_column(0, "text", pa.nulls(rows.num_rows, rows.column("text").type))
-        return rows.append_column("bits", pa.array(np.concatenate(out), pa.float64(), from_pandas=True))
-
-    scored = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, T.StructType(fields))
+        out = []
+        for packed in blocks.column("rows"):
+            for part in pa.ipc.open_stream(packed.as_buffer()):
+                mean = [np.zeros(0)]
+                for texts in slices(part.column("text")):
+                    own, borders = ngram_keys(texts)
+                    total = np.concatenate([[0.0], np.cumsum(bits[np.searchsorted(keys, own)])])
+                    with np.errstate(invalid="ignore"):
+                        mean.append((total[borders[1:]] - total[borders[:-1]]) / np.diff(borders))
+                if not with_text:
+                    part = part.set_column(0, "text", pa.nulls(part.num_rows, part.column("text").type))
+                out.append(part.append_column("bits", pa.array(np.concatenate(mean), pa.float64(), from_pandas=True)))
+        return pa.Table.from_batches(out)
+
+    def score_block(blocks, told):
+        try:
+            return score(blocks, told)
+        finally:
+            give_back()
+
+    scored = blocks.select("block", "rows").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score_block, T.StructType(fields))
     scored = materialize(scored.select("text", F.col("row.lang").alias("lang"), F.col("row.row").alias("row"), *COUNTS, "bits"), "measured")
-    for table in (blocks, asked, model):
+    for table in (blocks, counted, model):
         delete_table(table)
     return scored
 
