@@ -16,8 +16,10 @@ documents link at Jaccard similarity of at least 3/4.  All steps are exact:
 4. Links are needed only between components.  First every class is compared
    with the hub that shares most of its lists.  Then short lists give their
    pairs of different components, each pair once however many lists it meets in.
-   Of long lists, a class is first compared with the nearest class of another
-   component; then all pairs of different components are, block by block.
+   Of long lists, a class is compared with seeded hubs in a few rounds, then with
+   the nearest class of another component; then all pairs of different components
+   are, block by block: rows of a list's largest component don't meet each other,
+   so only the others are sent to several blocks.
    Bitmaps bound the symmetric difference before the exact comparison of sets.
 
 The number of shards follows the size of the texts, so that a shard stays as
@@ -42,8 +44,8 @@ from tidelog.llm.text_arrays import by_batch, by_group, mix, shingles, slices
 
 #: A block: the rows whose elements a task sends out together.
 BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 16
-ROUNDS = 1
-CHUNK = 256
+ROUNDS, HUB_ROUNDS = 1, 3
+CHUNK = 2048
 #: Text bytes that a shard's elements come from, and the longest short list.
 SHARD_BYTES, SHORT_LIST = 8 << 20, 64
 #: Cost of one list entry (it is read in each round) and, in the same unit, of
@@ -391,15 +393,33 @@ def _pairs_of_short(opened: DataFrame) -> DataFrame:
 
 
 def _pairs_of_long(opened: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
-    """(a, b, apart) of longer lists, whose rows meet chunk by chunk."""
-    rows = opened.filter(F.col("length") > SHORT_LIST).withColumn("chunks", F.ceil(F.col("length") / CHUNK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
-    rows = rows.join(sets.select("rid", "bitmap"), "rid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    # group numbers fit a task each: about as many rows as the longest pair of chunks twenty times over
-    groups = max(1, opened.filter(F.col("length") > SHORT_LIST).select(F.sum(F.ceil(F.col("length") / CHUNK))).first()[0] or 0) // 10_000 + 1
-    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rid", "n", "label", "bitmap")
-    rows = rows.withColumn("group", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
-    return rows.groupBy("group").applyInArrow(by_group(_pairs_in_lists(nearest)), "a long, b long, apart long")
+    """(a, b, apart) of longer lists, whose rows meet chunk by chunk.  Rows of a
+    list's largest component stand in one chunk each; the others meet each of
+    these chunks, and each other."""
+    parts = opened.groupBy("token", "label").agg(F.count("*").alias("rows"))
+    most = parts.groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("major"), F.max("rows").alias("many"), (F.sum("rows") - F.max("rows")).alias("few"), F.sum("rows").alias("weight"))
+    rows = hot_join(opened, most, "token", "weight").join(sets.select("rid", "bitmap"), "rid")
+    place, keys = F.xxhash64("rid"), ("token", "i", "j", "side", "rid", "n", "label", "bitmap")
+    chunks = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
+    large = rows.filter("label = major").withColumns({"i": -1 - F.pmod(place, chunks("many")).cast("int"), "j": F.lit(0), "side": F.lit(0)})
+    small = rows.filter("label <> major")
+    across = small.withColumn("i", F.explode(F.sequence(-chunks("many"), F.lit(-1)))).withColumns({"j": F.lit(0), "side": F.lit(1)})
+    own = small.withColumn("own", F.pmod(place, chunks("few")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks("few") - 1)))
+    own = own.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
+    every = large.select(*keys).unionByName(across.select(*keys)).unionByName(own.select(*keys))
+    groups = (parts.agg(F.sum("rows")).first()[0] or 0) // 10_000 + 1
+    every = every.withColumn("group", F.pmod(F.xxhash64("token", "i", "j"), F.lit(groups)))
+    return every.groupBy("group").applyInArrow(by_group(_pairs_in_lists(nearest)), "a long, b long, apart long")
+
+
+def _with_hubs(opened: DataFrame, turn: int) -> DataFrame:
+    """(a, b): every class with that hub of another component which it shares
+    most lists with; a list's hub is picked by a seeded hash."""
+    pick = F.xxhash64(F.lit(turn), "rid")
+    hubs = opened.groupBy("token").agg(F.min_by(F.struct("rid", "n", "label"), pick).alias("hub"), F.count("*").alias("weight"))
+    met = hot_join(opened, hubs, "token", "weight").filter((F.col("label") != F.col("hub.label")) & (F.least("n", "hub.n") * 4 >= F.greatest("n", "hub.n") * 3))
+    best = met.groupBy("rid", F.col("hub.rid").alias("hub")).count().groupBy("rid").agg(F.max_by("hub", F.struct("count", "hub")).alias("b"))
+    return best.select(F.col("rid").alias("a"), "b")
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -414,16 +434,17 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _join_lists(lists: DataFrame, sets: DataFrame, rounds: int) -> DataFrame:
     """(node, label): the component of every class."""
-    hub = F.min_by(F.struct("rid", "n"), "rid")
-    hubs = lists.groupBy("token").agg(hub.alias("hub"), F.count("*").alias("length"))
-    met = hot_join(lists, hubs, "token", "length").filter((F.col("rid") != F.col("hub.rid")) & (F.least("n", "hub.n") * 4 >= F.greatest("n", "hub.n") * 3))
-    best = met.groupBy("rid", F.col("hub.rid").alias("hub")).count().groupBy("rid").agg(F.max_by("hub", F.struct("count", "hub")).alias("b"))
-    found = _verified(best.select(F.col("rid").alias("a"), "b"), sets)
-    labels = _relabelled(sets.select(F.col("rid").alias("node"), F.col("rid").alias("label")), found)
+    alone = sets.select(F.col("rid").alias("node"), F.col("rid").alias("label"))
+    every = lists.withColumn("label", F.col("rid"))
+    labels = _relabelled(alone, _verified(_with_hubs(every, 0), sets))
     opened = _open_lists(lists, labels)
     labels = _relabelled(labels, _verified(_near_enough(_pairs_of_short(opened), sets), sets))
     long = materialize(opened.filter(F.col("length") > SHORT_LIST).select("token", "rid", "n"), "long")
     delete_table(opened)
+    for turn in range(1, HUB_ROUNDS + 1):
+        opened = _open_lists(long, labels)
+        labels = _relabelled(labels, _verified(_with_hubs(opened, turn), sets))
+        delete_table(opened)
     for turn in range(rounds + 1):
         opened = _open_lists(long, labels)
         pairs = _pairs_of_long(opened, sets, nearest=turn < rounds)
