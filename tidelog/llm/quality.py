@@ -3,10 +3,11 @@
 Spark counts the n-grams of five bytes (A-Z lower-cased, nothing else folded) of
 all texts.  Continuation counts, discounts and the weights of contexts of a
 modified Kneser-Ney model are aggregations over these counts, so the model grows
-with what the corpus holds and is never in one place: it is a table of packed
-keys (an n-gram of five bytes is its own 40-bit hash) with their bits.  Texts go
-in blocks of some megabytes; a block asks the table for its distinct n-grams,
-gets them back as an array sorted by key, and looks its texts up there.
+with what the corpus holds: a table of packed keys (an n-gram of five bytes is
+its own 40-bit hash) with their bits.  Tasks hold the part of it that most text
+is made of, as a sorted array: n-grams of at least one HOT_NGRAMS-th of the
+corpus, of which there are at most HOT_NGRAMS.  What a document holds of all
+others is joined with the table.  No text is shuffled.
 
 A document's bits (mean of -log2 p over its n-grams) are compared with a lower
 and an upper band of its language: the median, less and plus some deviations.
@@ -24,16 +25,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.shared import delete_table, hot_join, materialize
-from tidelog.llm.text_arrays import Texts, by_batch, char_starts, give_back, is_space, slices
+from tidelog.llm.text_arrays import Texts, by_batch, char_starts, is_space, slices
 
 ORDER = 5
-BLOCK_BYTES = 16 << 20
+#: N-grams that tasks may hold (16 bytes each), and those counted before sending.
+HOT_NGRAMS, HELD_NGRAMS = 1 << 21, 1 << 20
 #: Documents that the deviation of all languages counts as.
 PRIOR = 30
 _SYMBOL = np.zeros(256, bool)
@@ -98,60 +99,32 @@ def _merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray
     return unique, np.bincount(place, n, len(unique)).astype(np.int64)
 
 
-def in_blocks(rows: DataFrame) -> DataFrame:
-    """(block, rows, keys, times) of ``rows`` (text, row): one row for each block,
-    with its documents and their base counts as one compressed Arrow stream, its
-    distinct n-grams and how often they occur there."""
+def count_ngrams(texts: DataFrame) -> DataFrame:
+    """(key, n): counts over every whole text (text); a task sends sums."""
 
     def run(batches):
-        block, size = TaskContext.get().partitionId() << 32, 0
-        parts: list[pa.RecordBatch] = []
         keys: list[np.ndarray] = []
         times: list[np.ndarray] = []
 
-        def closed():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                for part in parts:
-                    stream.write_batch(part)
+        def sent():
             unique, n = _merged(keys, times)
-            values = [[block], [sink.getvalue().to_pybytes()], [unique.tobytes()], [n.astype(np.uint32).tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["block", "rows", "keys", "times"])
+            keys.clear()
+            times.clear()
+            for i in range(0, len(unique), 65536):
+                yield pa.RecordBatch.from_arrays([pa.array(unique[i : i + 65536]), pa.array(n[i : i + 65536])], names=["key", "n"])
 
         for batch in batches:
-            for texts in slices(batch.column(0)):
-                counts = text_counts(texts)
-                arrays = [pa.concat_arrays([c.slice(texts.first, len(texts))]) for c in batch.columns]
-                parts.append(pa.RecordBatch.from_arrays([*arrays, *(pa.array(counts[c], pa.int64()) for c in COUNTS)], names=["text", "row", *COUNTS]))
-                unique, n = np.unique(ngram_keys(texts)[0], return_counts=True)
+            for part in slices(batch.column(0)):
+                unique, n = np.unique(ngram_keys(part)[0], return_counts=True)
                 keys.append(unique)
                 times.append(n)
-                size += len(texts.data) + 64 * len(texts)
                 if len(keys) == 8:
                     keys[:], times[:] = ([x] for x in _merged(keys, times))
-                if size > BLOCK_BYTES:
-                    yield closed()
-                    block, size = block + 1, 0
-                    for held in (parts, keys, times):
-                        held.clear()
-        if parts:
-            yield closed()
-
-    return rows.mapInArrow(by_batch(run), "block long, rows binary, keys binary, times binary")
-
-
-def asked_ngrams(blocks: DataFrame) -> DataFrame:
-    """(block, key, n) for every block's distinct n-grams."""
-
-    def run(batches):
-        for batch in batches:
-            for block, keys, times in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys, times = np.frombuffer(keys, np.int64), np.frombuffer(times, np.uint32).astype(np.int64)
-                for i in range(0, len(keys), 65536):
-                    part = keys[i : i + 65536]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(part), pa.array(times[i : i + 65536])], names=["block", "key", "n"])
+                    if len(keys[0]) > HELD_NGRAMS:
+                        yield from sent()
+        yield from sent()
 
-    return blocks.select("block", "keys", "times").mapInArrow(by_batch(run), "block long, key long, n long")
+    return texts.mapInArrow(by_batch(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counted: DataFrame) -> list[float]:
@@ -192,47 +165,52 @@ def kneser_ney(counted: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def measure(docs: DataFrame, keep: list[str], lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(text, lang, row, base counts, bits) of every document: ``row`` holds the
-    columns of ``keep`` but the text's, bits the mean of -log2 p over the text's
-    n-grams, null without any.  The text is null unless it is in ``keep``."""
-    carried = F.struct(F.col(lang_col).alias("lang"), F.struct(*[F.col(c) for c in keep if c != text_col] or [F.lit(0).alias("none")]).alias("row"))
-    rows = docs.select(F.col(text_col).alias("text"), carried.alias("row"))
-    blocks = materialize(in_blocks(rows), "blocks")
-    asked = asked_ngrams(blocks)
-    counted = materialize(asked.groupBy("key").agg(F.sum("n").alias("n")), "ngrams")
-    model = kneser_ney(counted)
-    told = asked.select("block", "key").join(model.select("key", (-F.log2("p")).alias("bits")), "key")
+    """(rid, text, lang, row, base counts, bits) of every document: ``row`` holds
+    the columns of ``keep`` but the text's, bits the mean of -log2 p over the
+    text's n-grams, null without any.  The text is null unless it is in ``keep``."""
+    counted = materialize(count_ngrams(docs.select(text_col)), "ngrams")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    model = kneser_ney(counted).withColumn("bits", -F.log2("p"))
+    model = materialize(model.join(counted, "key").select("key", "bits", (F.col("n") * HOT_NGRAMS >= total).alias("hot")), "bits")
+    hot = model.filter("hot").select("key", "bits").orderBy("key").toArrow()  # at most HOT_NGRAMS rows
+    shared = docs.sparkSession.sparkContext.broadcast((hot.column("key").to_numpy(), hot.column("bits").to_numpy()))
     with_text = text_col in keep
-    fields = [*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("bits", T.DoubleType())]
-
-    def score(blocks, told):
-        told = told.sort_by("key")
-        keys, bits = told.column("key").to_numpy(), told.column("bits").to_numpy()
-        out = []
-        for packed in blocks.column("rows"):
-            for part in pa.ipc.open_stream(packed.as_buffer()):
-                mean = [np.zeros(0)]
-                for texts in slices(part.column("text")):
-                    own, borders = ngram_keys(texts)
-                    total = np.concatenate([[0.0], np.cumsum(bits[np.searchsorted(keys, own)])])
-                    with np.errstate(invalid="ignore"):
-                        mean.append((total[borders[1:]] - total[borders[:-1]]) / np.diff(borders))
+    row = F.struct(*[F.col(c) for c in keep if c != text_col] or [F.lit(0).alias("none")])
+    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), row.alias("row"))
+    numbers = (*((c, pa.int64()) for c in COUNTS), ("ngrams", pa.int64()), ("known", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())))
+
+    def score(batches):
+        keys, bits = shared.value
+        for batch in batches:
+            for texts in slices(batch.column(0)):
+                own, borders = ngram_keys(texts)
+                unique, place = np.unique(own, return_inverse=True)
+                at = np.minimum(np.searchsorted(keys, unique), max(0, len(keys) - 1))
+                found = keys[at] == unique if len(keys) else np.zeros(len(unique), bool)
+                value = np.where(found, bits[at], 0.0) if len(keys) else np.zeros(len(unique))
+                total = np.concatenate([[0.0], np.cumsum(value[place])])
+                of_row = np.repeat(np.arange(len(texts)), np.diff(borders))
+                rare = ~found[place]
+                pairs, times = np.unique((of_row[rare].astype(np.int64) << 40) | own[rare], return_counts=True)
+                cuts = pa.array(np.searchsorted(pairs, np.arange(len(texts) + 1, dtype=np.int64) << 40).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int64())) for x in (pairs & ((1 << 40) - 1), times)]
+                counts = text_counts(texts)
+                arrays = [c.slice(texts.first, len(texts)) for c in batch.columns]
+                arrays += [pa.array(counts[c], pa.int64()) for c in COUNTS] + [pa.array(np.diff(borders), pa.int64()), pa.array(total[borders[1:]] - total[borders[:-1]]), *lists]
                 if not with_text:
-                    part = part.set_column(0, "text", pa.nulls(part.num_rows, part.column("text").type))
-                out.append(part.append_column("bits", pa.array(np.concatenate(mean), pa.float64(), from_pandas=True)))
-        return pa.Table.from_batches(out)
-
-    def score_block(blocks, told):
-        try:
-            return score(blocks, told)
-        finally:
-            give_back()
-
-    scored = blocks.select("block", "rows").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score_block, T.StructType(fields))
-    scored = materialize(scored.select("text", F.col("row.lang").alias("lang"), F.col("row.row").alias("row"), *COUNTS, "bits"), "measured")
-    for table in (blocks, counted, model):
-        delete_table(table)
-    return scored
+                    arrays[0] = pa.nulls(len(texts), arrays[0].type)
+                yield pa.RecordBatch.from_arrays(arrays, names=["text", "lang", "row", *(n for n, _ in numbers)])
+
+    fields = [*rows.schema.fields, *(T.StructField(n, T.LongType() if t == pa.int64() else T.DoubleType() if t == pa.float64() else T.ArrayType(T.LongType())) for n, t in numbers)]
+    partly = materialize(rows.mapInArrow(by_batch(score), T.StructType(fields)).withColumn("rid", F.monotonically_increasing_id()), "measured")
+    rare = partly.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("rid", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
+    rest = rare.join(model.filter(~F.col("hot")).select("key", "bits"), "key").groupBy("rid").agg(F.sum(F.col("times") * F.col("bits")).alias("more"))
+    bits = F.round(F.try_divide(F.col("known") + F.coalesce("more", F.lit(0.0)), F.col("ngrams")), 9)
+    # sums first, from narrow rows; then rows of any width meet them once
+    scores = materialize(partly.select("rid", "known", "ngrams").join(rest, "rid", "left").select("rid", bits.alias("bits")), "scores")
+    delete_table(counted)
+    delete_table(model)
+    return partly.drop("known", "ngrams", "rare", "times").join(scores, "rid")
 
 
 def language_bands(measured: DataFrame, width: float = 5.0, least_spread: float = 0.04) -> DataFrame:
@@ -257,10 +235,10 @@ def judge(docs: DataFrame, keep: list[str], lang_col: str = "lang", text_col: st
     rules pass; where there are none, nothing is rejected by perplexity.
     """
     band: Column = F.when(F.col("lang").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("lang").cast("string")))
-    measured = measure(docs, keep, lang_col, text_col).withColumn("band", band)
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    measured = measured.withColumn("base_failed", failed)
-    bands = language_bands(measured.filter(~failed & F.col("bits").isNotNull()), width)
+    measured = measure(docs, keep, lang_col, text_col).withColumn("band", band).withColumn("base_failed", failed)
+    good = materialize(measured.filter(~failed & F.col("bits").isNotNull()).select("band", "bits"), "good")
+    bands = language_bands(good, width)
     out = hot_join(measured, bands, "band", "docs", "left")
     inside = F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(True))
     columns = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in keep]
