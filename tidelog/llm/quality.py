@@ -205,7 +205,7 @@ def measure(docs: DataFrame, keep: list[str], lang_col: str = "lang", text_col:
     partly = materialize(rows.mapInArrow(by_batch(score), T.StructType(fields)).withColumn("rid", F.monotonically_increasing_id()), "measured")
     rare = partly.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("rid", F.col("r.rare").alias("key"), F.col("r.times").alias("times"))
     rest = rare.join(model.filter(~F.col("hot")).select("key", "bits"), "key").groupBy("rid").agg(F.sum(F.col("times") * F.col("bits")).alias("more"))
-    bits = F.round(F.try_divide(F.col("known") + F.coalesce("more", F.lit(0.0)), F.col("ngrams")), 9)
+    bits = F.round(F.try_divide(F.col("known") + F.coalesce("more", F.lit(0.0)), F.col("ngrams")), 13)
     # sums first, from narrow rows; then rows of any width meet them once
     scores = materialize(partly.select("rid", "known", "ngrams").join(rest, "rid", "left").select("rid", bits.alias("bits")), "scores")
     delete_table(counted)
