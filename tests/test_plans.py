@@ -12,7 +12,7 @@ from tidelog import schema as S
 from tidelog.operators import quality, scans
 from tidelog.plans import report
 from tidelog.plans.features import Catalog, high_stress
-from tidelog.sources import ics
+from tidelog.sources import ics, ingest
 from tidelog.streaming import live
 
 
@@ -102,3 +102,14 @@ def test_report_is_whole(spark, tmp_path):
     assert text.startswith("# Report daily_v1\n\n## Features\n\n- run 0\n") and text.count("No entries.") == 3
     one = report.render(spark, "features_v1", {"features": runs}, "s1")
     assert one.split("\n")[:5] == ["# Report features_v1", "", "## Features", "", "- run 1"] and one.count("- run") == 6_000
+
+
+def test_check_judges_each_row(spark):
+    """A bad payload is refused, and only that row, whatever shares its id."""
+    rows = [("a", "all", 1, "p", "heart_rate", 1.0, 1, json.dumps({"hr": 60}), "x"), ("a", "all", 1, "p", "heart_rate", 1.0, 2, json.dumps({"hr": "bad"}), "y"), ("b", "all", 1, "p", "heart_rate", 2.0, 2, json.dumps({"hr": 61}), "z"), ("c", "all", 1, "p", "step_count", 1.0, 2, json.dumps({"steps": 5, "pad": "p" * (2 << 20)}), "w")]
+    df = spark.createDataFrame(rows, S.RAW_DDL + ", batch_id string")
+    got = {r["batch_id"]: r["problem"] for r in ingest.check(df).collect()}
+    assert got == {"x": None, "y": "payload", "z": "confidence", "w": None}
+    why = {r["batch_id"]: r["reason"] for r in ingest.reviewed(df).collect()}
+    assert why == {"x": None, "y": "payload", "z": "confidence", "w": "over 2097152 bytes"}
+    assert [r["batch_id"] for r in ingest.accepted(df).collect()] == ["x"]

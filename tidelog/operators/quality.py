@@ -37,13 +37,16 @@ def dedupe(raw: DataFrame) -> DataFrame:
     content = F.sha2(F.concat_ws("\x1f", "subject_id", "provider_id", "data_type", F.col("ts").cast("string"), F.coalesce(fingerprint(), F.col("payload"))), 256)
     rows = raw.withColumn("content", content)
     order = ["created_at", "id", "content"]
-    ids = rows.groupBy("id").agg(F.count_distinct("content").alias("contents")).filter("contents > 1").select("id")
-    mixed = rows.join(ids, "id", "left_semi").select("content").distinct()
-    plain = rows.join(mixed, "content", "left_anti")
+    ids = stored(rows.groupBy("id").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low <> high").select("id"))
     first = Window.partitionBy("content").orderBy(*order)
-    kept = plain.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place", "content")
-    replay = _replay(rows.join(mixed, "content", "left_semi"), raw.columns)
-    return kept.unionByName(replay)
+
+    def firsts(some: DataFrame) -> DataFrame:
+        return some.withColumn("place", F.row_number().over(first)).filter("place = 1").drop("place", "content")
+
+    if ids.isEmpty():
+        return firsts(rows)
+    mixed = stored(rows.join(ids, "id", "left_semi").select("content").distinct())
+    return firsts(rows.join(mixed, "content", "left_anti")).unionByName(_replay(rows.join(mixed, "content", "left_semi"), raw.columns))
 
 
 def _replay(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -64,25 +67,52 @@ def _replay(rows: DataFrame, columns: list[str]) -> DataFrame:
     return kept.select(*columns)
 
 
-def _text(path: str) -> Column:
-    value = F.trim(F.get_json_object("payload", f"$.{path}"))
-    return F.when(value != "", value)
-
-
-def _number(*paths: str) -> Column:
+#: JSON keys that payloads are read by, aliases included, as what they are read.
+TEXT_KEYS = (
+    "bundle_id", "bundleId", "category", "media_kind", "activity_kind", "light_kind", "interruption_level", "app_kind", "method", "unit",
+    "stage", "sleep_stage", "uid", "kind", "target_id",
+)
+NUMBER_KEYS = (
+    "count", "window_secs", "window_seconds", "event_count", "level", "rmssd_ms", "rmssd", "hrv_ms", "sdnn_ms", "sdnn", "pnn50", "steps", "kcal",
+    "active_energy_kcal", "calories", "start", "end", "spo2_percent", "spo2", "oxygen_saturation", "breaths_per_min", "respiratory_rate", "celsius",
+    "delta_celsius", "ml_kg_min", "vo2_max", "bpm", "heart_rate", "hr", "beats_per_minute", "resting_heart_rate", "walking_heart_rate_average",
+)
+FLAG_KEYS = ("is_playing", "all_day", "busy")
+_SRC = "kind string, name string, device_name string, source_name string"
+
+
+def _read(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns ``columns`` and one column ``_key`` for each JSON key.  One-row
+    generators: the payload is parsed once and each value is cast once, however
+    often later columns and filters use it."""
+    keys = (*TEXT_KEYS, *NUMBER_KEYS, *FLAG_KEYS, "src")
+    parsed = F.inline(F.array(F.from_json("payload", ", ".join(f"`{k}` string" for k in keys))))
+    rows = raw.select(*columns, parsed.alias(*[f"_{k}" for k in keys]))
+    values = [F.nullif(F.trim(F.col(f"_{k}")), F.lit("")).alias(f"_{k}") for k in TEXT_KEYS]
+    numbers = {k: F.trim(F.col(f"_{k}")).try_cast("double") for k in NUMBER_KEYS}
+    values += [F.when(F.abs(x) < float("inf"), x).alias(f"_{k}") for k, x in numbers.items()]
+    values += [F.col(f"_{k}").try_cast("boolean").alias(f"_{k}") for k in FLAG_KEYS]
+    values += [F.col("_src").isNotNull().alias("_has_src"), F.from_json("_src", _SRC).alias("_src")]
+    return rows.select(*columns, F.inline(F.array(F.struct(*values))))
+
+
+def _text(key: str) -> Column:
+    return F.col(f"_{key}")
+
+
+def _number(*keys: str) -> Column:
     """The first alias that parses as a finite number; numeric strings count,
     booleans do not."""
-    out = [F.expr("try_cast(trim(get_json_object(payload, '$.{}')) as double)".format(p)) for p in paths]
-    return F.coalesce(*[F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x) for x in out])
+    return F.coalesce(*[F.col(f"_{k}") for k in keys])
 
 
-def _whole(*paths: str) -> Column:
-    x = _number(*paths)
+def _whole(*keys: str) -> Column:
+    x = _number(*keys)
     return F.when(x == F.floor(x), x.cast("bigint"))
 
 
-def _flag(path: str) -> Column:
-    return F.expr(f"try_cast(get_json_object(payload, '$.{path}') as boolean)")
+def _flag(key: str) -> Column:
+    return F.col(f"_{key}")
 
 
 def _within(x: Column, low: float, high: float) -> Column:
@@ -98,8 +128,9 @@ def _heart(low: float, high: float, *paths: str) -> Column:
     return _within(F.when(bpm > 0, F.when(F.lower(_text("unit")) == "hz", bpm * 60).otherwise(bpm)), low, high)
 
 
-def normalize(raw: DataFrame) -> DataFrame:
-    """Typed rows plus ``valid``: false where a payload is beyond repair."""
+def normalize(raw: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Typed rows plus ``valid``: false where a payload is beyond repair; columns
+    ``also`` of the raw rows are passed on."""
     t = F.col("data_type")
     fields: dict[str, tuple[tuple[str, ...], Column]] = {}
 
@@ -150,15 +181,14 @@ def normalize(raw: DataFrame) -> DataFrame:
     put("life_kind", (S.LIFE_EVENT,), _one_of(_text("kind"), S.LIFE_KINDS))
     put("target_id", (S.RETRACTION, S.DELETION), _text("target_id"))
     typed = [F.when(t.isin(*fields[n][0]), fields[n][1]).cast(k).alias(n) for n, k in S.PAYLOAD.items()]
-    kind, names = _text("src.kind"), [_text(f"src.{n}") for n in ("name", "device_name", "source_name")]
-    has_src = F.get_json_object("payload", "$.src").isNotNull()
-    bad_src = has_src & (kind.isNull() | ~kind.isin(*S.SOURCE_KINDS) | F.coalesce(*names).isNotNull())
+    said = [F.when(F.trim(F.col("_src")[n]) != "", F.trim(F.col("_src")[n])) for n in ("kind", "name", "device_name", "source_name")]
+    kind = said[0]
+    bad_src = F.col("_has_src") & (kind.isNull() | ~kind.isin(*S.SOURCE_KINDS) | F.coalesce(*said[1:]).isNotNull())
     wearable = t.isin(*CUMULATIVE, *DISCRETE, S.SLEEP)
-    envelope = [n for n in S.ENVELOPE if n != "src_kind"]
-    row = F.struct(F.when(wearable, kind).alias("src_kind"), *typed, (wearable & bad_src).alias("bad_src"))
-    # a one-row generator: filters above use the columns, not their expressions
-    out = raw.select(*envelope, F.inline(F.array(row)))
-    return out.withColumn("valid", ~F.col("bad_src") & _needed()).drop("bad_src").select(*S.COLUMNS, "valid")
+    carried = [*(n for n in S.ENVELOPE if n != "src_kind"), *also]
+    row = F.struct(F.when(wearable, kind).alias("src_kind"), *typed, (wearable & F.coalesce(bad_src, F.lit(False))).alias("bad_src"))
+    out = _read(raw, carried).select(*carried, F.inline(F.array(row)))
+    return out.withColumn("valid", ~F.col("bad_src") & _needed()).drop("bad_src").select(*S.COLUMNS, *also, "valid")
 
 
 def _needed() -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ from pyspark.sql import DataFrame
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table in the folder of ``spark.checkpoint.dir``; where that
-    is unset (tests), in a temporary one that is then set on the context."""
+    is unset and the master is local (tests), in a temporary one that is then
+    set on the context."""
     spark = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.sparkContext.setCheckpointDir(top)
     path = os.path.join(top.rstrip("/"), f"stored-{uuid.uuid4().hex}")

@@ -29,6 +29,8 @@ _NO_FACTORS = "cast(array() as array<struct<id:string,share:double>>)"
 TYPES = {"ctx": S.CONTEXT, "key": S.KEYSTROKES, "brw": S.BROWSER, "med": S.MEDIA, "git": S.GIT, "lig": S.LIGHT, "ntf": S.NOTIFICATION, "hrv": S.HRV, "stp": S.STEPS, "nrg": S.ENERGY, "hr": S.HEART_RATE}
 #: How distracting a browser category is.
 CATEGORY_WEIGHTS = {"work": 10.0, "reference": 20.0, "communication": 45.0, "shopping": 75.0, "entertainment": 90.0}
+#: Features that other features are made of.
+SHARED = ("focus_score", "context_switch_rate", "stress_index", "fatigue_index", "meeting_density", "notification_pressure")
 PLAYING_KINDS = ("music", "podcast", "other")
 COUNTED_GIT = ("commit", "checkout", "sync", "other")
 KNOWN_LIGHT = ("dark", "dim", "moderate", "bright")
@@ -60,8 +62,9 @@ def with_previous(obs: DataFrame) -> DataFrame:
 class Catalog:
     """The feature frames of one set of observations at one step.
 
-    With ``keep``, the windows and each feature are written once and read again:
-    for many features at a time, whose joint plan would be too large."""
+    With ``keep``, the windows and the features that others are made of are
+    written once and read again: for many features at a time, whose joint plan
+    would be too large."""
 
     def __init__(self, obs: DataFrame, step: int = 60, keep: bool = False):
         self.obs, self.step, self.keep = obs, max(1, step), keep
@@ -69,7 +72,8 @@ class Catalog:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = self._held(FEATURES[name](self))
+            made = FEATURES[name](self)
+            self._made[name] = self._held(made) if name in SHARED else made
         return self._made[name]
 
     def _held(self, df: DataFrame) -> DataFrame:

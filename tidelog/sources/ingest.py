@@ -11,7 +11,8 @@ from tidelog import schema as S
 from tidelog.operators.quality import COMPANION_TYPES, normalize
 from tidelog.operators.scans import append
 
-MOST_ROWS = 1000
+#: Limits of one batch.
+MOST_ROWS, MOST_BYTES = 1000, 2 << 20
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -20,9 +21,10 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check(raw: DataFrame) -> DataFrame:
-    """Raw rows with ``problem``: why a row may not be ingested, or null."""
-    typed = normalize(raw).select("id", "valid", "life_kind", "target_id")
-    rows = raw.join(typed.dropDuplicates(["id"]), "id", "left")
+    """Raw rows with ``problem``: why a row may not be ingested, or null.  Each
+    row is judged by its own payload, whatever other rows share its id."""
+    others = tuple(c for c in raw.columns if c not in S.RAW)
+    rows = normalize(raw, also=("payload", *others))
     uuid = r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
     problem = (
         F.when(F.col("id").isNull() | F.col("ts").isNull() | F.col("data_type").isNull(), "missing envelope")
@@ -36,11 +38,20 @@ def check(raw: DataFrame) -> DataFrame:
     return rows.select(*raw.columns, problem.alias("problem"))
 
 
-def accepted(raw: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Rows of the batches without a problem and of at most MOST_ROWS rows."""
+def reviewed(raw: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """(batch, rows, bytes, reason) of every batch; reason is null where it may
+    be ingested, else the limit that it exceeds or its first row's problem."""
     checked = check(raw)
-    good = checked.groupBy(batch).agg(F.count("problem").alias("problems"), F.count("*").alias("rows")).filter(f"problems = 0 AND rows <= {MOST_ROWS}")
-    return checked.drop("problem").join(good.select(batch), batch, "left_semi")
+    first = F.min_by("problem", F.when(F.col("problem").isNotNull(), F.col("id")))
+    sums = checked.groupBy(batch).agg(F.count("*").alias("rows"), F.sum(F.octet_length("payload")).alias("bytes"), F.coalesce(first, F.min("problem")).alias("problem"))
+    reason = F.when(F.col("rows") > MOST_ROWS, f"over {MOST_ROWS} rows").when(F.col("bytes") > MOST_BYTES, f"over {MOST_BYTES} bytes").otherwise(F.col("problem"))
+    return sums.select(batch, "rows", "bytes", reason.alias("reason"))
+
+
+def accepted(raw: DataFrame, batch: str = "batch_id") -> DataFrame:
+    """Rows of the batches that have no reason against them."""
+    good = reviewed(raw, batch).filter("reason is null")
+    return raw.join(good.select(batch), batch, "left_semi")
 
 
 def ingest_stream(spark: SparkSession, landing: str, table: str, checkpoint: str, files: int = 16) -> StreamingQuery:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -10,6 +10,7 @@ from tidelog.operators.quality import drop_retracted, normalize, select_sources
 from tidelog.operators.stored import stored
 from tidelog.plans.features import Catalog, high_stress
 from tidelog.plans.series import alert_level, latest
+from tidelog.plans.windows import DAY
 
 RETENTION = 1020
 
@@ -42,18 +43,31 @@ def snapshot(obs: DataFrame, step: int = 60) -> tuple[DataFrame, DataFrame]:
     return latest(cat.all()), alert_level(cat, high_stress(cat))
 
 
-def live_query(stream: DataFrame, table: str, out: str, checkpoint: str) -> StreamingQuery:
+def live_query(stream: DataFrame, table: str, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Appends every micro-batch to the raw table and writes the snapshot of the
-    subjects that it touched anew; retractions in a later batch take effect, as
-    the snapshot reads the table through the marker filters."""
+    subjects that it touched anew, in a folder of its epoch: a batch that is
+    tried again replaces its rows and its snapshot.  Retractions in a later batch
+    take effect, as the snapshot reads the table through the marker filters.
+
+    The table is partitioned by day; a batch reads the days that its subjects'
+    retained seconds can lie in.  With ``every`` (a processing time, such as
+    ``10 seconds``) the query goes on; without, it ends with what is there."""
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("append").parquet(table)
-        touched = batch.select("subject_id").distinct()
-        rows = spark.read.parquet(table).join(touched, "subject_id", "left_semi").dropDuplicates(["id"])
-        typed = normalize(rows).filter("valid").drop("valid").transform(drop_retracted).transform(select_sources)
+        rows = stored(batch)
+        day = F.floor(F.col("ts") / DAY)
+        rows.withColumns({"day": day, "epoch": F.lit(epoch)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "day").parquet(table)
+        span = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+        if span["low"] is None:
+            return
+        touched = rows.select("subject_id").distinct()
+        near = spark.read.parquet(table).filter(F.col("day") >= (span["low"] - RETENTION) // DAY).join(touched, "subject_id", "left_semi")
+        first = Window.partitionBy("id").orderBy("created_at", "ts", "payload")
+        near = near.withColumn("place", F.row_number().over(first)).filter("place = 1").select(*rows.columns)
+        typed = stored(normalize(near).filter("valid").drop("valid").transform(drop_retracted).transform(select_sources))
         features, _ = snapshot(typed)
-        features.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(out)
+        features.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return writer.trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
