@@ -44,7 +44,7 @@ from tidelog.llm.text_arrays import by_batch, by_group, mix, shingles, slices
 
 #: A block: the rows whose elements a task sends out together.
 BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 16
-ROUNDS, HUB_ROUNDS = 1, 3
+ROUNDS, HUB_ROUNDS = 1, 2
 CHUNK = 2048
 #: Text bytes that a shard's elements come from, and the longest short list.
 SHARD_BYTES, SHORT_LIST = 8 << 20, 64
@@ -424,6 +424,8 @@ def _with_hubs(opened: DataFrame, turn: int) -> DataFrame:
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after new links: components are found among labels alone."""
+    if links.isEmpty():
+        return labels
     for end in ("a", "b"):
         links = links.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end)
     moved = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
@@ -443,6 +445,8 @@ def _join_lists(lists: DataFrame, sets: DataFrame, rounds: int) -> DataFrame:
     delete_table(opened)
     for turn in range(1, HUB_ROUNDS + 1):
         opened = _open_lists(long, labels)
+        if opened.isEmpty():
+            return labels
         labels = _relabelled(labels, _verified(_with_hubs(opened, turn), sets))
         delete_table(opened)
     for turn in range(rounds + 1):
