@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidelog import schema as S
-from tidelog.operators import quality, scans
-from tidelog.plans import report
+from tidelog.operators import life_events, quality, scans
+from tidelog.plans import registry, report
 from tidelog.plans.features import Catalog, high_stress
 from tidelog.sources import ics, ingest
 from tidelog.streaming import live
@@ -113,3 +113,39 @@ def test_check_judges_each_row(spark):
     why = {r["batch_id"]: r["reason"] for r in ingest.reviewed(df).collect()}
     assert why == {"x": None, "y": "payload", "z": "confidence", "w": "over 2097152 bytes"}
     assert [r["batch_id"] for r in ingest.accepted(df).collect()] == ["x"]
+
+
+def test_registry_orders_and_refuses(spark):
+    nodes = registry.Registry()
+    nodes.register(registry.Node("c", lambda cat: cat["focus_score"], ("b",)))
+    nodes.register(registry.Node("b", lambda cat: cat["context_switch_rate"], ("a",)))
+    with pytest.raises(registry.UnknownDependency):
+        nodes.ordered()
+    nodes.register(registry.Node("a", lambda cat: cat["stress_index"]))
+    assert nodes.ordered() == ["a", "b", "c"] and nodes.ordered(["b"]) == ["a", "b"]
+    with pytest.raises(registry.DuplicateNode):
+        nodes.register(registry.Node("a", lambda cat: cat["stress_index"]))
+    nodes.register(registry.Node("x", lambda cat: cat["stress_index"], ("y",)))
+    nodes.register(registry.Node("y", lambda cat: cat["stress_index"], ("x",)))
+    with pytest.raises(registry.DependencyCycle):
+        nodes.ordered(["x"])
+    order = registry.full_catalog().ordered()
+    assert len(order) == 27 and order.index("fatigue_index") < order.index("sustained_load")
+    rows = raw(spark, [(f"{t}", t, "hrv", {"rmssd": 15}) for t in range(900, 1300, 60)])
+    typed = quality.normalize(rows).filter("valid").drop("valid")
+    got = registry.full_catalog().run(Catalog(typed, 60), ["stress_index", "night_spo2"])
+    assert {r["feature_id"] for r in got.collect()} == {"stress_index"}
+
+
+def test_life_events_are_appended(spark):
+    asked = spark.createDataFrame([("e1", "s", 100), ("e2", "s", None)], "id string, subject_id string, ts long")
+    first = life_events.log(asked, "coffee", 500)
+    assert sorted((r["id"], r["ts"]) for r in first.collect()) == [("e1", 100), ("e2", 500)]
+    with pytest.raises(life_events.UnknownKind):
+        life_events.log(asked, "juggling", 500)
+    moved = first.unionByName(life_events.retime(first, spark.createDataFrame([("e1", 200), ("no", 1)], "id string, new_ts long"), 600))
+    assert sorted(r["ts"] for r in scans.visible(moved).collect()) == [200, 500]
+    gone = moved.unionByName(life_events.retract(moved, spark.createDataFrame([("e2",), ("e1",)], "id string"), 700))
+    assert [r["ts"] for r in scans.visible(gone).collect()] == [200]
+    back = gone.unionByName(life_events.restore(gone, spark.createDataFrame([("e2",)], "id string"), 800))
+    assert sorted(r["ts"] for r in scans.visible(back).collect()) == [200, 500]

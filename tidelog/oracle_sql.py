@@ -404,3 +404,24 @@ def normalize_by_type() -> str:
 
 def plain(sql: str) -> str:
     return f"{observations()} {sql}"
+
+
+CHANNELS = (S.CONTEXT, S.KEYSTROKES, S.HRV, S.RESPIRATORY, S.LIFE_EVENT)
+CHANNELS_SINCE = 1705000000
+
+
+def source_channels() -> str:
+    known = ", ".join(f"('{t}')" for t in CHANNELS)
+    return plain(f"SELECT k.data_type, count(o.id) AS rows, max(o.ts) AS last_ts FROM (VALUES {known}) k(data_type) LEFT JOIN obs o ON o.data_type = k.data_type AND o.ts >= {CHANNELS_SINCE} GROUP BY 1")
+
+
+def life_events() -> str:
+    return plain(f"SELECT subject_id, id, ts, life_kind FROM obs WHERE data_type = '{S.LIFE_EVENT}' ORDER BY ts DESC, id DESC LIMIT 8")
+
+
+def visible_between() -> str:
+    return f"{visible_observations()} AND ts BETWEEN 1704500000 AND 1705000000"
+
+
+def life_event_log() -> str:
+    return plain(f"SELECT subject_id, life_kind, count(*) AS events, CAST(sum(ts) AS bigint) AS ts_sum FROM obs WHERE data_type = '{S.LIFE_EVENT}' AND (ts % 3 <> 0 OR ts % 6 = 0) GROUP BY 1, 2")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog import oracle_sql as O
 from tidelog import schema as S
-from tidelog.operators import quality, scans
+from tidelog.operators import life_events, quality, scans
 from tidelog.operators.stored import stored
 from tidelog.plans import rules, series, vitals
 from tidelog.plans.features import FEATURES, Catalog, high_stress
@@ -180,6 +180,31 @@ def _visible(obs: DataFrame) -> DataFrame:
     return scans.visible(with_markers(obs)).select("id", "subject_id", "ts", "provider_id", "data_type")
 
 
+@query("visible_between", O.visible_between())
+def _visible_between(obs: DataFrame) -> DataFrame:
+    return scans.visible_between(with_markers(obs), 1704500000, 1705000000).select("id", "subject_id", "ts", "provider_id", "data_type")
+
+
+@query("life_event_log", O.life_event_log())
+def _life_event_log(obs: DataFrame) -> DataFrame:
+    """A third of the events retracted, every other of these restored."""
+    now = 1800000000
+    marked = obs.unionByName(life_events.retract(obs, obs.filter("ts % 3 = 0").select("id"), now))
+    both = marked.unionByName(life_events.restore(marked, obs.filter("ts % 6 = 0").select("id"), now))
+    events = scans.visible(both).filter(F.col("data_type") == S.LIFE_EVENT)
+    return events.groupBy("subject_id", "life_kind").agg(F.count("*").alias("events"), F.sum("ts").alias("ts_sum"))
+
+
+@query("life_events", O.life_events())
+def _life_events(obs: DataFrame) -> DataFrame:
+    return series.life_events(obs)
+
+
+@query("source_channels", O.source_channels())
+def _channels(obs: DataFrame) -> DataFrame:
+    return series.source_channels(obs, O.CHANNELS_SINCE, list(O.CHANNELS))
+
+
 @query("source_selected", O.source_selected())
 def _selected(obs: DataFrame) -> DataFrame:
     return quality.select_sources(obs).select("id", "subject_id", "data_type", "src_kind")
