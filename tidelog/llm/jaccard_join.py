@@ -436,7 +436,8 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def _join_lists(lists: DataFrame, sets: DataFrame, rounds: int) -> DataFrame:
     """(node, label): the component of every class."""
-    alone = sets.select(F.col("rid").alias("node"), F.col("rid").alias("label"))
+    # stored: labels outlive the sets
+    alone = materialize(sets.select(F.col("rid").alias("node"), F.col("rid").alias("label")), "labels")
     every = lists.withColumn("label", F.col("rid"))
     labels = _relabelled(alone, _verified(_with_hubs(every, 0), sets))
     opened = _open_lists(lists, labels)
