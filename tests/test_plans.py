@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pytest
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from tidelog import schema as S
 from tidelog.operators import life_events, quality, scans
-from tidelog.plans import registry, report
+from tidelog.plans import registry, report, series, wearables
 from tidelog.plans.features import Catalog, high_stress
-from tidelog.sources import ics, ingest
+from tidelog.sources import ics, ingest, phone
 from tidelog.streaming import live
 
 
@@ -149,3 +150,87 @@ def test_life_events_are_appended(spark):
     assert [r["ts"] for r in scans.visible(gone).collect()] == [200]
     back = gone.unionByName(life_events.restore(gone, spark.createDataFrame([("e2",)], "id string"), 800))
     assert sorted(r["ts"] for r in scans.visible(back).collect()) == [200, 500]
+
+
+RECORD = "uuid string, subject_id string, identifier string, start long, end long, value double, category string, activity_type string, kcal double, meters double, bundle_id string, product_type string, hardware_version string, was_user_entered boolean, app_name string, device_model string, device_label string"
+
+
+def test_phone_records_become_raw_rows(spark):
+    heart, sleep = "HKQuantityTypeIdentifierHeartRate", "HKCategoryTypeIdentifierSleepAnalysis"
+    watch = ("com.apple.health.1", "Watch6,1", None, False, "Health", "Watch", "wrist")
+    rows = [
+        ("A", "s", heart, 10, 20, 61.0, None, None, None, None, *watch),
+        ("B", "s", sleep, 10, 5, None, "5", None, None, None, "com.huami.watch", "iPhone1", None, False, None, None, ""),
+        ("C", "s", "HKQuantityTypeIdentifierOxygenSaturation", 10, 20, 0.97, None, None, None, None, "x.y", "iPhone1", None, False, None, None, None),
+        ("D", "s", "HKWorkoutTypeIdentifier", 10, 20, None, None, None, 50.0, None, "x.y", None, None, None, None, None, None),
+        ("E", "s", "no such type", 10, 20, 5.0, None, None, None, None, *watch[:3], True, *watch[4:]),
+        ("F", "s", sleep, 10, 50, None, "nap", None, None, None, *watch),
+    ]
+    got = {r["id"]: r for r in phone.to_raw(spark.createDataFrame(rows, RECORD), "salt").collect()}
+    said = {k: json.loads(r["payload"]) for k, r in got.items()}
+    assert {k: (r["data_type"], r["ts"]) for k, r in got.items()} == {"a": ("heart_rate", 20), "b": ("sleep_interval", 10), "c": ("oxygen_saturation", 20), "d": ("workout", 20), "e": ("heart_rate", 20), "f": ("sleep_interval", 10)}
+    assert {k: p["src"]["kind"] for k, p in said.items()} == {"a": "apple_watch", "b": "zepp_life", "c": "iphone", "d": "other_app", "e": "manual", "f": "apple_watch"}
+    assert said["a"]["src"]["device_label_hash"] == hashlib.sha256(b"saltwrist").hexdigest() and "device_label_hash" not in said["b"]["src"]
+    assert said["b"]["end"] == 10 and said["b"]["stage"] == "asleep_rem" and said["f"]["stage"] == "unknown"
+    assert said["c"]["spo2_percent"] == 97 and said["d"]["kcal"] == 50 and said["d"]["activity_type"] == "other" and "bpm" not in said["c"]
+
+
+def test_backfill_reads_every_sample_once(spark):
+    now = 400 * 86400
+    made = [("hrv", f"{i:03d}", now - 86400 * i // 2) for i in range(100)] + [("spo2", "x", now - 5), ("spo2", "y", now - 399 * 86400)]
+    samples = spark.createDataFrame(made, "data_type string, id string, end long")
+    cursors = phone.fresh_cursors(samples.select("data_type").distinct(), now)
+    seen = []
+    for _ in range(20):
+        rows = phone.backfill_pages(samples, cursors, now, page=30).orderBy("data_type", "place").collect()
+        seen += [(r["data_type"], r["id"]) for r in rows]
+        page = spark.createDataFrame(rows, "data_type string, id string, end long, place int")
+        done = phone.advance(cursors, page, now, page=30).collect()
+        if all(r["phase"] == "done" for r in done):
+            break
+        cursors = spark.createDataFrame(done, "data_type string, phase string, cursor_end long")
+    assert [i for t, i in seen if t == "hrv"] == [f"{i:03d}" for i in range(1, 100)]  # the end of a page is exclusive
+    assert [i for t, i in seen if t == "spo2"] == ["x"]
+
+
+def test_queue_and_bodies(spark):
+    items = [("a", i, f"k{i % 7}", "x" * 10) for i in range(20)] + [("b", i, f"k{i}", "y" * (40 if i == 1 else 3)) for i in range(6)]
+    df = spark.createDataFrame(items, "sender string, position long, dedupe_key string, body string")
+    queue = phone.queued(df, 5)
+    assert sorted((r["sender"], r["position"]) for r in queue.collect()) == [(s, i) for s in "ab" for i in range(5)]
+    got = {(r["sender"], r["position"]): r["batch"] for r in phone.bodies(queue, 3, 26).collect()}
+    assert [got["a", i] for i in range(5)] == [0, 0, 1, 1, 2]
+    assert [got["b", i] for i in range(5)] == [0, 1, 2, 2, 2]
+
+
+def test_priorities():
+    assert quality.priority_of(["manual", "tv", "manual"])[:2] == ("manual", "apple_watch")
+    assert quality.priority_from_toml('order = ["zepp_life", 3]')[0] == "zepp_life"
+    assert quality.priority_from_toml("order = [") == quality.priority_from_toml("x = 1") == S.SOURCE_PRIORITY
+
+
+def test_wearable_hints(spark):
+    sleep = ("1", 100, "sleep_interval", {"stage": "asleep", "src": {"kind": "manual"}})
+    staged = ("2", 100, "sleep_interval", {"stage": "asleep_rem", "src": {"kind": "manual"}})
+    hrv = ("3", 100, "hrv", {"src": {"kind": "zepp_life", "bundle_id": "b"}})
+    other = ("4", 100, "respiratory_rate", {"src": {"kind": "toaster"}})
+    told = lambda *rows: [r["hint"] for r in wearables.hints(wearables.samples(raw(spark, rows)), 200).orderBy("position").collect()]
+    absent = ["no_oxygen_saturation", "no_respiratory_rate", "no_wrist_temperature"]
+    assert told(sleep, hrv, other) == [*absent, "no_sleep_stages"] and told(sleep, staged, hrv) == absent
+    assert told(hrv) == [*absent, "no_sleep"] and told(other) == []
+    rows = wearables.report(wearables.samples(raw(spark, [hrv, sleep])), 200, quality.priority_of(["manual"])).collect()
+    assert [(r["kind"], r["app"], r["rank"], r["active"]) for r in rows] == [("manual", "unknown", 0, True), ("zepp_life", "b", 3, True)]
+
+
+def test_texts_of_a_report(spark):
+    ages = spark.createDataFrame([(t,) for t in (1044, 1000, 0, -3000, -90_000, -300_000)], "ts long").select(series.relative_time("ts", 1045))
+    assert [r[0] for r in ages.collect()] == ["just now", "1 min ago", "17 min ago", "1 h ago", "yesterday", "4 days ago"]
+    values = spark.createDataFrame([(2.0,), (2.25,), (None,)], "value double").select(series.value_text())
+    assert [r[0] for r in values.collect()] == ["2", "2.3", None]
+    same = spark.createDataFrame([("s", "f", 5, 1, 0.1), ("s", "f", 5, 0, 0.2), ("s", "f", 4, 2, 0.3)], "subject_id string, feature_id string, w_end long, position int, value double")
+    assert [r["value"] for r in series.first_of_latest(same).collect()] == [0.2]
+    events = spark.createDataFrame([("s", "b", 5, 9, "walk"), ("s", "a", 5, 6, "cof|fee")], "subject_id string, id string, ts long, created_at long, life_kind string")
+    lines = [r["line"] for r in report.life_event_lines(events).collect()]
+    assert lines[1:] == ["| cof\\|fee | 5 | 6 | observation:a |", "| walk | 5 | 9 | observation:b |"] and lines[0].startswith("| event")
+    assert report.health_context('[health_context]\nconditions = [" migraine_prone", "x"]\nnote = " n "') == (["migraine_prone"], "n")
+    assert report.health_context("[health_context]\nnote = ''") is None and report.health_context("[") is None

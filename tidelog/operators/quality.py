@@ -6,7 +6,8 @@ created_at, payload JSON); normalized rows are the typed observation frame.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import tomllib
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -233,6 +234,22 @@ def drop_retracted(obs: DataFrame) -> DataFrame:
     return obs.filter(F.col("data_type") != S.RETRACTION).join(marks, ["id", "data_type"], "left_anti")
 
 
+def priority_of(names: Iterable[str]) -> tuple[str, ...]:
+    """An order of source kinds: the given ones first, unknown and repeated names
+    aside, then the default order's others."""
+    known = [n for n in names if n in S.SOURCE_KINDS]
+    return tuple(dict.fromkeys([*known, *S.SOURCE_PRIORITY]))
+
+
+def priority_from_toml(text: str) -> tuple[str, ...]:
+    """The order in ``order = [...]``; the default one if there is none."""
+    try:
+        order = tomllib.loads(text).get("order")
+    except tomllib.TOMLDecodeError:
+        return S.SOURCE_PRIORITY
+    return priority_of(n for n in order if isinstance(n, str)) if isinstance(order, list) else S.SOURCE_PRIORITY
+
+
 def source_rank(priority: tuple[str, ...] = S.SOURCE_PRIORITY) -> Column:
     ranks = F.create_map(*[F.lit(x) for i, k in enumerate(priority) for x in (k, i)])
     return F.coalesce(F.try_element_at(ranks, F.col("src_kind")), F.lit(len(priority)))

@@ -290,15 +290,33 @@ def sleep_stages_daily() -> str:
 
 
 def night_spo2() -> str:
+    return f"SELECT subject_id, day, w_end, low_ AS low, mean, {_VITAL_NAMES} FROM ({nightly('spo2_percent')})"
+
+
+_VITAL_NAMES = "baseline_days, source, evidence_md5, baseline, delta, confidence"
+#: Stand-ins for measures that the events lack.
+BREATHS, WRIST = "spo2_percent / 5.0e0", "(spo2_percent - 75) / 5.0e0"
+
+
+def respiratory_nightly() -> str:
+    return f"SELECT subject_id, day, w_end, round(low_ + 1e-9, 6) AS low, mean, {_VITAL_NAMES} FROM ({nightly(BREATHS)})"
+
+
+def wrist_nightly() -> str:
+    return f"SELECT subject_id, day, w_end, mean, {_VITAL_NAMES} FROM ({nightly(WRIST)})"
+
+
+def nightly(value: str) -> str:
+    """A value of the oxygen samples, taken as another nightly measure."""
     return f"""{observations()},
     night AS (SELECT subject_id, {_DAY.format("end_s")} AS day, min(start_s) AS a, max(end_s) AS b FROM obs WHERE data_type = '{S.SLEEP}' GROUP BY 1, 2),
-    s AS (SELECT * FROM obs WHERE data_type = '{S.SPO2}'),
+    s AS (SELECT *, {value} AS v FROM obs WHERE data_type = '{S.SPO2}'),
     inside AS (SELECT s.*, n.day FROM s JOIN night n ON s.subject_id = n.subject_id AND s.ts BETWEEN n.a AND n.b),
     rest AS (SELECT s.*, {_DAY.format("ts")} AS day FROM s WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.subject_id = s.subject_id AND i.id = s.id)),
     every AS (SELECT * FROM inside UNION ALL SELECT * FROM rest r WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.subject_id = r.subject_id AND i.day = r.day)),
-    daily AS (SELECT subject_id, day, avg(spo2_percent) AS mean, min(spo2_percent) AS low, {_evidence()} FROM every GROUP BY 1, 2),
+    daily AS (SELECT subject_id, day, avg(v) AS mean, min(v) AS low_, {_evidence()} FROM every GROUP BY 1, 2),
     based AS ({_baseline("daily", "mean", 14)})
-    SELECT subject_id, day, greatest(day, last_ts) AS w_end, low, {_rounded("mean")}, {_VITAL} FROM based"""
+    SELECT subject_id, day, greatest(day, last_ts) AS w_end, low_, {_rounded("mean")}, {_VITAL} FROM based"""
 
 
 AFTERNOON_STEP = 300
@@ -425,3 +443,63 @@ def visible_between() -> str:
 
 def life_event_log() -> str:
     return plain(f"SELECT subject_id, life_kind, count(*) AS events, CAST(sum(ts) AS bigint) AS ts_sum FROM obs WHERE data_type = '{S.LIFE_EVENT}' AND (ts % 3 <> 0 OR ts % 6 = 0) GROUP BY 1, 2")
+
+
+def typed_scan() -> str:
+    return f"{visible_observations()} AND data_type = '{S.CONTEXT}' AND ts BETWEEN 1704500000 AND 1705000000"
+
+
+def several_types() -> str:
+    return plain(f"SELECT id, ts, data_type FROM obs WHERE data_type IN ('{S.LIFE_EVENT}', '{S.HRV}') AND ts BETWEEN 1704500000 AND 1705000000 AND NOT (ts % 11 = 0 AND ts % 2 = 0)")
+
+
+WEEK_END = 1706000000
+WEEK = ("focus_score", "stress_index")
+
+
+def feature_week() -> str:
+    chosen = f"SELECT * FROM typed WHERE ts BETWEEN {WEEK_END} - 604800 AND {WEEK_END}"
+    return f"WITH {feature_ctes(3600, chosen)}, every AS ({_all(WEEK)}) SELECT feature_id, {DIGEST} FROM every"
+
+
+def window_counts() -> str:
+    return plain("SELECT subject_id, data_type, w_end, count(*) AS rows, round(avg(confidence) + 1e-9, 6) AS confidence FROM (SELECT *, unnest(generate_series(((ts + 299) // 300) * 300, ts + 900, 300)) AS w_end FROM obs) WHERE w_end BETWEEN ts AND ts + 900 GROUP BY 1, 2, 3")
+
+
+def wearable_report() -> str:
+    ranks = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(S.SOURCE_PRIORITY))
+    return plain(f"""SELECT kind, app, device_model, max(ts) AS last_ts, max(created_at) AS last_received, any_value(counts) AS counts, round(least(1.0e0, count(DISTINCT day) / 30.0e0), 6) AS coverage, min(rank) AS rank, bool_or(rank = lead_rank) AS active
+    FROM (SELECT *, min(rank) OVER (PARTITION BY data_type) AS lead_rank FROM (SELECT *, src_kind AS kind, CASE provider_id WHEN 'p0' THEN 'Health' WHEN 'p1' THEN 'org.example.app' ELSE 'unknown' END AS app, CASE WHEN ts % 2 = 0 THEN 'two' ELSE '' END AS device_model,
+      CASE src_kind {ranks} END AS rank, CAST(timezone('Europe/Belgrade', to_timestamp(ts)) AS date) AS day FROM obs WHERE ts BETWEEN {WEARABLE_NOW} - 30 * 86400 AND {WEARABLE_NOW} AND src_kind IS NOT NULL)) r
+    JOIN (SELECT kind, app, device_model, string_agg(line, ',' ORDER BY data_type) AS counts FROM (
+      SELECT src_kind AS kind, CASE provider_id WHEN 'p0' THEN 'Health' WHEN 'p1' THEN 'org.example.app' ELSE 'unknown' END AS app, CASE WHEN ts % 2 = 0 THEN 'two' ELSE '' END AS device_model, data_type,
+        data_type || ':' || count(*) FILTER (ts >= {WEARABLE_NOW} - 86400) || '/' || count(*) FILTER (ts >= {WEARABLE_NOW} - 7 * 86400) || '/' || count(*) AS line
+      FROM obs WHERE ts BETWEEN {WEARABLE_NOW} - 30 * 86400 AND {WEARABLE_NOW} AND src_kind IS NOT NULL GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) c USING (kind, app, device_model) GROUP BY 1, 2, 3""")
+
+
+WEARABLE_NOW = 1706000000
+FACTS = ("focus_score", "stress_index", "context_switch_rate", "cognitive_load", "sustained_load")
+
+
+def insights() -> str:
+    """All rules; each one's facts in a subquery of its own."""
+
+    def elevated(name: str, rule: str, bound: str, title: str) -> str:
+        return f"SELECT subject_id, '{rule}', '{title}', 'up', printf('latest value %.1f', value) FROM last WHERE feature_id = '{name}' AND value >= {bound}"
+
+    return f"""WITH f AS (WITH {feature_ctes()} {_all(FACTS)}),
+    last AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY subject_id, feature_id ORDER BY w_end DESC) = 1),
+    stressed AS (WITH {feature_ctes(60)}, {high_stress_ctes()} SELECT subject_id, count(*) AS n FROM high GROUP BY 1),
+    usual AS (SELECT subject_id, avg(focus) AS base FROM ({focus_afternoon_baseline()}) WHERE confidence >= 0.3 GROUP BY 1 HAVING count(*) >= 2),
+    hrv AS (SELECT subject_id, max_by(delta, day) AS delta, max_by(method, day) AS method FROM ({hrv_vs_baseline()}) GROUP BY 1),
+    moved AS (SELECT subject_id, value - base AS change, base FROM last JOIN usual USING (subject_id) WHERE feature_id = 'focus_score' AND confidence >= 0.3 AND abs(value - base) >= 10),
+    told(subject_id, rule_id, title, direction, text) AS (
+      SELECT subject_id, 'high_stress_period_v1', 'Sustained high stress', 'up', printf('%d sustained high stress period(s)', n) FROM stressed
+      UNION ALL {elevated("context_switch_rate", "context_switch_elevated_v1", "1.0", "Frequent context switches")}
+      UNION ALL SELECT subject_id, 'focus_vs_recent_baseline_v1', 'Focus against recent afternoons', CASE WHEN change < 0 THEN 'down' ELSE 'up' END, printf('%+.1f against a baseline of %.1f', change, base) FROM moved
+      UNION ALL {elevated("cognitive_load", "cognitive_load_elevated_v1", "60", "High combined demand")}
+      UNION ALL {elevated("sustained_load", "sustained_load_elevated_v1", "60", "High sustained load")}
+      UNION ALL SELECT subject_id, 'hrv_vs_baseline_v1', 'HRV below baseline', 'down', printf('%s %.1f ms against the baseline', method, delta) FROM hrv WHERE delta <= -5)
+    SELECT subject_id, rule_id, title, text FROM told
+    UNION ALL SELECT subject_id, 'focus_dip_pace_hint_v1', 'Ease the pace', 'Focus is under its usual level; a short break may help.' FROM told WHERE rule_id = 'focus_vs_recent_baseline_v1' AND direction = 'down'
+    UNION ALL SELECT subject_id, 'combined_demand_pace_hint_v1', 'Spread demands', 'Several demands meet; moving one of them may help.' FROM told WHERE rule_id = 'cognitive_load_elevated_v1'"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tomllib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,33 @@ def feature_lines(runs: DataFrame) -> DataFrame:
     return runs.orderBy("subject_id", "feature_id", "run_start", "run_end").select("subject_id", F.col("run_start").alias("at"), text.alias("line"))
 
 
+def life_event_lines(events: DataFrame) -> DataFrame:
+    """Table lines of life events (subject_id, id, ts, created_at, life_kind), in
+    order of (time, id) within a subject; without events there is no table."""
+    kind = F.replace("life_kind", F.lit("|"), F.lit("\\|"))
+    text = F.format_string("| %s | %d | %d | observation:%s |", kind, "ts", "created_at", "id")
+    rows = events.select("subject_id", F.col("ts").alias("at"), text.alias("line"), F.lit(1).alias("part"), "id")
+    head = events.select("subject_id").distinct().select("subject_id", F.lit(None).cast("bigint").alias("at"), F.lit("| event | happened (s) | logged (s) | id |\n| :--- | :--- | :--- | :--- |").alias("line"), F.lit(0).alias("part"), F.lit("").alias("id"))
+    return head.unionByName(rows).orderBy("subject_id", "part", "at", "id").select("subject_id", "at", "line")
+
+
+#: Conditions that a person may declare.
+CONDITIONS = ("sleep_sensitive", "migraine_prone", "caffeine_sensitive")
+
+
+def health_context(text: str) -> tuple[list[str], str] | None:
+    """(known conditions, note) of a TOML text's ``health_context``; none where it
+    can't be read or says nothing."""
+    try:
+        said = tomllib.loads(text)["health_context"]
+        named = [c.strip() for c in said.get("conditions", [])]
+        note = said.get("note", "").strip()
+    except (tomllib.TOMLDecodeError, KeyError, AttributeError, TypeError):
+        return None
+    found = [c for c in dict.fromkeys(named) if c in CONDITIONS]
+    return (found, note) if found or note else None
+
+
 def report_lines(spark: SparkSession, pack: str, sections: dict[str, DataFrame]) -> DataFrame:
     """(position, part, subject_id, at, line): every line of the pack's sections
     with its headings, to be ordered by these columns.  A section is a frame

@@ -32,6 +32,30 @@ def latest(features: DataFrame) -> DataFrame:
     return features.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
 
 
+def first_of_latest(features: DataFrame) -> DataFrame:
+    """The last window of each feature; of rows at the same end, the one that
+    ``position`` lists first."""
+    order = Window.partitionBy("subject_id", "feature_id").orderBy(F.desc("w_end"), "position")
+    return features.withColumn("place", F.row_number().over(order)).filter("place = 1").drop("place")
+
+
+def relative_time(ts: str, now: int) -> Column:
+    """Age in words: under 45 s just now, then rounded minutes, hours and days."""
+    up = lambda x: F.floor(x + 0.5).cast("bigint")
+    age = F.greatest(F.lit(0), F.lit(now) - F.col(ts))
+    minutes = up(age / 60)
+    hours = up(minutes / 60)
+    days = up(hours / 24)
+    text = lambda x, unit: F.concat(x.cast("string"), F.lit(f" {unit} ago"))
+    return F.when(age < 45, "just now").when(minutes < 60, text(minutes, "min")).when(hours < 24, text(hours, "h")).when(days == 1, "yesterday").otherwise(text(days, "days"))
+
+
+def value_text(value: str = "value") -> Column:
+    """Whole numbers as they are, others with one decimal."""
+    x = F.col(value)
+    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(F.format_string("%.1f", x))
+
+
 def reliability() -> Column:
     single = F.col("feature_id").isin(*COMPOSITES) & (F.size("factors") == 1)
     return F.when(F.col("confidence") < 0.5, "low").when(single, "single_input").otherwise("ok")

@@ -11,10 +11,11 @@ from tidelog import oracle_sql as O
 from tidelog import schema as S
 from tidelog.operators import life_events, quality, scans
 from tidelog.operators.stored import stored
-from tidelog.plans import rules, series, vitals
+from tidelog.plans import rules, series, vitals, wearables
 from tidelog.plans.features import FEATURES, Catalog, high_stress
 from tidelog.sources import polls
 from tidelog.sources.events import raw_observations, typed_observations
+from tidelog.streaming import live
 
 STEP = O.STEP
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,9 +33,9 @@ FEATURE_QUERIES = {
 }
 
 
-def digest(features: DataFrame) -> DataFrame:
+def digest(features: DataFrame, *also: str) -> DataFrame:
     factor = F.transform("factors", lambda f: F.concat(f["id"], F.lit("="), F.round(f["share"] * 10000).cast("bigint").cast("string")))
-    return features.select("subject_id", "w_end", F.round(F.col("value") + 1e-9, 6).alias("value"), F.round(F.col("confidence") + 1e-9, 6).alias("confidence"), F.size("evidence").cast("bigint").alias("n_evidence"), F.md5(F.array_join("evidence", ",")).alias("evidence_md5"), F.array_join(factor, ",").alias("factors"))
+    return features.select("subject_id", *also, "w_end", F.round(F.col("value") + 1e-9, 6).alias("value"), F.round(F.col("confidence") + 1e-9, 6).alias("confidence"), F.size("evidence").cast("bigint").alias("n_evidence"), F.md5(F.array_join("evidence", ",")).alias("evidence_md5"), F.array_join(factor, ",").alias("factors"))
 
 
 def _feature_query(name: str) -> Query:
@@ -104,6 +105,24 @@ def _spo2(obs: DataFrame) -> DataFrame:
     return _vital(vitals.night_spo2(obs), "mean", "baseline", "delta")
 
 
+def _instead_of_oxygen(obs: DataFrame, data_type: str, column: str, sql: str) -> DataFrame:
+    """The oxygen samples as another nightly measure, which the events lack."""
+    own = F.col("data_type") == S.SPO2
+    return obs.withColumns({column: F.when(own, F.expr(sql)), "data_type": F.when(own, data_type).otherwise(F.col("data_type"))})
+
+
+@query("respiratory_nightly", O.respiratory_nightly())
+def _respiratory(obs: DataFrame) -> DataFrame:
+    rows = _instead_of_oxygen(obs, S.RESPIRATORY, "breaths_per_min", O.BREATHS)
+    return _vital(vitals.respiratory_rate(rows), "mean", "low", "baseline", "delta")
+
+
+@query("wrist_nightly", O.wrist_nightly())
+def _wrist(obs: DataFrame) -> DataFrame:
+    rows = _instead_of_oxygen(obs, S.WRIST_TEMPERATURE, "celsius", O.WRIST)
+    return _vital(vitals.wrist_temperature(rows), "mean", "baseline", "delta")
+
+
 @query("focus_afternoon_baseline", O.focus_afternoon_baseline())
 def _afternoon(obs: DataFrame) -> DataFrame:
     return _vital(series.afternoon_baseline(obs, O.AFTERNOON_STEP), "focus")
@@ -133,7 +152,7 @@ def _effect(obs: DataFrame) -> DataFrame:
     return rounded(rules.life_event_effect(facts).drop("event_ids"), "change", "confidence")
 
 
-@query("insights")
+@query("insights", O.insights())
 def _insights(obs: DataFrame) -> DataFrame:
     obs = stored(obs)
     cat = Catalog(obs, STEP, keep=True)
@@ -185,6 +204,46 @@ def _visible_between(obs: DataFrame) -> DataFrame:
     return scans.visible_between(with_markers(obs), 1704500000, 1705000000).select("id", "subject_id", "ts", "provider_id", "data_type")
 
 
+@query("typed_scan", O.typed_scan())
+def _typed_scan(obs: DataFrame) -> DataFrame:
+    return scans.of_type(with_markers(obs), S.CONTEXT, 1704500000, 1705000000).select("id", "subject_id", "ts", "provider_id", "data_type")
+
+
+@query("several_types", O.several_types())
+def _several_types(obs: DataFrame) -> DataFrame:
+    return scans.of_types(with_markers(obs), [S.LIFE_EVENT, S.HRV], 1704500000, 1705000000).select("id", "ts", "data_type")
+
+
+@query("by_id", O.plain("SELECT id, ts, data_type FROM obs WHERE id = '000000000100'"))
+def _by_id(obs: DataFrame) -> DataFrame:
+    return scans.by_id(obs, "000000000100").select("id", "ts", "data_type")
+
+
+@query("retracted_ids", O.plain("SELECT id FROM obs WHERE ts % 3 = 0"))
+def _retracted_ids(obs: DataFrame) -> DataFrame:
+    return scans.is_retracted(with_markers(obs), obs.select("id"))
+
+
+@query("feature_week", O.feature_week())
+def _feature_week(obs: DataFrame) -> DataFrame:
+    return digest(series.feature_series(obs, "1w", O.WEEK_END, list(O.WEEK)), "feature_id")
+
+
+@query("window_counts", O.window_counts())
+def _window_counts(obs: DataFrame) -> DataFrame:
+    return rounded(live.window_counts(obs, 300), "confidence")
+
+
+@query("wearable_report", O.wearable_report())
+def _wearable_report(obs: DataFrame) -> DataFrame:
+    """The source report of raw rows whose payloads name application and device."""
+    app = F.when(F.col("provider_id") == "p0", "Health"), F.when(F.col("provider_id").isin("p0", "p1"), "org.example.app")
+    src = F.struct(F.col("src_kind").alias("kind"), app[0].alias("app_name"), app[1].alias("bundle_id"), F.when(F.col("ts") % 2 == 0, "two").alias("device_model"))
+    raw = obs.withColumn("payload", F.to_json(F.struct(src.alias("src"), "stage")))
+    counts = F.transform("counts", lambda c: F.concat(c["data_type"], F.lit(":"), F.concat_ws("/", *[c[n].cast("string") for n in ("last_24h", "last_7d", "last_30d")])))
+    return rounded(wearables.report(wearables.samples(raw), O.WEARABLE_NOW).withColumn("counts", F.array_join(counts, ",")), "coverage")
+
+
 @query("life_event_log", O.life_event_log())
 def _life_event_log(obs: DataFrame) -> DataFrame:
     """A third of the events retracted, every other of these restored."""
