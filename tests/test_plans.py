@@ -227,6 +227,8 @@ def test_texts_of_a_report(spark):
     assert [r[0] for r in ages.collect()] == ["just now", "1 min ago", "17 min ago", "1 h ago", "yesterday", "4 days ago"]
     values = spark.createDataFrame([(2.0,), (2.25,), (None,)], "value double").select(series.value_text())
     assert [r[0] for r in values.collect()] == ["2", "2.3", None]
+    run = spark.createDataFrame([("s", "f", 0, 900, 1.5, None, float("nan"), 2.0, 3, "n/a")], "subject_id string, feature_id string, run_start long, run_end long, first double, last double, low double, high double, samples long, trend string")
+    assert report.feature_lines(run).first()["line"] == "- f [0..900]: first 1.5000, last n/a, low n/a, high 2.0000, 3 samples, n/a"
     same = spark.createDataFrame([("s", "f", 5, 1, 0.1), ("s", "f", 5, 0, 0.2), ("s", "f", 4, 2, 0.3)], "subject_id string, feature_id string, w_end long, position int, value double")
     assert [r["value"] for r in series.first_of_latest(same).collect()] == [0.2]
     events = spark.createDataFrame([("s", "b", 5, 9, "walk"), ("s", "a", 5, 6, "cof|fee")], "subject_id string, id string, ts long, created_at long, life_kind string")

@@ -16,7 +16,7 @@ class UnknownPack(ValueError):
 
 def feature_lines(runs: DataFrame) -> DataFrame:
     """One line for each run of a feature."""
-    number = lambda c: F.coalesce(F.format_string("%.4f", F.col(c)), F.lit("n/a"))
+    number = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c), F.format_string("%.4f", F.col(c))).otherwise("n/a")
     text = F.format_string("- %s [%d..%d]: first %s, last %s, low %s, high %s, %d samples, %s", "feature_id", "run_start", "run_end", number("first"), number("last"), number("low"), number("high"), "samples", "trend")
     return runs.orderBy("subject_id", "feature_id", "run_start", "run_end").select("subject_id", F.col("run_start").alias("at"), text.alias("line"))
 

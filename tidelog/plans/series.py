@@ -53,7 +53,7 @@ def relative_time(ts: str, now: int) -> Column:
 def value_text(value: str = "value") -> Column:
     """Whole numbers as they are, others with one decimal."""
     x = F.col(value)
-    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(F.format_string("%.1f", x))
+    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).when(x.isNotNull(), F.format_string("%.1f", x))
 
 
 def reliability() -> Column:
