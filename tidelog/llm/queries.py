@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters.
+"""The registered queries of the thirteen operators, with production parameters.
 
 Each ``opN_<name>(spark, sf_dir)`` runs its operator over its whole table and
 derives the contract's columns from the operator's own output.
@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import chat_format, jaccard_join, knn_search, language_id, license_scan, mixing, packing, pii, quality, secret_scan
+from tidelog.llm import chat_format, fill_middle, jaccard_join, knn_search, language_id, license_scan, mixing, packing, pii, quality, secret_scan, sharding, token_alignment
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,22 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -86,5 +102,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_knn_search": op9_knn_search,
     "op10_secret_scan": op10_secret_scan,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_sharding": op12_sharding,
+    "op13_token_alignment": op13_token_alignment,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_FILL_MIDDLE = """WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS varchar), '')) AS digest FROM documents),
+  units AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units,
+      [CAST('0x' || substr(digest, 8 * k + 1, 8) AS bigint) FOR k IN range(4)] AS h FROM texts),
+  counted AS (SELECT *, CAST(len(units) AS bigint) AS n FROM units),
+  cuts AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+      CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+        WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM counted),
+  parts AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:n], '') AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS bigint) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS bigint) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM parts"""
+
+#: The other operators are beyond SQL; so is the checksum of op12 (see tests/llm for its other columns).
+ORACLE_SQL: dict[str, str] = {"op11_fill_middle": _FILL_MIDDLE}
