@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -262,11 +263,17 @@ def test_transducer(words, seed):
         return out
 
     a, b = cut(seed), cut(seed + 1)
-    groups, links = token_alignment.Transducer(of, of).align(a, b)
+    def align(*pairs):
+        flat = lambda side: np.array([t for p in pairs for t in p[side]], np.int64)
+        cuts = lambda side: np.cumsum([0, *(len(p[side]) for p in pairs)])
+        return token_alignment.Transducer(of, of).align(flat(0), cuts(0), flat(1), cuts(1))
+
+    agree, end_a, end_b, links, owners = align((a, b), (a, [*b, 0]), (a, b[:-1]), (b, a))
+    assert agree.tolist() == [True, False, not text, True]
+    n = len(a), len(b)
+    groups = list(zip(np.split(a, np.flatnonzero(end_a[: n[0]]) + 1)[:-1], np.split(b, np.flatnonzero(end_b[: n[1]]) + 1)[:-1], strict=True))
     assert [i for g, _ in groups for i in g] == a
     assert [i for _, g in groups for i in g] == b
     assert all(b"".join(of[i] for i in x) == b"".join(of[i] for i in y) for x, y in groups)
-    assert len(links) == len(a) + len(b) - len(groups)
-    if text:
-        assert token_alignment.Transducer(of, of).align(a, b[:-1]) is None
-        assert token_alignment.Transducer(of, of).align(a, [*b, 0]) is None
+    assert (owners == 0).sum() == (owners == 3).sum() == len(a) + len(b) - len(groups)
+    assert sorted(links[owners == 0].tolist()) == sorted(((x & 0xFFFFFFFF) << 32) | x >> 32 for x in links[owners == 3].tolist())
