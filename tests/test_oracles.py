@@ -12,7 +12,7 @@ from tidelog.queries import ORACLES, QUERIES
 
 
 #: Without rows on small tables; test_plans.py has cases of their own.
-SPARSE = ("life_event_effect", "high_stress_runs")
+SPARSE = ("life_event_effect",)
 
 
 @pytest.fixture(scope="module")

@@ -8,18 +8,26 @@ from tidelog import schema as S
 from tidelog.plans import features as P
 from tidelog.sources import events as E
 
-STEP = 3600
+#: The default grid; None: a subject's whole history instead of its latest ends.
+STEP, MOST = 60, None
 
 
-def _ends(bounds: str, step: int) -> str:
+def _ends(bounds: str, step: int, most: int | None) -> str:
+    fewer = f"CASE WHEN first_end <= last_end THEN (last_end - first_end) // {step} + 1 ELSE 0 END < {most}" if most else "true"
     return f"""SELECT subject_id, min_ts, unnest(generate_series(first_end, last_end, {step})) AS w_end FROM {bounds}
       UNION ALL SELECT subject_id, min_ts, max_ts FROM {bounds}
-      WHERE last_end < max_ts AND CASE WHEN first_end <= last_end THEN (last_end - first_end) // {step} + 1 ELSE 0 END < 1440"""
+      WHERE last_end < max_ts AND {fewer}"""
 
 
-def _bounds(span: str, step: int) -> str:
-    return f"""SELECT *, (max_ts // {step}) * {step} AS last_end,
-      greatest(CAST(ceil(min_ts / {step}) AS bigint) * {step}, (max_ts // {step}) * {step} - 1439 * {step}) AS first_end FROM {span}"""
+def _bounds(span: str, step: int, most: int | None) -> str:
+    first = f"CAST(ceil(min_ts / {step}) AS bigint) * {step}"
+    first = f"greatest({first}, (max_ts // {step}) * {step} - {most - 1} * {step})" if most else first
+    return f"SELECT *, (max_ts // {step}) * {step} AS last_end, {first} AS first_end FROM {span}"
+
+
+def _buckets(rows: str, end: str, seconds: int) -> str:
+    """Rows with the buckets that a look back over so many seconds touches."""
+    return f"(SELECT *, unnest([{end} // {seconds}, {end} // {seconds} - 1]) AS bucket FROM {rows})"
 
 
 def _typed() -> str:
@@ -31,13 +39,13 @@ def _typed() -> str:
     typed AS (SELECT {columns} FROM keyed)"""
 
 
-def _base(step: int = STEP, chosen: str = "SELECT * FROM typed") -> str:
+def _base(step: int = STEP, chosen: str = "SELECT * FROM typed", most: int | None = 1440) -> str:
     return f"""{_typed()},
     obs AS ({chosen}),
     span AS (SELECT subject_id, min(ts) AS min_ts, max(ts) AS max_ts FROM obs GROUP BY 1),
-    b AS ({_bounds("span", step)}),
-    ends AS ({_ends("b", step)}),
-    mem AS (SELECT o.*, e.w_end FROM obs o JOIN ends e ON o.subject_id = e.subject_id AND o.ts BETWEEN e.w_end - 900 AND e.w_end),
+    b AS ({_bounds("span", step, most)}),
+    ends AS ({_ends("b", step, most)}),
+    mem AS (SELECT o.*, e.w_end FROM obs o JOIN {_buckets("ends", "w_end", 900)} e ON o.subject_id = e.subject_id AND o.ts // 900 = e.bucket AND o.ts BETWEEN e.w_end - 900 AND e.w_end),
     lagged AS (SELECT *, lag(label) OVER (PARTITION BY subject_id, w_end, data_type ORDER BY ts, id) AS prev
       FROM (SELECT subject_id, w_end, data_type, ts, id, coalesce(bundle_id, category) AS label FROM mem WHERE data_type IN ('{S.CONTEXT}', '{S.BROWSER}')) WHERE label IS NOT NULL),
     moves AS (SELECT subject_id, w_end, count(*) FILTER (data_type = '{S.CONTEXT}' AND label <> prev) AS switches,
@@ -125,7 +133,7 @@ def _slots(expected: int, *names: str) -> str:
     return f"least(1.0e0, {n} / {expected}.0e0 * coalesce({c} / nullif({n}, 0), 0))"
 
 
-def feature_ctes(step: int = STEP, chosen: str = "SELECT * FROM typed") -> str:
+def feature_ctes(step: int = STEP, chosen: str = "SELECT * FROM typed", most: int | None = 1440) -> str:
     """All features as named tables on top of the base tables."""
     focus = _Parts(
         ("typing", "0.25e0", "CASE WHEN rate <= 0 THEN 50.0e0 WHEN rate IS NOT NULL THEN 50 + 50 * least(rate / 80, 1.0e0) END"),
@@ -154,7 +162,7 @@ def feature_ctes(step: int = STEP, chosen: str = "SELECT * FROM typed") -> str:
     away_conf = f"least(1.0e0, {away.present} / 3.0e0 * coalesce(({' + '.join(used('c', '0'))}) / nullif({' + '.join(used('n', '0'))}, 0), 0))"
     sustained = _Parts(("stress", "0.4e0", "sm"), ("fatigue", "0.4e0", "fm"), ("meetings", "0.2e0", "mm * 100"))
     key = "subject_id, w_end"
-    return f"""{_base(step, chosen)},
+    return f"""{_base(step, chosen, most)},
     context_switch_rate AS ({_feature("w WHERE n_ctx > 0", "csr", _conf(1, "1", "ctx"), _ids("i_ctx"))}),
     focus_score AS ({_feature(f"w WHERE {focus.present} > 0", focus.value, _conf(3, focus.present, "key", "hrv", "ctx"), _ids("i_key", "i_hrv", "i_ctx"), focus.factors)}),
     stress_index AS ({_feature(f"w WHERE {stress.present} > 0", stress.value, _conf(1, "1", "hrv"), _ids("i_hrv"))}),
@@ -166,8 +174,8 @@ def feature_ctes(step: int = STEP, chosen: str = "SELECT * FROM typed") -> str:
       FROM active a LEFT JOIN w USING ({key}) LEFT JOIN focus_score f USING ({key}) JOIN first15 USING (subject_id)) WHERE value IS NOT NULL),
     mtg AS (SELECT subject_id, id, start_s, end_s, confidence FROM obs WHERE data_type = '{S.CALENDAR}' AND NOT coalesce(all_day, false) AND coalesce(busy, true)),
     mspan AS (SELECT subject_id, min(start_s) AS min_ts, max(end_s) AS max_ts FROM mtg GROUP BY 1),
-    mb AS ({_bounds("mspan", step)}),
-    mends AS ({_ends("mb", step)}),
+    mb AS ({_bounds("mspan", step, most)}),
+    mends AS ({_ends("mb", step, most)}),
     mtouch AS (SELECT m.*, e.w_end, greatest(start_s, w_end - 900) AS low, least(end_s, w_end) AS high FROM mtg m JOIN mends e ON m.subject_id = e.subject_id AND m.start_s <= e.w_end AND m.end_s >= e.w_end - 900),
     medge AS (SELECT *, CASE WHEN low > max(high) OVER (PARTITION BY {key} ORDER BY low, high, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS opens FROM mtouch),
     misland AS (SELECT *, sum(opens) OVER (PARTITION BY {key} ORDER BY low, high, id) AS island FROM medge),
@@ -193,7 +201,7 @@ def feature_ctes(step: int = STEP, chosen: str = "SELECT * FROM typed") -> str:
       FROM meeting_density m FULL JOIN context_switch_rate c USING ({key}) FULL JOIN notification_pressure n USING ({key})),
     deep_work_score AS (SELECT subject_id, w_end, {deep.value} AS value, {_slots(2, "f", "c")} AS confidence, {_ids("f.evidence", "c.evidence")} AS evidence, {deep.factors} AS factors FROM focus_score f LEFT JOIN context_switch_rate c USING ({key})),
     near AS (SELECT a.subject_id, a.w_end, max(f.value) - min(f.value) AS spread, avg(f.confidence) AS confidence, flatten(list(f.evidence)) AS evidence
-      FROM focus_score a JOIN focus_score f ON a.subject_id = f.subject_id AND f.w_end BETWEEN a.w_end - 900 AND a.w_end GROUP BY 1, 2),
+      FROM {_buckets("focus_score", "w_end", 900)} a JOIN focus_score f ON a.subject_id = f.subject_id AND f.w_end // 900 = a.bucket AND f.w_end BETWEEN a.w_end - 900 AND a.w_end GROUP BY 1, 2),
     attention_stability AS (SELECT subject_id, w_end, {attention.value} AS value, (near.confidence + coalesce(c.confidence, 0)) / 2 AS confidence,
       list_sort(list_distinct(list_concat(near.evidence, coalesce(c.evidence, [])))) AS evidence, {attention.factors} AS factors FROM near LEFT JOIN context_switch_rate c USING ({key})),
     desk_away AS ({_feature("w WHERE (n_walk > 0 OR coalesce(steps, 0) >= 40) AND NOT (typing AND n_walk = 0 AND coalesce(steps, 0) < 80)", away.value, away_conf, f"list_sort(list_distinct(flatten([{', '.join(used('i', '[]'))}])))", away.factors)}),
@@ -203,7 +211,7 @@ def feature_ctes(step: int = STEP, chosen: str = "SELECT * FROM typed") -> str:
     work AS (SELECT e.subject_id, e.w_end, coalesce(sum(desk), 0) > 0 AS by_desk, round(sum(desk * ts) / sum(desk)) AS desk_at, round(sum(move * ts) / sum(move)) AS move_at,
       count(desk) AS n_desk, count(move) AS n_move, sum(confidence) FILTER (desk IS NOT NULL) AS c_desk, sum(confidence) FILTER (move IS NOT NULL) AS c_move,
       list(id) FILTER (desk IS NOT NULL) AS i_desk, list(id) FILTER (move IS NOT NULL) AS i_move
-      FROM timed t JOIN ends e ON t.subject_id = e.subject_id AND t.ts BETWEEN e.w_end - 86400 AND e.w_end WHERE desk IS NOT NULL OR move IS NOT NULL GROUP BY 1, 2),
+      FROM timed t JOIN {_buckets("ends", "w_end", 86400)} e ON t.subject_id = e.subject_id AND t.ts // 86400 = e.bucket AND t.ts BETWEEN e.w_end - 86400 AND e.w_end WHERE desk IS NOT NULL OR move IS NOT NULL GROUP BY 1, 2),
     clock AS (SELECT *, CAST(CASE WHEN by_desk THEN desk_at ELSE move_at END AS bigint) - (low + (high - low) // 2 + 43200) AS apart FROM work JOIN {_rest(P.REST_STAGES)} s USING ({key})),
     folded AS (SELECT *, ((apart % 86400) + 86400) % 86400 AS off FROM clock),
     circadian_offset AS (SELECT subject_id, w_end, {_clamp("100 * (1 - CASE WHEN off > 43200 THEN 86400 - off ELSE off END / 3600.0e0 / 6.0e0)")} AS value,
@@ -214,15 +222,15 @@ def feature_ctes(step: int = STEP, chosen: str = "SELECT * FROM typed") -> str:
     slook AS (SELECT 's' AS src, subject_id, w_end, value, confidence, evidence FROM stress_index UNION ALL SELECT 'f', subject_id, w_end, value, confidence, evidence FROM fatigue_index UNION ALL SELECT 'm', subject_id, w_end, value, confidence, evidence FROM meeting_density),
     slong AS (SELECT e.subject_id, e.w_end, avg(value) FILTER (src = 's') AS sm, avg(value) FILTER (src = 'f') AS fm, avg(value) FILTER (src = 'm') AS mm, avg(confidence) AS conf,
       list_sort(flatten(list(evidence) FILTER (x.w_end = e.w_end))) AS evidence
-      FROM sends e JOIN slook x ON e.subject_id = x.subject_id AND x.w_end BETWEEN e.w_end - 14400 AND e.w_end GROUP BY 1, 2),
+      FROM {_buckets("sends", "w_end", 14400)} e JOIN slook x ON e.subject_id = x.subject_id AND x.w_end // 14400 = e.bucket AND x.w_end BETWEEN e.w_end - 14400 AND e.w_end GROUP BY 1, 2),
     sustained_load AS (SELECT subject_id, w_end, {_clamp(sustained.value)} AS value, {sustained.present} / 3.0e0 * conf AS confidence, evidence, {sustained.factors} AS factors FROM slong)"""
 
 
 DIGEST = "subject_id, w_end, round(value + 1e-9, 6) AS value, round(confidence + 1e-9, 6) AS confidence, CAST(len(evidence) AS bigint) AS n_evidence, md5(array_to_string(evidence, ',')) AS evidence_md5, factors"
 
 
-def feature(name: str, step: int = STEP) -> str:
-    return f"WITH {feature_ctes(step)}\nSELECT {DIGEST} FROM {name}"
+def feature(name: str, step: int = STEP, most: int | None = MOST) -> str:
+    return f"WITH {feature_ctes(step, most=most)}\nSELECT {DIGEST} FROM {name}"
 
 
 def observations() -> str:
@@ -348,7 +356,7 @@ REPORTED = ("focus_score", "energy_score", "notification_pressure")
 
 def latest_features() -> str:
     composites = "('focus_score', 'fatigue_index', 'recovery_score', 'energy_score', 'cognitive_load', 'deep_work_score', 'sustained_load')"
-    return f"""WITH {feature_ctes()}, every AS ({_all(LATEST)})
+    return f"""WITH {feature_ctes(most=MOST)}, every AS ({_all(LATEST)})
     SELECT subject_id, feature_id, w_end, {_rounded("value", "confidence")},
       CASE WHEN confidence < 0.5 THEN 'low' WHEN feature_id IN {composites} AND factors <> '' AND factors NOT LIKE '%,%' THEN 'single_input' ELSE 'ok' END AS reliability
     FROM every QUALIFY row_number() OVER (PARTITION BY subject_id, feature_id ORDER BY w_end DESC) = 1"""
@@ -356,11 +364,11 @@ def latest_features() -> str:
 
 def chart_pivot() -> str:
     columns = ", ".join(f"round(max(value) FILTER (feature_id = '{n}') + 1e-9, 6) AS {n}" for n in CHART)
-    return f"WITH {feature_ctes()}, every AS ({_all(CHART)}) SELECT subject_id, w_end, {columns} FROM every GROUP BY 1, 2"
+    return f"WITH {feature_ctes(most=MOST)}, every AS ({_all(CHART)}) SELECT subject_id, w_end, {columns} FROM every GROUP BY 1, 2"
 
 
 def report_runs() -> str:
-    return f"""WITH {feature_ctes()}, every AS ({_all(REPORTED)}),
+    return f"""WITH {feature_ctes(most=MOST)}, every AS ({_all(REPORTED)}),
     rows_ AS (SELECT subject_id, feature_id, w_end, w_end - 900 AS start, value, lag(w_end) OVER (PARTITION BY subject_id, feature_id ORDER BY w_end) AS prev FROM every),
     runs AS (SELECT *, sum(CASE WHEN prev IS NULL OR start > prev + 120 THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id, feature_id ORDER BY w_end) AS run FROM rows_),
     agg AS (SELECT subject_id, feature_id, run, min(start) AS run_start, max(w_end) AS run_end, arg_min(value, w_end) AS first, arg_max(value, w_end) AS last, min(value) AS low, max(value) AS high, count(*) AS samples FROM runs GROUP BY 1, 2, 3)
@@ -368,11 +376,10 @@ def report_runs() -> str:
       CASE WHEN last - first >= 5 THEN 'higher' WHEN last - first <= -5 THEN 'lower' ELSE 'flat' END AS trend FROM agg"""
 
 
-EFFECT_STEP = 300
 
 
 def life_event_effect() -> str:
-    return f"""WITH {feature_ctes(EFFECT_STEP)},
+    return f"""WITH {feature_ctes(most=MOST)},
     e AS (SELECT subject_id, id, ts AS event_ts, life_kind AS kind FROM obs WHERE data_type = '{S.LIFE_EVENT}' AND life_kind IN ('coffee', 'walk')),
     s AS ({_all(("focus_score", "cognitive_load"))}),
     around_event AS (SELECT e.*, s.feature_id, s.value, s.confidence, (s.w_end > event_ts - 2700 AND s.w_end <= event_ts) AS b, (s.w_end BETWEEN event_ts + 900 AND event_ts + 3600) AS a FROM e JOIN s ON s.subject_id = e.subject_id AND s.confidence >= 0.4 AND s.w_end > event_ts - 2700 AND s.w_end <= event_ts + 3600),
@@ -483,13 +490,15 @@ FACTS = ("focus_score", "stress_index", "context_switch_rate", "cognitive_load",
 
 def insights() -> str:
     """All rules; each one's facts in a subquery of its own."""
+    sure = "least(events / 4.0e0, 1.0e0) * confidence"
+    words = f"CASE WHEN {sure} >= 0.75 THEN 'high' WHEN {sure} >= 0.4 THEN 'medium' ELSE 'low' END"
 
     def elevated(name: str, rule: str, bound: str, title: str) -> str:
         return f"SELECT subject_id, '{rule}', '{title}', 'up', printf('latest value %.1f', value) FROM last WHERE feature_id = '{name}' AND value >= {bound}"
 
-    return f"""WITH f AS (WITH {feature_ctes()} {_all(FACTS)}),
+    return f"""WITH f AS (WITH {feature_ctes(most=MOST)} {_all(FACTS)}),
     last AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY subject_id, feature_id ORDER BY w_end DESC) = 1),
-    stressed AS (WITH {feature_ctes(60)}, {high_stress_ctes()} SELECT subject_id, count(*) AS n FROM high GROUP BY 1),
+    stressed AS (WITH {feature_ctes(most=MOST)}, {high_stress_ctes()} SELECT subject_id, count(*) AS n FROM high GROUP BY 1),
     usual AS (SELECT subject_id, avg(focus) AS base FROM ({focus_afternoon_baseline()}) WHERE confidence >= 0.3 GROUP BY 1 HAVING count(*) >= 2),
     hrv AS (SELECT subject_id, max_by(delta, day) AS delta, max_by(method, day) AS method FROM ({hrv_vs_baseline()}) GROUP BY 1),
     moved AS (SELECT subject_id, value - base AS change, base FROM last JOIN usual USING (subject_id) WHERE feature_id = 'focus_score' AND confidence >= 0.3 AND abs(value - base) >= 10),
@@ -499,6 +508,7 @@ def insights() -> str:
       UNION ALL SELECT subject_id, 'focus_vs_recent_baseline_v1', 'Focus against recent afternoons', CASE WHEN change < 0 THEN 'down' ELSE 'up' END, printf('%+.1f against a baseline of %.1f', change, base) FROM moved
       UNION ALL {elevated("cognitive_load", "cognitive_load_elevated_v1", "60", "High combined demand")}
       UNION ALL {elevated("sustained_load", "sustained_load_elevated_v1", "60", "High sustained load")}
+      UNION ALL SELECT subject_id, 'life_event_before_after_v1', 'Before and after an event', CASE WHEN change < 0 THEN 'down' ELSE 'up' END, printf('%s after %s: %+.1f over %d event(s), %s confidence', feature_id, kind, change, events, {words}) FROM ({life_event_effect()}) WHERE abs(change) >= 5
       UNION ALL SELECT subject_id, 'hrv_vs_baseline_v1', 'HRV below baseline', 'down', printf('%s %.1f ms against the baseline', method, delta) FROM hrv WHERE delta <= -5)
     SELECT subject_id, rule_id, title, text FROM told
     UNION ALL SELECT subject_id, 'focus_dip_pace_hint_v1', 'Ease the pace', 'Focus is under its usual level; a short break may help.' FROM told WHERE rule_id = 'focus_vs_recent_baseline_v1' AND direction = 'down'

@@ -1,8 +1,9 @@
 """Window features as one lazy plan.
 
-All features over observations share a single aggregation by (subject_id,
-w_end); interval features explode intervals to the grid; composites join or
-look back over the feature frames.  A feature is emitted only where its inputs
+All features over observations share a single aggregation by panes, merged to
+(subject_id, w_end); sleep and clock features use running sums over what enters
+and leaves the last 24 hours; composites join or look back over the feature
+frames.  Scans over a subject's history work day by day.  A feature is emitted only where its inputs
 are, so no row means no evidence.
 
 Every feature frame has (subject_id, w_end, value, confidence, evidence,
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tidelog import schema as S
 from tidelog.functions.scores import Parts, add, clamp, confidence, fall, shares, switch_load, switch_stability
 from tidelog.operators.stored import stored
-from tidelog.plans import windows as W
+from tidelog.plans import panes, windows as W
 
 COLUMNS = ("subject_id", "w_end", "value", "confidence", "evidence", "factors")
 _NO_FACTORS = "cast(array() as array<struct<id:string,share:double>>)"
@@ -43,20 +44,18 @@ def ids(*columns: str) -> Column:
     return F.array_sort(F.concat(*[F.col(c) for c in columns]))
 
 
-def with_previous(obs: DataFrame) -> DataFrame:
-    """Adds ``changed`` and ``previous_ts``: the label (bundle or category) of the
-    previous labelled row of the same type.  Only rows of the last window's
-    length matter, so days are ordered apart, each with a halo of that length:
-    a subject of any size spreads over many tasks."""
+def with_changes(obs: DataFrame) -> DataFrame:
+    """Adds ``changed``: whether the label (bundle or category) differs from that
+    of the previous labelled row of the same type; null for rows without one.
+    Only rows of the last window's length matter, so days are ordered apart,
+    each with a halo of that length: a subject of any size spreads over many tasks."""
     label = F.coalesce("bundle_id", "category")
-    rows = obs.filter(F.col("data_type").isin(S.CONTEXT, S.BROWSER))
-    day = F.floor(F.col("ts") / W.DAY)
-    halo = F.floor((F.col("ts") + W.WINDOW) / W.DAY)
-    rows = rows.select("subject_id", "data_type", "id", "ts", label.alias("label"), day.alias("day"), F.explode(F.array_distinct(F.array(day, halo))).alias("chunk"))
-    before = Window.partitionBy("subject_id", "data_type", "chunk").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.when(F.col("label").isNotNull(), F.struct("label", "ts"))
-    rows = rows.withColumn("before", F.last(seen, ignorenulls=True).over(before)).filter("chunk = day")
-    return rows.select("subject_id", "data_type", "id", (F.col("label") != F.col("before.label")).alias("changed"), F.col("before.ts").alias("previous_ts"))
+    labelled = F.col("data_type").isin(S.CONTEXT, S.BROWSER) & label.isNotNull()
+    rows = panes.by_day(obs.filter(labelled), F.col("ts"), F.col("ts") + W.WINDOW)
+    order = Window.partitionBy("subject_id", "data_type", "chunk").orderBy("ts", "id")
+    rows = rows.withColumn("changed", F.coalesce(label != F.lag(label).over(order), F.lit(False)))
+    rows = rows.filter(F.col("chunk") == panes.day_of(F.col("ts"))).drop("chunk")
+    return rows.unionByName(obs.filter(~F.coalesce(labelled, F.lit(False))).withColumn("changed", F.lit(None).cast("boolean")))
 
 
 class Catalog:
@@ -64,10 +63,11 @@ class Catalog:
 
     With ``keep``, the windows and the features that others are made of are
     written once and read again: for many features at a time, whose joint plan
-    would be too large."""
+    would be too large.  ``most`` limits a subject's grid to its latest ends;
+    None evaluates its whole history."""
 
-    def __init__(self, obs: DataFrame, step: int = 60, keep: bool = False):
-        self.obs, self.step, self.keep = obs, max(1, step), keep
+    def __init__(self, obs: DataFrame, step: int = 60, keep: bool = False, most: int | None = W.MOST_ENDS):
+        self.obs, self.step, self.keep, self.most = obs, max(1, step), keep, most
         self._made: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -81,7 +81,7 @@ class Catalog:
 
     @cached_property
     def bounds(self) -> DataFrame:
-        return W.bounds(W.spans(self.obs), self.step)
+        return W.bounds(W.spans(self.obs), self.step, self.most)
 
     @cached_property
     def ends(self) -> DataFrame:
@@ -93,23 +93,19 @@ class Catalog:
 
     def _windows(self) -> DataFrame:
         """One row for each window that holds an observation."""
-        c = F.col
-        kind = c("data_type")
-        previous = with_previous(self.obs)
-        rows = self.obs.join(previous, ["subject_id", "data_type", "id"], "left")
-        rows = W.in_windows(rows, self.bounds, self.step)
-        change = c("changed") & (c("previous_ts") >= c("w_end") - W.WINDOW)
-        aggs = []
-        for short, name in TYPES.items():
-            is_ = kind == name
-            aggs += [F.count_if(is_).alias(f"n_{short}"), F.sum(F.when(is_, c("confidence"))).alias(f"c_{short}"), F.collect_list(F.when(is_, c("id"))).alias(f"i_{short}")]
+        c, kind = F.col, F.col("data_type")
+
+        def group(short: str, cond: Column) -> list[panes.Sum]:
+            return [panes.Count(f"n_{short}", cond), panes.Sum(f"c_{short}", F.when(cond, c("confidence"))), panes.Listed(f"i_{short}", F.when(cond, c("id")))]
+
+        columns = [x for short, name in TYPES.items() for x in group(short, kind == name)]
         for short, cond in {
             "git_ok": c("activity_kind").isin(*COUNTED_GIT),
             "ntf_ok": c("notif_count") >= 1,
             "walk": c("life_kind") == "walk",
             "workout": c("life_kind") == "workout",
         }.items():
-            aggs += [F.count_if(cond).alias(f"n_{short}"), F.sum(F.when(cond, c("confidence"))).alias(f"c_{short}"), F.collect_list(F.when(cond, c("id"))).alias(f"i_{short}")]
+            columns += group(short, cond)
         for name, cond, amount in (
             *[(f"med_{k}", c("is_playing") & (c("media_kind") == k), F.lit(1)) for k in PLAYING_KINDS],
             *[(f"git_{k}", c("activity_kind") == k, F.coalesce("event_count", F.lit(1))) for k in COUNTED_GIT],
@@ -118,24 +114,25 @@ class Catalog:
             *[(f"int_{k}", (c("interruption_level") == k) & (c("notif_count") >= 1), c("notif_count")) for k in S.INTERRUPTION_LEVELS],
             *[(f"app_{k}", (c("app_kind") == k) & (c("notif_count") >= 1), c("notif_count")) for k in S.APP_KINDS],
         ):
-            aggs.append(F.sum(F.when(cond, amount)).cast("double").alias(name))
+            columns.append(panes.Sum(name, F.when(cond, amount).cast("double")))
         weight = F.create_map(*[F.lit(x) for kv in CATEGORY_WEIGHTS.items() for x in kv])
-        aggs += [
-            F.count_if(change & (kind == S.CONTEXT)).alias("switches"),
-            F.count_if(change & (kind == S.BROWSER)).alias("churn"),
-            F.size(F.collect_set("bundle_id")).alias("bundles"),
-            F.avg(F.try_element_at(weight, c("category"))).alias("category_weight"),
-            F.avg("rate_per_min").alias("rate"),
-            F.max(F.coalesce(c("rate_per_min") >= 30, F.lit(False))).alias("typing"),
-            F.avg("rmssd_ms").alias("rmssd"),
-            F.avg("pnn50").alias("pnn50"),
-            F.avg(F.when((kind == S.HEART_RATE) & (c("bpm") > 0), c("bpm"))).alias("bpm"),
-            F.sum("steps").alias("steps"),
-            F.sum(F.when(c("kcal") >= 0, c("kcal"))).alias("kcal"),
-            F.sum(F.when(c("notif_count") >= 1, c("notif_count"))).alias("ntf_total"),
-            F.count_if(c("media_kind").isin(*PLAYING_KINDS)).alias("n_med_known"),
+        order = F.struct("ts", "id")
+        columns += [
+            panes.Changes("switches", F.when(kind == S.CONTEXT, c("changed")), order),
+            panes.Changes("churn", F.when(kind == S.BROWSER, c("changed")), order),
+            panes.Different("bundles", c("bundle_id")),
+            panes.Mean("category_weight", F.try_element_at(weight, c("category"))),
+            panes.Mean("rate", c("rate_per_min")),
+            panes.Most("typing", F.coalesce(c("rate_per_min") >= 30, F.lit(False))),
+            panes.Mean("rmssd", c("rmssd_ms")),
+            panes.Mean("pnn50", c("pnn50")),
+            panes.Mean("bpm", F.when((kind == S.HEART_RATE) & (c("bpm") > 0), c("bpm"))),
+            panes.Sum("steps", c("steps")),
+            panes.Sum("kcal", F.when(c("kcal") >= 0, c("kcal"))),
+            panes.Sum("ntf_total", F.when(c("notif_count") >= 1, c("notif_count"))),
+            panes.Count("n_med_known", c("media_kind").isin(*PLAYING_KINDS)),
         ]
-        return rows.groupBy("subject_id", "w_end").agg(*aggs)
+        return panes.sliding(with_changes(self.obs), self.bounds, self.step, columns)
 
     def early_bpm(self, seconds: int) -> DataFrame:
         """(subject_id, base): mean heart rate of the first seconds, else 60."""
@@ -152,15 +149,40 @@ class Catalog:
 
     @cached_property
     def meeting_bounds(self) -> DataFrame:
-        return W.bounds(W.spans(self.meetings, "start_s", "end_s"), self.step)
+        return W.bounds(W.spans(self.meetings, "start_s", "end_s"), self.step, self.most)
 
     def rest(self, stages: tuple[str, ...]) -> DataFrame:
-        """Sleep that counts as rest, by every end whose last 24 hours it overlaps."""
+        """Sleep that counts as rest in the 24 hours before every end it reaches
+        into: seconds, first and last moment, rows and their ids.  An interval
+        fills the window faster from its start on, no more from its end, and
+        empties it a day later: four changes of slope, which running sums follow."""
         rows = self.obs.filter((F.col("data_type") == S.SLEEP) & (F.col("stage").isNull() | F.col("stage").isin(*stages)) & (F.col("end_s") > F.col("start_s")))
-        rows = rows.select("subject_id", "id", "confidence", "start_s", "end_s")
-        rows = W.at_ends(rows, self.bounds, F.col("start_s") + 1, F.col("end_s") + W.DAY - 1, self.step)
-        low, high = F.greatest("start_s", F.col("w_end") - W.DAY), F.least("end_s", "w_end")
-        return rows.withColumn("low", low).withColumn("high", high)
+        c, day = F.col, W.DAY
+        rows = panes.by_day(rows.select("subject_id", "id", "confidence", "start_s", "end_s"), c("start_s"), c("end_s") + day)
+        zero, nothing = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+
+        def event(at: Column, slope: int = 0, rows: int = 0, at_low: int = 0, at_high: int = 0, start: bool = False, finish: bool = False) -> Column:
+            conf = c("confidence") * rows
+            own = F.when(F.lit(rows > 0), F.struct("id", "end_s"))
+            values = {"at": at, "slope": zero + slope, "level": at * slope, "rows": zero + rows, "conf": conf, "at_low": zero + at_low, "at_high": zero + at_high}
+            values |= {"start": c("start_s") if start else nothing, "finish": c("end_s") if finish else nothing, "own": own}
+            return F.struct(*[v.alias(k) for k, v in values.items()])
+
+        events = F.array(
+            event(c("start_s"), slope=1),
+            event(c("start_s") + 1, rows=1, at_high=1),
+            event(c("end_s"), slope=-1, finish=True),
+            event(c("end_s") + 1, at_high=-1),
+            event(c("start_s") + day, slope=-1, at_low=1, start=True),
+            event(c("end_s") + day, slope=1, rows=-1, at_low=-1),
+        )
+        events = rows.select("subject_id", "chunk", F.explode(events).alias("e")).select("subject_id", "chunk", "e.*")
+        up = {f"r_{n}": F.sum(n) for n in ("slope", "level", "rows", "conf", "at_low", "at_high")} | {"r_finish": F.max("finish"), "r_own": F.collect_list("own")}
+        found = panes.running(events, self.ends, up, {"r_start": F.min("start")}).filter("r_rows > 0")
+        end = c("w_end")
+        low, high = F.when(c("r_at_low") > 0, end - day).otherwise(c("r_start")), F.when(c("r_at_high") > 0, end).otherwise(c("r_finish"))
+        own = F.transform(F.filter("r_own", lambda x: x["end_s"] + day > end), lambda x: x["id"])
+        return found.select("subject_id", "w_end", (end * c("r_slope") - c("r_level")).alias("rest"), low.alias("low"), high.alias("high"), c("r_rows").alias("n_rest"), c("r_conf").alias("c_rest"), own.alias("i_rest"))
 
     def all(self, *names: str) -> DataFrame:
         """UNION ALL of features with their names; only what they need is built."""
@@ -224,9 +246,8 @@ def fatigue_index(cat: Catalog) -> DataFrame:
     desk = cat.obs.filter(F.col("data_type").isin(S.KEYSTROKES, S.CONTEXT))
     minutes = desk.groupBy("subject_id", F.floor(F.col("ts") / 60).alias("minute")).agg(F.min("ts").alias("at"))
     marks = minutes.select("subject_id", "at", F.lit(1).alias("one"), F.lit(None).cast("bigint").alias("w_end"))
-    points = marks.unionByName(cat.ends.select("subject_id", F.col("w_end").alias("at"), F.lit(0).alias("one"), "w_end"))
-    order = Window.partitionBy("subject_id").orderBy("at", F.desc("one")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    active = points.withColumn("minutes", F.sum("one").over(order)).filter("w_end is not null").select("subject_id", "w_end", "minutes")
+    points = marks.unionByName(cat.ends.select("subject_id", F.col("w_end").alias("at"), F.lit(0).alias("one"), "w_end")).withColumn("chunk", panes.day_of(F.col("at")))
+    active = panes.carried(points, "one", ["at", F.desc("one")], "minutes").filter("w_end is not null").select("subject_id", "w_end", "minutes")
     focus = cat["focus_score"].select("subject_id", "w_end", F.col("value").alias("focus"), F.col("confidence").alias("focus_conf"))
     w = cat.windows.select("subject_id", "w_end", "bpm", *[f"{p}_{t}" for t in ("key", "hr", "ctx") for p in "nci"])
     rows = active.join(w, ["subject_id", "w_end"], "left").join(focus, ["subject_id", "w_end"], "left").join(cat.early_bpm(900), "subject_id")
@@ -307,15 +328,10 @@ def activity_balance(cat: Catalog) -> DataFrame:
     return _emit(rows, clamp(value), _conf(2, p.present(), "stp", "workout"), ids("i_stp", "i_workout"), p.factors())
 
 
-def _rest_by_end(cat: Catalog, stages: tuple[str, ...]) -> DataFrame:
-    rows = cat.rest(stages)
-    return rows.groupBy("subject_id", "w_end").agg(F.sum(F.col("high") - F.col("low")).alias("rest"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n_rest"), F.sum("confidence").alias("c_rest"), F.collect_list("id").alias("i_rest"))
-
-
 def energy_score(cat: Catalog) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
     w = cat.windows.select("subject_id", "w_end", "bpm", "kcal", *[f"{p}_{t}" for t in ("nrg", "hr") for p in "nci"])
-    rows = w.join(_rest_by_end(cat, REST_STAGES), ["subject_id", "w_end"], "full").join(cat.early_bpm(300), "subject_id")
+    rows = w.join(cat.rest(REST_STAGES), ["subject_id", "w_end"], "full").join(cat.early_bpm(300), "subject_id")
     rise = clamp(F.greatest(F.col("bpm") - F.col("base"), F.lit(0.0)) / 25.0 * 100)
     p = Parts(("active_energy", 0.45, clamp(F.col("kcal") * 100.0 / 80)), ("sleep_interval", 0.35, clamp(F.col("rest") * 100.0 / TARGET_REST)), ("heart_rate", 0.2, F.when(F.col("bpm").isNotNull(), F.lit(100.0) - rise)))
     rows = rows.filter(p.present() > 0)
@@ -324,7 +340,7 @@ def energy_score(cat: Catalog) -> DataFrame:
 
 
 def sleep_debt(cat: Catalog) -> DataFrame:
-    rows = _rest_by_end(cat, ALL_REST)
+    rows = cat.rest(ALL_REST)
     short = clamp((F.lit(float(TARGET_REST)) - F.col("rest")) / TARGET_REST, 0.0, 1.0)
     return _emit(rows, short * 100, _conf(1, F.lit(1), "rest"), ids("i_rest"), shares(("rest", 1 - short), ("shortfall", short)))
 
@@ -376,10 +392,9 @@ def deep_work_score(cat: Catalog) -> DataFrame:
 
 def attention_stability(cat: Catalog) -> DataFrame:
     rows = _joined(cat, "left", "focus_score", "context_switch_rate")
-    back = Window.partitionBy("subject_id").orderBy("w_end").rangeBetween(-W.WINDOW, 0)
-    rows = rows.withColumn("spread", F.max("focus_score_value").over(back) - F.min("focus_score_value").over(back))
-    rows = rows.withColumn("focus_conf", F.avg("focus_score_confidence").over(back))
-    rows = rows.withColumn("focus_evidence", F.flatten(F.collect_list("focus_score_evidence").over(back)))
+    focus = F.col("focus_score_value")
+    rows = panes.looking_back(rows, W.WINDOW, {"highest": F.max(focus), "lowest": F.min(focus), "focus_conf": F.avg("focus_score_confidence"), "lists": F.collect_list("focus_score_evidence")})
+    rows = rows.withColumn("spread", F.col("highest") - F.col("lowest")).withColumn("focus_evidence", F.flatten("lists"))
     p = Parts(("focus_stability", 0.5, clamp(F.lit(100.0) - F.col("spread"))), ("switch_stability", 0.5, switch_stability(F.col("context_switch_rate_value"))))
     slots = F.col("focus_conf") + F.coalesce("context_switch_rate_confidence", F.lit(0.0))
     evidence = F.array_sort(F.array_distinct(F.concat("focus_evidence", F.coalesce("context_switch_rate_evidence", F.expr("cast(array() as array<string>)")))))
@@ -406,17 +421,30 @@ def desk_away(cat: Catalog) -> DataFrame:
 
 
 def circadian_offset(cat: Catalog) -> DataFrame:
-    sleep = _rest_by_end(cat, REST_STAGES)
+    sleep = cat.rest(REST_STAGES)
     c = F.col
     kind = c("data_type")
     desk = F.when((kind == S.KEYSTROKES) & ((c("rate_per_min") > 0) | (c("key_count") > 0)), F.greatest(F.coalesce("key_count", F.lit(1)), F.lit(1)).cast("double")).when(kind == S.CONTEXT, 1.0)
     moves = F.when((kind == S.STEPS) & (c("steps") > 0), c("steps").cast("double")).when((kind == S.ENERGY) & (c("kcal") > 0), c("kcal")).when((kind == S.LIFE_EVENT) & (c("life_kind") == "workout"), 1.0)
     rows = cat.obs.select("subject_id", "id", "ts", "confidence", desk.alias("desk"), moves.alias("move")).filter("desk is not null or move is not null")
-    rows = W.at_ends(rows, cat.bounds, c("ts"), c("ts") + W.DAY, cat.step)
-    aggs = []
+    rows = panes.by_day(rows, c("ts"), c("ts") + W.DAY)
+    events, up = [], {}
+    for sign, at in ((1, c("ts")), (-1, c("ts") + W.DAY + 1)):
+        values = {"at": at}
+        for x in ("desk", "move"):
+            there = c(x).isNotNull()
+            values |= {f"w_{x}": c(x) * sign, f"t_{x}": c(x) * c("ts") * sign, f"n_{x}": there.cast("bigint") * sign, f"c_{x}": F.when(there, c("confidence") * sign)}
+            values[f"i_{x}"] = F.when(there & F.lit(sign > 0), F.struct("id", "ts"))
+        events.append(F.struct(*[v.alias(k) for k, v in values.items()]))
+    events = rows.select("subject_id", "chunk", F.explode(F.array(*events)).alias("e")).select("subject_id", "chunk", "e.*")
+    for x in ("desk", "move"):
+        up |= {f"{k}_{x}": F.sum(f"{k}_{x}") for k in "wtnc"} | {f"i_{x}": F.collect_list(f"i_{x}")}
+    rows = panes.running(events, cat.ends, {f"r_{n}": f for n, f in up.items()})
+    rows = rows.withColumnsRenamed({f"r_{n}": n for n in up}).filter("n_desk > 0 or n_move > 0")
     for x in ("desk", "move"):
-        aggs += [F.sum(x).alias(f"w_{x}"), F.sum(c(x) * c("ts")).alias(f"t_{x}"), F.count(x).alias(f"n_{x}"), F.sum(F.when(c(x).isNotNull(), c("confidence"))).alias(f"c_{x}"), F.collect_list(F.when(c(x).isNotNull(), c("id"))).alias(f"i_{x}")]
-    rows = rows.groupBy("subject_id", "w_end").agg(*aggs).join(sleep, ["subject_id", "w_end"])
+        rows = rows.withColumn(f"i_{x}", F.transform(F.filter(f"i_{x}", lambda e: e["ts"] >= c("w_end") - W.DAY), lambda e: e["id"]))
+        rows = rows.withColumns({f"{k}_{x}": F.when(c(f"n_{x}") > 0, c(f"{k}_{x}")) for k in "wt"})
+    rows = rows.join(sleep, ["subject_id", "w_end"])
     by_desk = F.coalesce("w_desk", F.lit(0.0)) > 0
     work = F.when(by_desk, F.round(c("t_desk") / c("w_desk"))).otherwise(F.round(c("t_move") / c("w_move"))).cast("bigint")
     mid = c("low") + F.floor((c("high") - c("low")) / 2)
@@ -434,9 +462,9 @@ def circadian_offset(cat: Catalog) -> DataFrame:
 def sustained_load(cat: Catalog) -> DataFrame:
     names = ("stress_index", "fatigue_index", "meeting_density")
     rows = _joined(cat, "full", *names)
-    back = Window.partitionBy("subject_id").orderBy("w_end").rangeBetween(-14400, 0)
-    for n in names:
-        rows = rows.withColumn(f"m_{n}", F.avg(f"{n}_value").over(back)).withColumn(f"c_{n}", F.sum(f"{n}_confidence").over(back)).withColumn(f"n_{n}", F.count(f"{n}_confidence").over(back))
+    means = {f"m_{n}": F.avg(f"{n}_value") for n in names}
+    slots = {f"c_{n}": F.sum(f"{n}_confidence") for n in names} | {f"n_{n}": F.count(f"{n}_confidence") for n in names}
+    rows = panes.looking_back(rows, 14400, means | slots)
     rows = rows.filter("stress_index_value is not null or fatigue_index_value is not null")
     p = Parts(("stress", 0.4, clamp(F.col("m_stress_index"))), ("fatigue", 0.4, clamp(F.col("m_fatigue_index"))), ("meetings", 0.2, clamp(F.col("m_meeting_density") * 100)))
     return _emit(rows, clamp(p.value()), confidence(3, p.present(), _total("c", *names), _total("n", *names)), _evidence(*names), p.factors())

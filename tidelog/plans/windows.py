@@ -1,9 +1,10 @@
 """Window grids: ends every ``step`` seconds, windows closed on both sides.
 
 A subject's grid spans all of its rows, whatever their type; at most the latest
-1440 aligned ends count, and an end at the very last second is added where it
-is off the grid.  Rows are exploded to the ends they belong to, which turns
-every range join into an equi aggregation on (subject_id, w_end).
+``most`` aligned ends count (all of them, if it is None), and an end at the very
+last second is added where it is off the grid.  Observations are summed by panes
+(:mod:`tidelog.plans.panes`); meetings and their gaps, which are few and short,
+are exploded to the ends they touch.
 """
 
 from __future__ import annotations
@@ -18,12 +19,16 @@ def spans(rows: DataFrame, low: str = "ts", high: str = "ts") -> DataFrame:
     return rows.groupBy("subject_id").agg(F.min(low).alias("min_ts"), F.max(high).alias("max_ts"))
 
 
-def bounds(spans: DataFrame, step: int) -> DataFrame:
+def bounds(spans: DataFrame, step: int, most: int | None = MOST_ENDS) -> DataFrame:
     """(subject_id, first_end, last_end, tip, min_ts, max_ts)."""
     last = (F.floor(F.col("max_ts") / step) * step).cast("bigint")
-    first = F.greatest((F.ceil(F.col("min_ts") / step) * step).cast("bigint"), F.col("last_end") - (MOST_ENDS - 1) * step)
-    count = F.when(F.col("first_end") <= F.col("last_end"), (F.col("last_end") - F.col("first_end")) / step + 1).otherwise(0)
-    tip = F.when((F.col("last_end") < F.col("max_ts")) & (count < MOST_ENDS), F.col("max_ts"))
+    first = (F.ceil(F.col("min_ts") / step) * step).cast("bigint")
+    tip = F.col("last_end") < F.col("max_ts")
+    if most is not None:
+        first = F.greatest(first, F.col("last_end") - (most - 1) * step)
+        count = F.when(F.col("first_end") <= F.col("last_end"), (F.col("last_end") - F.col("first_end")) / step + 1).otherwise(0)
+        tip = tip & (count < most)
+    tip = F.when(tip, F.col("max_ts"))
     return spans.withColumn("last_end", last).withColumn("first_end", first).withColumn("tip", tip)
 
 
@@ -37,8 +42,12 @@ def _ends(low: Column, high: Column, step: int) -> Column:
 
 
 def ends(bounds: DataFrame, step: int) -> DataFrame:
-    """(subject_id, w_end, min_ts): the whole grid."""
-    return bounds.select("subject_id", "min_ts", F.explode(_ends(F.col("first_end"), F.greatest("last_end", "max_ts"), step)).alias("w_end"))
+    """(subject_id, min_ts, w_end): the whole grid, made day by day."""
+    end = F.greatest("last_end", "max_ts")
+    start = F.least(F.col("first_end"), end)
+    days = bounds.withColumn("day", F.explode(F.sequence(F.floor(start / DAY), F.floor(end / DAY))))
+    low, high = F.greatest(F.col("day") * DAY, start), F.least((F.col("day") + 1) * DAY - 1, end)
+    return days.select("subject_id", "min_ts", F.explode(_ends(low, high, step)).alias("w_end"))
 
 
 def at_ends(rows: DataFrame, bounds: DataFrame, low: Column, high: Column, step: int) -> DataFrame:
@@ -47,7 +56,3 @@ def at_ends(rows: DataFrame, bounds: DataFrame, low: Column, high: Column, step:
     joined = rows.join(edges, "subject_id")
     return joined.withColumn("w_end", F.explode(_ends(low, high, step))).drop("first_end", "last_end", "tip")
 
-
-def in_windows(rows: DataFrame, bounds: DataFrame, step: int) -> DataFrame:
-    """Rows by the closed trailing windows [w_end - 900, w_end] they are in."""
-    return at_ends(rows, bounds, F.col("ts"), F.col("ts") + WINDOW, step)

@@ -39,7 +39,7 @@ def digest(features: DataFrame, *also: str) -> DataFrame:
 
 
 def _feature_query(name: str) -> Query:
-    return lambda spark, sf_dir: digest(Catalog(typed_observations(spark, sf_dir), STEP)[name])
+    return lambda spark, sf_dir: digest(Catalog(typed_observations(spark, sf_dir), STEP, most=O.MOST)[name])
 
 
 for _query, _name in FEATURE_QUERIES.items():
@@ -69,14 +69,14 @@ def _vital(df: DataFrame, *columns: str) -> DataFrame:
     return rounded(out, *columns, "confidence")
 
 
-@query("grid_cap", O.feature("context_switch_rate", 60))
+@query("grid_cap", O.feature("context_switch_rate", 60, 1440))
 def _grid_cap(obs: DataFrame) -> DataFrame:
     return digest(Catalog(obs, 60)["context_switch_rate"])
 
 
-@query("high_stress_runs", f"WITH {O.feature_ctes(60)}, {O.high_stress_ctes()} SELECT subject_id, start_ts, end_ts, samples FROM high")
+@query("high_stress_runs", f"WITH {O.feature_ctes(most=O.MOST)}, {O.high_stress_ctes()} SELECT subject_id, start_ts, end_ts, samples FROM high")
 def _high_stress(obs: DataFrame) -> DataFrame:
-    return high_stress(Catalog(obs, 60)).select("subject_id", "start_ts", "end_ts", "samples")
+    return high_stress(Catalog(obs, STEP, most=O.MOST)).select("subject_id", "start_ts", "end_ts", "samples")
 
 
 @query("alert_level", O.alert_level())
@@ -130,24 +130,24 @@ def _afternoon(obs: DataFrame) -> DataFrame:
 
 @query("latest_features", O.latest_features())
 def _latest(obs: DataFrame) -> DataFrame:
-    rows = series.latest(Catalog(obs, STEP).all(*O.LATEST)).withColumn("reliability", series.reliability())
+    rows = series.latest(Catalog(stored(obs), STEP, keep=True, most=O.MOST).all(*O.LATEST)).withColumn("reliability", series.reliability())
     return rounded(rows, "value", "confidence").select("subject_id", "feature_id", "w_end", "value", "confidence", "reliability")
 
 
 @query("chart_pivot", O.chart_pivot())
 def _chart(obs: DataFrame) -> DataFrame:
-    return rounded(series.chart(Catalog(obs, STEP).all(*O.CHART), list(O.CHART)), *O.CHART)
+    return rounded(series.chart(Catalog(stored(obs), STEP, keep=True, most=O.MOST).all(*O.CHART), list(O.CHART)), *O.CHART)
 
 
 @query("report_runs", O.report_runs())
 def _runs(obs: DataFrame) -> DataFrame:
-    features = Catalog(obs, STEP).all(*O.REPORTED).withColumn("value", F.col("value") + 1e-9)
+    features = Catalog(stored(obs), STEP, keep=True, most=O.MOST).all(*O.REPORTED).withColumn("value", F.col("value") + 1e-9)
     return rounded(series.runs(features).withColumns({c: F.col(c) - 1e-9 for c in ("first", "last")}), "first", "last").drop("run")
 
 
 @query("life_event_effect", O.life_event_effect())
 def _effect(obs: DataFrame) -> DataFrame:
-    features = Catalog(obs, O.EFFECT_STEP).all("focus_score", "cognitive_load")
+    features = stored(Catalog(stored(obs), STEP, keep=True, most=O.MOST).all("focus_score", "cognitive_load"))
     facts = rules.Facts(features, features, obs, features, features)
     return rounded(rules.life_event_effect(facts).drop("event_ids"), "change", "confidence")
 
@@ -155,8 +155,8 @@ def _effect(obs: DataFrame) -> DataFrame:
 @query("insights", O.insights())
 def _insights(obs: DataFrame) -> DataFrame:
     obs = stored(obs)
-    cat = Catalog(obs, STEP, keep=True)
-    facts = rules.Facts(cat.all("focus_score", "stress_index", "context_switch_rate", "cognitive_load", "sustained_load"), stored(high_stress(Catalog(obs, 60))), obs, stored(series.afternoon_baseline(obs, O.AFTERNOON_STEP)), stored(vitals.hrv_vs_baseline(obs)))
+    cat = Catalog(obs, STEP, keep=True, most=O.MOST)
+    facts = rules.Facts(cat.all("focus_score", "stress_index", "context_switch_rate", "cognitive_load", "sustained_load"), stored(high_stress(cat)), obs, stored(series.afternoon_baseline(obs, O.AFTERNOON_STEP)), stored(vitals.hrv_vs_baseline(obs)))
     found = stored(rules.insights(facts))
     hints = rules.recommendations(facts, found).select("subject_id", "rule_id", "title", F.col("suggestion").alias("text"))
     return found.select("subject_id", "rule_id", "title", "text").unionByName(hints)
