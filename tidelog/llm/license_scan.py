@@ -3,9 +3,12 @@
 Header sentences (those that speak of a licence, copyright or rights) become
 sparse term vectors, and licence files by such sentences as well as whole;
 templates are whole licence texts and the phrases that name or grant a licence.
-Inverse document frequencies count all distinct headers and templates.  A vector takes the template of the highest
-cosine, if that reaches ``least``; reserved rights count only where no licence
-matches.  A document without a licence of its own
+Inverse document frequencies count all distinct headers and templates.  A vector
+takes the template of the highest cosine, if that reaches ``least`` for phrases
+and ``least_whole`` for whole texts: long legal texts resemble each other, and
+one that is none of the templates has no licence here.  Where a text's title
+names the Affero licence, only that one can match.  Reserved rights count only
+where no licence matches.  A document without a licence of its own
 inherits that of the nearest directory, its own or an ancestor, that holds a
 licence file.
 
@@ -53,8 +56,13 @@ TEMPLATES = (
     ("Proprietary", "copyright all rights reserved"),
 )
 #: Whole licence texts: files <name>.txt beside this module.
-for _file in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
-    TEMPLATES += ((_file.stem, _file.read_text(encoding="utf-8")),)
+WHOLE = tuple((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+#: The Affero licence is worded as version 3 of the general one, but for its name.
+AFFERO = "AGPL-3.0"
+WHOLE += tuple((AFFERO, text.replace("GNU GENERAL", "GNU AFFERO GENERAL").replace("GNU General", "GNU Affero General")) for name, text in WHOLE if name == "GPL-3.0")
+_AFFERO_TITLE = r"(?is)^.{0,200}affero general public license"
+#: Least cosines with phrases and with whole texts.
+LEAST, LEAST_WHOLE = 0.55, 0.9
 _CUES = ("licens", "licenc", "copyright", "all rights reserved", "public domain", "redistribution", "permission is")
 #: A sentence that grants a licence, at the start of a line or after another.
 _GRANT = r"(?im)(?:^|[.!?;][ \t])[^a-z\n]*+(?:(?:this work is )?(?:licensed|released) under|permission is hereby granted|redistribution and use|subject to the terms of|dedicated to the public domain)"
@@ -79,15 +87,16 @@ def _terms(text: Column) -> Column:
     return F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", "")), lambda w: w != "")
 
 
-def match_templates(texts: DataFrame, least: float = 0.55) -> DataFrame:
+def match_templates(texts: DataFrame, least: float = LEAST, least_whole: float = LEAST_WHOLE) -> DataFrame:
     """(tid, license, cosine) for those of ``texts`` (tid, text; distinct) that
     are near a template."""
     spark = texts.sparkSession
-    known = spark.createDataFrame([(f"{i}", name, phrase) for i, (name, phrase) in enumerate(TEMPLATES)], "template string, license string, phrase string")
-    template = known.select("template", "license", F.explode(_terms(F.col("phrase"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
+    rows = [(f"{i}", name, phrase, i >= len(TEMPLATES)) for i, (name, phrase) in enumerate(TEMPLATES + WHOLE)]
+    known = spark.createDataFrame(rows, "template string, license string, phrase string, whole boolean")
+    template = known.select("template", "license", "whole", F.explode(_terms(F.col("phrase"))).alias("term")).groupBy("template", "license", "whole", "term").agg(F.count("*").alias("tf"))
     seen = texts.select("tid", F.explode(_terms(F.col("text"))).alias("term")).groupBy("tid", "term").agg(F.count("*").alias("tf"))
     seen = materialize(seen, "terms")
-    total = texts.count() + len(TEMPLATES)
+    total = texts.count() + len(rows)
     spread = seen.select("term").unionByName(template.select("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = materialize(spread.select("term", (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
 
@@ -96,11 +105,13 @@ def match_templates(texts: DataFrame, least: float = 0.55) -> DataFrame:
 
     t = weighed(template)
     t = t.join(t.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length")), "template")
-    t = t.select("template", "license", "term", (F.col("weight") / F.col("length")).alias("part"))  # a row for each template term
+    t = t.select("template", "license", "whole", "term", (F.col("weight") / F.col("length")).alias("part"))  # a row for each template term
     h = weighed(seen)
     lengths = h.groupBy("tid").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("length"))
-    cosine = h.join(F.broadcast(t), "term").groupBy("tid", "template", "license").agg(F.sum(F.col("weight") * F.col("part")).alias("dot"))
-    cosine = cosine.join(lengths, "tid").withColumn("cosine", F.round(F.col("dot") / F.col("length"), 9)).filter(F.col("cosine") >= least)
+    cosine = h.join(F.broadcast(t), "term").groupBy("tid", "template", "license", "whole").agg(F.sum(F.col("weight") * F.col("part")).alias("dot"))
+    cosine = cosine.join(lengths, "tid").withColumn("cosine", F.round(F.col("dot") / F.col("length"), 9)).filter(F.col("cosine") >= F.when(F.col("whole"), least_whole).otherwise(least))
+    affero = texts.filter(F.col("text").rlike(_AFFERO_TITLE)).select("tid", F.lit(True).alias("affero"))
+    cosine = cosine.join(affero, "tid", "left").filter(F.col("affero").isNull() | (F.col("license") == AFFERO))
     best = F.min(F.struct((-F.col("cosine")).alias("c"), "license"))
     return cosine.groupBy("tid").agg(best.alias("best")).select("tid", F.col("best.license").alias("license"), (-F.col("best.c")).alias("cosine"))
 
@@ -124,17 +135,19 @@ def _preference() -> Column:
     return F.struct((F.col("license") == "Proprietary").alias("reserved"), (-F.col("cosine")).alias("c"), "license")
 
 
-def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = 0.55) -> DataFrame:
+def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, least_whole: float = LEAST_WHOLE) -> DataFrame:
     """(doc_id, path, license, cosine, license_from): ``license_from`` is
     ``header``, ``file`` or the directory that the licence is inherited from."""
     text = F.col(text_col)
-    sentences = F.filter(F.split(text, r"\n|(?<=[.!?;])[ \t]+"), lambda s: _has_cue(s))
+    # by line, and again with wrapped lines (and their comment marks) joined
+    unwrapped = F.regexp_replace(text, r"(?<![.!?;:\n])\n[ \t]*(?:#+|//+|\*+|--+|;+)?[ \t]*(?=\S)", " ")
+    sentences = F.filter(F.concat(*[F.split(t, r"\n|(?<=[.!?;])[ \t]+") for t in (text, unwrapped)]), lambda s: _has_cue(s))
     is_file = F.coalesce(path.rlike(_FILE), F.lit(False))
     spoken = F.when(is_file, F.array_distinct(F.concat(F.array(text), sentences))).when(_has_cue(text), F.array_distinct(sentences))
     rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), is_file.alias("is_file"), F.coalesce(spoken, F.expr("cast(array() as array<string>)")).alias("spoken"), F.monotonically_increasing_id().alias("rid"))
     rows = materialize(rows.withColumn("directory", F.regexp_replace("path", r"/?[^/]*$", "")), "headers")
     said = rows.select("rid", "doc_id", "directory", "is_file", F.explode("spoken").alias("text")).filter(F.col("text").isNotNull()).withColumn("tid", F.md5("text"))
-    matched = materialize(match_templates(said.select("tid", "text").dropDuplicates(["tid"]), least), "matched")
+    matched = materialize(match_templates(said.select("tid", "text").dropDuplicates(["tid"]), least, least_whole), "matched")
     # a common header is matched once and met by all its rows
     times = said.groupBy("tid").agg(F.count("*").alias("times"))
     said_as = hot_join(said.select("rid", "tid"), matched.join(times, "tid"), "tid", "times")

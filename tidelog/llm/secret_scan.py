@@ -16,8 +16,8 @@ candidate run is decoded and reported only when its structure proves a key:
 
 A key has at least ``LEAST_KEY`` bytes in one of its parts.  Positions are code
 points, end exclusive.  Null text: no span.  Spans of one kind never overlap;
-spans of different kinds may.  Whole texts are scanned; prefilters look for
-bytes that every match must hold.  Rows are scanned one by one, so repeated rows
+spans of different kinds may.  Whole texts are scanned, in a time that grows
+with their length; prefilters look for bytes that every match must hold.  Rows are scanned one by one, so repeated rows
 are harmless; an empty table gives an empty result.
 """
 
@@ -41,7 +41,7 @@ BASE_KINDS = KINDS[:3]
 _ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _GAP = rb"(?:\\[nr]|[\x20\x09-\x0D])"
-_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(" + _GAP + rb"*+(?:[A-Za-z0-9-]++:[^\n\\]*+" + _GAP + rb"++)*+)((?:\\[nr]|[\x20\x09-\x0D]|[A-Za-z0-9+/=])*+)-----END \1-----")
+_PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----(" + _GAP + rb"*+(?:[A-Za-z0-9-]++:(?:(?!-----BEGIN )[^\n\\])*+" + _GAP + rb"++)*+)((?:\\[nr]|[\x20\x09-\x0D]|[A-Za-z0-9+/=])*+)-----END \1-----")
 _NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
@@ -135,7 +135,8 @@ def is_private_block(header: bytes, body: bytes) -> bool:
 
 _JSON = json.JSONDecoder()
 _URL64 = rb"[A-Za-z0-9_-]"
-_TAIL, _PREFIX, _WHOLE = re.compile(_URL64 + rb"*$"), re.compile(_URL64 + rb"*"), re.compile(_URL64 + rb"+")
+_PREFIX, _WHOLE = re.compile(_URL64 + rb"*"), re.compile(_URL64 + rb"+")
+_URL64_BYTES = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"
 
 
 def _object(coded: bytes) -> dict | None:
@@ -155,7 +156,8 @@ def _header_at(tail: bytes) -> int | None:
         turn = m.start() % 4
         if turn not in decoded:
             data = _decode64(tail[turn:])
-            decoded[turn] = data.decode("latin-1") if data else None
+            text = data.decode("latin-1") if data else ""
+            decoded[turn] = text if text.rstrip().endswith("}") else None
         text = decoded[turn]
         if text is None:
             continue
@@ -178,8 +180,7 @@ def signed_tokens(run: bytes) -> list[tuple[int, int]]:
         sign = _PREFIX.match(parts[i + 2])[0]
         if len(sign) < 16 or not _WHOLE.fullmatch(parts[i + 1]) or not parts[i]:
             continue
-        tail = _TAIL.search(parts[i])
-        begin = max(starts[i] + tail.start(), free)
+        begin = max(starts[i] + len(parts[i].rstrip(_URL64_BYTES)), free)
         at = _header_at(run[begin : starts[i] + len(parts[i])])
         if at is not None and _object(parts[i + 1]) is not None:
             free = starts[i + 2] + len(sign.rstrip(b"-"))
@@ -190,9 +191,12 @@ def signed_tokens(run: bytes) -> list[tuple[int, int]]:
 def _structures(run: bytes, at: int) -> list[tuple[str, int, int]]:
     """Confirmed spans within one run of coded characters that starts at ``at``."""
     out = [("token", at + a, at + b) for a, b in signed_tokens(run)] if run.count(b".") >= 2 else []
+    tokens, k = list(out), 0  # in order, as the candidates are
     for m in re.finditer(rb"[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_CODED, run):
         text = m[0]
-        if any(a < at + m.end() and at + m.start() < b for _, a, b in out):
+        while k < len(tokens) and tokens[k][2] <= at + m.start():
+            k += 1
+        if k < len(tokens) and tokens[k][1] < at + m.end():
             continue
         readings = [_decode64(text)]
         if len(text) % 2 == 0 and re.fullmatch(rb"[0-9A-Fa-f]+", text):
