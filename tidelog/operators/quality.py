@@ -23,9 +23,22 @@ DISCRETE = (S.HEART_RATE, S.RESTING_HR, "walking_heart_rate_average", S.HRV, S.S
 COMPANION_TYPES = (*CUMULATIVE, *DISCRETE, S.SLEEP, "workout", "stand_hour", "mindful_session", S.DELETION, S.LIFE_EVENT)
 
 
+#: A number without fraction and exponent is no float, whatever its value.
+_FLOATS = r'("(?:[^"\\]|\\.)*")|(-?\d+)(\.\d+(?:[eE][+-]?\d+)?|[eE][+-]?\d+)'
+
+
 def fingerprint(payload: str = "payload") -> Column:
-    """Canonical JSON: keys sorted (15 and 15.0 are the same content)."""
-    return F.to_json(F.try_parse_json(payload))
+    """Canonical JSON: keys sorted, white space dropped.  15 and 15.0 are
+    different contents, 15.0 and 15.00 are the same one: floats are read as
+    doubles and marked, integers stay as they are."""
+    marked = F.regexp_replace(payload, _FLOATS, r'$1{"float":$2$3}')
+    marked = F.regexp_replace(marked, r'("(?:[^"\\]|\\.)*")\{"float":\}', "$1")
+    return F.to_json(F.try_parse_json(marked))
+
+
+def content_key(payload: str = "payload") -> Column:
+    """What a row says and of whom, without its id."""
+    return F.sha2(F.concat_ws("\x1f", "subject_id", "provider_id", "data_type", F.col("ts").cast("string"), F.coalesce(fingerprint(payload), F.col(payload))), 256)
 
 
 def dedupe(raw: DataFrame) -> DataFrame:
@@ -35,8 +48,7 @@ def dedupe(raw: DataFrame) -> DataFrame:
     Where no id has two contents, the first of each content is exact and runs
     as one window.  Rows of contents and ids that conflict go through rounds.
     """
-    content = F.sha2(F.concat_ws("\x1f", "subject_id", "provider_id", "data_type", F.col("ts").cast("string"), F.coalesce(fingerprint(), F.col("payload"))), 256)
-    rows = raw.withColumn("content", content)
+    rows = raw.withColumn("content", content_key())
     order = ["created_at", "id", "content"]
     ids = stored(rows.groupBy("id").agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low <> high").select("id"))
     first = Window.partitionBy("content").orderBy(*order)
