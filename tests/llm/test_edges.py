@@ -244,3 +244,38 @@ def test_tokens_hide_what_they_hold():
     token = "eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ." + "A" * 24
     spans = [secret_scan.spans_of(t) for t in slices(pa.array([f"{token} {token}"]))][0][0]
     assert spans == [("token", 0, len(token)), ("token", len(token) + 1, 2 * len(token) + 1)]
+
+
+@pytest.mark.parametrize("share", [0.6, 0.82, 0.86])
+def test_boilerplate_links_only_what_is_near(share, spark):
+    """Documents of one boilerplate in long lists, some of them near each other
+    (of like and of unlike sizes), against all pairs."""
+    import random
+
+    r = random.Random(int(share * 100))
+    common = [f"w{r.randrange(10**6)}" for _ in range(int(300 * share))]
+    texts = []
+    for k in range(150):
+        own = [f"u{r.randrange(10**7)}" for _ in range(300 - len(common) + r.randrange(30))]
+        texts.append(common + own)
+        if k % 10 == 0:
+            texts.append(common + own[: len(own) - 20 - k // 4] + [f"v{k}"] * 2)
+        if k % 25 == 0:
+            texts.append((common + own)[: int(len(common + own) * 0.77)])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.join(df).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}

@@ -16,11 +16,15 @@ documents link at Jaccard similarity of at least 3/4.  All steps are exact:
 4. Links are needed only between components.  First every class is compared
    with the hub that shares most of its lists.  Then short lists give their
    pairs of different components, each pair once however many lists it meets in.
-   Of long lists, a class is compared with seeded hubs in a few rounds, then with
-   the nearest class of another component; then all pairs of different components
-   are, block by block: rows of a list's largest component don't meet each other,
-   so only the others are sent to several blocks.
-   Bitmaps bound the symmetric difference before the exact comparison of sets.
+   Of long lists, a class is compared with seeded hubs in a few rounds.  Classes
+   whose lists still hold several components get new lists, from their whole sets
+   (:func:`rare_lists`): under the order of rarity among themselves, the smaller
+   of two linked sets has one of its rarest seventh within the larger's rarest
+   quarter.  Text that many documents share, but that doesn't link them, is in
+   neither.  There a class is compared with the nearest class of another
+   component, then all pairs of different components are, block by block: rows of
+   a list's largest component don't meet each other, so only the others are sent
+   to several blocks.  Bitmaps bound the symmetric difference before the exact comparison of sets.
 
 The number of shards follows the size of the texts, so that a shard stays as
 small at any size.  Keys that may hold a large share of the rows (a list, a
@@ -341,6 +345,7 @@ def _pairs_in_lists(nearest: bool):
     def pairs(table):
         table = table.sort_by([("token", "ascending"), ("i", "ascending"), ("j", "ascending")])
         token, i, j, rid, n, label, side = (table.column(c).to_numpy() for c in ("token", "i", "j", "rid", "n", "label", "side"))
+        outer = table.column("outer").to_numpy(zero_copy_only=False)
         bitmaps = _Bitmaps(table.column("bitmap").to_pylist())
         border = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         found = [np.zeros((0, 3), np.int64)]
@@ -353,6 +358,9 @@ def _pairs_in_lists(nearest: bool):
                 meet = (label[x][:, None] != label[right]) & (4 * np.minimum(n[x][:, None], n[right]) >= 3 * np.maximum(n[x][:, None], n[right]))
                 p, q = np.nonzero(meet)
                 p, q = x[p], right[q]
+                first = (n[p] < n[q]) | ((n[p] == n[q]) & (rid[p] < rid[q]))
+                may_link = ~np.where(first, outer[p], outer[q])  # the smaller set's element is one of its rarest seventh
+                p, q = p[may_link], q[may_link]
                 if one and not nearest:
                     p, q = p[p < q], q[p < q]
                 apart = bitmaps.apart(p, bitmaps, q)
@@ -370,7 +378,7 @@ def _pairs_in_lists(nearest: bool):
 
 
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """(token, rid, n, label, length): lists that hold different components."""
+    """``lists`` with (label, length): those that hold different components."""
     own = lists.join(labels.withColumnRenamed("node", "rid"), "rid")
     held = own.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("length")).filter("low <> high")
     return materialize(hot_join(own, held.select("token", "length", F.col("length").alias("entries")), "token", "entries"), "open")
@@ -399,7 +407,7 @@ def _pairs_of_long(opened: DataFrame, sets: DataFrame, nearest: bool) -> DataFra
     parts = opened.groupBy("token", "label").agg(F.count("*").alias("rows"))
     most = parts.groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("major"), F.max("rows").alias("many"), (F.sum("rows") - F.max("rows")).alias("few"), F.sum("rows").alias("weight"))
     rows = hot_join(opened, most, "token", "weight").join(sets.select("rid", "bitmap"), "rid")
-    place, keys = F.xxhash64("rid"), ("token", "i", "j", "side", "rid", "n", "label", "bitmap")
+    place, keys = F.xxhash64("rid"), ("token", "i", "j", "side", "rid", "n", "label", "outer", "bitmap")
     chunks = lambda c: F.ceil(F.col(c) / CHUNK).cast("int")
     large = rows.filter("label = major").withColumns({"i": -1 - F.pmod(place, chunks("many")).cast("int"), "j": F.lit(0), "side": F.lit(0)})
     small = rows.filter("label <> major")
@@ -412,6 +420,38 @@ def _pairs_of_long(opened: DataFrame, sets: DataFrame, nearest: bool) -> DataFra
     return every.groupBy("group").applyInArrow(by_group(_pairs_in_lists(nearest)), "a long, b long, apart long")
 
 
+def rare_lists(sets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(token, rid, n, outer): for the classes in ``chosen`` (rid), lists of the
+    rarest elements of their whole sets, counted among these classes.
+
+    Of two sets that link, the smaller has at most a seventh of its elements
+    outside the other one, the larger at most a quarter.  So the rarest element
+    that they share is among the smaller's ``n - ceil(6n/7) + 1`` rarest and the
+    larger's ``n - ceil(3n/4) + 1`` rarest; ``outer`` marks what only a larger
+    set may be met by.  Elements that occur once make no list."""
+
+    def elements(batches):
+        for t in batches:
+            own = [np.frombuffer(v.as_buffer(), np.uint64).view(np.int64) for v in t.column(2)]
+            for k in range(0, len(own), 1024):
+                part = slice(k, k + 1024)
+                size = [len(x) for x in own[part]]
+                at = np.repeat(np.arange(len(size)) + k, size)
+                yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(at)), t.column(1).take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, np.int64), *own[part]]))], names=["rid", "n", "token"])
+
+    own = sets.join(chosen, "rid", "left_semi").select("rid", "n", "elements")
+    every = materialize(own.mapInArrow(by_batch(elements), "rid long, n long, token long"), "elements")
+    counts = every.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").withColumn("weight", F.col("df"))
+    counted = materialize(hot_join(every, counts, "token", "weight", "left").select("rid", "n", "token", F.coalesce("df", F.lit(1)).alias("df")), "counted")
+    delete_table(every)
+    inner, outer = F.col("n") - F.ceil(F.col("n") * 6 / 7) + 1, F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1
+    rare = counted.groupBy("rid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_rarity"))
+    rare = rare.select("rid", "n", inner.alias("inner"), F.posexplode(F.slice("by_rarity", F.lit(1), outer.cast("int"))).alias("at", "e"))
+    lists = materialize(rare.filter("e.df > 1").select(F.col("e.token").alias("token"), "rid", "n", (F.col("at") >= F.col("inner")).alias("outer")), "rare")
+    delete_table(counted)
+    return lists
+
+
 def _with_hubs(opened: DataFrame, turn: int) -> DataFrame:
     """(a, b): every class with that hub of another component which it shares
     most lists with; a list's hub is picked by a seeded hash."""
@@ -450,14 +490,21 @@ def _join_lists(lists: DataFrame, sets: DataFrame, rounds: int) -> DataFrame:
             return labels
         labels = _relabelled(labels, _verified(_with_hubs(opened, turn), sets))
         delete_table(opened)
+    opened = _open_lists(long, labels)
+    delete_table(long)
+    if opened.isEmpty():
+        return labels
+    lists = rare_lists(sets, opened.select("rid").distinct())
+    delete_table(opened)
     for turn in range(rounds + 1):
-        opened = _open_lists(long, labels)
+        opened = _open_lists(lists, labels)
         pairs = _pairs_of_long(opened, sets, nearest=turn < rounds)
         if turn < rounds:
             pairs = pairs.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         labels = _relabelled(labels, _verified(pairs, sets))
         delete_table(opened)
+    delete_table(lists)
     return labels
 
 
