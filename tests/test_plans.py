@@ -107,15 +107,41 @@ def test_report_is_whole(spark, tmp_path):
 
 def test_check_judges_each_row(spark):
     """A bad payload is refused, and only that row, whatever shares its id."""
-    rows = [("a", "all", 1, "p", "heart_rate", 1.0, 1, json.dumps({"hr": 60}), "x"), ("a", "all", 1, "p", "heart_rate", 1.0, 2, json.dumps({"hr": "bad"}), "y"), ("b", "all", 1, "p", "heart_rate", 2.0, 2, json.dumps({"hr": 61}), "z"), ("c", "all", 1, "p", "step_count", 1.0, 2, json.dumps({"steps": 5, "pad": "p" * (2 << 20)}), "w")]
+    rows = [("a", "all", 1, "p", "heart_rate", 1.0, 1, json.dumps({"hr": 60}), "x"), ("a", "all", 1, "p", "heart_rate", 1.0, 2, json.dumps({"hr": "bad"}), "y"), ("b", "all", 1, "p", "heart_rate", 2.0, 2, json.dumps({"hr": 61}), "z"), ("c", "all", 1, "p", "step_count", 1.0, 2, json.dumps({"count": 5, "pad": "p" * (2 << 20)}), "w")]
     df = spark.createDataFrame(rows, S.RAW_DDL + ", batch_id string")
     got = {r["batch_id"]: r["problem"] for r in ingest.check(df).collect()}
-    assert got == {"x": None, "y": "payload", "z": "confidence", "w": None}
+    assert got == {"x": None, "y": "missing finite bpm", "z": "confidence", "w": None}
     why = {r["batch_id"]: r["reason"] for r in ingest.reviewed(df).collect()}
-    assert why == {"x": None, "y": "payload", "z": "confidence", "w": "over 2097152 bytes"}
+    assert why == {"x": None, "y": "missing finite bpm", "z": "confidence", "w": "over 2097152 bytes"}
     assert [r["batch_id"] for r in ingest.accepted(df).collect()] == ["x"]
 
 
+def test_payloads_are_judged_strictly(spark):
+    """What was sent counts, not what could be made of it."""
+    uuid = "0f8fad5b-d9cb-469f-a165-70867728950e"
+    cases = [
+        ("heart_rate", {"bpm": "72"}, "missing finite bpm"), ("heart_rate", {"bpm": 300}, None), ("heart_rate", {"bpm": None, "hr": 60.5}, None), ("heart_rate", [60], "payload is no object"),
+        ("heart_rate", {"bpm": 60, "src": {"kind": "iphone"}}, None), ("heart_rate", {"bpm": 60, "src": {"kind": "phone"}}, "src.kind"), ("heart_rate", {"bpm": 60, "src": "iphone"}, "src is no object"), ("heart_rate", {"bpm": 60, "src": {}}, "src.kind"),
+        ("heart_rate", {"bpm": 60, "src": {"kind": "iphone", "device_name": "x"}}, "src.device_name is not stored"), ("workout", {}, "activity_type"), ("workout", {"activity_type": "run", "start": 1, "end": 2}, None), ("workout", {"activity_type": " ", "start": 1, "end": 2}, "activity_type"),
+        ("stand_hour", {}, "missing start"), ("stand_hour", {"start": 1.0, "end": 2}, "missing start"), ("stand_hour", {"start": 3, "end": 2}, "end before start"), ("basal_energy", {"x": 1}, "missing finite kcal"), ("hrv", {"sdnn_ms": 20, "rmssd_ms": 30, "method": "sdnn"}, "method"),
+        ("hrv", {"rmssd": 30, "method": "rmssd"}, None), ("hrv", {"sdnn": 20, "rmssd": 30}, None), ("hrv", {"rmssd": 30, "method": 1}, "method"), ("hrv", {"rmssd": 30, "method": None}, "method"), ("oxygen_saturation", {"spo2_percent": 20}, None), ("oxygen_saturation", {"spo2_percent": 101}, "spo2_percent"),
+        ("oxygen_saturation", {"spo2": 97}, "spo2_percent"), ("life_event", {"kind": "coffee", "logged_at": -5}, "logged_at"), ("life_event", {"kind": "coffee", "logged_at": 5.0}, "logged_at"), ("life_event", {"kind": "coffee", "edited_from": uuid, "note": "n", "duration_secs": 0.5}, None),
+        ("life_event", {"kind": "coffee", "edited_from": "x"}, "edited_from"), ("life_event", {"kind": "Coffee"}, "kind"), ("step_count", {"count": 5.0}, None), ("step_count", {"count": 5.5}, "count"), ("step_count", {"count": 5, "window_secs": 0}, "window_secs"),
+        ("sleep_interval", {"start": 1.0, "end": 5, "stage": "asleep"}, None), ("sleep_interval", {"start": 1, "end": 5, "stage": "deep"}, "stage"), ("source_deletion", {"target_id": uuid}, None), ("source_deletion", {"target_id": "no"}, "target_id"), ("active_energy", {"kcal": -1}, "kcal"),
+    ]
+    rows = [(f"{k}", "all", 1, "p", t, 1.0, 1, json.dumps(p), f"b{k}") for k, (t, p, _) in enumerate(cases)]
+    rows += [("bad", "all", 1, "p", "heart_rate", 1.0, 1, "{", "bad"), ("nil", "all", 1, "p", "heart_rate", 1.0, 1, None, "nil"), ("own", "all", 1, "p", "keystrokes", 1.0, 1, "{}", "own")]
+    df = spark.createDataFrame(rows, S.RAW_DDL + ", batch_id string")
+    got = {r["id"]: r["problem"] for r in ingest.check(df).collect()}
+    want = {f"{k}": w for k, (_, _, w) in enumerate(cases)} | {"bad": "payload is no JSON", "nil": "payload is no JSON", "own": "type not allowed"}
+    assert {k: (got[k], w) for k, w in want.items() if got[k] != w} == {}
+    out = ingest.refused(df).collect()
+    assert {r["id"] for r in out} == {k for k, w in want.items() if w} and all(r["batch_reason"] == r["problem"] for r in out)
+    assert {r["id"] for r in ingest.accepted(df).collect()} == {k for k, w in want.items() if not w}
+    mark = df.filter("data_type = 'source_deletion'").limit(1)
+    assert [r["problem"] for r in ingest.check(mark, "q").collect()] == ["provider of a deletion"]
+
+
 def test_registry_orders_and_refuses(spark):
     nodes = registry.Registry()
     nodes.register(registry.Node("c", lambda cat: cat["focus_score"], ("b",)))
