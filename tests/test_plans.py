@@ -164,6 +164,25 @@ def test_registry_orders_and_refuses(spark):
     assert {r["feature_id"] for r in got.collect()} == {"stress_index"}
 
 
+def test_life_events_keep_to_their_limits(spark):
+    """Bounds of time by request, copies that name their event, one restore."""
+    now = 1_000_000
+    asked = spark.createDataFrame([("old", "s", now - 86401), ("edge", "s", now - 86400), ("soon", "s", now + 60), ("late", "s", now + 61), ("now", "s", None)], "id string, subject_id string, ts long")
+    log = life_events.log(asked, "walk", now)
+    assert sorted((r["id"], r["logged_at"]) for r in log.collect()) == [("edge", now), ("now", now), ("soon", now)]
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    gone = log.unionByName(life_events.retract(log, ids("edge", "now"), now + 5))
+    back = life_events.restore(gone, ids("edge", "soon"), now + 10)
+    assert [(r["edited_from"], r["ts"], r["logged_at"]) for r in back.collect()] == [("edge", now - 86400, now)]
+    both = gone.unionByName(back)
+    assert life_events.restore(both, ids("edge"), now + 99).isEmpty()
+    moves = spark.createDataFrame([("soon", now - 90000), ("soon", now + 9999)], "id string, new_ts long")
+    assert life_events.retime(both, moves, now).isEmpty()
+    moved = both.unionByName(life_events.retime(both, spark.createDataFrame([("soon", now - 7)], "id string, new_ts long"), now + 20))
+    assert sorted((r["ts"], r["edited_from"]) for r in scans.visible(moved).collect()) == [(now - 86400, "edge"), (now - 7, "soon")]
+    assert life_events.restore(moved, ids("soon"), now + 30).isEmpty()
+
+
 def test_life_events_are_appended(spark):
     asked = spark.createDataFrame([("e1", "s", 100), ("e2", "s", None)], "id string, subject_id string, ts long")
     first = life_events.log(asked, "coffee", 500)

@@ -83,12 +83,12 @@ def _replay(rows: DataFrame, columns: list[str]) -> DataFrame:
 #: JSON keys that payloads are read by, aliases included, as what they are read.
 TEXT_KEYS = (
     "bundle_id", "bundleId", "category", "media_kind", "activity_kind", "light_kind", "interruption_level", "app_kind", "method", "unit",
-    "stage", "sleep_stage", "uid", "kind", "target_id",
+    "stage", "sleep_stage", "uid", "kind", "target_id", "edited_from",
 )
 NUMBER_KEYS = (
     "count", "window_secs", "window_seconds", "event_count", "level", "rmssd_ms", "rmssd", "hrv_ms", "sdnn_ms", "sdnn", "pnn50", "steps", "kcal",
     "active_energy_kcal", "calories", "start", "end", "spo2_percent", "spo2", "oxygen_saturation", "breaths_per_min", "respiratory_rate", "celsius",
-    "delta_celsius", "ml_kg_min", "vo2_max", "bpm", "heart_rate", "hr", "beats_per_minute", "resting_heart_rate", "walking_heart_rate_average",
+    "delta_celsius", "ml_kg_min", "vo2_max", "bpm", "heart_rate", "hr", "beats_per_minute", "resting_heart_rate", "walking_heart_rate_average", "logged_at",
 )
 FLAG_KEYS = ("is_playing", "all_day", "busy")
 _SRC = "kind string, name string, device_name string, source_name string"
@@ -192,6 +192,8 @@ def normalize(raw: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     put("all_day", (S.CALENDAR,), _flag("all_day"))
     put("busy", (S.CALENDAR,), _flag("busy"))
     put("life_kind", (S.LIFE_EVENT,), _one_of(_text("kind"), S.LIFE_KINDS))
+    put("logged_at", (S.LIFE_EVENT,), _whole("logged_at"))
+    put("edited_from", (S.LIFE_EVENT,), _text("edited_from"))
     put("target_id", (S.RETRACTION, S.DELETION), _text("target_id"))
     typed = [F.when(t.isin(*fields[n][0]), fields[n][1]).cast(k).alias(n) for n, k in S.PAYLOAD.items()]
     said = [F.when(F.trim(F.col("_src")[n]) != "", F.trim(F.col("_src")[n])) for n in ("kind", "name", "device_name", "source_name")]

@@ -68,6 +68,8 @@ PAYLOAD = {
     "all_day": "boolean",
     "busy": "boolean",
     "life_kind": "string",
+    "logged_at": "bigint",
+    "edited_from": "string",
     "target_id": "string",
 }
 COLUMNS = ENVELOPE | PAYLOAD
