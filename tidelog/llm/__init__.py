@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators, written as Spark jobs.
+"""Training-data operators: thirteen corpus operators, written as Spark jobs.
 
 Nothing else in the package imports this subpackage.  Shared rules:
 
