@@ -29,7 +29,8 @@ def test_entry(spark):
 
 
 def test_dedupe_replays_chains(spark):
-    """a-1, a-2, b-2, b-3, c-3, ...: each row conflicts with the last."""
+    """a-1, a-2, b-2, b-3, c-3, ...: each row conflicts with the last.  20 and
+    20.0 are two contents, as an integer and a float are."""
     rows, content = [], 0
     for k in range(20):
         rows += [(f"id{k:02d}", content, "hrv", {"rmssd": 20}, 2 * k), (f"id{k:02d}", content + 1, "hrv", {"rmssd": 20}, 2 * k + 1)]
@@ -37,7 +38,7 @@ def test_dedupe_replays_chains(spark):
     rows += [("z", 999, "hrv", {"rmssd": 20}), ("z2", 999, "hrv", {"rmssd": 20.0}), ("z3", 999, "hrv", {"rmssd": 21})]
     seen, want = set(), set()
     for r in sorted(rows, key=lambda r: (r[4] if len(r) > 4 else r[1], r[0])):
-        key = (r[1], float(r[3]["rmssd"]))
+        key = (r[1], json.dumps(r[3]))
         if r[0] not in seen and key not in seen:
             want.add((r[0], r[1]))
             seen |= {r[0], key}
