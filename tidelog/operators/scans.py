@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog import schema as S
 from tidelog.operators.quality import drop_deleted, drop_retracted
+from tidelog.operators.stored import stored
 
 
 class InvalidRange(ValueError):
@@ -83,9 +86,10 @@ def is_retracted(obs: DataFrame, ids: DataFrame) -> DataFrame:
 def append(new: DataFrame, path: str, now: int | None = None) -> DataFrame:
     """Appends rows whose id the table at ``path`` does not hold, stamped with
     created_at; a repeated append of the same rows changes nothing.  The table
-    is partitioned by type and day, so that scans prune.  Returns what it wrote."""
+    is partitioned by type and day, so that scans prune; the rows of a type and
+    day meet in few files, and a large day is split.  Returns what it wrote."""
     spark = new.sparkSession
-    stamp = F.lit(now).cast("bigint") if now is not None else F.unix_timestamp()
+    stamp = F.lit(int(time.time()) if now is None else now).cast("bigint")
     fresh = new.dropDuplicates(["id"]).withColumn("created_at", F.coalesce("created_at", stamp)).withColumn("day", F.floor(F.col("ts") / 86400))
     try:
         old = spark.read.parquet(path).select("id")
@@ -93,6 +97,6 @@ def append(new: DataFrame, path: str, now: int | None = None) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = None
-    fresh = fresh.join(old, "id", "left_anti") if old is not None else fresh
-    fresh.write.mode("append").partitionBy("data_type", "day").parquet(path)
+    fresh = stored(fresh.join(old, "id", "left_anti") if old is not None else fresh)
+    fresh.hint("rebalance", "data_type", "day").write.mode("append").partitionBy("data_type", "day").parquet(path)
     return fresh

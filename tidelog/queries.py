@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tidelog import oracle_sql as O
 from tidelog import schema as S
 from tidelog.operators import life_events, quality, scans
-from tidelog.operators.stored import stored
+from tidelog.operators.stored import shared_path, stored
 from tidelog.plans import rules, series, vitals, wearables
 from tidelog.plans.features import FEATURES, Catalog, high_stress
-from tidelog.sources import polls
+from tidelog.sources import log_source, polls
 from tidelog.sources.events import raw_observations, typed_observations
 from tidelog.streaming import live
 
@@ -298,3 +298,15 @@ def _changes(obs: DataFrame) -> DataFrame:
 @query("minute_counts", O.plain(f"SELECT subject_id, (ts // 60) * 60 AS window_start, count(*) AS count FROM obs WHERE data_type = '{S.KEYSTROKES}' GROUP BY 1, 2"))
 def _minutes(obs: DataFrame) -> DataFrame:
     return polls.counts_by_minute(obs.filter(F.col("data_type") == S.KEYSTROKES), ["subject_id"])
+
+
+@query("log_source", O.plain(f"SELECT subject_id, data_type, count(*) AS rows, min(id) AS first_id, max(created_at) AS last_created FROM obs WHERE data_type IN ('{S.HEART_RATE}', '{S.STEPS}', '{S.CALENDAR}') GROUP BY 1, 2"))
+def _log_source(obs: DataFrame) -> DataFrame:
+    """The log, appended and read by the data source, whose scan leaves out other types."""
+    spark = obs.sparkSession
+    path = shared_path(spark)
+    scans.append(obs, path)
+    log_source.register(spark)
+    read = spark.read.format(log_source.NAME).option("path", path).load()
+    rows = read.filter(F.col("data_type").isin(S.HEART_RATE, S.STEPS, S.CALENDAR))
+    return rows.groupBy("subject_id", "data_type").agg(F.count("*").alias("rows"), F.min("id").alias("first_id"), F.max("created_at").alias("last_created"))
