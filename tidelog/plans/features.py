@@ -232,11 +232,8 @@ def stress_index(cat: Catalog) -> DataFrame:
 def high_stress(cat: Catalog) -> DataFrame:
     """Signals: runs of stress over 75 at ends exactly 60 s apart, longer than 300 s."""
     rows = cat["stress_index"].filter("value > 75").select("subject_id", "w_end", "confidence")
-    order = Window.partitionBy("subject_id").orderBy("w_end")
-    rows = rows.withColumn("starts", (F.col("w_end") - F.lag("w_end").over(order) == 60) == F.lit(False))
-    rows = rows.withColumn("run", F.sum(F.coalesce(F.col("starts").cast("int"), F.lit(1))).over(order))
-    runs = rows.groupBy("subject_id", "run").agg(F.min("w_end").alias("start_ts"), F.max("w_end").alias("end_ts"), F.count("*").alias("samples"))
-    runs = runs.filter("end_ts - start_ts > 300")
+    runs = panes.merged_runs(rows, ["subject_id"], "w_end", lambda before, at: at - before == 60, 60, {"samples": (F.count("*"), F.sum("samples"))})
+    runs = runs.withColumnsRenamed({"run_start": "start_ts", "run_end": "end_ts"}).filter("end_ts - start_ts > 300")
     sid = F.sha2(F.concat_ws("|", F.lit("high_stress"), "subject_id", F.col("start_ts").cast("string"), F.col("end_ts").cast("string")), 256)
     return runs.select(sid.alias("signal_id"), "subject_id", F.lit("high_stress").alias("signal_type"), "start_ts", "end_ts", "samples", F.lit("high").alias("severity"))
 

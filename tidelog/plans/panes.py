@@ -14,7 +14,7 @@ group has a day's ends and panes at most.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from math import gcd
 
@@ -178,3 +178,30 @@ def looking_back(rows: DataFrame, seconds: int, columns: dict[str, Column]) -> D
     held = by_day(rows, F.col("w_end"), F.col("w_end") + seconds)
     back = Window.partitionBy("subject_id", "chunk").orderBy("w_end").rangeBetween(-seconds, 0)
     return held.withColumns({n: c.over(back) for n, c in columns.items()}).filter(F.col("chunk") == day_of(F.col("w_end"))).drop("chunk")
+
+
+def merged_runs(rows: DataFrame, by: list[str], at: str, joins: Callable[[Column, Column], Column], reach: int, columns: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(by, run_start, run_end, columns): runs of rows, ordered by ``at``, where
+    ``joins(before, at)`` holds between neighbours; it must not hold for more than
+    ``reach`` seconds (at most a day).  ``columns`` gives for each name the
+    aggregate of a run's rows, and that of the values ``name`` of its parts.
+
+    Days are scanned apart.  Only runs that come within ``reach`` of a day's
+    bounds can go on in the next day; these few are joined in a second scan."""
+    if not 0 <= reach <= DAY:
+        raise ValueError(f"reach: {reach}")
+    rows = rows.withColumn("chunk", day_of(F.col(at)))
+    within = Window.partitionBy(*by, "chunk").orderBy(at)
+    opens = (~F.coalesce(joins(F.lag(at).over(within), F.col(at)), F.lit(False))).cast("int")
+    rows = rows.withColumn("opens", opens).withColumn("run", F.sum("opens").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy(*by, "chunk", "run").agg(F.min(at).alias("run_start"), F.max(at).alias("run_end"), *[c.alias(n) for n, (c, _) in columns.items()])
+    low, high = F.col("chunk") * DAY, (F.col("chunk") + 1) * DAY
+    parts = parts.withColumn("border", (F.col("run_start") - low < reach) | (high - F.col("run_end") <= reach))
+    names = [*by, "run_start", "run_end", *columns]
+    across = Window.partitionBy(*by).orderBy("run_start")
+    ahead = F.coalesce(joins(F.lag("run_end").over(across), F.col("run_start")), F.lit(False))
+    border = parts.filter("border").withColumn("opens", (~ahead).cast("int"))
+    border = border.withColumn("run", F.sum("opens").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    border = border.groupBy(*by, "run").agg(*[c.alias(n) for n, (_, c) in columns.items()], F.min("run_start").alias("_from"), F.max("run_end").alias("_to"))
+    border = border.withColumnsRenamed({"_from": "run_start", "_to": "run_end"})
+    return parts.filter("NOT border").select(*names).unionByName(border.select(*names))

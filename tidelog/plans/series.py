@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog import schema as S
 from tidelog.operators.quality import source_rank
 from tidelog.plans.features import FEATURES, Catalog
+from tidelog.plans.panes import merged_runs
 from tidelog.plans.windows import DAY
 
 #: Chart ranges as (span, step) in seconds.
@@ -79,16 +80,13 @@ def chart(features: DataFrame, ids: list[str]) -> DataFrame:
 def runs(features: DataFrame, gap: int = 120, window: int = 900) -> DataFrame:
     """Samples merged into runs while a window starts no later than ``gap`` after
     the run's end: first, last, low, high, count and trend (5 either way)."""
-    rows = features.withColumn("start", F.col("w_end") - window)
-    by = ["subject_id", "feature_id"]
-    order = Window.partitionBy(*by).orderBy("start", "w_end")
-    reach = F.max("w_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("opens", (~F.coalesce(F.col("start") <= reach + gap, F.lit(False))).cast("int"))
-    rows = rows.withColumn("run", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.groupBy(*by, "run").agg(
-        F.min("start").alias("run_start"), F.max("w_end").alias("run_end"), F.min_by("value", "w_end").alias("first"), F.max_by("value", "w_end").alias("last"),
-        F.min(F.round("value", 4)).alias("low"), F.max(F.round("value", 4)).alias("high"), F.count("*").alias("samples"),
-    )
+    out = merged_runs(
+        features, ["subject_id", "feature_id"], "w_end", lambda before, at: at - window <= before + gap, window + gap,
+        {
+            "first": (F.min_by("value", "w_end"), F.min_by("first", "run_start")), "last": (F.max_by("value", "w_end"), F.max_by("last", "run_start")),
+            "low": (F.min(F.round("value", 4)), F.min("low")), "high": (F.max(F.round("value", 4)), F.max("high")), "samples": (F.count("*"), F.sum("samples")),
+        },
+    ).withColumn("run_start", F.col("run_start") - window)
     move = F.col("last") - F.col("first")
     return out.withColumn("trend", F.when(move.isNull(), "n/a").when(move >= 5, "higher").when(move <= -5, "lower").otherwise("flat"))
 

@@ -142,7 +142,7 @@ def _chart(obs: DataFrame) -> DataFrame:
 @query("report_runs", O.report_runs())
 def _runs(obs: DataFrame) -> DataFrame:
     features = Catalog(stored(obs), STEP, keep=True, most=O.MOST).all(*O.REPORTED).withColumn("value", F.col("value") + 1e-9)
-    return rounded(series.runs(features).withColumns({c: F.col(c) - 1e-9 for c in ("first", "last")}), "first", "last").drop("run")
+    return rounded(series.runs(features).withColumns({c: F.col(c) - 1e-9 for c in ("first", "last")}), "first", "last")
 
 
 @query("life_event_effect", O.life_event_effect())

@@ -5,12 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def changes(samples: DataFrame, keys: list[str], by: list[str], order: list[str]) -> DataFrame:
-    """Samples whose ``keys`` differ from those of the sample before."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    now, before = F.struct(*keys), F.lag(F.struct(*keys)).over(w)
-    return samples.withColumn("_before", before).filter(F.col("_before").isNull() | ~now.eqNullSafe(F.col("_before"))).drop("_before")
+from tidelog.plans.windows import DAY
+
+
+def changes(samples: DataFrame, keys: list[str], by: list[str], order: list[str], at: str = "ts") -> DataFrame:
+    """Samples whose ``keys`` differ from those of the sample before, in the
+    order of ``order``, which begins with the second ``at``.
+
+    Days are scanned apart; each begins with the last sample of the day before
+    it that has any, which takes one row a day to find.  Columns of ``samples``
+    may have any names but those that begin with ``_day``.  A null ``by`` is a
+    group, and null keys are values like others; null seconds are a day, the first."""
+    if order[:1] != [at]:
+        raise ValueError(f"order has to begin with {at!r}: {order}")
+    rows = samples.withColumns({"_day": F.floor(F.col(at) / DAY), "_day_keys": F.struct(*keys), "_day_carried": F.lit(False)})
+    place = F.struct(*order)
+    last = rows.groupBy(*by, "_day").agg(F.max_by("_day_keys", place).alias("_day_keys"))
+    following = F.lead(F.struct("_day")).over(Window.partitionBy(*by).orderBy("_day"))
+    last = last.withColumn("_day_next", following).filter("_day_next is not null")
+    carried = last.select(*by, F.col("_day_next._day").alias("_day"), "_day_keys", F.lit(True).alias("_day_carried"))
+    within = Window.partitionBy(*by, "_day").orderBy(F.desc("_day_carried"), *order)
+    rows = rows.unionByName(carried, allowMissingColumns=True).withColumn("_day_before", F.lag(F.struct("_day_keys")).over(within))
+    new = F.col("_day_before").isNull() | ~F.col("_day_keys").eqNullSafe(F.col("_day_before._day_keys"))
+    return rows.filter(new & ~F.col("_day_carried")).select(*samples.columns)
 
 
 def counts_by_minute(samples: DataFrame, by: list[str], seconds: int = 60) -> DataFrame:
