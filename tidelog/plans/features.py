@@ -64,10 +64,11 @@ class Catalog:
     With ``keep``, the windows and the features that others are made of are
     written once and read again: for many features at a time, whose joint plan
     would be too large.  ``most`` limits a subject's grid to its latest ends;
-    None evaluates its whole history."""
+    None evaluates its whole history.  ``spans`` (subject_id, min_ts, max_ts)
+    are those of all rows, where ``obs`` holds a part of them."""
 
-    def __init__(self, obs: DataFrame, step: int = 60, keep: bool = False, most: int | None = W.MOST_ENDS):
-        self.obs, self.step, self.keep, self.most = obs, max(1, step), keep, most
+    def __init__(self, obs: DataFrame, step: int = 60, keep: bool = False, most: int | None = W.MOST_ENDS, spans: DataFrame | None = None):
+        self.obs, self.step, self.keep, self.most, self.spans = obs, max(1, step), keep, most, spans
         self._made: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -81,7 +82,7 @@ class Catalog:
 
     @cached_property
     def bounds(self) -> DataFrame:
-        return W.bounds(W.spans(self.obs), self.step, self.most)
+        return W.bounds(W.spans(self.obs) if self.spans is None else self.spans, self.step, self.most)
 
     @cached_property
     def ends(self) -> DataFrame:
