@@ -11,7 +11,7 @@ from tidelog import oracle_sql as O
 from tidelog import schema as S
 from tidelog.operators import life_events, quality, scans
 from tidelog.operators.stored import shared_path, stored
-from tidelog.plans import rules, series, vitals, wearables
+from tidelog.plans import rules, series, stored_series, vitals, wearables
 from tidelog.plans.features import FEATURES, Catalog, high_stress
 from tidelog.sources import log_source, polls
 from tidelog.sources.events import raw_observations, typed_observations
@@ -310,3 +310,14 @@ def _log_source(obs: DataFrame) -> DataFrame:
     read = spark.read.format(log_source.NAME).option("path", path).load()
     rows = read.filter(F.col("data_type").isin(S.HEART_RATE, S.STEPS, S.CALENDAR))
     return rows.groupBy("subject_id", "data_type").agg(F.count("*").alias("rows"), F.min("id").alias("first_id"), F.max("created_at").alias("last_created"))
+
+
+@query("stored_series", O.feature("stress_index"))
+def _stored_series(obs: DataFrame) -> DataFrame:
+    """Stress of the whole log from a stored series: one refresh over what was
+    there at a moment, one over all that came later."""
+    path = shared_path(obs.sparkSession)
+    log = stored(obs)
+    stored_series.refresh(log.filter(F.col("created_at") < O.CHANNELS_SINCE), path, ("stress_index",), STEP)
+    stored_series.refresh(log, path, ("stress_index",), STEP)
+    return digest(stored_series.series(obs.sparkSession, path))
