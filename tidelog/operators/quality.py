@@ -9,6 +9,7 @@ from __future__ import annotations
 import tomllib
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +47,7 @@ def dedupe(raw: DataFrame) -> DataFrame:
     (created_at, id, arrival).
 
     Where no id has two contents, the first of each content is exact and runs
-    as one window.  Rows of contents and ids that conflict go through rounds.
+    as one window.  Rows of contents and ids that conflict are replayed.
     """
     rows = raw.withColumn("content", content_key())
     order = ["created_at", "id", "content"]
@@ -62,22 +63,78 @@ def dedupe(raw: DataFrame) -> DataFrame:
     return firsts(rows.join(mixed, "content", "left_anti")).unionByName(_replay(rows.join(mixed, "content", "left_semi"), raw.columns))
 
 
-def _replay(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """First-wins among rows that share ids or contents: in each round the rows
-    that come first both for their id and for their content are kept, and all
-    rows that share either with a kept one go.  As many rounds as the longest
-    chain of conflicts needs."""
+#: Rows of a component that one task replays; a row is its place, id and content.
+LARGEST = 250_000
+
+
+def _replay(rows: DataFrame, columns: list[str], largest: int = LARGEST) -> DataFrame:
+    """First-wins among rows that share ids or contents.
+
+    Two rounds settle what many rows share.  Rows that are left depend on chains
+    of others: those of a connected component are replayed in order in one task.
+    Components of more than ``largest`` rows go through further rounds, which
+    split them, until they are small enough.  A null id is shared with no row."""
     place = F.struct("created_at", "id", "content", "arrival")
-    left = stored(rows.withColumn("arrival", F.monotonically_increasing_id()).withColumn("place", place))
-    kept = left.limit(0)
+    left = rows.withColumn("arrival", F.monotonically_increasing_id())
+    whole = stored(left)
+    key = F.coalesce(F.concat(F.lit("i"), "id"), F.concat(F.lit("n"), F.col("arrival").cast("string")))
+    left = whole.select("arrival", key.alias("key"), "content", place.alias("place"))
+    kept = left.select("arrival").limit(0)
+    rounds = 0
     while not left.isEmpty():
-        by_id = left.groupBy("id").agg(F.min("place").alias("first_id"))
-        by_content = left.groupBy("content").agg(F.min("place").alias("first_content"))
-        now = left.join(by_id, "id").join(by_content, "content").filter("place = first_id AND place = first_content")
-        now = stored(now.select(*left.columns))
-        kept = kept.unionByName(now)
-        left = stored(left.join(now.select("id"), "id", "left_anti").join(now.select("content"), "content", "left_anti"))
-    return kept.select(*columns)
+        if rounds >= 2:
+            labelled = _components(left)
+            small = labelled.groupBy("component").agg(F.count("*").alias("rows")).filter(F.col("rows") <= largest).select("component")
+            labelled = stored(labelled.join(small.withColumn("small", F.lit(True)), "component", "left"))
+            mine = labelled.filter("small").select("component", "arrival", "key", "content", "place.created_at", "place.id")
+            kept = kept.unionByName(stored(mine.groupBy("component").applyInPandas(_in_order, "arrival bigint")))
+            left = labelled.filter("small IS NULL").select(*left.columns)
+        now, left = _round(left)
+        kept = kept.unionByName(now.select("arrival"))
+        rounds += 1
+    return whole.join(kept, "arrival", "left_semi").select(*columns)
+
+
+def _round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that come first both for their id and for their content, and the
+    rows that share neither with them."""
+    by_id = left.groupBy("key").agg(F.min("place").alias("first_id"))
+    by_content = left.groupBy("content").agg(F.min("place").alias("first_content"))
+    now = left.join(by_id, "key").join(by_content, "content").filter("place = first_id AND place = first_content")
+    now = stored(now.select(*left.columns))
+    return now, stored(left.join(now.select("key"), "key", "left_anti").join(now.select("content"), "content", "left_anti"))
+
+
+def _components(rows: DataFrame) -> DataFrame:
+    """``rows`` (arrival, key, content, ...) with ``component``, one arrival of
+    those that are linked by keys and contents.  Every row points to a row of
+    its component; pointers and the pointers of those they lead to take the
+    least pointer among neighbours and skip a step, so that the number of passes
+    grows with the logarithm of a chain, not with its length."""
+    links = rows.select("arrival", "key", "content")
+    now = stored(links.withColumn("up", F.col("arrival")))
+    while True:
+        steps = now.join(now.select(F.col("arrival").alias("up"), F.col("up").alias("over")), "up")
+        by_key = steps.groupBy("key").agg(F.min("over").alias("near_key"))
+        by_content = steps.groupBy("content").agg(F.min("over").alias("near_content"))
+        steps = stored(steps.join(by_key, "key").join(by_content, "content").withColumn("near", F.least("near_key", "near_content")))
+        hooks = steps.groupBy(F.col("up").alias("arrival")).agg(F.min("near").alias("hook"))
+        after = steps.join(hooks, "arrival", "left").withColumn("least", F.least("up", "over", "near", "hook"))
+        after = stored(after.select("arrival", "key", "content", F.col("least").alias("up"), (F.col("least") < F.col("up")).alias("moved")))
+        now = after.drop("moved")
+        if after.filter("moved").isEmpty():
+            return rows.join(now.select("arrival", F.col("up").alias("component")), "arrival")
+
+
+def _in_order(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values(["created_at", "id", "content", "arrival"], na_position="first")
+    keys, contents, kept = set(), set(), []
+    for arrival, key, content in zip(group["arrival"], group["key"], group["content"], strict=True):
+        if key not in keys and content not in contents:
+            keys.add(key)
+            contents.add(content)
+            kept.append(arrival)
+    return pd.DataFrame({"arrival": pd.array(kept, "int64")})
 
 
 #: JSON keys that payloads are read by, aliases included, as what they are read.
