@@ -9,6 +9,7 @@ from tidelog import schema as S
 from tidelog.operators import scans
 from tidelog.plans.windows import DAY
 from tidelog.sources import log_source
+from tidelog.streaming import live
 
 
 def typed(spark, rows: list[dict]):
@@ -75,3 +76,25 @@ def test_stream_from_the_tip_has_no_backlog(source, tmp_path):
     assert run(source, tmp_path, log, "tip", start="tip") == []
     scans.append(typed(source, [{"id": "c", "created_at": 6}, {"id": "d", "created_at": 7, "data_type": S.STEPS}]), log)
     assert run(source, tmp_path, log, "tip", start="tip") == ["c", "d"]
+
+
+def test_live_alerts_from_the_tip(source, tmp_path):
+    """Levels of touched subjects go out batch by batch; what was there before isn't read."""
+    folder, log, names = tmp_path, str(tmp_path / "log"), ("table", "out", "ck")
+
+    def add(subject: str, at: int, rmssd: int, created: int) -> None:
+        rows = [(f"{subject}{at + t}", subject, at + t, "p", S.HRV, 1.0, created, f'{{"rmssd": {rmssd}}}') for t in range(0, 420, 60)]
+        scans.append(source.createDataFrame(rows, S.RAW_DDL), log)
+
+    def levels() -> dict:
+        stream = source.readStream.format(log_source.NAME).options(path=log, form="raw", start="tip").load()
+        live.live_query(stream, *[str(folder / n) for n in names], alerts=str(folder / "alerts")).awaitTermination(120)
+        return {r["subject_id"]: r["level"] for r in live.current_alerts(source, str(folder / "alerts")).collect()} if (folder / "alerts").exists() else {}
+
+    add("old", 900, 15, 1)
+    assert levels() == {}
+    add("a", 900, 15, 2)
+    assert levels() == {"a": "red"}
+    add("a", 40_000, 60, 3)
+    add("b", 900, 60, 3)
+    assert levels() == {"a": "green", "b": "green"}

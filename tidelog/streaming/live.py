@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -43,7 +43,7 @@ def snapshot(obs: DataFrame, step: int = 60) -> tuple[DataFrame, DataFrame]:
     return latest(cat.all()), alert_level(cat, high_stress(cat))
 
 
-def live_query(stream: DataFrame, table: str, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+def live_query(stream: DataFrame, table: str, out: str, checkpoint: str, every: str | None = None, alerts: str | None = None) -> StreamingQuery:
     """Appends every micro-batch to the raw table and writes the snapshot of the
     subjects that it touched anew, in a folder of its epoch: a batch that is
     tried again replaces its rows and its snapshot.  Retractions in a later batch
@@ -51,7 +51,9 @@ def live_query(stream: DataFrame, table: str, out: str, checkpoint: str, every:
 
     The table is partitioned by day; a batch reads the days that its subjects'
     retained seconds can lie in.  With ``every`` (a processing time, such as
-    ``10 seconds``) the query goes on; without, it ends with what is there."""
+    ``10 seconds``) the query goes on; without, it ends with what is there.
+    ``alerts`` takes the alert levels of touched subjects, epoch by epoch, for
+    :func:`current_alerts`."""
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -66,8 +68,16 @@ def live_query(stream: DataFrame, table: str, out: str, checkpoint: str, every:
         first = Window.partitionBy("id").orderBy("created_at", "ts", "payload")
         near = near.withColumn("place", F.row_number().over(first)).filter("place = 1").select(*rows.columns)
         typed = stored(normalize(near).filter("valid").drop("valid").transform(drop_retracted).transform(select_sources))
-        features, _ = snapshot(typed)
+        features, level = snapshot(typed)
         features.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        if alerts is not None:
+            level.write.mode("overwrite").parquet(f"{alerts}/epoch={epoch}")
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
+
+
+def current_alerts(spark: SparkSession, alerts: str) -> DataFrame:
+    """(subject_id, level) as of each subject's last batch."""
+    levels = spark.read.schema("subject_id string, level string, epoch bigint").parquet(alerts)
+    return levels.groupBy("subject_id").agg(F.max_by("level", "epoch").alias("level"))
