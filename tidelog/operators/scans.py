@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog import schema as S
@@ -83,20 +84,69 @@ def is_retracted(obs: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.join(marks, "id", "left_semi")
 
 
+#: Folder of marks inside a log; readers of the log pass over it.
+MARKS = "_marks"
+
+
+def _there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, if there is one."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _marks_of(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("data_type").cast("string").alias("data_type"), F.col("day").cast("bigint").alias("day"), F.xxhash64("id").alias("mark"))
+
+
+def folders_with(ids: DataFrame, path: str) -> DataFrame:
+    """(data_type, day) of the folders of the log at ``path`` that may hold rows of
+    ``ids`` (id), by their marks: 64-bit hashes of ids, eight bytes a row.  No
+    folder that holds one is left out."""
+    marks = ids.sparkSession.read.parquet(f"{path}/{MARKS}")
+    return marks.join(ids.select(F.xxhash64("id").alias("mark")), "mark", "left_semi").select("data_type", "day").distinct()
+
+
+def _held(ids: DataFrame, old: DataFrame, path: str) -> DataFrame:
+    """Ids of the log in the folders that may hold one of ``ids``; no other is read."""
+    folders = folders_with(ids, path).collect()  # types x days at most
+    types, days = {r["data_type"] for r in folders}, {r["day"] for r in folders}
+    if not folders:
+        return old.select("id").limit(0)
+
+    def among(name: str, kind: str, values: set) -> Column:
+        column = F.col(name).cast(kind)
+        return column.isin(*(values - {None})) | (column.isNull() if None in values else F.lit(False))
+
+    table = ids.sparkSession.createDataFrame(folders, "data_type string, day bigint")
+    rows = old.filter(among("data_type", "string", types) & among("day", "bigint", days))
+    same = rows["data_type"].cast("string").eqNullSafe(table["data_type"]) & rows["day"].cast("bigint").eqNullSafe(table["day"])
+    return rows.join(F.broadcast(table), same, "left_semi").select("id")
+
+
 def append(new: DataFrame, path: str, now: int | None = None) -> DataFrame:
     """Appends rows whose id the table at ``path`` does not hold, stamped with
     created_at; a repeated append of the same rows changes nothing.  The table
     is partitioned by type and day, so that scans prune; the rows of a type and
-    day meet in few files, and a large day is split.  Returns what it wrote."""
+    day meet in few files, and a large day is split.  Returns what it wrote.
+
+    An append reads the marks of all ids and the ids of just the folders where
+    marks meet its own.  Marks are written before their rows: an append that was
+    interrupted between the two leaves marks without rows, which cost a look
+    into their folder, and is repeated.  A log without marks gets them first.
+    Rows of equal ids count once; a null id is never held.  Appends to one log
+    go one after the other."""
     spark = new.sparkSession
     stamp = F.lit(int(time.time()) if now is None else now).cast("bigint")
     fresh = new.dropDuplicates(["id"]).withColumn("created_at", F.coalesce("created_at", stamp)).withColumn("day", F.floor(F.col("ts") / 86400))
-    try:
-        old = spark.read.parquet(path).select("id")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = None
-    fresh = stored(fresh.join(old, "id", "left_anti") if old is not None else fresh)
+    fresh, old = stored(fresh), _there(spark, path)
+    if old is not None:
+        if _there(spark, f"{path}/{MARKS}") is None:
+            _marks_of(old).write.mode("overwrite").parquet(f"{path}/{MARKS}")
+        fresh = stored(fresh.join(_held(fresh, old, path), "id", "left_anti"))
+    _marks_of(fresh).hint("rebalance").sortWithinPartitions("data_type", "day", "mark").write.mode("append").parquet(f"{path}/{MARKS}")
     fresh.hint("rebalance", "data_type", "day").write.mode("append").partitionBy("data_type", "day").parquet(path)
     return fresh
