@@ -88,7 +88,7 @@ def is_retracted(obs: DataFrame, ids: DataFrame) -> DataFrame:
 MARKS = "_marks"
 
 
-def _there(spark: SparkSession, path: str) -> DataFrame | None:
+def there(spark: SparkSession, path: str) -> DataFrame | None:
     """The table at ``path``, if there is one."""
     try:
         return spark.read.parquet(path)
@@ -142,9 +142,9 @@ def append(new: DataFrame, path: str, now: int | None = None) -> DataFrame:
     spark = new.sparkSession
     stamp = F.lit(int(time.time()) if now is None else now).cast("bigint")
     fresh = new.dropDuplicates(["id"]).withColumn("created_at", F.coalesce("created_at", stamp)).withColumn("day", F.floor(F.col("ts") / 86400))
-    fresh, old = stored(fresh), _there(spark, path)
+    fresh, old = stored(fresh), there(spark, path)
     if old is not None:
-        if _there(spark, f"{path}/{MARKS}") is None:
+        if there(spark, f"{path}/{MARKS}") is None:
             _marks_of(old).write.mode("overwrite").parquet(f"{path}/{MARKS}")
         fresh = stored(fresh.join(_held(fresh, old, path), "id", "left_anti"))
     _marks_of(fresh).hint("rebalance").sortWithinPartitions("data_type", "day", "mark").write.mode("append").parquet(f"{path}/{MARKS}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.operators.quality import drop_retracted, normalize, select_sources
+from tidelog.operators.scans import there
 from tidelog.operators.stored import stored
 from tidelog.plans.features import Catalog, high_stress
 from tidelog.plans.series import alert_level, latest
@@ -46,10 +47,13 @@ def snapshot(obs: DataFrame, step: int = 60) -> tuple[DataFrame, DataFrame]:
 def live_query(stream: DataFrame, table: str, out: str, checkpoint: str, every: str | None = None, alerts: str | None = None) -> StreamingQuery:
     """Appends every micro-batch to the raw table and writes the snapshot of the
     subjects that it touched anew, in a folder of its epoch: a batch that is
-    tried again replaces its rows and its snapshot.  Retractions in a later batch
-    take effect, as the snapshot reads the table through the marker filters.
+    tried again adds the rows that its first try didn't write, and replaces its
+    snapshot.  Retractions in a later batch take effect, as the snapshot reads
+    the table through the marker filters.
 
-    The table is partitioned by day; a batch reads the days that its subjects'
+    The table is partitioned by day alone, with the epoch as a column (so only
+    files of the epoch itself are read for what a first try wrote); :func:`compact`
+    merges a day's files.  A batch reads the days that its subjects'
     retained seconds can lie in.  With ``every`` (a processing time, such as
     ``10 seconds``) the query goes on; without, it ends with what is there.
     ``alerts`` takes the alert levels of touched subjects, epoch by epoch, for
@@ -58,9 +62,15 @@ def live_query(stream: DataFrame, table: str, out: str, checkpoint: str, every:
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         rows = stored(batch)
-        day = F.floor(F.col("ts") / DAY)
-        rows.withColumns({"day": day, "epoch": F.lit(epoch)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch", "day").parquet(table)
         span = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+        days = F.col("day").isNull()
+        if span["low"] is not None:
+            days = days | F.col("day").between(span["low"] // DAY, span["high"] // DAY)
+        old = there(spark, table)
+        lacking = rows
+        if old is not None:
+            lacking = stored(rows.join(old.filter(days & (F.col("epoch") == epoch)).select("id"), "id", "left_anti"))
+        lacking.withColumns({"day": F.floor(F.col("ts") / DAY), "epoch": F.lit(epoch).cast("bigint")}).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(table)
         if span["low"] is None:
             return
         touched = rows.select("subject_id").distinct()
@@ -77,6 +87,13 @@ def live_query(stream: DataFrame, table: str, out: str, checkpoint: str, every:
     return writer.trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
 
 
+def compact(spark: SparkSession, table: str, first: int, last: int) -> None:
+    """Merges the files of the days ``first`` to ``last`` of a raw table, rows and
+    epochs unchanged.  For days that no query writes at the time."""
+    rows = stored(spark.read.parquet(table).filter(F.col("day").between(first, last)))
+    rows.hint("rebalance", "day").sortWithinPartitions("epoch", "subject_id", "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(table)
+
+
 def current_alerts(spark: SparkSession, alerts: str) -> DataFrame:
     """(subject_id, level) as of each subject's last batch."""
     levels = spark.read.schema("subject_id string, level string, epoch bigint").parquet(alerts)
