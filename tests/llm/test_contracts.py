@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import awkward_rows
@@ -599,6 +600,27 @@ def test_search_repeated_ids(spark):
     assert got == want
 
 
+def test_pivots_and_nearest_in_chunks(monkeypatch):
+    """Rows are scored against pivots in parts; the parts change nothing."""
+    rng = np.random.default_rng(3)
+    sample = rng.integers(-9, 9, (400, 6)).astype(float)
+    whole = knn_search.pivots_of(sample, 25)
+    monkeypatch.setattr(knn_search, "SCORES", 40)
+    assert np.array_equal(knn_search.pivots_of(sample, 25), whole)
+    gaps = ((sample[:, None] - whole[None]) ** 2).sum(2)
+    assert np.allclose(gaps[np.arange(400), knn_search.nearest(sample, whole)], gaps.min(1))
+    assert knn_search.pivots_of(sample[:3], 25).shape == (3, 6)
+
+
+def test_knn_with_names_of_its_own_columns(spark):
+    """Further columns may have the names that the search uses itself."""
+    rows = [(i, [float(i % 7) / 8, 0.5, float(i % 3)], i, "x", -i, None, 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, cell int, vector string, asks int, least double, n double")
+    got = [tuple(r) for r in knn_search.search(df, df["vec_id"] % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
+    assert got == [tuple(r) for r in knn_search.search(df.select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=3).orderBy("query_id", "rank").collect()]
+    assert len(got) == 9
+
+
 # secrets
 
 

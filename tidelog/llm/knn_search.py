@@ -19,6 +19,8 @@ empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,18 +30,35 @@ from tidelog.llm.shared import materialize
 
 #: Rows that a pivot is made from, and bytes of all pivots.
 ROWS_A_PIVOT, PIVOT_BYTES = 16, 8 << 20
+#: Scores of rows against pivots, and components of rows sent on, at a time.
+SCORES, SENT = 1 << 22, 1 << 21
 DATA_BLOCK, QUERY_BLOCK = 16384, 8192
 _SOLVED = "ask long, query_id long, vec_id long, score long"
 
 
+def _chunks(rows: int, width: int, most: int = SCORES) -> Iterator[slice]:
+    step = max(1, most // max(1, width))
+    return (slice(i, min(i + step, rows)) for i in range(0, rows, step))
+
+
+def nearest(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Place of each vector's nearest pivot, the first of equals."""
+    out, half = np.zeros(len(vectors), np.int32), (pivots**2).sum(1) / 2
+    for part in _chunks(len(vectors), len(pivots)):
+        out[part] = (half - vectors[part] @ pivots.T).argmin(1)
+    return out
+
+
 def pivots_of(sample: np.ndarray, count: int) -> np.ndarray:
-    """Centres of the sample after a few rounds of k-means."""
+    """Centres of the sample after a few rounds of k-means.  The sample is at most
+    ROWS_A_PIVOT times the pivots, and scored SCORES at a time."""
     centres = sample[:: max(1, len(sample) // max(1, count))][:count].astype(np.float64)
     for _ in range(5):
-        near = (((sample**2).sum(1)[:, None] - 2 * sample @ centres.T) + (centres**2).sum(1)).argmin(1)
-        for c in range(len(centres)):
-            if (near == c).any():
-                centres[c] = sample[near == c].mean(0)
+        near = nearest(sample, centres)
+        order, sizes = np.argsort(near, kind="stable"), np.bincount(near, minlength=len(centres))
+        used = np.flatnonzero(sizes)
+        sums = np.add.reduceat(sample[order], (np.cumsum(sizes) - sizes)[used], axis=0)
+        centres[used] = sums / sizes[used, None]
     return centres
 
 
@@ -87,19 +106,20 @@ def _solver(k: int, dims: int):
     return solve
 
 
-def _in_blocks(queries: DataFrame, data: DataFrame, sizes: dict[int, int], asked: dict[int, int], k: int, dims: int) -> DataFrame:
+def _in_blocks(queries: DataFrame, data: DataFrame, cells: DataFrame, k: int, dims: int) -> DataFrame:
     """Solves queries (ask, query_id, vector, least, cell) against data (row,
-    vec_id, vector, cell) of the same cell, block by block."""
-
-    def blocks(counts: dict[int, int], most: int) -> Column:
-        pairs = [F.lit(x) for cell, n in counts.items() for x in (cell, -(-n // most))]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), "cell"), F.lit(1)) if pairs else F.lit(1)
-
-    db, qb = blocks(sizes, DATA_BLOCK), blocks(asked, QUERY_BLOCK)
-    cell = F.col("cell").isin(*asked) if asked else F.lit(False)
-    data = data.filter(cell).withColumn("db", F.pmod(F.xxhash64("row"), db)).withColumn("qb", F.explode(F.sequence(F.lit(0), qb - 1)))
-    queries = queries.withColumn("qb", F.pmod(F.xxhash64("ask"), qb)).withColumn("db", F.explode(F.sequence(F.lit(0), db - 1)))
-    keys = [F.col("cell"), F.col("db").cast("int"), F.col("qb").cast("int")]
+    vec_id, vector, cell) of the same cell, block by block.  ``cells`` has the
+    rows and queries of each cell that is asked (cell, n, asked), a row a pivot."""
+
+    def blocks(count: str, most: int) -> Column:
+        return F.ceil(F.col(count) / most).cast("int")
+
+    cells = F.broadcast(cells.select("cell", blocks("n", DATA_BLOCK).alias("dbs"), blocks("asked", QUERY_BLOCK).alias("qbs")))
+    data = data.join(cells, "cell").withColumn("db", F.pmod(F.xxhash64("row"), "dbs").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
+    queries = queries.join(cells, "cell").withColumn("qb", F.pmod(F.xxhash64("ask"), "qbs").cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.col("dbs") - 1)))
+    keys = ["cell", "db", "qb"]
+    # both sides come from one table: the data's columns get names of their own
+    queries, data = queries.select(*keys, "ask", "query_id", "vector", "least"), data.select(*[F.col(c).alias(c) for c in (*keys, "vec_id", "vector")])
     return queries.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInArrow(_solver(k, dims), _SOLVED)
 
 
@@ -127,20 +147,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
     def assign(batches):
         for t in batches:
             v = _vectors(t.column(1), dims)
-            gap = np.maximum(0, (v**2).sum(1)[:, None] - 2 * v @ pivots.T + (pivots**2).sum(1))
-            cell = gap.argmin(1)
+            cell = nearest(v, pivots)
             away = np.sqrt(((v - pivots[cell]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(cell.astype(np.int32)), pa.array(away)], names=["vec_id", "vector", "asks", "row", "cell", "away"])
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(cell), pa.array(away)], names=["vec_id", "vector", "asks", "row", "cell", "away"])
 
     placed = materialize(usable.mapInArrow(assign, "vec_id long, vector array<double>, asks boolean, row long, cell int, away double"), "cells")
     summary = placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("asks").alias("asked"), F.max("away").alias("radius")).collect()  # a row for each pivot
-    sizes = {r["cell"]: r["n"] for r in summary}
+    cells = spark.createDataFrame([(r["cell"], r["n"], r["asked"]) for r in summary], "cell int, n long, asked long")
     radius = np.full(len(pivots), -1.0)
     for r in summary:
         radius[r["cell"]] = r["radius"]
     data = placed.select("row", "vec_id", "vector", "cell")
     queries = placed.filter("asks").select(F.col("row").alias("ask"), F.col("vec_id").alias("query_id"), "vector", "cell")
-    near = _in_blocks(queries.withColumn("least", F.lit(float("-inf"))), data, sizes, {r["cell"]: r["asked"] for r in summary if r["asked"]}, k, dims)
+    near = _in_blocks(queries.withColumn("least", F.lit(float("-inf"))), data, cells.filter("asked > 0"), k, dims)
     near = materialize(_best(near, k).drop("rank"), "own_cell")
     beat = near.groupBy("ask").agg(F.count("*").alias("have"), F.min("score").alias("low"))
     beat = beat.select("ask", F.when(F.col("have") >= k, F.col("low").cast("double")).alias("low"))
@@ -149,15 +168,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
         for t in batches:
             v = _vectors(t.column(1), dims)
             least = t.column(3).to_numpy(zero_copy_only=False)
-            reach = v @ pivots.T + np.sqrt((v**2).sum(1))[:, None] * radius
-            # a hair of slack for rounding; the bound only decides where to look
-            may = (reach * (1 + 1e-9 * np.sign(reach)) + 1e-6 >= least[:, None]) & (radius >= 0)
-            may[np.arange(len(v)), t.column(2).to_numpy()] = False
-            q, cell = np.nonzero(may)
-            yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(q)), t.column(1).take(pa.array(q)), pa.array(least[q]), pa.array(cell.astype(np.int32)), t.column(4).take(pa.array(q))], names=["query_id", "vector", "least", "cell", "ask"])
+            own = t.column(2).to_numpy()
+            length = np.sqrt((v**2).sum(1))
+            for part in _chunks(len(v), len(pivots)):
+                reach = v[part] @ pivots.T + length[part, None] * radius
+                # a hair of slack for rounding; the bound only decides where to look
+                may = (reach * (1 + 1e-9 * np.sign(reach)) + 1e-6 >= least[part, None]) & (radius >= 0)
+                may[np.arange(len(may)), own[part]] = False
+                asks, cell = np.nonzero(may)
+                asks += part.start
+                for some in _chunks(len(asks), dims, SENT):
+                    q, to = pa.array(asks[some]), pa.array(cell[some].astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([t.column(0).take(q), t.column(1).take(q), pa.array(least[asks[some]]), to, t.column(4).take(q)], names=["query_id", "vector", "least", "cell", "ask"])
 
     asking = queries.join(beat, "ask", "left").select("query_id", "vector", "cell", F.coalesce("low", F.lit(float("-inf"))).alias("least"), "ask")
     sent = materialize(asking.mapInArrow(further, "query_id long, vector array<double>, least double, cell int, ask long"), "sent")
-    asked = {r["cell"]: r["count"] for r in sent.groupBy("cell").count().collect()}
-    found = near.unionByName(_in_blocks(sent, data, sizes, asked, k, dims))
+    asked = cells.drop("asked").join(sent.groupBy("cell").agg(F.count("*").alias("asked")), "cell")
+    found = near.unionByName(_in_blocks(sent, data, asked, k, dims))
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
