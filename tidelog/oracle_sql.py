@@ -431,7 +431,7 @@ def plain(sql: str) -> str:
     return f"{observations()} {sql}"
 
 
-CHANNELS = (S.CONTEXT, S.KEYSTROKES, S.HRV, S.RESPIRATORY, S.LIFE_EVENT)
+CHANNELS = (*S.COMPUTER_CHANNELS, *S.WATCH_CHANNELS, S.RESPIRATORY)
 CHANNELS_SINCE = 1705000000
 
 

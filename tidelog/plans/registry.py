@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,32 +46,39 @@ class Registry:
         self.nodes[node.id] = node
 
     def ordered(self, ids: Iterable[str] | None = None) -> list[str]:
-        """The ids and all they need, each after its dependencies; equal choices
-        in the order of registration."""
-        out: list[str] = []
-        open_: list[str] = []
-
-        def visit(name: str, asked_by: str) -> None:
-            if name in out:
-                return
+        """The ids and all they need, each after its dependencies: first the nodes
+        without any, then what each of these in turn makes ready; equal choices
+        stand in the order of registration."""
+        place = {name: i for i, name in enumerate(self.nodes)}
+        asked = list(self.nodes if ids is None else ids)
+        graph: dict[str, tuple[str, ...]] = {}
+        open_ = [("the caller", name) for name in asked]
+        while open_:
+            by, name = open_.pop()
             if name not in self.nodes:
-                raise UnknownDependency(f"{asked_by} needs {name}")
-            if name in open_:
-                raise DependencyCycle(" -> ".join([*open_[open_.index(name) :], name]))
-            open_.append(name)
-            for need in self.nodes[name].needs:
-                visit(need, name)
-            open_.pop()
-            out.append(name)
-
-        for name in ids if ids is not None else self.nodes:
-            visit(name, "the caller")
+                raise UnknownDependency(f"{by} needs {name}")
+            if name not in graph:
+                graph[name] = self.nodes[name].needs
+                open_ += [(name, need) for need in graph[name]]
+        sorter = TopologicalSorter(graph)
+        try:
+            sorter.prepare()
+        except CycleError as e:
+            raise DependencyCycle(" -> ".join(e.args[1])) from e
+        out = sorted(sorter.get_ready(), key=place.get)
+        for name in out:  # grows while it is read
+            sorter.done(name)
+            out += sorted(sorter.get_ready(), key=place.get)
         return out
 
     def run(self, cat: Catalog, ids: Iterable[str] | None = None) -> DataFrame:
-        """UNION ALL of the nodes' frames with their ids."""
+        """UNION ALL of the frames of the nodes that are asked for (all, where none
+        is named), with their ids; what they need is built, but not returned."""
+        wanted = None if ids is None else list(ids)
         out = None
-        for name in self.ordered(ids):
+        for name in self.ordered(wanted):
+            if wanted is not None and name not in wanted:
+                continue
             frame = self.nodes[name].build(cat).select(F.lit(name).alias("feature_id"), *COLUMNS)
             out = frame if out is None else out.unionByName(frame)
         if out is None:
@@ -80,6 +88,8 @@ class Registry:
 
 #: Composites and what they are made of.
 NEEDS = {
+    "focus_score": ("context_switch_rate",),
+    "distraction_score": ("context_switch_rate",),
     "fatigue_index": ("focus_score",),
     "cognitive_load": ("meeting_density", "context_switch_rate", "notification_pressure"),
     "deep_work_score": ("focus_score", "context_switch_rate"),

@@ -31,6 +31,15 @@ def life_event_lines(events: DataFrame) -> DataFrame:
     return head.unionByName(rows).orderBy("subject_id", "part", "at", "id").select("subject_id", "at", "line")
 
 
+def channel_lines(states: DataFrame) -> DataFrame:
+    """Lines of a section on channels (of :func:`tidelog.plans.series.channel_states`):
+    how many of the watch's arrived, then each channel's rows and last second."""
+    watch = states.filter("side = 'watch'").agg(F.count_if(F.col("rows") > 0).alias("came"), F.count("*").alias("all"))
+    head = watch.select(F.lit(-1).alias("at"), F.format_string("- watch channels with rows: %d of %d", "came", "all").alias("line"))
+    said = F.when(F.col("state") == "rows", F.format_string("%d rows, last at %d", "rows", "last_ts")).when(F.col("state") == "off", "collection is off").otherwise("no rows")
+    return head.unionByName(states.select(F.col("place").alias("at"), F.concat_ws("", F.lit("- "), "side", F.lit(" "), "data_type", F.lit(": "), said).alias("line"))).orderBy("at")
+
+
 #: Conditions that a person may declare.
 CONDITIONS = ("sleep_sensitive", "migraine_prone", "caffeine_sensitive")
 

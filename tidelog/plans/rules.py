@@ -8,7 +8,7 @@ Evidence lists ``kind:id``.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -97,6 +97,7 @@ def hrv_below_baseline(facts: Facts) -> DataFrame:
     return _insight(rows, "hrv_vs_baseline_v1", F.lit("down"), "HRV below baseline", F.format_string("%s %.1f ms against the baseline", "method", "delta"), F.array(F.lit("feature:hrv_vs_baseline")))
 
 
+#: The ids of the rules.
 INSIGHTS: dict[str, Rule] = {
     "high_stress_period_v1": high_stress_period,
     "context_switch_elevated_v1": _elevated("context_switch_rate", "context_switch_elevated_v1", 1.0, "Frequent context switches"),
@@ -109,22 +110,82 @@ INSIGHTS: dict[str, Rule] = {
 
 
 def insights(facts: Facts, rules: dict[str, Rule] | None = None) -> DataFrame:
-    frames = [rule(facts) for rule in (rules or INSIGHTS).values()]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
+    """What the rules find, united in their order, with an id of its content."""
+    out = None
+    for rule in (INSIGHTS if rules is None else rules).values():
+        found = rule(facts)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = _nothing(facts, _INSIGHT)
     identity = F.sha2(F.concat_ws("|", "subject_id", "rule_id", "direction", "text", F.array_join("evidence", ",")), 256)
     return out.withColumn("insight_id", identity)
 
 
-def recommendations(facts: Facts, found: DataFrame) -> DataFrame:
-    """Pace hints that follow from insights (by rule and direction)."""
+_INSIGHT = "subject_id string, rule_id string, direction string, title string, text string, evidence array<string>"
+_HINT = "subject_id string, rule_id string, title string, suggestion string, category string, evidence string"
+
+
+def _nothing(facts: Facts, ddl: str) -> DataFrame:
+    return facts.features.sparkSession.createDataFrame([], ddl)
+
+
+Hint = Callable[[Facts, DataFrame], DataFrame]
+
+
+def _hint(rows: DataFrame, rule: str, title: str, text: str) -> DataFrame:
+    return rows.select("subject_id", F.lit(rule).alias("rule_id"), F.lit(title).alias("title"), F.lit(text).alias("suggestion"), F.lit("pace").alias("category"), F.concat(F.lit("insight:"), "insight_id").alias("evidence"))
+
+
+def focus_dip(facts: Facts, found: DataFrame) -> DataFrame:
     focus = _latest(facts, "focus_score").filter("confidence >= 0.3").select("subject_id")
     dip = found.filter("rule_id = 'focus_vs_recent_baseline_v1' and direction = 'down'").join(focus, "subject_id", "left_semi")
+    return _hint(dip, "focus_dip_pace_hint_v1", "Ease the pace", "Focus is under its usual level; a short break may help.")
+
+
+def combined_demand(facts: Facts, found: DataFrame) -> DataFrame:
     load = found.filter("rule_id = 'cognitive_load_elevated_v1'")
+    return _hint(load, "combined_demand_pace_hint_v1", "Spread demands", "Several demands meet; moving one of them may help.")
+
+
+#: The ids of the rules.
+HINTS: dict[str, Hint] = {"focus_dip_pace_hint_v1": focus_dip, "combined_demand_pace_hint_v1": combined_demand}
+
+
+def recommendations(facts: Facts, found: DataFrame, hints: dict[str, Hint] | None = None) -> DataFrame:
+    """Pace hints that follow from insights (by rule and direction)."""
+    out = None
+    for hint in (HINTS if hints is None else hints).values():
+        made = hint(facts, found)
+        out = made if out is None else out.unionByName(made)
+    return _nothing(facts, _HINT) if out is None else out
+
+
+class DuplicateRule(ValueError):
+    """A rule of this kind is registered under this id."""
+
+
+@dataclass
+class RuleBook:
+    """Rules of one's own, by id: insights first, then the hints that follow from
+    them.  Insights and hints have ids apart; without rules nothing is found."""
+
+    insight_rules: dict[str, Rule] = field(default_factory=dict)
+    hint_rules: dict[str, Hint] = field(default_factory=dict)
+
+    @staticmethod
+    def usual() -> RuleBook:
+        return RuleBook(dict(INSIGHTS), dict(HINTS))
+
+    def register(self, rule_id: str, rule: Rule) -> None:
+        if rule_id in self.insight_rules:
+            raise DuplicateRule(rule_id)
+        self.insight_rules[rule_id] = rule
 
-    def hint(rows: DataFrame, rule: str, title: str, text: str) -> DataFrame:
-        return rows.select("subject_id", F.lit(rule).alias("rule_id"), F.lit(title).alias("title"), F.lit(text).alias("suggestion"), F.lit("pace").alias("category"), F.concat(F.lit("insight:"), "insight_id").alias("evidence"))
+    def register_hint(self, rule_id: str, hint: Hint) -> None:
+        if rule_id in self.hint_rules:
+            raise DuplicateRule(rule_id)
+        self.hint_rules[rule_id] = hint
 
-    a = hint(dip, "focus_dip_pace_hint_v1", "Ease the pace", "Focus is under its usual level; a short break may help.")
-    return a.unionByName(hint(load, "combined_demand_pace_hint_v1", "Spread demands", "Several demands meet; moving one of them may help."))
+    def evaluate(self, facts: Facts) -> tuple[DataFrame, DataFrame]:
+        found = insights(facts, self.insight_rules)
+        return found, recommendations(facts, found, self.hint_rules)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,6 +129,17 @@ def source_channels(obs: DataFrame, since: int, types: list[str]) -> DataFrame:
     return known.join(seen, "data_type", "left").select("data_type", F.coalesce("rows", F.lit(0)).alias("rows"), "last_ts")
 
 
+def channel_states(channels: DataFrame, collecting: Collection[str] = ()) -> DataFrame:
+    """The frame of :func:`source_channels` with each channel's ``side`` (computer
+    or watch), its ``place`` in a report and its ``state``: ``rows``, ``off`` (it has
+    none and is switched off: not among ``collecting``) or ``none``."""
+    known = [(t, side, i) for i, (t, side) in enumerate([(t, "computer") for t in S.COMPUTER_CHANNELS] + [(t, "watch") for t in S.WATCH_CHANNELS])]
+    places = channels.sparkSession.createDataFrame(known, "data_type string, side string, place int")
+    silent = [t for t in S.SWITCHED_CHANNELS if t not in collecting]
+    state = F.when(F.col("rows") > 0, "rows").when(F.col("data_type").isin(silent), "off").otherwise("none")
+    return channels.join(places, "data_type", "left").withColumn("state", state)
+
+
 def life_events(obs: DataFrame, limit: int = 8, start: int | None = None, end: int | None = None) -> DataFrame:
     """The latest life events (1 to 32; within a range up to 500)."""
     rows = obs.filter(F.col("data_type") == S.LIFE_EVENT)

@@ -24,6 +24,12 @@ APP_KINDS = ("messaging", "mail", "calendar", "social", "system", "other", "unkn
 SLEEP_STAGES = ("asleep", "in_bed", "awake", "unknown", "asleep_core", "asleep_deep", "asleep_rem")
 LIFE_KINDS = ("coffee", "walk", "lunch", "workout")
 
+#: Channels of a source report, in its order, and those that collect
+#: only when they are switched on.
+COMPUTER_CHANNELS = (CONTEXT, KEYSTROKES, CALENDAR, BROWSER, MEDIA, GIT, LIGHT, NOTIFICATION, LIFE_EVENT)
+WATCH_CHANNELS = (HEART_RATE, HRV, STEPS, ENERGY, SLEEP, SPO2)
+SWITCHED_CHANNELS = (KEYSTROKES, CALENDAR, BROWSER, MEDIA, GIT, LIGHT, NOTIFICATION)
+
 ENVELOPE = {
     "id": "string",
     "subject_id": "string",
