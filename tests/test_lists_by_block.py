@@ -42,3 +42,30 @@ def test_listed(spark, distinct):
         own = [(i, odd) for x, i, low, high, odd in items if x == s and low <= e <= high]
         pick = (lambda ids: sorted(set(ids))) if distinct else sorted
         assert got[s, e] == (pick(i for i, _ in own), pick(i for i, odd in own if odd)), (s, e)
+
+
+def test_meetings_are_gathered_by_blocks(spark, sf_dir):
+    """A meeting repeated for each of its ends would be sorted once for every end."""
+    rows = Catalog(typed_observations(spark, sf_dir), 60, most=None)["meeting_density"]
+    assert not windows_of(rows)
+
+
+def test_meeting_density_by_blocks(spark):
+    """Overlaps, meetings that touch or end before they start, bounds of blocks, null confidence."""
+    rng = random.Random(9)
+    meetings = []
+    for i in range(60):
+        start = rng.choice((rng.randrange(20_000), rng.randrange(6) * 3600))
+        meetings.append(("a", f"{i:03}", start, start + rng.choice((-700, 0, 60, 900, 3600, 9000)), rng.choice((None, 0.5, 0.75))))
+    cat = Catalog(spark.range(0), 60, most=None)
+    cat.meetings = spark.createDataFrame(meetings, "subject_id string, id string, start_s bigint, end_s bigint, confidence double")
+    got = {r["w_end"]: (round(r["value"], 9), r["confidence"] and round(r["confidence"], 9), r["evidence"]) for r in cat["meeting_density"].collect()}
+    first, last = min(m[2] for m in meetings), max(m[3] for m in meetings)
+    want = {}
+    for end in sorted({*range(-(-first // 60) * 60, last + 1, 60), last}):
+        own = [m for m in meetings if m[2] <= end <= m[3] + 900]
+        if own:
+            seconds = {t for m in own for t in range(max(m[2], end - 900), min(m[3], end))}
+            known = [m[4] for m in own if m[4] is not None]
+            want[end] = (round(len(seconds) / 900, 9), round(sum(known) / len(known), 9) if known else None, sorted(m[1] for m in own))
+    assert got == want
