@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog import schema as S
 from tidelog.plans import panes
 from tidelog.plans.features import Catalog
 from tidelog.sources.events import typed_observations
@@ -69,3 +70,15 @@ def test_meeting_density_by_blocks(spark):
             known = [m[4] for m in own if m[4] is not None]
             want[end] = (round(len(seconds) / 900, 9), round(sum(known) / len(known), 9) if known else None, sorted(m[1] for m in own))
     assert got == want
+
+
+def test_only_rows_within_reach_are_summed(spark):
+    """A capped grid sums no rows before its first window; its values stay."""
+    rows = [(f"{i:06}", s, i * 30 + (s == "b"), "p", "context_window", 0.5, f"app.{i * 7 % 11 % 3}") for i in range(400) for s in "ab"]
+    obs = spark.createDataFrame(rows, "id string, subject_id string, ts bigint, provider_id string, data_type string, confidence double, bundle_id string")
+    obs = obs.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in S.PAYLOAD.items() if name not in obs.columns])
+    capped, whole = Catalog(obs, 60, most=10), Catalog(obs, 60, most=None)
+    assert {r["id"] for r in capped._in_reach().collect()} == {r[0] for r in rows if r[2] >= 11970 - 30 - 9 * 60 - 900}
+    got = {(r["subject_id"], r["w_end"]): r for r in capped["context_switch_rate"].collect()}
+    want = {(r["subject_id"], r["w_end"]): r for r in whole["context_switch_rate"].collect()}
+    assert len(got) == 20 and all(want[k] == r for k, r in got.items())
