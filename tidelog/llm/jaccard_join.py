@@ -50,6 +50,8 @@ from tidelog.llm.text_arrays import by_batch, by_group, mix, shingles, slices
 BLOCK_BYTES, BLOCK_ROWS = 16 << 20, 1 << 16
 ROUNDS, HUB_ROUNDS = 1, 2
 CHUNK = 2048
+#: Elements that a block of whole sets holds.
+BLOCK_ELEMENTS = 1 << 19
 #: Text bytes that a shard's elements come from, and the longest short list.
 SHARD_BYTES, SHORT_LIST = 8 << 20, 64
 #: Cost of one list entry (it is read in each round) and, in the same unit, of
@@ -420,6 +422,82 @@ def _pairs_of_long(opened: DataFrame, sets: DataFrame, nearest: bool) -> DataFra
     return every.groupBy("group").applyInArrow(by_group(_pairs_in_lists(nearest)), "a long, b long, apart long")
 
 
+_ELEMENTS_SQL = "block long, shard int, rids binary, keys binary, count binary"
+
+
+def _elements(shards: int):
+    """Blocks of sets (rid, elements): one row with the sets as they are (shard
+    -1), and for each shard the block's different elements with their counts."""
+
+    def sent(block: int, rids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        flat = np.concatenate(sets)
+        rows = [(block, -1, np.array(rids, np.int64).tobytes(), flat.tobytes(), np.array([len(s) for s in sets], np.uint32).tobytes())]
+        key, count = np.unique(flat, return_counts=True)
+        shard = key & np.uint64(shards - 1)
+        order = np.argsort(shard, kind="stable")
+        key, count, cut = key[order], count[order].astype(np.uint32), np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+        rows += [(block, s, None, key[a:b].tobytes(), count[a:b].tobytes()) for s, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "shard", "rids", "keys", "count"])
+
+    def run(batches):
+        block, size = TaskContext.get().partitionId() << 24, 0
+        rids: list = []
+        sets: list[np.ndarray] = []
+        for t in batches:
+            for rid, own in zip(t.column(0).to_pylist(), t.column(1), strict=True):
+                rids.append(rid)
+                sets.append(np.frombuffer(own.as_py(), np.uint64))
+                size += len(sets[-1])
+                if size >= BLOCK_ELEMENTS or len(sets) >= BLOCK_ROWS:
+                    yield sent(block, rids, sets)
+                    block, size, rids, sets = block + 1, 0, [], []
+        if sets:
+            yield sent(block, rids, sets)
+
+    return run
+
+
+def _repeated(table):
+    """One shard: of each block's elements, those that occur twice or more, with
+    their counts over all blocks."""
+    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    count = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("count").to_pylist()])
+    _, group = np.unique(np.concatenate(keys), return_inverse=True)
+    df = np.bincount(group, count)[group].astype(np.uint32)
+    rows, at = [], 0
+    for block, own in zip(table.column("block").to_pylist(), keys, strict=True):
+        some = df[at : at + len(own)]
+        if (some > 1).any():
+            rows.append((block, own[some > 1].tobytes(), some[some > 1].tobytes()))
+        at += len(own)
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+    return pa.table({"block": pa.array(columns[0], pa.int64()), "keys": pa.array(columns[1], pa.binary()), "count": pa.array(columns[2], pa.binary())})
+
+
+def _rarest(table):
+    """One block: the list entries of its sets, by the counts of all shards."""
+    shard = table.column("shard").to_pylist()
+    home, back = shard.index(-1), [i for i, s in enumerate(shard) if s != -1]
+    raw = {c: table.column(c).to_pylist() for c in ("keys", "count")}
+    flat, size = np.frombuffer(raw["keys"][home], np.uint64), np.frombuffer(raw["count"][home], np.uint32).astype(np.int64)
+    rid = np.frombuffer(table.column("rids")[home].as_py(), np.int64)
+    key = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(raw["keys"][i], np.uint64) for i in back]])
+    count = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(raw["count"][i], np.uint32) for i in back]])
+    order = np.argsort(key)
+    key, count = np.append(key[order], np.uint64(0)), np.append(count[order], np.uint32(1))
+    place = np.searchsorted(key[:-1], flat)
+    df = np.where(key[place] == flat, count[place], np.uint32(1))
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((flat, df, row))
+    flat, df = flat[order], df[order]
+    at = np.arange(len(flat)) - (np.cumsum(size) - size)[row]
+    inner, outer = (size - (-(-k * size // m)) + 1 for k, m in ((6, 7), (3, 4)))
+    keep = (df > 1) & (at < outer[row])
+    row, at = row[keep], at[keep]
+    return pa.table({"token": pa.array(flat[keep].view(np.int64)), "rid": pa.array(rid[row]), "n": pa.array(size[row]), "outer": pa.array(at >= inner[row])})
+
+
 def rare_lists(sets: DataFrame, chosen: DataFrame) -> DataFrame:
     """(token, rid, n, outer): for the classes in ``chosen`` (rid), lists of the
     rarest elements of their whole sets, counted among these classes.
@@ -428,27 +506,19 @@ def rare_lists(sets: DataFrame, chosen: DataFrame) -> DataFrame:
     outside the other one, the larger at most a quarter.  So the rarest element
     that they share is among the smaller's ``n - ceil(6n/7) + 1`` rarest and the
     larger's ``n - ceil(3n/4) + 1`` rarest; ``outer`` marks what only a larger
-    set may be met by.  Elements that occur once make no list."""
-
-    def elements(batches):
-        for t in batches:
-            own = [np.frombuffer(v.as_buffer(), np.uint64).view(np.int64) for v in t.column(2)]
-            for k in range(0, len(own), 1024):
-                part = slice(k, k + 1024)
-                size = [len(x) for x in own[part]]
-                at = np.repeat(np.arange(len(size)) + k, size)
-                yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(at)), t.column(1).take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, np.int64), *own[part]]))], names=["rid", "n", "token"])
-
-    own = sets.join(chosen, "rid", "left_semi").select("rid", "n", "elements")
-    every = materialize(own.mapInArrow(by_batch(elements), "rid long, n long, token long"), "elements")
-    counts = every.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").withColumn("weight", F.col("df"))
-    counted = materialize(hot_join(every, counts, "token", "weight", "left").select("rid", "n", "token", F.coalesce("df", F.lit(1)).alias("df")), "counted")
-    delete_table(every)
-    inner, outer = F.col("n") - F.ceil(F.col("n") * 6 / 7) + 1, F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1
-    rare = counted.groupBy("rid", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_rarity"))
-    rare = rare.select("rid", "n", inner.alias("inner"), F.posexplode(F.slice("by_rarity", F.lit(1), outer.cast("int"))).alias("at", "e"))
-    lists = materialize(rare.filter("e.df > 1").select(F.col("e.token").alias("token"), "rid", "n", (F.col("at") >= F.col("inner")).alias("outer")), "rare")
-    delete_table(counted)
+    set may be met by.  Elements that occur once make no list.
+
+    Elements are counted as packed arrays, by block and shard as those of the
+    prefixes: only entries of lists become rows."""
+    own = materialize(sets.join(chosen, "rid", "left_semi").select("rid", "n", "elements"), "own")
+    size = own.agg(F.sum("n")).first()[0] or 0
+    shards = 1 << max(3, (8 * size // SHARD_BYTES).bit_length())
+    posted = materialize(own.select("rid", "elements").mapInArrow(by_batch(_elements(shards)), _ELEMENTS_SQL), "elements")
+    delete_table(own)
+    counted = posted.filter("shard >= 0").select("block", "shard", "keys", "count").groupBy("shard").applyInArrow(by_group(_repeated), "block long, keys binary, count binary")
+    both = posted.filter("shard = -1").unionByName(counted.withColumns({"shard": F.lit(0), "rids": F.lit(None).cast("binary")}))
+    lists = materialize(both.groupBy("block").applyInArrow(by_group(_rarest), "token long, rid long, n long, outer boolean"), "rare")
+    delete_table(posted)
     return lists
 
 

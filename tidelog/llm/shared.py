@@ -71,15 +71,20 @@ def hot_join(rows: DataFrame, keyed: DataFrame, key: str, weight: str, how: str
     for each key and, as ``weight``, how many rows the key may meet; the weight
     is dropped.  Keys of at least one HOT_KEYS-th of all weights are at most
     HOT_KEYS many: these are broadcast, so that their rows stay spread over all
-    tasks, and only the rest is shuffled by key."""
+    tasks, and only the rest is shuffled by key.  Rows are told apart by a filter
+    on the hashes of the hot keys, so each row goes through one join; a key that
+    shares such a hash counts as hot."""
     keyed = materialize(keyed, "keyed")
     total = keyed.agg(F.sum(weight)).first()[0] or 0
-    hot = keyed.filter(F.col(weight) * HOT_KEYS >= max(1, total)).filter(F.col(weight) > 1).drop(weight)
-    rest = keyed.filter(~((F.col(weight) * HOT_KEYS >= max(1, total)) & (F.col(weight) > 1))).drop(weight)
-    names = list(dict.fromkeys([*rows.columns, *hot.columns]))
-    met = rows.join(F.broadcast(hot), key).select(*names)
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how).select(*names)
-    return met.unionByName(others)
+    found = keyed.filter((F.col(weight) * HOT_KEYS >= max(1, total)) & (F.col(weight) > 1)).select(F.xxhash64(key)).distinct().collect()
+    kind, given = keyed.schema[key].dataType, keyed.drop(weight)
+    names = list(dict.fromkeys([*rows.columns, *given.columns]))
+    if not found:
+        return rows.join(given, key, how).select(*names)
+    hashes = ", ".join(f"{r[0]}L" for r in found)
+    hot, is_hot = F.expr(f"xxhash64(`{key}`) IN ({hashes})"), F.expr(f"xxhash64(cast(`{key}` AS {kind.simpleString()})) IN ({hashes})")
+    met = rows.filter(is_hot).join(F.broadcast(given.filter(hot)), key, how).select(*names)
+    return met.unionByName(rows.filter(~is_hot).join(given.filter(~hot), key, how).select(*names))
 
 
 def delete(spark: SparkSession, path: str) -> None:
