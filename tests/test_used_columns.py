@@ -43,3 +43,9 @@ def test_insights_write_what_they_use(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(Catalog, "_held", lambda self, df: self.keep and written.append(df.columns) or held(self, df))
     assert queries.QUERIES["insights"](spark, sf_dir).columns == ["subject_id", "rule_id", "title", "text"]
     assert written and not [c for columns in written for c in columns if c == "evidence" or c.startswith(("i_", "lig_", "git_", "med_"))]
+
+
+def test_sustained_load_reads_the_events_once(spark, sf_dir):
+    """Its parts read rows and windows that are written once."""
+    plan = queries.QUERIES["sustained_load"](spark, sf_dir)
+    assert not [f for f in plan.inputFiles() if f.endswith("events.parquet")]
